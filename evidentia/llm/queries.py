@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_crf
+from . import line_mphf, quality_crf, toxicity_cnn
 
 
 def queries() -> dict:
-    return {"op1_quality_crf": quality_crf.query}
+    return {"op1_quality_crf": quality_crf.query, "op4_toxicity_cnn": toxicity_cnn.query, "op8_line_mphf": line_mphf.query}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_line_mphf": line_mphf.ORACLE}
