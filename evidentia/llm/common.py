@@ -48,13 +48,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, h
     doc_id, so that the driver's memory doesn't grow with the corpus. Null labels and ids take no part.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % fold != held_out))
-    ids = ids.groupBy("doc_id").agg(F.max(label).alias("label"))
-    known = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(ids, "doc_id")
-    picked = None
-    for value in (0, 1):
-        part = known.where(F.col("label") == value).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", F.xxhash64("text")).limit(rows // 2)
-        picked = part if picked is None else picked.unionByName(part)
-    return picked.select("doc_id", "text", "label").collect()
+    ids = ids.groupBy("doc_id").agg(F.max(label).alias("label")).withColumn("order", F.xxhash64("doc_id"))
+    picked = [ids.where(F.col("label") == value).orderBy("order", "doc_id").limit(rows // 2) for value in (0, 1)]
+    picked = picked[0].unionByName(picked[1])  # at most ``rows`` rows of three numbers, so that it can be broadcast
+    known = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = known.limit(2 * rows).collect()  # more than ``rows`` only where doc_ids repeat
+    return sorted(found, key=lambda r: (r["order"], r["doc_id"], r["text"]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
