@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_mphf, quality_crf, toxicity_cnn
+from . import ann_tiles, line_mphf, quality_crf, simhash_bk, toxicity_cnn
 
 
 def queries() -> dict:
-    return {"op1_quality_crf": quality_crf.query, "op4_toxicity_cnn": toxicity_cnn.query, "op8_line_mphf": line_mphf.query}
+    return {
+        "op1_quality_crf": quality_crf.query,
+        "op2_ann_tiles": ann_tiles.query,
+        "op4_toxicity_cnn": toxicity_cnn.query,
+        "op8_line_mphf": line_mphf.query,
+        "op10_simhash_bk": simhash_bk.query,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op8_line_mphf": line_mphf.ORACLE}
+    return {"op2_ann_tiles": ann_tiles.ORACLE, "op8_line_mphf": line_mphf.ORACLE}
