@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     query_blocks = max(1, -(-m // query_block))
     candidates = _packed(rows, max(1, -(-n // candidate_block)), "cb")
     queries = _packed(asked, query_blocks, "qb")
-    spread = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+    spread = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     tiles = spread.join(queries, ["dim", "qb"]).select("qb", "qb_ids", "qb_vecs", "cb_ids", "cb_vecs", "dim")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
