@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import ann_tiles, line_mphf, quality_crf, simhash_bk, toxicity_cnn
+from . import ann_tiles, license_diagonals, line_mphf, quality_crf, simhash_bk, spaced_decontam, toxicity_cnn
 
 
 def queries() -> dict:
     return {
         "op1_quality_crf": quality_crf.query,
         "op2_ann_tiles": ann_tiles.query,
+        "op3_license_diagonals": license_diagonals.query,
         "op4_toxicity_cnn": toxicity_cnn.query,
+        "op7_spaced_decontam": spaced_decontam.query,
         "op8_line_mphf": line_mphf.query,
         "op10_simhash_bk": simhash_bk.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_ann_tiles": ann_tiles.ORACLE, "op8_line_mphf": line_mphf.ORACLE}
+    return {"op2_ann_tiles": ann_tiles.ORACLE, "op7_spaced_decontam": spaced_decontam.ORACLE, "op8_line_mphf": line_mphf.ORACLE}
