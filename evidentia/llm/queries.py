@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_tiles, license_diagonals, line_mphf, quality_crf, simhash_bk, spaced_decontam, toxicity_cnn
+from . import ann_tiles, langid_fusion, license_diagonals, line_mphf, quality_crf, simhash_bk, spaced_decontam, toxicity_cnn, url_cascade
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_ann_tiles": ann_tiles.query,
         "op3_license_diagonals": license_diagonals.query,
         "op4_toxicity_cnn": toxicity_cnn.query,
+        "op5_langid_fusion": langid_fusion.query,
+        "op6_url_cascade": url_cascade.query,
         "op7_spaced_decontam": spaced_decontam.query,
         "op8_line_mphf": line_mphf.query,
         "op10_simhash_bk": simhash_bk.query,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_ann_tiles": ann_tiles.ORACLE, "op7_spaced_decontam": spaced_decontam.ORACLE, "op8_line_mphf": line_mphf.ORACLE}
+    return {"op2_ann_tiles": ann_tiles.ORACLE, "op6_url_cascade": url_cascade.ORACLE, "op7_spaced_decontam": spaced_decontam.ORACLE, "op8_line_mphf": line_mphf.ORACLE}
