@@ -144,7 +144,7 @@ class Lattice:
         froms.append(loose)
         spans.append(np.ones(len(loose), np.int64))
         ids.append(v.byte_ids[data[loose]])
-        f, s, piece = (np.concatenate(x) for x in (froms, spans, ids))
+        f, s, piece = (np.concatenate(x[::-1]) for x in (froms, spans, ids))  # a node's longest edges first: the likeliest
         order = np.argsort(left[f] * np.int64(n + 1) + f, kind="stable")
         f, s, piece = f[order], s[order], piece[order]
         self.first_node = offsets[:-1] + np.arange(m)
@@ -156,23 +156,23 @@ class Lattice:
         weight = v.logp[piece]
         tail = np.r_[head[1:], len(f)]
         levels = np.flatnonzero(np.r_[True, np.diff(left[f[head]]) != 0, True]) if len(head) else np.zeros(1, np.int64)
+        p = np.zeros(len(f))
         for a, b in zip(levels[:-1], levels[1:], strict=True):
             i, j = head[a], tail[b - 1]
             x = weight[i:j] + beta[end[i:j]]
-            cuts = head[a:b] - i
+            cuts, sizes = head[a:b] - i, tail[a:b] - head[a:b]
             top = np.maximum.reduceat(x, cuts)
-            safe = np.where(np.isfinite(top), top, 0)
-            total = np.add.reduceat(np.exp(x - np.repeat(safe, tail[a:b] - head[a:b])), cuts)
+            top[~np.isfinite(top)] = 0
+            e = np.exp(x - np.repeat(top, sizes))
+            total = np.add.reduceat(e, cuts)
             with np.errstate(divide="ignore"):
-                beta[node_of[f[head[a:b]]]] = safe + np.log(total)
-        with np.errstate(invalid="ignore"):
-            p = np.exp(weight + beta[end] - beta[node_of[f]])
-        p = np.where(np.isfinite(p), p, 0)
+                beta[node_of[f[head[a:b]]]] = top + np.log(total)
+            p[i:j] = e / np.repeat(np.where(total > 0, total, 1), sizes)
         group = np.cumsum(np.r_[False, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
         c = np.cumsum(p)
         c -= np.r_[0, c[tail[:-1] - 1]][group] if len(f) else 0
         c[tail - 1] = 1.0
-        self.cumulated = np.minimum(c, 1.0) + group
+        self.cumulated = c
         self.group = np.full(n + m, -1, np.int64)
         self.group[node_of[f[head]]] = np.arange(len(head))
         self.head, self.tail = head, tail
@@ -185,7 +185,7 @@ class Lattice:
 def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on nothing but the arguments."""
     with np.errstate(over="ignore"):
-        h = common.mix(key + common.mix(place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(draw * 2 + 1)))
+        h = common.mix(key + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(draw * 0xA0761D6478BD642F & (1 << 64) - 1))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -198,8 +198,11 @@ def draw_paths(lattice: Lattice, node: np.ndarray, last: np.ndarray, key: np.nda
     while len(live):
         at = node[live]
         group = lattice.group[at]
-        edge = np.searchsorted(lattice.cumulated, group + uniform(key[live], draw, at + base[live]), "right")
-        edge = np.minimum(edge, lattice.tail[group] - 1)
+        edge, u = lattice.head[group], uniform(key[live], draw, at + base[live])
+        on = np.flatnonzero(lattice.cumulated[edge] < u)
+        while len(on):
+            edge[on] += 1
+            on = on[lattice.cumulated[edge[on]] < u[on]]
         node[live] = lattice.end[edge]
         steps.append((live, edge))
         count[live] += 1
@@ -370,7 +373,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str =
         v = held.value
         for whole in batches:
             _, offsets = common.text_bytes(whole.column(at_text))
-            for a, b in common.chunks(offsets, 1 << 20):
+            for a, b in common.chunks(offsets, 1 << 21):
                 batch = whole.slice(a, b - a)
                 texts = [t or b"" for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
                 found = sample(v, texts, row_keys(batch.column(at_key).to_pylist(), seed), k)
