@@ -55,6 +55,8 @@ class Vocabulary:
         for b, i in enumerate(byte_ids):
             self.bytes[i] = bytes([b])
         self.byte_ids = np.array(byte_ids, np.int64)
+        self.lengths = np.array([len(t) for t in self.bytes])
+        self.pool, self.places = np.frombuffer(b"".join(self.bytes), np.uint8), np.r_[0, np.cumsum(self.lengths)]
         texts = {text: i for text, i, _ in reversed(ranked)}
         prefixes = {t[:k] for t in texts for k in range(1, len(t))}
         keys = sorted(texts.keys() | prefixes)
@@ -177,9 +179,16 @@ class Lattice:
         self.group[node_of[f[head]]] = np.arange(len(head))
         self.head, self.tail = head, tail
         self.p, self.piece, self.end, self.start = p, piece, end, node_of[f]
+        self.beta, self.weight = beta, v.logp
+
+    def logp(self, edges):
+        """Log-probabilities of edges given their nodes."""
+        return self.weight[self.piece[edges]] + self.beta[self.end[edges]] - self.beta[self.start[edges]]
+
+    def others(self, edges):
+        """Log-probabilities of all other edges of their nodes."""
         with np.errstate(divide="ignore"):
-            self.logp, self.others = np.log(p), np.log1p(-np.minimum(p, 1.0))
-        self.beta = beta
+            return np.log1p(-np.minimum(self.p[edges], 1.0))
 
 
 def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
@@ -261,7 +270,8 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
     for d in range(len(full)):
         path, words = edges[path_first[d] : path_first[d + 1]], edge_word[path_first[d] : path_first[d + 1]]
         top = float(-np.log(-np.log(uniform(keys[d : d + 1], 0, np.zeros(1))))[0])
-        states.append([[_frontier(lattice, path, words, base, keys[d], top, 0, 0.0, 2)], [(path, words, top)]])
+        first = [_frontier(lattice, path, words, base, keys[d], top, 0, 0.0, 2)] if k > 1 else []
+        states.append([first, [(path, words, top)]])
     for s in range(1, k):
         todo = []
         for d, (fronts, samples) in enumerate(states):
@@ -312,13 +322,18 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
             path, words, _ = samples[owner]
             path = np.concatenate([path[:i], [other], new[new_first[j] : new_first[j + 1]]])
             words = np.concatenate([words[: i + 1], new_words[new_first[j] : new_first[j + 1]]])
-            before = fronts[owner]["before"][i] + lattice.logp[other]
-            fronts.append(_frontier(lattice, path, words, base, keys[d], value, i + 1, before, 4 * s + 2))
+            if s + 1 < k:
+                before = fronts[owner]["before"][i] + lattice.logp(other)
+                fronts.append(_frontier(lattice, path, words, base, keys[d], value, i + 1, before, 4 * s + 2))
             samples.append((path, words, value))
-    for d, (fronts, samples) in enumerate(states):
-        left = max(f["best"] for f in fronts)
-        for path, _, value in samples:
-            ids, posterior = lattice.piece[path], float(lattice.logp[path].sum())
+    for d, (_, samples) in enumerate(states):
+        posteriors = [float(lattice.logp(path).sum()) for path, _, _ in samples]
+        # all that wasn't taken is below the last sample's value, so its largest value is one bounded draw
+        rest = 1 - sum(np.exp(p) for p in posteriors)
+        u = uniform(keys[d : d + 1], 4 * k + 5, np.zeros(1))
+        left = float(_bounded_gumbel(np.array([np.log(rest)]), samples[-1][2], u)[0]) if rest > 1e-12 and len(samples) == k else _NONE
+        for (path, _, value), posterior in zip(samples, posteriors, strict=True):
+            ids = lattice.piece[path]
             out[full[d]].append((ids, float(v.logp[ids].sum()), posterior, value, log_inclusion(posterior, left)))
     return out
 
@@ -328,10 +343,11 @@ def _frontier(lattice, path, words, base, key, bound, begin, before, draw) -> di
     g = np.full(len(path), _NONE)
     reached = np.full(len(path), _NONE)
     mine = path[begin:]
-    reached[begin:] = before + np.cumsum(lattice.logp[mine]) - lattice.logp[mine]
+    logp = lattice.logp(mine)
+    reached[begin:] = before + np.cumsum(logp) - logp
     place = lattice.start[mine] + base[words[begin:]]
     u = uniform(np.full(len(mine), key, np.uint64), draw, place)
-    g[begin:] = _bounded_gumbel(reached[begin:] + lattice.others[mine], bound, u)
+    g[begin:] = _bounded_gumbel(reached[begin:] + lattice.others(mine), bound, u)
     at = int(g.argmax()) if len(g) else 0
     return {"g": g, "before": reached, "at": at, "best": g[at] if len(g) else _NONE, "taken": {}}
 
@@ -346,9 +362,13 @@ def log_inclusion(posterior: float, threshold: float) -> float:
     return float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def decode(v: Vocabulary, ids) -> bytes:
+def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
     """The text of piece ids: the pieces' bytes without the mark before the text."""
-    return b"".join(map(v.bytes.__getitem__, ids))[1:]
+    ids = np.asarray(ids, np.int64)
+    size = v.lengths[ids]
+    ends = np.cumsum(size)
+    shift = np.repeat(v.places[ids] - ends + size, size)
+    return v.pool[shift + np.arange(len(shift))].tobytes()[1:]
 
 
 def row_keys(ids: list, seed: int = SEED) -> np.ndarray:
@@ -373,7 +393,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str =
         v = held.value
         for whole in batches:
             _, offsets = common.text_bytes(whole.column(at_text))
-            for a, b in common.chunks(offsets, 1 << 21):
+            for a, b in common.chunks(offsets, 3 << 20):
                 batch = whole.slice(a, b - a)
                 texts = [t or b"" for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
                 found = sample(v, texts, row_keys(batch.column(at_key).to_pylist(), seed), k)
@@ -382,7 +402,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str =
                     for s, (ids, prob, posterior, value, inclusion) in enumerate(samples):
                         rows.append(r)
                         small = ids.astype("<i4")
-                        new = (s + 1, len(ids), prob, posterior, value, inclusion, hashlib.sha256(small.tobytes()).hexdigest(), decode(v, ids.tolist()) == t, small)
+                        new = (s + 1, len(ids), prob, posterior, value, inclusion, hashlib.sha256(small.tobytes()).hexdigest(), decode(v, ids) == t, small)
                         for c, x in zip(columns, new, strict=False):
                             c.append(x)
                 taken = batch.take(pa.array(rows, pa.int64()))
