@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from evidentia.plans.catalogue_queries import QUERIES
+from evidentia.plans.oracle import ORACLES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
