@@ -146,9 +146,20 @@ class Lattice:
         froms.append(loose)
         spans.append(np.ones(len(loose), np.int64))
         ids.append(v.byte_ids[data[loose]])
-        f, s, piece = (np.concatenate(x[::-1]) for x in (froms, spans, ids))  # a node's longest edges first: the likeliest
-        order = np.argsort(left[f] * np.int64(n + 1) + f, kind="stable")
-        f, s, piece = f[order], s[order], piece[order]
+        # edges by the bytes left after their start, then by start; a node's longest edges first: the likeliest
+        by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[by_left] = np.arange(n)
+        ranks = [rank[x] for x in froms]
+        free = np.zeros(n + 1, np.int64)
+        for x in ranks:
+            free[x + 1] += 1  # a byte starts one edge of a size at most
+        free = np.cumsum(free)
+        f, s, piece = (np.empty(int(free[-1]), np.int64) for _ in range(3))
+        for x, at, size_, id_ in zip(ranks[::-1], froms[::-1], spans[::-1], ids[::-1], strict=True):
+            slot = free[x]
+            free[x] += 1
+            f[slot], s[slot], piece[slot] = at, size_, id_
         self.first_node = offsets[:-1] + np.arange(m)
         self.last_node = offsets[1:] + np.arange(m)
         head = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
@@ -266,12 +277,13 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
     edges, count = draw_paths(lattice, nodes, lasts, word_keys, base, 1)
     edge_word = np.repeat(np.arange(len(a)), count)
     path_first = np.r_[0, np.cumsum(count)][first_word]
+    logs = lattice.logp(edges)
     states = []
     for d in range(len(full)):
-        path, words = edges[path_first[d] : path_first[d + 1]], edge_word[path_first[d] : path_first[d + 1]]
+        path, words, log = (x[path_first[d] : path_first[d + 1]] for x in (edges, edge_word, logs))
         top = float(-np.log(-np.log(uniform(keys[d : d + 1], 0, np.zeros(1))))[0])
-        first = [_frontier(lattice, path, words, base, keys[d], top, 0, 0.0, 2)] if k > 1 else []
-        states.append([first, [(path, words, top)]])
+        first = [_frontier(lattice, path, words, log, base, keys[d], top, 0, 2)] if k > 1 else []
+        states.append([first, [(path, words, log, top)]])
     for s in range(1, k):
         todo = []
         for d, (fronts, samples) in enumerate(states):
@@ -282,7 +294,7 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
             if front["best"] == _NONE:
                 continue
             i = front["at"]
-            path, words, _ = samples[owner]
+            path, words, _, _ = samples[owner]
             chosen = path[i]
             group = lattice.group[lattice.start[chosen]]
             options = np.arange(lattice.head[group], lattice.tail[group])
@@ -315,41 +327,40 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
             start.append(begin)
         rest, start = np.concatenate(whose), np.concatenate(start)
         new, many = draw_paths(lattice, start, lasts[rest], word_keys[rest], base[rest], s + 1)
-        new_words = np.repeat(rest, many)
+        new_words, new_logs = np.repeat(rest, many), lattice.logp(new)
         new_first = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum([len(w) for w in whose])]]
         for j, (d, owner, i, other, value) in enumerate(todo):
             fronts, samples = states[d]
-            path, words, _ = samples[owner]
-            path = np.concatenate([path[:i], [other], new[new_first[j] : new_first[j + 1]]])
-            words = np.concatenate([words[: i + 1], new_words[new_first[j] : new_first[j + 1]]])
+            path, words, log, _ = samples[owner]
+            own = slice(new_first[j], new_first[j + 1])
+            path = np.concatenate([path[:i], [other], new[own]])
+            words = np.concatenate([words[: i + 1], new_words[own]])
+            log = np.concatenate([log[:i], [lattice.logp(other)], new_logs[own]])
             if s + 1 < k:
-                before = fronts[owner]["before"][i] + lattice.logp(other)
-                fronts.append(_frontier(lattice, path, words, base, keys[d], value, i + 1, before, 4 * s + 2))
-            samples.append((path, words, value))
+                fronts.append(_frontier(lattice, path, words, log, base, keys[d], value, i + 1, 4 * s + 2))
+            samples.append((path, words, log, value))
     for d, (_, samples) in enumerate(states):
-        posteriors = [float(lattice.logp(path).sum()) for path, _, _ in samples]
+        posteriors = [float(log.sum()) for _, _, log, _ in samples]
         # all that wasn't taken is below the last sample's value, so its largest value is one bounded draw
         rest = 1 - sum(np.exp(p) for p in posteriors)
         u = uniform(keys[d : d + 1], 4 * k + 5, np.zeros(1))
-        left = float(_bounded_gumbel(np.array([np.log(rest)]), samples[-1][2], u)[0]) if rest > 1e-12 and len(samples) == k else _NONE
-        for (path, _, value), posterior in zip(samples, posteriors, strict=True):
+        left = float(_bounded_gumbel(np.array([np.log(rest)]), samples[-1][3], u)[0]) if rest > 1e-12 and len(samples) == k else _NONE
+        for (path, _, _, value), posterior in zip(samples, posteriors, strict=True):
             ids = lattice.piece[path]
             out[full[d]].append((ids, float(v.logp[ids].sum()), posterior, value, log_inclusion(posterior, left)))
     return out
 
 
-def _frontier(lattice, path, words, base, key, bound, begin, before, draw) -> dict:
+def _frontier(lattice, path, words, logs, base, key, bound, begin, draw) -> dict:
     """The search's nodes along a path from edge ``begin`` on: everything that leaves it there."""
     g = np.full(len(path), _NONE)
-    reached = np.full(len(path), _NONE)
     mine = path[begin:]
-    logp = lattice.logp(mine)
-    reached[begin:] = before + np.cumsum(logp) - logp
+    before = np.cumsum(logs) - logs
     place = lattice.start[mine] + base[words[begin:]]
     u = uniform(np.full(len(mine), key, np.uint64), draw, place)
-    g[begin:] = _bounded_gumbel(reached[begin:] + lattice.others(mine), bound, u)
+    g[begin:] = _bounded_gumbel(before[begin:] + lattice.others(mine), bound, u)
     at = int(g.argmax()) if len(g) else 0
-    return {"g": g, "before": reached, "at": at, "best": g[at] if len(g) else _NONE, "taken": {}}
+    return {"g": g, "before": before, "at": at, "best": g[at] if len(g) else _NONE, "taken": {}}
 
 
 def log_inclusion(posterior: float, threshold: float) -> float:
