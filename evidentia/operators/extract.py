@@ -103,9 +103,11 @@ def classify(lines: DataFrame, mrz_types: DataFrame | None = None) -> DataFrame:
     text = F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " "))
     docs = lines.groupBy("doc_id").agg(text.alias("t"))
     hits = lambda words: sum(((F.instr("t", w) > 0).cast("int") for w in words), F.lit(0))
-    scores = F.array(*(F.struct(F.least(F.lit(0.7), 0.3 + 0.15 * hits(words)).alias("score"), F.lit(-k).alias("order"), F.lit(t).alias("type"), hits(words).alias("hits")) for k, (t, words) in enumerate(HINTS.items())))
-    best = F.array_max(F.filter(scores, lambda s: s["hits"] > 0))
-    out = docs.select("doc_id", best.alias("best"))
+    counted = F.array(*(F.struct(hits(words).alias("hits"), F.lit(-k).alias("order"), F.lit(t).alias("type")) for k, (t, words) in enumerate(HINTS.items())))
+    hinted = docs.select("doc_id", F.explode(counted).alias("h")).where("h.hits > 0")
+    score = F.least(F.lit(0.7), 0.3 + 0.15 * F.col("h.hits"))
+    best = hinted.groupBy("doc_id").agg(F.max(F.struct(score.alias("score"), "h.order", "h.type")).alias("best"))
+    out = lines.select("doc_id").distinct().join(best, "doc_id", "left")
     kind, sure = F.coalesce(F.col("best.type"), F.lit("unknown")), F.coalesce(F.round(F.least(F.lit(0.8), F.col("best.score") + 0.3), 6), F.lit(0.0))
     if mrz_types is not None:
         out = out.join(mrz_types, "doc_id", "left")

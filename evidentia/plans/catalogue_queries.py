@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
@@ -179,7 +179,7 @@ def gender_normalise(spark, sf_dir):
 
 def type_hints_classify(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    kinds = mrz_parse_td3(spark, sf_dir).where("recognised AND key % 3 = 0").select(F.col("key").alias("doc_id"), F.col("document_type").alias("mrz_type"))
+    kinds = mrz_parse_td3(spark, sf_dir).select(F.col("key").alias("doc_id"), F.when(F.col("key") % 3 == 0, F.col("document_type")).alias("mrz_type"))
     return extract.classify(lines.where("line_no < 2"), kinds)
 
 
@@ -243,8 +243,6 @@ def blacklist_tristate(spark, sf_dir):
 def _flags(spark, sf_dir):
     """All flags of the date, required-field and zone rules, numbered in a fixed order."""
     every = date_logic_flags(spark, sf_dir).unionByName(required_field_flags(spark, sf_dir)).unionByName(mrz_compliance_flags(spark, sf_dir))
-    from pyspark.sql import Window
-
     return every.select("doc_id", "code", "severity", "field").withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("code", "field")))
 
 
@@ -385,7 +383,7 @@ def self_test_accuracy(spark, sf_dir):
 def tamper_status(spark, sf_dir):
     p = domain.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    rows = p.select(k.alias("image_id"), (k % 13 * 1.0).alias("ela"), (k % 7 * 0.01).alias("edge_density"), (k % 11 * 10.0).alias("blur"), (k % 100 / 100.0).alias("bias"))
+    rows = p.select(k.alias("image_id"), (k % 13 * 1.0).alias("ela"), (k % 7 * 0.01).alias("edge_density"), (k % 11 * 10.0).alias("blur"), (k % 50 / 50.0).alias("bias"))
     plain = scoring.forensic_status(rows).select("image_id", "confidence", "status")
     return plain.join(scoring.forensic_status(rows, True).select("image_id", F.col("confidence").alias("biased_confidence"), F.col("status").alias("biased_status")), "image_id")
 
@@ -425,7 +423,7 @@ def box_convert(spark, sf_dir):
     css = boxes.css_box(k % 50 - 10, k % 700, k % 500, k % 90 - 20, F.lit(480), F.lit(640))
     xs, ys = F.array((k % 640 * 1.0), (k % 320 * 2.0)), F.array((k % 480 * 1.0), (k % 960 * 1.0))
     frac = boxes.fractional_box(xs, ys, F.lit(640), F.lit(480))
-    return p.select(k.alias("box_id"), css.alias("c"), frac.alias("f")).select("box_id", "c.*", *(F.round(f"f.{n}", 6).alias(n) for n in ("x0", "y0", "x1", "y1")))
+    return p.select(k.alias("box_id"), css.alias("c"), frac.alias("f")).select("box_id", "c.*", "f.*")
 
 
 def qr_payload_inflate(spark, sf_dir):
