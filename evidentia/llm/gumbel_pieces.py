@@ -33,6 +33,8 @@ from . import common
 #: Where the vocabulary is; any SentencePiece model file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, ZIPF = 2, 17, 10.0
+#: Bytes of text whose lattices are in memory at once; a longer text is alone.
+CHUNK_BYTES = 1 << 19
 _MARK = "▁".encode()
 _NONE = np.float64(-np.inf)
 
@@ -402,23 +404,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str =
 
     def run(batches):
         v = held.value
+        types = [pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.string(), pa.bool_()]
         for whole in batches:
             _, offsets = common.text_bytes(whole.column(at_text))
-            for a, b in common.chunks(offsets, 3 << 20):
+            for a, b in common.chunks(offsets, CHUNK_BYTES):
                 batch = whole.slice(a, b - a)
                 texts = [t or b"" for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
                 found = sample(v, texts, row_keys(batch.column(at_key).to_pylist(), seed), k)
-                rows, columns = [], [[] for _ in fields]
+                rows, columns, pieces = [], [[] for _ in types], []
                 for r, (t, samples) in enumerate(zip(texts, found, strict=True)):
                     for s, (ids, prob, posterior, value, inclusion) in enumerate(samples):
                         rows.append(r)
-                        small = ids.astype("<i4")
-                        new = (s + 1, len(ids), prob, posterior, value, inclusion, hashlib.sha256(small.tobytes()).hexdigest(), decode(v, ids) == t, small)
-                        for c, x in zip(columns, new, strict=False):
+                        pieces.append(ids.astype("<i4"))
+                        new = (s + 1, len(ids), prob, posterior, value, inclusion, hashlib.sha256(pieces[-1].tobytes()).hexdigest(), decode(v, ids) == t)
+                        for c, x in zip(columns, new, strict=True):
                             c.append(x)
                 taken = batch.take(pa.array(rows, pa.int64()))
-                types = [pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.string(), pa.bool_(), pa.list_(pa.int32())]
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in at_kept), *arrays], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -105,7 +105,7 @@ def _read(pages: DataFrame, model: Likelihoods) -> DataFrame:
     at = rows.columns.index("html")
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 200) for whole in batches for k in range(0, whole.num_rows, 200)):
             said, n, ll, post = [], [], [], []
             for html in batch.column(at).cast(pa.large_binary()).to_pylist():
                 html = html or b""

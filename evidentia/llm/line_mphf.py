@@ -58,7 +58,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("place", "fingerprint", "doc_id")])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             out_a, out_b, out_doc = [], [], []
             for text, doc_id in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and doc_id is not None:
