@@ -184,7 +184,10 @@ FACES = ",\nfaces AS (SELECT c_custkey AS identity_id, " + BYTES.format(x="c_nam
 RISK = REGISTRY + FACES + f""",
 st AS (SELECT identity_id, arg_max(status, (CASE status WHEN 'BLACKLISTED' THEN 3 WHEN 'EXPIRED' THEN 2 ELSE 1 END) * 1000000000000 + document_number) AS status, count(*) FILTER (expiry_date < {REF}) AS n_warnings FROM docs GROUP BY 1),
 dna AS (SELECT identity_id, count(*) AS dna_related, max(match) AS dna_score FROM matches JOIN docs USING (document_number) GROUP BY 1),
-idm AS (SELECT v.identity_id, count(f.query_id) AS identity_matches FROM vec v JOIN customer ON c_custkey = v.identity_id LEFT JOIN (SELECT f.query_id FROM found f JOIN customer ON c_custkey = f.identity_id) f ON f.query_id = v.identity_id WHERE v.identity_id % 10 = 0 GROUP BY 1),
+own AS (SELECT * FROM vec WHERE identity_id IN (SELECT c_custkey FROM customer)),
+best AS (SELECT q.identity_id AS query_id, list_cosine_similarity(q.v, c.v) AS s, row_number() OVER (PARTITION BY q.identity_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.identity_id) AS rank
+    FROM own q JOIN own c ON q.identity_id % 10 = 0 AND q.identity_id <> c.identity_id),
+idm AS (SELECT v.identity_id, count(f.query_id) AS identity_matches FROM own v LEFT JOIN (SELECT query_id FROM best WHERE rank <= 3 AND s >= 0.30) f ON f.query_id = v.identity_id WHERE v.identity_id % 10 = 0 GROUP BY 1),
 r0 AS (SELECT c_custkey AS identity_id, round(s, 6) AS face_similarity, round(s, 6) >= 0.72 AS face_match, status, coalesce(n_warnings, 0) AS n_warnings, c_custkey % 9 <> 0 AS is_valid, c_custkey % 10 / 20.0 AS tamper_confidence,
     identity_matches, coalesce(dna_related, 0) AS dna_related, coalesce(dna_score, 0.0) AS dna_score, coalesce(alert, false) AS checkpoint_alert, coalesce(connected_cases, 0) AS connected_cases
   FROM customer JOIN face ON face.identity_id = c_custkey LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN dna ON dna.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey
