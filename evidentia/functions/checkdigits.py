@@ -42,10 +42,15 @@ def _fold(text: Column, step, start: int = 0) -> Column:
     return F.aggregate(places, F.lit(start), step)
 
 
+_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def mrz_check_digit(text: Column) -> Column:
     """The 7-3-1 digit of a text of 0-9, A-Z and fillers; null if it holds anything else."""
+    value = lambda ch: F.greatest(F.instr(F.lit(_ALPHABET), ch) - 1, F.lit(0))
     weight = lambda i: F.when(i % 3 == 1, 7).when(i % 3 == 2, 3).otherwise(1)
-    return _fold(text, lambda total, i: total + char_value(F.substr(text, i, F.lit(1))) * weight(i)) % 10
+    total = _fold(text, lambda t, i: t + value(F.substr(text, i, F.lit(1))) * weight(i))
+    return F.when(text.rlike("^[0-9A-Z<]*$"), total % 10)
 
 
 def digit_holds(data: Column, digit: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import checkdigits, dates, text
+from evidentia.functions.barrier import once
 
 HIGH, WARNING, INFO = "high", "warning", "info"
 
@@ -55,7 +56,8 @@ def number_format(rows: DataFrame) -> DataFrame:
 
 def pan_structure(rows: DataFrame) -> DataFrame:
     """rows: doc_id, number, surname."""
-    number = F.upper(text.cleaned_number(F.col("number")))
+    rows = once(rows.select("*", F.upper(text.cleaned_number(F.col("number"))).alias("__number")))
+    number = F.col("__number")
     there = F.trim("number") != ""
     shape = number.rlike("^[A-Z]{3}.[A-Z][0-9]{4}[A-Z]$")
     words = F.array_remove(F.split(F.regexp_replace(F.upper("surname"), "[^A-Z]+", " "), " "), "")
@@ -85,7 +87,8 @@ def mrz_compliance(rows: DataFrame, checks: list[str]) -> DataFrame:
 def date_logic(rows: DataFrame, reference: str) -> DataFrame:
     """rows: doc_id, birth, issue, expiry as texts."""
     now = F.lit(reference).cast("date")
-    b, i, e = (dates.parse(F.col(c), dates.LOGICAL) for c in ("birth", "issue", "expiry"))
+    rows = once(rows.select("*", *(dates.parse(F.col(c), dates.LOGICAL).alias(n) for c, n in (("birth", "__b"), ("issue", "__i"), ("expiry", "__e")))))
+    b, i, e = F.col("__b"), F.col("__i"), F.col("__e")
     given = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     age = dates.age(b, now)
     return flags(rows, [
@@ -118,10 +121,9 @@ def cross_source(rows: DataFrame) -> DataFrame:
 
 def qr_consistency(rows: DataFrame) -> DataFrame:
     """rows: doc_id, signed, qr_uid, qr_birth, qr_name, qr_gender, number, birth, surname, sex (printed)."""
-    uid = F.trim("qr_uid")
+    rows = once(rows.select("*", checkdigits.verhoeff_valid(F.trim("qr_uid")).alias("__valid"), text.name_words(F.col("surname")).alias("__mine"), text.name_words(F.col("qr_name")).alias("__theirs")))
+    uid, valid, mine, theirs = F.trim("qr_uid"), F.col("__valid"), F.col("__mine"), F.col("__theirs")
     has = F.coalesce(uid, F.lit("")) != ""
-    valid = checkdigits.verhoeff_valid(uid)
-    mine, theirs = text.name_words(F.col("surname")), text.name_words(F.col("qr_name"))
     named = (F.size(mine) > 0) & (F.size(theirs) > 0)
     g, h = text.gender(F.col("sex")), text.gender(F.col("qr_gender"))
     return flags(rows, [
@@ -186,7 +188,8 @@ def field_validation(rows: DataFrame, reference: str) -> DataFrame:
     kind, number = F.lower("document_type"), F.regexp_replace("document_number", "[ -]", "")
     few = kind.isin("aadhaar", "pan", "pan_card")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    b, i, e = (dates.parse(F.col(c), dates.FIELDS) for c in ("date_of_birth", "issue_date", "expiry_date"))
+    rows = once(rows.select("*", *(dates.parse(F.col(c), dates.FIELDS).alias(n) for c, n in (("date_of_birth", "__b"), ("issue_date", "__i"), ("expiry_date", "__e")))))
+    b, i, e = F.col("__b"), F.col("__i"), F.col("__e")
     is_uid = kind.isin("aadhaar", "uidai") | number.rlike("^[0-9]{12}$")
     is_pan = kind.isin("pan", "pan_card") | F.upper(number).rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")
     has = F.coalesce(number, F.lit("")) != ""

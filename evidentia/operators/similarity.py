@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import vectors
+from evidentia.functions.barrier import once
 
 #: Vectors of a side that go out as a broadcast; a larger side is cut to that many at a time.
 BROADCAST_VECTORS = 200_000
@@ -42,7 +43,11 @@ def identity_search(queries: DataFrame, candidates: DataFrame, k: int, show: flo
     queries: (query_id, query_vec); candidates: (identity_id, vec). Thresholds meet unrounded values. The k best are
     kept before the shuffle by the ranked window.
     """
-    score = lambda pairs: pairs.where("query_id <> identity_id").select("query_id", "identity_id", vectors.cosine(F.col("query_vec"), F.col("vec")).alias("s"))
+    # norms are computed once for each vector, so a pair costs one product
+    norm = lambda c: F.sqrt(vectors.dot(F.col(c), F.col(c)))
+    queries, candidates = once(queries.withColumn("query_norm", norm("query_vec"))), once(candidates.withColumn("norm", norm("vec")))
+    cosine = F.when(F.col("query_norm") * F.col("norm") == 0, 0.0).otherwise(vectors.dot(F.col("query_vec"), F.col("vec")) / (F.col("query_norm") * F.col("norm")))
+    score = lambda pairs: pairs.where("query_id <> identity_id").select("query_id", "identity_id", cosine.alias("s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "identity_id")
     ranked = _pairs(queries, candidates, score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.where(F.col("s") >= show).select("query_id", "rank", "identity_id", F.round(F.greatest("s", F.lit(0.0)), 4).alias("similarity"), (F.col("s") >= review).alias("requires_review"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
+from evidentia.functions.barrier import once
 from evidentia.operators import extract, registry, rules, scoring, similarity
 from evidentia.plans import screening
 from evidentia.sources import domain
@@ -31,7 +32,7 @@ def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(rows: DataFrame, fmt: str, lines: list) -> DataFrame:
-    return rows.select("key", *(c.alias(n) for n, c in mrz.parse(fmt, lines).items()))
+    return once(rows.select("key", *(c.alias(n) for n, c in mrz.parse(fmt, lines).items())))
 
 
 def mrz_parse_td3(spark, sf_dir):
@@ -44,7 +45,7 @@ def _td2(spark, sf_dir):
     body = F.concat(F.substring("mrz2", 1, 28), F.lit("<<<<<<<"))
     composite = checkdigits.mrz_check_digit(F.concat(F.substring(body, 1, 10), F.substring(body, 14, 7), F.substring(body, 22, 14)))
     line1 = F.rpad(F.concat(F.lit("I<UTO"), F.col("surname"), F.lit("<<"), F.col("given_names")), 36, "<")
-    return c.select("key", line1.alias("a1"), F.concat(body, composite).alias("a2"))
+    return once(c.select("key", line1.alias("a1"), F.concat(body, composite).alias("a2")))
 
 
 def mrz_parse_td2(spark, sf_dir):
@@ -58,7 +59,7 @@ def _td1(spark, sf_dir):
     composite = checkdigits.mrz_check_digit(F.concat(F.substring(one, 6, 25), F.substring(two, 1, 7), F.substring(two, 9, 7), F.substring(two, 19, 11)))
     digit = F.when(F.col("key") % 11 == 0, "<").otherwise(composite.cast("string"))
     three = F.rpad(F.concat("surname", F.lit("<<"), "given_names"), 30, "<")
-    return c.select("key", one.alias("a1"), F.concat(two, digit).alias("a2"), three.alias("a3"))
+    return once(c.select("key", one.alias("a1"), F.concat(two, digit).alias("a2"), three.alias("a3")))
 
 
 def mrz_parse_td1(spark, sf_dir):

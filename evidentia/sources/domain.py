@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import checkdigits
+from evidentia.functions.barrier import once
 
 REFERENCE_DATE = "2026-01-01"
 
@@ -73,16 +74,16 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = checkdigits.mrz_check_digit
     b, e, n = F.date_format("birth", "yyMMdd"), F.date_format("expiry", "yyMMdd"), F.col("number")
     personal = F.rpad(F.concat(F.lit("ZE"), F.lpad((F.col("key") % 1000).cast("string"), 4, "0")), 14, "<")
-    parts = base.withColumns({"p1": F.concat(n, digit(n)), "p2": F.concat(b, digit(b)), "p3": F.concat(e, digit(e), personal, digit(personal))})
+    stem = F.lpad((F.col("key") * 7919 % 100000000).cast("string"), 11, "0")
+    pan9 = F.concat(F.lit("ALK"), F.substring(F.lit("CPHFATBLJGXZ"), (F.col("key") % 12).cast("int") + 1, F.lit(1)), F.substring(F.lit("CQ"), (F.col("key") % 2).cast("int") + 1, F.lit(1)), F.lpad((F.col("key") * 31 % 10000).cast("string"), 4, "0"))
+    parts = once(base.withColumns({"p1": F.concat(n, digit(n)), "p2": F.concat(b, digit(b)), "p3": F.concat(e, digit(e), personal, digit(personal)), "uid0": F.concat(stem, checkdigits.verhoeff_check_digit(stem)), "pan9": pan9}))
     composite = digit(F.concat("p1", "p2", "p3"))
     altered = F.col("key") % 7 == 0
     other = ((F.substring("p1", 9, 1).cast("int") + 1) % 10).cast("string")
     p1 = F.when(altered, F.concat(F.substring("p1", 1, 8), other, F.substring("p1", 10, 1))).otherwise(F.col("p1"))
     line2 = F.concat(p1, F.lit("UTO"), F.col("p2"), F.col("sex"), F.col("p3"), composite)
     line1 = F.rpad(F.concat(F.lit("P<UTO"), F.col("surname"), F.lit("<<"), F.col("given_names")), 44, "<")
-    stem = F.lpad((F.col("key") * 7919 % 100000000).cast("string"), 11, "0")
-    uid = F.concat(stem, checkdigits.verhoeff_check_digit(stem))
+    uid = F.col("uid0")
     flipped = F.concat(F.substring(uid, 1, 4), ((F.substring(uid, 5, 1).cast("int") + 1) % 10).cast("string"), F.substring(uid, 6, 7))
-    pan9 = F.concat(F.lit("ALK"), F.substring(F.lit("CPHFATBLJGXZ"), (F.col("key") % 12).cast("int") + 1, F.lit(1)), F.substring(F.lit("CQ"), (F.col("key") % 2).cast("int") + 1, F.lit(1)), F.lpad((F.col("key") * 31 % 10000).cast("string"), 4, "0"))
-    pan = F.concat(pan9, F.when(F.col("key") % 5 == 0, "Q").otherwise(checkdigits.mod36_check_char(pan9)))
-    return parts.withColumns({"mrz1": line1, "mrz2": line2, "uid": F.when(altered, flipped).otherwise(uid), "pan": pan}).drop("p1", "p2", "p3")
+    pan = F.concat("pan9", F.when(F.col("key") % 5 == 0, "Q").otherwise(checkdigits.mod36_check_char(F.col("pan9"))))
+    return once(parts.withColumns({"mrz1": line1, "mrz2": line2, "uid": F.when(altered, flipped).otherwise(uid), "pan": pan}).drop("p1", "p2", "p3", "uid0", "pan9"))
