@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
 from evidentia.functions.barrier import once
-from evidentia.operators import extract, registry, rules, scoring, similarity
+from evidentia.operators import assemble, extract, registry, rules, scoring, similarity
 from evidentia.plans import screening
-from evidentia.sources import domain
+from evidentia.sources import domain, sinks
 from evidentia.streaming import checkpoints
 
 REF = domain.REFERENCE_DATE
@@ -427,6 +427,44 @@ def box_convert(spark, sf_dir):
     return p.select(k.alias("box_id"), css.alias("c"), frac.alias("f")).select("box_id", "c.*", "f.*")
 
 
+def field_resolution(spark, sf_dir):
+    c = _cards(spark, sf_dir)
+    k = F.col("key")
+    read = lambda name, value, source, confidence: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    rows = F.array(read("Passport_Number", F.when(k % 2 == 0, F.col("number")), "visual", 0.9), read("document_number", F.concat(F.lit("Z"), "number"), "mrz", 0.99), read("uid", F.col("uid"), "barcode", 0.99), read("given_names", F.col("given_names"), "mrz", 0.5), read("surname", F.when(k % 3 == 0, " ").otherwise(F.col("surname")), "mrz", 0.5), read("country", F.when(k % 4 == 0, "UTO"), "visual", 0.0), read("date_of_expiry", F.date_format("expiry", "yyyy-MM-dd"), "visual", 0.7), read("sex", F.col("sex"), "mrz", 0.8))
+    return assemble.resolve(c.select(k.alias("doc_id"), F.explode(rows).alias("f")).select("doc_id", "f.*"))
+
+
+def candidate_types(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    k = F.col("doc_id")
+    docs = d.select("doc_id", F.when(k % 4 == 0, F.col("document_type")).alias("forced"), F.when(k % 3 == 0, "passport").alias("zone_type"))
+    hint = lambda j, t: F.struct(F.lit(t).alias("document_type"), ((k + j) % 3 / 10.0).alias("score"), F.lit(j).alias("order"))
+    hints = d.select("doc_id", F.explode(F.array(hint(0, "aadhaar"), hint(1, "pan_card"), hint(2, "passport"), hint(3, "voter_id"))).alias("h")).select("doc_id", "h.*").where("score > 0")
+    return assemble.candidate_types(docs, hints)
+
+
+def degraded_results(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return assemble.with_degraded(d, d.where("doc_id % 5 <> 0").select("doc_id", "document_type", (F.col("doc_id") % 101).cast("int").alias("score")))
+
+
+def channel_modes(spark, sf_dir):
+    modes = F.array(*(F.lit(m[0]) for m in assemble.MODES), F.lit("other"))
+    return assemble.channel_modes(_docs(spark, sf_dir).select("doc_id", F.element_at(modes, (F.col("doc_id") % 6 + 1).cast("int")).alias("mode"), "side"))
+
+
+def score_report(spark, sf_dir):
+    flags = date_logic_flags(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("code", "field")))
+    scored = scoring.coherence(_docs(spark, sf_dir).select("doc_id", F.lit("passport").alias("document_type")), flags, spark.createDataFrame([], "doc_id long, confidence double"))
+    return sinks.report_lines(scored, scoring.ledger(flags))
+
+
+def verification_records(spark, sf_dir):
+    rows = risk_score_band(spark, sf_dir)
+    return sinks.verification_records(rows, "identity_id", REF).select("subject", "verification_id", "result_json")
+
+
 def qr_payload_inflate(spark, sf_dir):
     """Payloads plain, deflated and in base64, made from the cards; decoding gives their numbers back."""
     c = _cards(spark, sf_dir)

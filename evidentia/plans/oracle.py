@@ -314,6 +314,15 @@ ORACLES = {
     "box_convert": "SELECT p_partkey AS box_id, CAST(greatest(p_partkey % 50 - 10, 0) AS BIGINT) AS top, CAST(least(p_partkey % 700, 640) AS BIGINT) AS right, CAST(least(p_partkey % 500, 480) AS BIGINT) AS bottom, CAST(greatest(p_partkey % 90 - 20, 0) AS BIGINT) AS left, least(1.0, least(p_partkey % 640, p_partkey % 320 * 2) / 640.0) AS x0, least(1.0, least(p_partkey % 480, p_partkey % 960) / 480.0) AS y0, least(1.0, greatest(p_partkey % 640, p_partkey % 320 * 2) / 640.0) AS x1, least(1.0, greatest(p_partkey % 480, p_partkey % 960) / 480.0) AS y1 FROM part",
 }
 
+ORACLES |= {
+    "field_resolution": f"WITH {CARDS} SELECT key AS doc_id, CASE WHEN key % 2 = 0 THEN number ELSE uid END AS document_number, trim(given_names || ' ' || CASE WHEN key % 3 = 0 THEN '' ELSE surname END) AS full_name, CASE WHEN key % 4 = 0 THEN 'UTO' END AS nationality, CAST(NULL AS VARCHAR) AS date_of_birth, CAST(NULL AS VARCHAR) AS issue_date, strftime(expiry, '%Y-%m-%d') AS expiry_date, CASE sex WHEN 'M' THEN 'Male' WHEN 'F' THEN 'Female' END AS gender, round(CAST((CASE WHEN key % 2 = 0 THEN 0.9 ELSE 0 END) + 0.99 + 0.99 + 0.5 + (CASE WHEN key % 3 = 0 THEN 0 ELSE 0.5 END) + 0.7 + 0.8 AS DOUBLE) / ((CASE WHEN key % 2 = 0 THEN 1 ELSE 0 END) + 5 + (CASE WHEN key % 3 = 0 THEN 0 ELSE 1 END)), 6) AS confidence FROM cards",
+    "candidate_types": f"WITH {CARDS}{FIELD_ROWS}, h AS (SELECT doc_id, t, j, (doc_id + j) % 3 / 10.0 AS s FROM docs, (VALUES (0, 'aadhaar'), (1, 'pan_card'), (2, 'passport'), (3, 'voter_id')) AS v(j, t)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, j) AS r FROM h WHERE s > 0), l AS (SELECT doc_id, list(t ORDER BY r) AS l FROM r WHERE r <= 2 GROUP BY 1), a AS (SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 AND document_type <> 'unknown' THEN document_type END AS f, CASE WHEN d.doc_id % 3 = 0 THEN ['passport'] ELSE l END AS l FROM docs d JOIN l ON l.doc_id = d.doc_id) SELECT doc_id, array_to_string(CASE WHEN f IS NULL THEN l ELSE list_concat([f], list_filter(l, lambda x: x <> f)) END, ',') AS candidates FROM a",
+    "degraded_results": f"WITH {CARDS}{FIELD_ROWS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE document_type END AS document_type, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 101 END AS INTEGER) AS score, CAST(CASE WHEN doc_id % 5 = 0 THEN 25 ELSE 0 END AS DOUBLE) AS unknown_penalty, doc_id % 5 = 0 AS degraded FROM docs",
+    "channel_modes": f"WITH {CARDS}{FIELD_ROWS}, m AS (SELECT doc_id, side, ['auto','passport','aadhaar','pan_card','driving_license','other'][CAST(doc_id % 6 AS INTEGER) + 1] AS mode FROM docs) SELECT doc_id, mode, CASE WHEN mode NOT IN ('auto', 'other') THEN mode END AS forced_type, mode IN ('aadhaar','pan_card','driving_license') AS skip_mrz, mode IN ('passport','pan_card') AS skip_barcodes, NOT (mode = 'aadhaar' AND side = 'back') AS accepted FROM m",
+    "score_report": f"WITH {TEXTS}{DD}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY code, field) AS seq, CASE severity WHEN 'high' THEN 22 WHEN 'warning' THEN 8 ELSE 0 END AS points FROM ({DATE_FLAGS})), g AS (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM f) SELECT c_custkey AS doc_id, 0 AS line_no, 'document ' || c_custkey || ': ' || CAST(100 - least(60, coalesce((SELECT sum(points) FROM f WHERE f.doc_id = c_custkey), 0)) AS INTEGER) || ' points' AS line FROM customer UNION ALL SELECT doc_id, CAST(seq AS INTEGER), '  -' || CAST(least(60, cum) - least(60, cum - points) AS INTEGER) || ' ' || code || ' (' || severity || '), ' || CAST(100 - least(60, cum) AS INTEGER) || ' left' FROM g WHERE least(60, cum) > least(60, cum - points)",
+    "verification_records": f"""WITH {RISK}, j AS (SELECT identity_id, '{{"identity_id":' || identity_id || ',"risk_level":"' || risk_level || '","risk_score":' || risk_score || '}}' AS j FROM final) SELECT CAST(identity_id AS VARCHAR) AS subject, 'VER-' || upper(substr(sha256(j), 1, 12)) AS verification_id, j AS result_json FROM j""",
+}
+
 
 def _as_doubles(name: str, columns: list[str]) -> None:
     """Number literals are decimals in this dialect; the named columns become doubles."""
