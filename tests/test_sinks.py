@@ -32,11 +32,11 @@ def test_seed_once(spark, tmp_path):
 
 def test_pictures_and_uploads(spark, tmp_path):
     (tmp_path / "a b.JPG").write_bytes(b"\xff\xd8\xff\xe0rest")
-    (tmp_path / "c.png").write_bytes(b"")
+    (tmp_path / "c.png").write_bytes(b"\x89PNGrest")
     (tmp_path / "d.txt").write_bytes(b"text")
     pictures = sinks.picture_files(spark, str(tmp_path))
     assert {r.stem for r in pictures.collect()} == {"a_b", "c"}
     verdicts = {r.path.rsplit("/", 1)[1].replace("%20", " "): r.verdict for r in boxes.read_uploads(spark, str(tmp_path)).collect()}
-    assert verdicts == {"a b.JPG": "ok", "c.png": "empty", "d.txt": "unsupported"}
+    assert verdicts == {"a b.JPG": "ok", "c.png": "ok", "d.txt": "unsupported"}
     faces = pictures.select("path", F.lit(0).alias("face_no"), F.array(F.lit(1.0)).alias("vec"))
     assert sinks.known_people(pictures, faces.where("path LIKE '%JPG'")).count() == 1
