@@ -139,17 +139,18 @@ class Index:
         self.shards, self.parts = shards, {}
         for r in rows:
             perfect = Perfect(np.frombuffer(r["places"], np.uint64))
-            self.parts[r["shard"]] = (perfect, np.frombuffer(r["fingerprints"], np.int64), np.frombuffer(r["keepers"], np.int64))
+            arrays = [np.frombuffer(r[c], t) for c, t in (("fingerprints", np.int64), ("counts", np.int32), ("keepers", np.int64))]
+            self.parts[r["shard"]] = (perfect, *arrays)
 
-    def keepers(self, place: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether each hash is indexed here, the document that keeps it)."""
+    def keepers(self, place: np.ndarray, fingerprint: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each hash is indexed here with enough documents, the document that keeps it)."""
         hit, keeper = np.zeros(len(place), bool), np.zeros(len(place), np.int64)
         shard = place % self.shards  # as pmod
-        for s, (perfect, prints, kept) in self.parts.items():
+        for s, (perfect, prints, counts, kept) in self.parts.items():
             at = np.flatnonzero(shard == s)
             if len(at):
                 i = perfect.index(place[at].view(np.uint64))
-                found = (i >= 0) & (prints[np.maximum(i, 0)] == fingerprint[at])
+                found = (i >= 0) & (prints[np.maximum(i, 0)] == fingerprint[at]) & (counts[np.maximum(i, 0)] >= min_docs)
                 hit[at[found]], keeper[at[found]] = True, kept[i[found]]
         return hit, keeper
 
@@ -175,8 +176,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     per_group = max(1, group_bytes // (40 * shard_keys))
     groups = [index.where((F.col("shard") >= g) & (F.col("shard") < g + per_group)) for g in range(0, shards, per_group)]
     if len(groups) == 1:
-        return _probe(docs, groups[0].drop("counts").collect(), shards, min_chars)
-    return _probe_by_groups(docs, groups, shards, min_chars)
+        return _probe(docs, groups[0].collect(), shards, min_chars, min_docs)
+    return _probe_by_groups(docs, groups, shards, min_chars, min_docs)
 
 
 def _rewritten(docs: DataFrame) -> T.StructType:
@@ -195,7 +196,7 @@ def _emit(batch, drops):
     return pa.RecordBatch.from_arrays([*batch.columns, kept, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*batch.schema.names, "dedup_text", "dedup_lines", "dedup_dropped"])
 
 
-def _probe(docs: DataFrame, rows: list, shards: int, min_chars: int) -> DataFrame:
+def _probe(docs: DataFrame, rows: list, shards: int, min_chars: int, min_docs: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(rows)
     at_text, at_id = docs.columns.index("text"), docs.columns.index("doc_id")
 
@@ -206,7 +207,7 @@ def _probe(docs: DataFrame, rows: list, shards: int, min_chars: int) -> DataFram
                 batch = whole.slice(k, 500)
                 ids = batch.column(at_id).to_pylist()
                 split = [_lines(t, min_chars) for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
-                hit, keeper = index.keepers(np.concatenate([s[2] for s in split]), np.concatenate([s[3] for s in split]))
+                hit, keeper = index.keepers(np.concatenate([s[2] for s in split]), np.concatenate([s[3] for s in split]), min_docs)
                 drops, j = [], 0
                 for doc_id, (lines, where, _, _) in zip(ids, split, strict=True):
                     gone = set()
@@ -220,13 +221,13 @@ def _probe(docs: DataFrame, rows: list, shards: int, min_chars: int) -> DataFram
     return docs.mapInArrow(run, _rewritten(docs))
 
 
-def _probe_by_groups(docs: DataFrame, groups: list[DataFrame], shards: int, min_chars: int) -> DataFrame:
+def _probe_by_groups(docs: DataFrame, groups: list[DataFrame], shards: int, min_chars: int, min_docs: int) -> DataFrame:
     """The documents' line hashes pass each group of shards in turn; drops gather in a column as they go."""
     sc = docs.sparkSession.sparkContext
     work = docs.withColumn("__drops", F.array().cast("array<long>"))
     at_text, at_id, at_drops = (work.columns.index(c) for c in ("text", "doc_id", "__drops"))
     for group in groups:
-        held = sc.broadcast(group.drop("counts").collect())
+        held = sc.broadcast(group.collect())
 
         def run(batches, held=held):
             index = Index(held.value, shards)
@@ -234,7 +235,7 @@ def _probe_by_groups(docs: DataFrame, groups: list[DataFrame], shards: int, min_
                 out = []
                 for text, doc_id, drops in zip(batch.column(at_text).cast(pa.large_binary()).to_pylist(), batch.column(at_id).to_pylist(), batch.column(at_drops).to_pylist(), strict=True):
                     _, where, a, b = _lines(text, min_chars)
-                    hit, keeper = index.keepers(a, b)
+                    hit, keeper = index.keepers(a, b, min_docs)
                     out.append([*drops, *(where[i] for i in np.flatnonzero(hit & (keeper != doc_id)))] if doc_id is not None else drops)
                 columns = list(batch.columns)
                 columns[at_drops] = pa.array(out, pa.list_(pa.int64()))
