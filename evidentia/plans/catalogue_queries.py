@@ -26,7 +26,7 @@ def _cards(spark, sf_dir):
 
 
 def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cards(spark, sf_dir)
+    c = domain.card_base(spark, sf_dir)
     d = checkdigits.mrz_check_digit
     return c.select("key", d(F.col("number")).alias("number_digit"), d(F.date_format("birth", "yyMMdd")).alias("birth_digit"), d(F.date_format("expiry", "yyMMdd")).alias("expiry_digit"))
 
@@ -115,7 +115,7 @@ def doc_number_format(spark, sf_dir):
 
 def _date_texts(spark, sf_dir):
     """birth, issue, expiry as texts in many layouts, some of them wrong or blank."""
-    c = domain.cards(spark, sf_dir)
+    c = domain.card_base(spark, sf_dir)
     k = F.col("key")
     b = F.when(k % 8 == 0, F.date_format("birth", "yyyy-MM-dd")).when(k % 8 == 1, F.date_format("birth", "d/M/yyyy")).when(k % 8 == 2, F.date_format("birth", "dd-MM-yyyy")).when(k % 8 == 3, F.date_format("birth", "yyyy/MM/dd")).when(k % 8 == 4, F.date_format("birth", "dd.MM.yyyy")).when(k % 8 == 5, "31/02/1995").when(k % 8 == 6, "").otherwise("2035-06-01")
     i = F.when(k % 5 == 0, "").when(k % 5 == 1, F.date_format(F.date_sub("expiry", 3650), "yyyy-MM-dd")).when(k % 5 == 2, "1940-01-01").when(k % 5 == 3, "2040-02-02").otherwise(F.date_format(F.date_add("expiry", 5), " dd/MM/yyyy "))
@@ -134,7 +134,7 @@ def date_logic_flags(spark, sf_dir):
 
 def _fields(spark, sf_dir):
     """Long-form fields of each card; some are blank or missing, some read with little confidence."""
-    c = _cards(spark, sf_dir)
+    c = domain.card_base(spark, sf_dir)
     k = F.col("key")
     values = {"document_number": F.col("number"), "surname": F.when(k % 6 != 0, F.col("surname")), "given_names": F.when(k % 4 == 0, " ").otherwise(F.col("given_names")), "date_of_birth": F.date_format("birth", "dd/MM/yyyy"), "date_of_expiry": F.when(k % 5 != 0, F.date_format("expiry", "yyyy-MM-dd")), "nationality": F.lit("UTO")}
     rows = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value"), F.when((k + j) % 4 == 0, 0.4).otherwise(0.9).alias("confidence")) for j, (n, v) in enumerate(values.items())))
@@ -167,7 +167,7 @@ def number_fragments(spark, sf_dir):
 
 
 def name_words_match(spark, sf_dir):
-    c = _cards(spark, sf_dir)
+    c = domain.card_base(spark, sf_dir)
     other = F.when(F.col("key") % 2 == 0, F.concat(F.col("given_names"), F.lit(", "), F.lower("surname"))).otherwise(F.concat(F.col("surname"), F.lit("-X")))
     mine = text.name_words(F.concat_ws(" ", "surname", "given_names"))
     return c.select("key", F.array_join(mine, " ").alias("words"), (mine == text.name_words(other)).alias("same"))
@@ -175,7 +175,7 @@ def name_words_match(spark, sf_dir):
 
 def gender_normalise(spark, sf_dir):
     given = F.element_at(F.array(*(F.lit(x) for x in (" male", "F", "fmale", "Trans", "o", "x", ""))), (F.col("key") % 7 + 1).cast("int"))
-    return _cards(spark, sf_dir).select("key", text.gender(given).alias("gender"))
+    return domain.card_base(spark, sf_dir).select("key", text.gender(given).alias("gender"))
 
 
 def type_hints_classify(spark, sf_dir):
@@ -234,7 +234,7 @@ def secure_anchor_flags(spark, sf_dir):
 
 
 def blacklist_tristate(spark, sf_dir):
-    c = _cards(spark, sf_dir)
+    c = domain.card_base(spark, sf_dir)
     k = F.col("key")
     rows = c.select(k.alias("doc_id"), F.when(k % 10 == 0, "").otherwise(F.col("number")).alias("number"), F.when(k % 10 == 0, F.lit(None)).otherwise(F.col("surname")).alias("surname"))
     listing = c.where(k % 3 == 0).select("number", "surname", F.when(k % 2 == 0, k % 4 == 0).alias("listed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions import vectors
+from evidentia.functions.barrier import once
 from evidentia.operators import registry, scoring, similarity
 from evidentia.sources import domain
 
@@ -17,8 +19,6 @@ def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     The face input is the cosine scale of the pseudo-embeddings of name and nationality; identities without a vector
     have no identity factor, those without documents no status factor.
     """
-    from evidentia.functions import vectors
-
     people, documents = domain.identities(spark, sf_dir), domain.documents(spark, sf_dir)
     worst = F.when(F.col("status") == "BLACKLISTED", 3).when(F.col("status") == "EXPIRED", 2).otherwise(1)
     status = documents.groupBy("identity_id").agg(F.max_by("status", F.struct(worst.alias("w"), "document_number")).alias("status"), F.count_if(F.col("expiry_date") < F.lit(domain.REFERENCE_DATE).cast("date")).alias("n_warnings"))
@@ -31,8 +31,8 @@ def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = held.where("identity_id % 10 = 0").select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec"))
     found = similarity.identity_search(queries, held, 3, SHOW, REVIEW).groupBy(F.col("query_id").alias("identity_id")).agg(F.count(F.lit(1)).alias("identity_matches"))
     searched = queries.select(F.col("query_id").alias("identity_id")).join(found, "identity_id", "left").na.fill(0, ["identity_matches"])
-    score = F.round(vectors.face_score(vectors.cosine(vectors.pseudo_embedding(F.col("name")), vectors.pseudo_embedding(F.col("nationality")))), 6)
-    rows = people.select("identity_id", score.alias("face_similarity"))
+    faces = once(people.select("identity_id", vectors.pseudo_embedding(F.col("name")).alias("v"), vectors.pseudo_embedding(F.col("nationality")).alias("w")))
+    rows = once(faces.select("identity_id", F.round(vectors.face_score(vectors.cosine(F.col("v"), F.col("w"))), 6).alias("face_similarity")))
     for part in (status, alerts, dna, cases, searched):
         rows = rows.join(part, "identity_id", "left")
     rows = rows.select(

@@ -59,18 +59,23 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_number", F.map_filter(factors, lambda k, v: v.isNotNull()).alias("fingerprint"))
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic card for each customer: key, mrz1, mrz2 (TD3), number, birth, expiry, sex, surname, given_names, uid, pan.
-
-    Where key % 7 = 0 a digit of the machine-readable number and of the uid is altered after its check was made.
-    """
+def card_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain columns of ``cards``: key, number, birth, expiry, sex, surname, given_names."""
     k = F.col("c_custkey")
     birth = F.date_add(F.lit("1950-01-01").cast("date"), (k * 37 % 20000).cast("int"))
     expiry = F.date_add(F.lit("2015-01-01").cast("date"), (k * 53 % 9000).cast("int"))
     number = F.concat(F.lit("L"), F.lpad(k.cast("string"), 8, "0"))
     given = F.translate(k.cast("string"), "0123456789", "ABCDEFGHIJ")
     sex = F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("<")
-    base = table(spark, sf_dir, "customer").select(k.alias("key"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"), sex.alias("sex"), F.lit("CUSTOMER").alias("surname"), given.alias("given_names"))
+    return table(spark, sf_dir, "customer").select(k.alias("key"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"), sex.alias("sex"), F.lit("CUSTOMER").alias("surname"), given.alias("given_names"))
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One synthetic card for each customer: key, mrz1, mrz2 (TD3), number, birth, expiry, sex, surname, given_names, uid, pan.
+
+    Where key % 7 = 0 a digit of the machine-readable number and of the uid is altered after its check was made.
+    """
+    base = card_base(spark, sf_dir)
     digit = checkdigits.mrz_check_digit
     b, e, n = F.date_format("birth", "yyMMdd"), F.date_format("expiry", "yyMMdd"), F.col("number")
     personal = F.rpad(F.concat(F.lit("ZE"), F.lpad((F.col("key") % 1000).cast("string"), 4, "0")), 14, "<")
