@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of keys that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few numbers each, computed once and counted: marked for broadcast up to BROADCAST_ROWS, plain beyond."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, rows: int, max_chars: int) -> list:
     """Up to ``rows`` labelled rows outside the held-out fold, half of each label where there are enough.
 
