@@ -131,20 +131,22 @@ class Lattice:
             ids.append(piece[whole].astype(np.int64))
             alive = alive[v.more[row]]
             size += 1
-        own = np.r_[np.diff(start), n - start[-1:]] if len(start) else start
-        own = np.minimum(own, left[start])
+        own = np.zeros(n, np.int64)  # bytes of the character that a byte begins
+        own[start] = np.minimum(np.r_[np.diff(start), n - start[-1:]] if len(start) else start, left[start])
         single = np.zeros(n, bool)
         for f, s in zip(froms, spans, strict=True):
-            if len(f):
-                at = np.searchsorted(start, f)
-                single[f[own[at] == s]] = True
-        lone = np.zeros(n + 1, np.int64)  # bytes of characters without a piece
-        poor = start[~single[start]]
-        np.add.at(lone, poor, 1)
-        np.add.at(lone, poor + own[~single[start]], -1)
-        lead = np.zeros(n, bool)
-        lead[start] = True
-        loose = np.flatnonzero((np.cumsum(lone[:-1]) > 0) | (~lead & (np.maximum.accumulate(np.where(lead, np.arange(n), -1)) < offsets[:-1][chunk])))
+            single[f[own[f] == s]] = True
+        poor = start[~single[start]]  # characters without a piece
+        stray = m and ((data[offsets[:-1][sizes > 0]] & 0xC0) == 0x80).any()
+        loose = poor[:0]
+        if len(poor) or stray:
+            lone = np.zeros(n + 1, np.int64)
+            np.add.at(lone, poor, 1)
+            np.add.at(lone, poor + own[poor], -1)
+            lead = np.zeros(n, bool)
+            lead[start] = True
+            before = np.maximum.accumulate(np.where(lead, np.arange(n), -1))
+            loose = np.flatnonzero((np.cumsum(lone[:-1]) > 0) | (~lead & (before < offsets[:-1][chunk])))
         froms.append(loose)
         spans.append(np.ones(len(loose), np.int64))
         ids.append(v.byte_ids[data[loose]])
@@ -183,14 +185,8 @@ class Lattice:
             with np.errstate(divide="ignore"):
                 beta[node_of[f[head[a:b]]]] = top + np.log(total)
             p[i:j] = e / np.repeat(np.where(total > 0, total, 1), sizes)
-        group = np.cumsum(np.r_[False, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
-        c = np.cumsum(p)
-        c -= np.r_[0, c[tail[:-1] - 1]][group] if len(f) else 0
-        c[tail - 1] = 1.0
-        self.cumulated = c
-        self.group = np.full(n + m, -1, np.int64)
-        self.group[node_of[f[head]]] = np.arange(len(head))
-        self.head, self.tail = head, tail
+        self.edge_from, self.edge_to = np.zeros(n + m, np.int64), np.zeros(n + m, np.int64)
+        self.edge_from[node_of[f[head]]], self.edge_to[node_of[f[head]]] = head, tail
         self.p, self.piece, self.end, self.start = p, piece, end, node_of[f]
         self.beta, self.weight = beta, v.logp
 
@@ -219,12 +215,19 @@ def draw_paths(lattice: Lattice, node: np.ndarray, last: np.ndarray, key: np.nda
     node, live, steps, count = node.copy(), np.flatnonzero(node != last), [], np.zeros(len(node), np.int64)
     while len(live):
         at = node[live]
-        group = lattice.group[at]
-        edge, u = lattice.head[group], uniform(key[live], draw, at + base[live])
-        on = np.flatnonzero(lattice.cumulated[edge] < u)
+        edge, u = lattice.edge_from[at], uniform(key[live], draw, at + base[live])
+        p = lattice.p[edge]
+        on = np.flatnonzero(p < u)
+        last_edge = lattice.edge_to[at[on]] - 1
+        u, p, to = u[on], p[on], edge[on]
         while len(on):
-            edge[on] += 1
-            on = on[lattice.cumulated[edge[on]] < u[on]]
+            more = to < last_edge
+            on, u, p, to, last_edge = (x[more] for x in (on, u, p, to, last_edge))
+            u, to = u - p, to + 1
+            edge[on] = to
+            p = lattice.p[to]
+            more = p < u
+            on, u, p, to, last_edge = (x[more] for x in (on, u, p, to, last_edge))
         node[live] = lattice.end[edge]
         steps.append((live, edge))
         count[live] += 1
@@ -298,8 +301,8 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
             i = front["at"]
             path, words, _, _ = samples[owner]
             chosen = path[i]
-            group = lattice.group[lattice.start[chosen]]
-            options = np.arange(lattice.head[group], lattice.tail[group])
+            node = lattice.start[chosen]
+            options = np.arange(lattice.edge_from[node], lattice.edge_to[node])
             taken = front["taken"].setdefault(i, [chosen])
             p = np.where(np.isin(options, taken), 0, lattice.p[options])
             place = lattice.start[chosen] + base[words[i]]
