@@ -16,6 +16,7 @@ LEAST_CHECKPOINTS, SHOW, REVIEW = 4, 0.30, 0.40
 def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each identity with its risk inputs and the factors f_<name>.
 
+    Every identity with a vector is searched among all others.
     The face input is the cosine scale of the pseudo-embeddings of name and nationality; identities without a vector
     have no identity factor, those without documents no status factor.
     """
@@ -28,7 +29,7 @@ def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     dna = documents.select("document_number", "identity_id").join(matches, "document_number").groupBy("identity_id").agg(F.sum("n").alias("dna_related"), F.max("best").alias("dna_score"))
     cases = registry.connected_cases(documents, domain.families(spark, sf_dir)).select("identity_id", "connected_cases")
     held = people.where("embedding IS NOT NULL").select("identity_id", F.col("embedding").alias("vec"))
-    queries = held.where("identity_id % 10 = 0").select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    queries = held.select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec"))
     found = similarity.identity_search(queries, held, 3, SHOW, REVIEW).groupBy(F.col("query_id").alias("identity_id")).agg(F.count(F.lit(1)).alias("identity_matches"))
     searched = queries.select(F.col("query_id").alias("identity_id")).join(found, "identity_id", "left").na.fill(0, ["identity_matches"])
     faces = once(people.select("identity_id", vectors.pseudo_embedding(F.col("name")).alias("v"), vectors.pseudo_embedding(F.col("nationality")).alias("w")))
