@@ -24,9 +24,12 @@ from pyspark.sql import types as T
 
 from . import common, url_cascade
 
-#: The bounded sample of the text likelihoods: documents of each language, and characters in each.
+#: The bounded sample of the text likelihoods: documents of each language, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 5_000
-MAX_LANGUAGES = 64
+#: Languages whose samples are collected at once; more take more passes.
+PASS_LANGUAGES = 64
+#: Languages that the table of likelihoods can have, 256 KB each; more stop with an error, none is left out.
+MOST_LANGUAGES = 1_000
 BUCKETS = 1 << 15
 EVIDENCE = 30.0
 #: Pages' worth of weight of the level above, and of each declared value's share.
@@ -70,27 +73,47 @@ class Likelihoods:
         return self.table[:, g].mean(1) * min(len(g), EVIDENCE * 3), len(g)
 
 
+def _counts(rows: list) -> dict[str, np.ndarray]:
+    """The smoothed gram counts of each language of (text, lang) rows."""
+    out = {}
+    for r in rows:
+        counts = out.setdefault(r["lang"], np.full(BUCKETS, 0.2))
+        np.add.at(counts, grams((r["text"] or "").encode("utf-8", "replace")), 1)
+    return out
+
+
+def _likelihoods(counts: dict[str, np.ndarray]) -> Likelihoods:
+    languages = sorted(counts)
+    table = np.array([counts[x] for x in languages]).reshape(-1, BUCKETS)
+    return Likelihoods(languages, np.log(table / table.sum(1, keepdims=True)))
+
+
 def fit(rows: list) -> Likelihoods:
     """The likelihoods of (text, lang) rows."""
-    languages = sorted({r["lang"] for r in rows})
-    counts = np.full((len(languages), BUCKETS), 0.2)
-    for r in rows:
-        np.add.at(counts[languages.index(r["lang"])], grams((r["text"] or "").encode("utf-8", "replace")), 1)
-    return Likelihoods(languages, np.log(counts / counts.sum(1, keepdims=True)))
+    return _likelihoods(_counts(rows))
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Likelihoods:
-    """From ``rows`` documents of each of the MAX_LANGUAGES most frequent languages, the first by a hash of their ids.
+    """From the beginnings, of ``max_chars`` characters, of ``rows`` documents of each language, the first by a hash of their ids.
 
-    The ids are ranked without their texts, in groups cut to ``rows`` before the shuffle; texts over ``max_chars`` are left out.
+    Every language with a document of any letters is in it. The ids are ranked without their texts, in groups cut to
+    ``rows`` before the shuffle.
     """
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    named = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    text = F.substring("text", 1, max_chars)
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id", text.alias("text")).where(F.col("text").rlike(r"[^\x00-@\[-`{-\x7F]"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    ids = ids.join(F.broadcast(named), "lang", "left_semi").select("lang", "doc_id")
-    found = known.where(F.length("text") <= max_chars).select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
-    return fit(found.limit(2 * rows * MAX_LANGUAGES).collect())
+    ids = known.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    ids = common.checkpointed(ids.select("lang", "doc_id"))
+    languages = [r["lang"] for r in ids.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {}
+    for group in (sorted(languages)[k : k + PASS_LANGUAGES] for k in range(0, len(languages), PASS_LANGUAGES)):
+        # at most ``rows`` ids of each of these languages, one text each: of equal ids the first text by a hash
+        found = known.join(F.broadcast(ids.where(F.col("lang").isin(group))), ["lang", "doc_id"], "left_semi")
+        found = found.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("b"))
+        counts |= _counts(found.select("lang", "b.text").collect())
+    return _likelihoods(counts)
 
 
 def _read(pages: DataFrame, model: Likelihoods) -> DataFrame:
