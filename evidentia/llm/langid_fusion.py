@@ -94,13 +94,13 @@ def fit(rows: list) -> Likelihoods:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Likelihoods:
-    """From the beginnings, of ``max_chars`` characters, of ``rows`` documents of each language, the first by a hash of their ids.
+    """From ``max_chars`` characters of ``rows`` documents of each language, the first by a hash of their ids.
 
-    Every language with a document of any letters is in it. The ids are ranked without their texts, in groups cut to
-    ``rows`` before the shuffle.
+    Every language with a document of any letters is in it: a text counts from its first letter on. The ids are
+    ranked without their texts.
     """
-    text = F.substring("text", 1, max_chars)
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id", text.alias("text")).where(F.col("text").rlike(r"[^\x00-@\[-`{-\x7F]"))
+    text = F.substring(F.regexp_replace("text", r"^[\x00-@\[-`{-\x7F]++", ""), 1, max_chars)
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("lang", "doc_id", text.alias("text")).where("text <> ''")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     ids = common.checkpointed(ids.select("lang", "doc_id"))

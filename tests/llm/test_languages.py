@@ -25,6 +25,12 @@ def test_a_language_of_long_documents_stays(spark):
     assert langid_fusion.train(_docs(spark, 3, long={1})).languages == ["l000", "l001", "l002"]
 
 
+def test_letters_far_behind_count(spark):
+    rows = [(1, "1 " * 9000 + "late letters", "a"), (2, "other words here", "b"), (3, "12 34", "c")]
+    model = langid_fusion.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["a", "b"] and model.languages[model.of(b"late letters")[0].argmax()] == "a"
+
+
 def test_repeated_ids_take_one_place(spark):
     rows = [(0, "same words here", "a")] * 50 + [(k, f"other word{chr(97 + k)}", "a") for k in range(1, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
