@@ -62,8 +62,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, h
     picked = [ids.where(F.col("label") == value).orderBy("order", "doc_id").limit(rows // 2) for value in (0, 1)]
     picked = picked[0].unionByName(picked[1])  # at most ``rows`` rows of three numbers, so that it can be broadcast
     known = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = known.limit(2 * rows).collect()  # more than ``rows`` only where doc_ids repeat
-    return sorted(found, key=lambda r: (r["order"], r["doc_id"], r["text"]))
+    # one text for each id, of equal ids the first by a hash: combined before the shuffle, at most ``rows`` in all
+    known = known.groupBy("doc_id", "label", "order").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("b"))
+    found = known.select("doc_id", "b.text", "label", "order").collect()
+    return sorted(found, key=lambda r: (r["order"], r["doc_id"]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
