@@ -10,8 +10,8 @@ lattice's backward sums. Each sample carries its perturbed value and the logarit
 the largest value left, which is what estimators over such samples divide by.
 
 Randomness is a hash of seed, row key, draw and byte position: results don't depend on batches or partitions. Equal
-words of a batch share one lattice, and drawing runs over all words of a batch at once. Texts are whole; a text's
-lattice is cut only at places that no piece of the vocabulary spans.
+words of a task share one lattice, which is kept for its next batches up to a bound of nodes, and drawing runs over all
+words of a batch at once. Texts are whole; a text's lattice is cut only at places that no piece of the vocabulary spans.
 
 Defined results: a null or empty text has one segmentation, of no pieces, with inclusion 1; a text with fewer than k
 segmentations gives all of them; rows of one key and text get equal samples; null keys count as key 0; extra columns
@@ -35,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, ZIPF = 2, 17, 10.0
 #: Bytes of text whose lattices are in memory at once; a longer text is alone.
 CHUNK_BYTES = 1 << 19
+#: Nodes that a task keeps from one batch to the next, some 150 bytes each, and bits of the table that finds them.
+KEPT_NODES, SLOTS = 300_000, 19
 _MARK = "▁".encode()
 _NONE = np.float64(-np.inf)
 
@@ -107,92 +109,136 @@ def load(path: str = MODEL) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct pieces of text, one after the other; nodes are places between bytes."""
-
-    def __init__(self, v: Vocabulary, data: np.ndarray, offsets: np.ndarray):
-        n, m = len(data), len(offsets) - 1
-        sizes = np.diff(offsets)
-        chunk = np.repeat(np.arange(m), sizes)
-        node_of = np.arange(n) + chunk  # the node before each byte; each text has one more at its end
-        left = offsets[1:][chunk] - np.arange(n)
+    """The lattices of all words that a task has met; a node is what is left of a word from some byte on.
+
+    Backward sums depend on nothing but that rest, so equal ends of words are one node: it is built once and kept for
+    the task's next batches. Node 0 is a word's end. With more than ``most`` nodes a new batch starts anew.
+    """
+
+    NODE, EDGE = ("beta", "edge_from", "edge_to"), ("p", "log", "piece", "size", "start", "end")
+    TYPES = {"beta": np.float64, "p": np.float64, "log": np.float64, "size": np.int32, "start": np.int32}
+
+    def __init__(self, v: Vocabulary, most: int = KEPT_NODES):
+        self.v, self.most = v, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.zeros(1 << SLOTS, np.uint64), np.full(1 << SLOTS, -1, np.int64)
+        self.nodes, self.edges = 1, 0
+        for name in (*self.NODE, *self.EDGE):
+            setattr(self, name, np.zeros(1 if name in self.NODE else 0, self.TYPES.get(name, np.int64)))
+
+    def words(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The node of each word [a, b) of ``data``; the words follow one another."""
+        if self.nodes > self.most:
+            self.clear()
+        out, k = np.empty(len(a), np.int64), 0
+        while k < len(a):  # a long text's words some at a time
+            n = max(k + 1, int(np.searchsorted(b, a[k] + CHUNK_BYTES, "right")))
+            out[k:n] = self._number(data[a[k] : b[n - 1]], a[k:n] - a[k], b[k:n] - a[k])
+            k = n
+        return out
+
+    def _number(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = len(data)
+        place, end = np.arange(n), np.repeat(b, b - a)
+        h = common.span_hash(common.prefix_hash(data), place, end) ^ (end - place).astype(np.uint64)
+        slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+        keys, nodes = self.table
+        node = nodes[slot]
+        new = np.flatnonzero((keys[slot] != h) | (node < 0))
+        if len(new):
+            # of equal new ends one is taken; two that share a slot may both be, which costs a node and no more
+            nodes[slot[new]] = new
+            first = nodes[slot[new]]
+            same = h[first] == h[new]
+            own = new[(first == new) | ~same]
+            keys[slot[own]] = h[own]
+            left = (end - place)[own]
+            own = own[np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")]
+            number = self.nodes + np.arange(len(own))
+            node[own] = number
+            node[new[same]] = node[first[same]]
+            nodes[slot[own]] = number
+            keys[slot[own]] = h[own]
+            self._build(data, own, end[own] - own, np.r_[node, 0], end)
+        return node[a]
+
+    def _build(self, data: np.ndarray, own: np.ndarray, left: np.ndarray, node: np.ndarray, end: np.ndarray) -> None:
+        """Edges and backward sums of the new nodes at bytes ``own``, shortest rests first."""
+        v, n, m = self.v, len(data), len(own)
         sums = common.prefix_hash(data)
-        start = np.flatnonzero((data & 0xC0) != 0x80)
+        lead = (data & 0xC0) != 0x80
+        rank, alive, size, ranks, spans, ids = np.arange(m)[lead[own]], own[lead[own]], 1, [], [], []
+        leads = np.flatnonzero(lead)
+        width = np.minimum(np.r_[leads, n][np.searchsorted(leads, alive, "right")] - alive, left[rank])  # bytes of the character
+        wide = np.zeros(m, np.int64)
+        wide[rank] = width
+        poor = np.ones(m, bool)  # no piece for the character that begins here, or none begins
         # the literal word mark may not be read as a piece: no piece holds its bytes, as marks became spaces
-        alive, size, froms, spans, ids = start, 1, [], [], []
         while len(alive) and size <= v.longest:
-            alive = alive[left[alive] >= size]
+            more = left[rank] >= size
+            alive, rank = alive[more], rank[more]
             row = v.find(common.span_hash(sums, alive, alive + size))
             known = row >= 0
-            alive, row = alive[known], row[known]
+            alive, rank, row = alive[known], rank[known], row[known]
             piece = v.ids[row]
             whole = piece >= 0
-            froms.append(alive[whole])
-            spans.append(np.full(int(whole.sum()), size))
+            ranks.append(rank[whole])
+            spans.append(size)
             ids.append(piece[whole].astype(np.int64))
-            alive = alive[v.more[row]]
+            poor[rank[whole][wide[rank[whole]] == size]] = False
+            more = v.more[row]
+            alive, rank = alive[more], rank[more]
             size += 1
-        own = np.zeros(n, np.int64)  # bytes of the character that a byte begins
-        own[start] = np.minimum(np.r_[np.diff(start), n - start[-1:]] if len(start) else start, left[start])
-        single = np.zeros(n, bool)
-        for f, s in zip(froms, spans, strict=True):
-            single[f[own[f] == s]] = True
-        poor = start[~single[start]]  # characters without a piece
-        stray = m and ((data[offsets[:-1][sizes > 0]] & 0xC0) == 0x80).any()
-        loose = poor[:0]
-        if len(poor) or stray:
-            lone = np.zeros(n + 1, np.int64)
-            np.add.at(lone, poor, 1)
-            np.add.at(lone, poor + own[poor], -1)
-            lead = np.zeros(n, bool)
-            lead[start] = True
-            before = np.maximum.accumulate(np.where(lead, np.arange(n), -1))
-            loose = np.flatnonzero((np.cumsum(lone[:-1]) > 0) | (~lead & (before < offsets[:-1][chunk])))
-        froms.append(loose)
-        spans.append(np.ones(len(loose), np.int64))
-        ids.append(v.byte_ids[data[loose]])
-        # edges by the bytes left after their start, then by start; a node's longest edges first: the likeliest
-        by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[by_left] = np.arange(n)
-        ranks = [rank[x] for x in froms]
-        free = np.zeros(n + 1, np.int64)
-        for x in ranks:
-            free[x + 1] += 1  # a byte starts one edge of a size at most
+        loose = np.flatnonzero(poor)
+        ranks.append(loose)
+        spans.append(1)
+        ids.append(v.byte_ids[data[own[loose]]])
+        free = np.zeros(m + 1, np.int64)
+        for r in ranks:
+            free[r + 1] += 1  # a byte starts one edge of a size at most
         free = np.cumsum(free)
-        f, s, piece = (np.empty(int(free[-1]), np.int64) for _ in range(3))
-        for x, at, size_, id_ in zip(ranks[::-1], froms[::-1], spans[::-1], ids[::-1], strict=True):
-            slot = free[x]
-            free[x] += 1
-            f[slot], s[slot], piece[slot] = at, size_, id_
-        self.first_node = offsets[:-1] + np.arange(m)
-        self.last_node = offsets[1:] + np.arange(m)
-        head = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
-        beta = np.full(n + m, _NONE)
-        beta[self.last_node] = 0
-        end = node_of[f] + s
+        low, high = free[:-1].copy(), free[1:].copy()
+        f, s, piece = (np.empty(int(free[-1]), t) for t in (np.int64, np.int32, np.int64))
+        for r, size, id_ in zip(ranks[::-1], spans[::-1], ids[::-1], strict=True):  # longest first: the likeliest
+            slot = free[r]
+            free[r] += 1
+            f[slot], s[slot], piece[slot] = r, size, id_
+        stop = own[f] + s
+        target = np.where(stop == end[own[f]], 0, node[stop])
         weight = v.logp[piece]
-        tail = np.r_[head[1:], len(f)]
-        levels = np.flatnonzero(np.r_[True, np.diff(left[f[head]]) != 0, True]) if len(head) else np.zeros(1, np.int64)
-        p = np.zeros(len(f))
-        for a, b in zip(levels[:-1], levels[1:], strict=True):
-            i, j = head[a], tail[b - 1]
-            x = weight[i:j] + beta[end[i:j]]
-            cuts, sizes = head[a:b] - i, tail[a:b] - head[a:b]
-            top = np.maximum.reduceat(x, cuts)
+        self._grow(m, len(f))
+        beta = self.beta
+        levels = np.flatnonzero(np.r_[True, np.diff(left) != 0, True])
+        p = np.empty(len(f))
+        for x, y in zip(levels[:-1], levels[1:], strict=True):
+            i, j = low[x], high[y - 1]
+            w = weight[i:j] + beta[target[i:j]]
+            cuts, sizes = low[x:y] - i, high[x:y] - low[x:y]
+            top = np.maximum.reduceat(w, cuts)
             top[~np.isfinite(top)] = 0
-            e = np.exp(x - np.repeat(top, sizes))
+            e = np.exp(w - np.repeat(top, sizes))
             total = np.add.reduceat(e, cuts)
             with np.errstate(divide="ignore"):
-                beta[node_of[f[head[a:b]]]] = top + np.log(total)
+                beta[self.nodes + x : self.nodes + y] = top + np.log(total)
             p[i:j] = e / np.repeat(np.where(total > 0, total, 1), sizes)
-        self.edge_from, self.edge_to = np.zeros(n + m, np.int64), np.zeros(n + m, np.int64)
-        self.edge_from[node_of[f[head]]], self.edge_to[node_of[f[head]]] = head, tail
-        self.p, self.piece, self.end, self.start = p, piece, end, node_of[f]
-        self.beta, self.weight = beta, v.logp
-
-    def logp(self, edges):
-        """Log-probabilities of edges given their nodes."""
-        return self.weight[self.piece[edges]] + self.beta[self.end[edges]] - self.beta[self.start[edges]]
+        nodes, edges = slice(self.nodes, self.nodes + m), slice(self.edges, self.edges + len(f))
+        self.edge_from[nodes], self.edge_to[nodes] = low + self.edges, high + self.edges
+        self.p[edges], self.piece[edges], self.size[edges], self.end[edges] = p, piece, s, target
+        self.start[edges] = f + self.nodes
+        with np.errstate(invalid="ignore"):
+            self.log[edges] = weight + beta[target] - beta[f + self.nodes]  # log-probabilities given the node
+        self.nodes, self.edges = nodes.stop, edges.stop
+
+    def _grow(self, nodes: int, edges: int) -> None:
+        for names, need in ((self.NODE, self.nodes + nodes), (self.EDGE, self.edges + edges)):
+            for name in names:
+                old = getattr(self, name)
+                if need > len(old):
+                    grown = np.empty(max(need, len(old) + len(old) // 2), old.dtype)
+                    grown[: len(old)] = old
+                    setattr(self, name, grown)
 
     def others(self, edges):
         """Log-probabilities of all other edges of their nodes."""
@@ -207,18 +253,16 @@ def uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def draw_paths(lattice: Lattice, node: np.ndarray, last: np.ndarray, key: np.ndarray, base: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-    """(edges of each start's path to ``last``, one after the other; edges of each): drawn from the lattice's posterior.
-
-    ``base``: a node's number plus this is its byte place in its document.
-    """
-    node, live, steps, count = node.copy(), np.flatnonzero(node != last), [], np.zeros(len(node), np.int64)
+def draw_paths(lattice: Lattice, node: np.ndarray, key: np.ndarray, place: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges of each start's path to its word's end, their byte places in the document, edges of each): drawn from the lattice's posterior."""
+    node, place, live, steps, count = node.copy(), place.copy(), np.flatnonzero(node), [], np.zeros(len(node), np.int64)
     while len(live):
-        at = node[live]
-        edge, u = lattice.edge_from[at], uniform(key[live], draw, at + base[live])
+        edge, at = lattice.edge_from[node[live]], place[live]
+        last_edge = lattice.edge_to[node[live]] - 1
+        u = uniform(key[live], draw, at)
         p = lattice.p[edge]
         on = np.flatnonzero(p < u)
-        last_edge = lattice.edge_to[at[on]] - 1
+        last_edge = last_edge[on]
         u, p, to = u[on], p[on], edge[on]
         while len(on):
             more = to < last_edge
@@ -228,15 +272,17 @@ def draw_paths(lattice: Lattice, node: np.ndarray, last: np.ndarray, key: np.nda
             p = lattice.p[to]
             more = p < u
             on, u, p, to, last_edge = (x[more] for x in (on, u, p, to, last_edge))
-        node[live] = lattice.end[edge]
-        steps.append((live, edge))
+        steps.append((live, edge, at))
         count[live] += 1
-        live = live[node[live] != last[live]]
+        node[live] = lattice.end[edge]
+        place[live] = at + lattice.size[edge]
+        live = live[node[live] != 0]
     first = np.cumsum(count) - count
-    out = np.empty(int(count.sum()), np.int64)
-    for t, (who, edge) in enumerate(steps):
-        out[first[who] + t] = edge
-    return out, count
+    out, places = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+    for t, (who, edge, at) in enumerate(steps):
+        slot = first[who] + t
+        out[slot], places[slot] = edge, at
+    return out, places, count
 
 
 def _bounded_gumbel(location: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
@@ -246,8 +292,12 @@ def _bounded_gumbel(location: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(location), np.minimum(out, bound), _NONE)
 
 
-def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES) -> list[list[tuple]]:
-    """For each text its samples (piece ids, log-probability, log-posterior, perturbed value, log-inclusion), best first."""
+def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES, lattice: Lattice | None = None) -> list[list[tuple]]:
+    """For each text its samples (piece ids, log-probability, log-posterior, perturbed value, log-inclusion), best first.
+
+    ``lattice``: the words met so far, which is added to.
+    """
+    lattice = Lattice(v) if lattice is None else lattice
     full = [i for i, t in enumerate(texts) if t]
     out: list[list[tuple]] = [[(np.zeros(0, np.int64), 0.0, 0.0, 0.0, 0.0)] if not t else [] for t in texts]
     if not full:
@@ -268,27 +318,27 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
         cut[1:] |= line[:-1]
     a = np.flatnonzero(cut)
     b = np.r_[a[1:], len(data)]
-    h = common.span_hash(common.prefix_hash(data), a, b) ^ (b - a).astype(np.uint64)
-    _, which, word = np.unique(h, return_index=True, return_inverse=True)
-    word = word.reshape(-1)
-    size = (b - a)[which]
-    offsets = np.r_[0, np.cumsum(size)]
-    pool = data[np.repeat(a[which] - offsets[:-1], size) + np.arange(offsets[-1])]
-    lattice = Lattice(v, pool, offsets)
+    nodes = lattice.words(data, a, b)
     doc_of = np.searchsorted(begins, a, "right") - 1
     first_word = np.searchsorted(a, np.r_[begins, len(data)])
-    base = (a - begins[doc_of]) - lattice.first_node[word]  # node number + base: byte place in the document
-    nodes, lasts, word_keys = lattice.first_node[word], lattice.last_node[word], keys[doc_of]
-    edges, count = draw_paths(lattice, nodes, lasts, word_keys, base, 1)
+    word_place, word_keys = a - begins[doc_of], keys[doc_of]
+    edges, places, count = draw_paths(lattice, nodes, word_keys, word_place, 1)
     edge_word = np.repeat(np.arange(len(a)), count)
     path_first = np.r_[0, np.cumsum(count)][first_word]
-    logs = lattice.logp(edges)
+    logs = lattice.log[edges]
+    tops = -np.log(-np.log(uniform(keys, 0, np.zeros(len(full)))))
+    if k > 1:  # what leaves each first path, drawn for all texts at once
+        doc = doc_of[edge_word]
+        befores = np.empty(len(edges))
+        for d in range(len(full)):
+            own = slice(path_first[d], path_first[d + 1])
+            np.subtract(np.cumsum(logs[own]), logs[own], out=befores[own])
+        leaving = _bounded_gumbel(befores + lattice.others(edges), tops[doc], uniform(keys[doc], 2, places))
     states = []
     for d in range(len(full)):
-        path, words, log = (x[path_first[d] : path_first[d + 1]] for x in (edges, edge_word, logs))
-        top = float(-np.log(-np.log(uniform(keys[d : d + 1], 0, np.zeros(1))))[0])
-        first = [_frontier(lattice, path, words, log, base, keys[d], top, 0, 2)] if k > 1 else []
-        states.append([first, [(path, words, log, top)]])
+        own = slice(path_first[d], path_first[d + 1])
+        first = [_front(leaving[own], befores[own])] if k > 1 else []
+        states.append([first, [(edges[own], edge_word[own], logs[own], float(tops[d]), places[own])]])
     for s in range(1, k):
         todo = []
         for d, (fronts, samples) in enumerate(states):
@@ -299,73 +349,79 @@ def sample(v: Vocabulary, texts: list[bytes], keys: np.ndarray, k: int = SAMPLES
             if front["best"] == _NONE:
                 continue
             i = front["at"]
-            path, words, _, _ = samples[owner]
+            path, words, _, _, where = samples[owner]
             chosen = path[i]
             node = lattice.start[chosen]
-            options = np.arange(lattice.edge_from[node], lattice.edge_to[node])
+            low, high = int(lattice.edge_from[node]), int(lattice.edge_to[node])
             taken = front["taken"].setdefault(i, [chosen])
-            p = np.where(np.isin(options, taken), 0, lattice.p[options])
-            place = lattice.start[chosen] + base[words[i]]
+            p = lattice.p[low:high].copy()
+            p[[t - low for t in taken]] = 0
+            place = where[i]
             c = np.cumsum(p)
             u = float(uniform(keys[d : d + 1], 4 * s + 3, np.array([place]))[0])
-            other = int(options[min(np.searchsorted(c, u * c[-1], "right"), len(options) - 1)])
-            while p[other - options[0]] == 0:
+            other = low + min(int(np.searchsorted(c, u * c[-1], "right")), len(p) - 1)
+            while p[other - low] == 0:
                 other -= 1
             value = front["best"]
             taken.append(other)
             rest = 1 - lattice.p[taken].sum()
             more = front["before"][i] + (np.log(rest) if rest > 1e-12 else _NONE)
             u = uniform(keys[d : d + 1], 4 * s + 4, np.array([place]))
-            front["g"][i] = _bounded_gumbel(np.array([more]), value, u)[0] if len(taken) < (lattice.p[options] > 0).sum() else _NONE
+            front["g"][i] = _bounded_gumbel(np.array([more]), value, u)[0] if len(taken) < (lattice.p[low:high] > 0).sum() else _NONE
             front["at"] = int(front["g"].argmax())
             front["best"] = front["g"][front["at"]]
             todo.append((d, owner, i, other, value))
         if not todo:
             break
-        whose, start, stop, key, where = [], [], [], [], []
+        whose, start, at = [], [], []
         for d, owner, i, other, _ in todo:
-            w = states[d][1][owner][1][i]
-            rest = np.arange(w, first_word[d + 1])
-            begin = nodes[rest].copy()
-            begin[0] = lattice.end[other]
+            _, words, _, _, where = states[d][1][owner]
+            rest = np.arange(words[i], first_word[d + 1])
+            begin, place = nodes[rest], word_place[rest]
+            begin[0], place[0] = lattice.end[other], where[i] + lattice.size[other]
             whose.append(rest)
             start.append(begin)
-        rest, start = np.concatenate(whose), np.concatenate(start)
-        new, many = draw_paths(lattice, start, lasts[rest], word_keys[rest], base[rest], s + 1)
-        new_words, new_logs = np.repeat(rest, many), lattice.logp(new)
+            at.append(place)
+        rest = np.concatenate(whose)
+        new, new_places, many = draw_paths(lattice, np.concatenate(start), word_keys[rest], np.concatenate(at), s + 1)
+        new_words, new_logs = np.repeat(rest, many), lattice.log[new]
         new_first = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum([len(w) for w in whose])]]
         for j, (d, owner, i, other, value) in enumerate(todo):
             fronts, samples = states[d]
-            path, words, log, _ = samples[owner]
+            path, words, log, _, where = samples[owner]
             own = slice(new_first[j], new_first[j + 1])
             path = np.concatenate([path[:i], [other], new[own]])
             words = np.concatenate([words[: i + 1], new_words[own]])
-            log = np.concatenate([log[:i], [lattice.logp(other)], new_logs[own]])
+            where = np.concatenate([where[: i + 1], new_places[own]])
+            log = np.concatenate([log[:i], [lattice.log[other]], new_logs[own]])
             if s + 1 < k:
-                fronts.append(_frontier(lattice, path, words, log, base, keys[d], value, i + 1, 4 * s + 2))
-            samples.append((path, words, log, value))
+                fronts.append(_frontier(lattice, path, where, log, keys[d], value, i + 1, 4 * s + 2))
+            samples.append((path, words, log, value, where))
     for d, (_, samples) in enumerate(states):
-        posteriors = [float(log.sum()) for _, _, log, _ in samples]
+        posteriors = [float(log.sum()) for _, _, log, _, _ in samples]
         # all that wasn't taken is below the last sample's value, so its largest value is one bounded draw
         rest = 1 - sum(np.exp(p) for p in posteriors)
         u = uniform(keys[d : d + 1], 4 * k + 5, np.zeros(1))
         left = float(_bounded_gumbel(np.array([np.log(rest)]), samples[-1][3], u)[0]) if rest > 1e-12 and len(samples) == k else _NONE
-        for (path, _, _, value), posterior in zip(samples, posteriors, strict=True):
+        for (path, _, _, value, _), posterior in zip(samples, posteriors, strict=True):
             ids = lattice.piece[path]
             out[full[d]].append((ids, float(v.logp[ids].sum()), posterior, value, log_inclusion(posterior, left)))
     return out
 
 
-def _frontier(lattice, path, words, logs, base, key, bound, begin, draw) -> dict:
+def _front(g: np.ndarray, before: np.ndarray) -> dict:
+    at = int(g.argmax()) if len(g) else 0
+    return {"g": g, "before": before, "at": at, "best": g[at] if len(g) else _NONE, "taken": {}}
+
+
+def _frontier(lattice, path, places, logs, key, bound, begin, draw) -> dict:
     """The search's nodes along a path from edge ``begin`` on: everything that leaves it there."""
     g = np.full(len(path), _NONE)
     mine = path[begin:]
     before = np.cumsum(logs) - logs
-    place = lattice.start[mine] + base[words[begin:]]
-    u = uniform(np.full(len(mine), key, np.uint64), draw, place)
+    u = uniform(np.full(len(mine), key, np.uint64), draw, places[begin:])
     g[begin:] = _bounded_gumbel(before[begin:] + lattice.others(mine), bound, u)
-    at = int(g.argmax()) if len(g) else 0
-    return {"g": g, "before": before, "at": at, "best": g[at] if len(g) else _NONE, "taken": {}}
+    return _front(g, before)
 
 
 def log_inclusion(posterior: float, threshold: float) -> float:
@@ -407,13 +463,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str =
 
     def run(batches):
         v = held.value
+        lattice = Lattice(v)
         types = [pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.string(), pa.bool_()]
         for whole in batches:
             _, offsets = common.text_bytes(whole.column(at_text))
             for a, b in common.chunks(offsets, CHUNK_BYTES):
                 batch = whole.slice(a, b - a)
                 texts = [t or b"" for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
-                found = sample(v, texts, row_keys(batch.column(at_key).to_pylist(), seed), k)
+                found = sample(v, texts, row_keys(batch.column(at_key).to_pylist(), seed), k, lattice)
                 rows, columns, pieces = [], [[] for _ in types], []
                 for r, (t, samples) in enumerate(zip(texts, found, strict=True)):
                     for s, (ids, prob, posterior, value, inclusion) in enumerate(samples):
