@@ -41,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: What a task reads or sends to Python at once: rows of a Parquet batch, and bytes of an Arrow batch.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches that stay small however long the texts are.
+
+    The session's settings of the two are lowered to BATCHES, unless it has others than Spark's defaults.
+    """
+    conf = df.sparkSession.conf
+    for key, value in BATCHES.items():
+        if conf.get(key) in ("4096", "67108864b"):
+            conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
 #: Rows of keys that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 

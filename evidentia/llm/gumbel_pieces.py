@@ -486,7 +486,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str =
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces) if pieces else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in at_kept), *arrays], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def _read(pages: DataFrame, model: Likelihoods) -> DataFrame:
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(n, pa.int64()), pa.array(ll, floats), pa.array(post, floats)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return common.mapped(rows, run, schema)
 
 
 def _sums(rows: DataFrame, by: list[str], values: str, k: int, name: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Operator 8, line dedup: a sharded minimal perfect hash over distinct line hashes indexes compact arrays.
 
-1. Every document gives its distinct long line keys as pairs of 64-bit hashes; a grouped count, combined before the
-   shuffle, leaves the keys found in enough documents with their counts and largest doc_id.
-2. Those distinct hashes are dealt to shards of about ``SHARD_KEYS`` keys. Each shard's task builds a minimal perfect
-   hash (levels of bit arrays; a key that collides moves to the next level) and fills arrays by its rank:
-   fingerprint (the second 64-bit hash), count and keeping document.
-3. Documents probe the arrays; nothing is joined to lines. Arrays are broadcast in groups of whole shards of at most
-   ``GROUP_BYTES`` each; past the first group, the documents' line hashes (not their texts) run through the groups one
-   after the other, and only then meet the texts. So a broadcast never outgrows its bound, however many lines recur.
-
-A false hit needs two lines of equal 128 bits of hash. Keys that no document can lose aren't indexed; their probes end
-at a clear bit or another fingerprint.
+1. Every document gives its distinct long line keys as pairs of 64-bit hashes (place, fingerprint); a grouped count,
+   combined before the shuffle, has each distinct pair with its number of documents and its largest doc_id.
+2. The distinct hashes are dealt to shards of about ``SHARD_KEYS`` keys. A shard's task builds a minimal perfect hash of
+   the places (levels of bits; a key that meets another moves to the next level) and fills arrays by its rank: 32 bits
+   of fingerprint, count and keeping document, some 17 bytes a key with the bits. Those bits and arrays are all that
+   leaves the task. Places that two keys share are marked in the arrays and stand in a short list beside them.
+3. Documents probe the arrays: a line goes where its count is at least ``min_docs`` and another document keeps it.
+   An index of at most ``GROUP_BYTES`` is broadcast and the texts are read and rewritten in one pass. A larger one stays
+   where it is: the documents' line hashes (not their texts) are dealt to the shards and pass each in batches, a shard
+   that many probes want is copied for several tasks, and the hashes of the lines that go are gathered for each text,
+   which is read once more and rewritten. Both ways give the same rows.
+
+A false hit needs two lines of equal 96 bits of hash.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id count as one document, and all keep
 a line that this doc_id holds last; rows of null doc_id are counted as no document and lose no line; a repeated line
@@ -19,8 +21,6 @@ stays as often as it stands in the keeping document; extra columns pass through.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +32,11 @@ from pyspark.sql import types as T
 from . import common
 
 MIN_CHARS, MIN_DOCS = 40, 5
-SHARD_KEYS, GROUP_BYTES = 1 << 16, 64 << 20
+SHARD_KEYS, GROUP_BYTES = 1 << 17, 64 << 20
+#: Bytes of the index for each key, at most, and probes that one task has of one shard, about.
+KEY_BYTES, TASK_PROBES = 18, 20_000_000
+#: The count that marks a place of several keys.
+_SHARED = -1
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -53,30 +57,32 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return np.asarray(h, np.uint64).view(np.int64)
 
 
-def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(place, fingerprint, doc_id): the distinct hashes of each row's long lines."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("place", "fingerprint", "doc_id")])
+def line_keys(docs: DataFrame, min_chars: int, with_text: bool = False) -> DataFrame:
+    """(place, fingerprint, doc_id): the distinct hashes of each row's long lines; with_text: and text_hash, the row's text's."""
+    names = ["place", "fingerprint", "doc_id"] + ["text_hash"] * with_text
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches):
         for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
-            out_a, out_b, out_doc = [], [], []
+            out_a, out_b, size = [], [], []
             for text, doc_id in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and doc_id is not None:
-                    found = {hashes(k) for k in (key_of(line, min_chars) for line in text.split(b"\n")) if k is not None}
-                    for a, b in found:
-                        out_a.append(a)
-                        out_b.append(b)
-                    out_doc += [doc_id] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(out_a)), pa.array(_signed(out_b)), pa.array(out_doc, pa.int64())], names=schema.names)
+                found = {hashes(k) for k in (key_of(line, min_chars) for line in text.split(b"\n")) if k is not None} if text and doc_id is not None else ()
+                for a, b in found:
+                    out_a.append(a)
+                    out_b.append(b)
+                size.append(len(found))
+            row = np.repeat(np.arange(batch.num_rows), size)
+            rest = [batch.column(c).take(pa.array(row)) for c in range(1, len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(out_a)), pa.array(_signed(out_b)), *rest], names=names)
 
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    columns = ["text", F.col("doc_id").cast("long")] + [F.xxhash64("text").alias("text_hash")] * with_text
+    return common.mapped(docs.select(*columns), run, schema)
 
 
-def recurring(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(place, fingerprint, n_docs, keeper) of the keys found in at least ``min_docs`` documents."""
+def counted(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(place, fingerprint, n_docs, keeper) of every distinct key."""
     per_doc = line_keys(docs, min_chars).groupBy("place", "fingerprint", "doc_id").agg(F.lit(1).alias("one"))
-    counted = per_doc.groupBy("place", "fingerprint").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-    return counted.where(F.col("n_docs") >= min_docs)
+    return per_doc.groupBy("place", "fingerprint").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
 def _rehash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -87,25 +93,32 @@ def _rehash(keys: np.ndarray, level: int) -> np.ndarray:
 class Perfect:
     """A minimal perfect hash of distinct 64-bit keys: levels of bits, ranked by running popcounts."""
 
-    def __init__(self, keys: np.ndarray, load: float = 1.6):
-        self.levels, self.ranks, self.sizes, rank, level = [], [], [], 0, 0
-        left = np.unique(keys.astype(np.uint64))
+    def __init__(self, sizes: list[int], bits: np.ndarray):
+        """sizes: of each level, in bits; bits: all levels, each filled up to whole bytes."""
+        self.sizes, self.bits, self.levels, rank, at = list(sizes), bits, [], 0, 0
+        for size in self.sizes:
+            own = bits[at : at + (size + 7) // 8]
+            ones = np.cumsum(np.bitwise_count(own), dtype=np.int32)
+            self.levels.append((own, rank + np.r_[np.int32(0), ones[:-1]]))
+            rank, at = rank + int(ones[-1]), at + len(own)
+        self.n = rank
+
+    @classmethod
+    def of(cls, keys: np.ndarray, load: float = 1.6) -> Perfect:
+        left, sizes, bits = keys.astype(np.uint64), [], []
         while len(left):
             size = max(64, int(len(left) * load) | 1)
-            spot = (_rehash(left, level) % np.uint64(size)).astype(np.int64)
+            spot = (_rehash(left, len(sizes)) % np.uint64(size)).astype(np.int64)
             used = np.bincount(spot, minlength=size)
-            bits = np.packbits(used == 1)
-            self.levels.append(bits)
-            self.ranks.append(rank + np.r_[0, np.cumsum(np.bitwise_count(bits), dtype=np.int64)[:-1]].astype(np.int64))
-            self.sizes.append(size)
-            rank += int((used == 1).sum())
-            left, level = left[used[spot] != 1], level + 1
-        self.n = rank
+            sizes.append(size)
+            bits.append(np.packbits(used == 1))
+            left = left[used[spot] != 1]
+        return cls(sizes, np.concatenate([np.zeros(0, np.uint8), *bits]))
 
     def index(self, keys: np.ndarray) -> np.ndarray:
         """Each key's number, 0 to n - 1; -1 or any number for a key that isn't indexed."""
         out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, (bits, ranks, size) in enumerate(zip(self.levels, self.ranks, self.sizes, strict=True)):
+        for level, ((bits, ranks), size) in enumerate(zip(self.levels, self.sizes, strict=True)):
             spot = (_rehash(keys[todo], level) % np.uint64(size)).astype(np.int64)
             byte, shift = spot >> 3, 7 - (spot & 7)
             hit = (bits[byte] >> shift) & 1 == 1
@@ -115,44 +128,63 @@ class Perfect:
         return out
 
 
-def build(lines: DataFrame, n_keys: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(shard, n, fingerprints, counts, keepers, places): one row of packed arrays for each shard."""
-    shards = max(1, -(-n_keys // shard_keys))
+_INDEX = "shard long, probes long, sizes array<long>, bits binary, prints binary, counts binary, keepers binary, shared binary"
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("place")  # equal in 64 of 128 bits: the other hash tells them apart below
-        keys = frame["place"].to_numpy(np.int64).view(np.uint64)
-        perfect = Perfect(keys)
-        order = np.argsort(perfect.index(keys))
-        arrays = [frame[c].to_numpy(np.int64)[order].tobytes() for c in ("fingerprint", "keeper", "place")]
-        counts = np.minimum(frame["n_docs"].to_numpy(np.int64)[order], 2**31 - 1).astype(np.int32).tobytes()
-        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "n": [len(keys)], "fingerprints": [arrays[0]], "keepers": [arrays[1]], "places": [arrays[2]], "counts": [counts]})
 
-    keyed = lines.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
-    return keyed.groupBy("shard").applyInPandas(one, "shard long, n long, fingerprints binary, keepers binary, places binary, counts binary")
+def build(keys: DataFrame, shards: int) -> DataFrame:
+    """One row for each shard: its hash's levels, its arrays, the keys that share a place, and the probes to expect."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        place, prints, keeper = (frame[c].to_numpy(np.int64) for c in ("place", "fingerprint", "keeper"))
+        count = np.minimum(frame["n_docs"].to_numpy(np.int64), 2**31 - 1)
+        distinct, first, times = np.unique(place, return_index=True, return_counts=True)
+        perfect = Perfect.of(distinct.view(np.uint64))
+        at = perfect.index(distinct.view(np.uint64))
+        by_rank = np.empty(len(distinct), np.int64)
+        by_rank[at] = first
+        counts = count[by_rank].astype(np.int32)
+        counts[at[times > 1]] = _SHARED
+        among = np.isin(place, distinct[times > 1])
+        shared = np.stack([x[among] for x in (place, prints, count, keeper)])
+        return pd.DataFrame({"shard": [frame["shard"].iloc[0]], "probes": [int(count.sum())], "sizes": [perfect.sizes], "bits": [perfect.bits.tobytes()], "prints": [prints[by_rank].astype(np.int32).tobytes()], "counts": [counts.tobytes()], "keepers": [keeper[by_rank].tobytes()], "shared": [shared.tobytes()]})
+
+    keyed = keys.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
+    return keyed.groupBy("shard").applyInPandas(one, _INDEX).coalesce(shards)
+
+
+class Shard:
+    """One shard, ready for probes."""
+
+    def __init__(self, row):
+        self.perfect = Perfect(row["sizes"], np.frombuffer(row["bits"], np.uint8))
+        self.prints, self.counts, self.keepers = (np.frombuffer(row[c], t) for c, t in (("prints", np.int32), ("counts", np.int32), ("keepers", np.int64)))
+        self.shared = {(p, f): (n, k) for p, f, n, k in np.frombuffer(row["shared"], np.int64).reshape(4, -1).T.tolist()}
+
+    def probe(self, place: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents that hold each key, 0 if it isn't indexed; the document that keeps it)."""
+        i = self.perfect.index(place.view(np.uint64))
+        at = np.maximum(i, 0)
+        count, keeper = self.counts[at].astype(np.int64), self.keepers[at].copy()
+        count[(i < 0) | ((count != _SHARED) & (self.prints[at] != fingerprint.astype(np.int32)))] = 0
+        for j in np.flatnonzero(count == _SHARED):
+            count[j], keeper[j] = self.shared.get((int(place[j]), int(fingerprint[j])), (0, 0))
+        return count, keeper
 
 
 class Index:
-    """Some shards, ready for probes."""
+    """All shards of an index, ready for probes."""
 
     def __init__(self, rows: list, shards: int):
-        self.shards, self.parts = shards, {}
-        for r in rows:
-            perfect = Perfect(np.frombuffer(r["places"], np.uint64))
-            arrays = [np.frombuffer(r[c], t) for c, t in (("fingerprints", np.int64), ("counts", np.int32), ("keepers", np.int64))]
-            self.parts[r["shard"]] = (perfect, *arrays)
-
-    def keepers(self, place: np.ndarray, fingerprint: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """(whether each hash is indexed here with enough documents, the document that keeps it)."""
-        hit, keeper = np.zeros(len(place), bool), np.zeros(len(place), np.int64)
+        self.shards, self.parts = shards, {r["shard"]: Shard(r) for r in rows}
+
+    def probe(self, place: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count, keeper = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         shard = place % self.shards  # as pmod
-        for s, (perfect, prints, counts, kept) in self.parts.items():
-            at = np.flatnonzero(shard == s)
-            if len(at):
-                i = perfect.index(place[at].view(np.uint64))
-                found = (i >= 0) & (prints[np.maximum(i, 0)] == fingerprint[at]) & (counts[np.maximum(i, 0)] >= min_docs)
-                hit[at[found]], keeper[at[found]] = True, kept[i[found]]
-        return hit, keeper
+        for s in np.unique(shard).tolist():
+            if s in self.parts:
+                at = np.flatnonzero(shard == s)
+                count[at], keeper[at] = self.parts[s].probe(place[at], fingerprint[at])
+        return count, keeper
 
 
 def _lines(text: bytes | None, min_chars: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
@@ -167,17 +199,15 @@ def _lines(text: bytes | None, min_chars: int) -> tuple[list[bytes], list[int],
     return lines, where, _signed(a), _signed(b)
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, group_bytes: int = GROUP_BYTES, task_probes: int = TASK_PROBES) -> DataFrame:
     """``docs`` with dedup_text, dedup_lines (before) and dedup_dropped."""
-    lines = common.checkpointed(recurring(docs, min_chars, min_docs))
-    n_keys = lines.count()
+    keys = common.checkpointed(counted(docs, min_chars))
+    n_keys = keys.count()
     shards = max(1, -(-n_keys // shard_keys))
-    index = common.checkpointed(build(lines, n_keys, shard_keys))
-    per_group = max(1, group_bytes // (40 * shard_keys))
-    groups = [index.where((F.col("shard") >= g) & (F.col("shard") < g + per_group)) for g in range(0, shards, per_group)]
-    if len(groups) == 1:
-        return _probe(docs, groups[0].collect(), shards, min_chars, min_docs)
-    return _probe_by_groups(docs, groups, shards, min_chars, min_docs)
+    index = build(keys, shards)
+    if n_keys * KEY_BYTES <= group_bytes:
+        return _probe(docs, index.collect(), shards, min_chars, min_docs)
+    return _probe_dealt(docs, common.checkpointed(index), shards, min_chars, min_docs, task_probes)
 
 
 def _rewritten(docs: DataFrame) -> T.StructType:
@@ -205,51 +235,64 @@ def _probe(docs: DataFrame, rows: list, shards: int, min_chars: int, min_docs: i
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                ids = batch.column(at_id).to_pylist()
                 split = [_lines(t, min_chars) for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
-                hit, keeper = index.keepers(np.concatenate([s[2] for s in split]), np.concatenate([s[3] for s in split]), min_docs)
+                count, keeper = index.probe(np.concatenate([s[2] for s in split]), np.concatenate([s[3] for s in split]))
                 drops, j = [], 0
-                for doc_id, (lines, where, _, _) in zip(ids, split, strict=True):
-                    gone = set()
-                    if where:
-                        out = hit[j : j + len(where)] & (keeper[j : j + len(where)] != doc_id) if doc_id is not None else np.zeros(len(where), bool)
-                        gone = {where[i] for i in np.flatnonzero(out)}
-                        j += len(where)
-                    drops.append((lines, gone))
+                for doc_id, (lines, where, _, _) in zip(batch.column(at_id).to_pylist(), split, strict=True):
+                    own = slice(j, j + len(where))
+                    j = own.stop
+                    out = np.flatnonzero((count[own] >= min_docs) & (keeper[own] != doc_id)) if doc_id is not None else ()
+                    drops.append((lines, {where[i] for i in out}))
                 yield _emit(batch, drops)
 
-    return docs.mapInArrow(run, _rewritten(docs))
+    return common.mapped(docs, run, _rewritten(docs))
 
 
-def _probe_by_groups(docs: DataFrame, groups: list[DataFrame], shards: int, min_chars: int, min_docs: int) -> DataFrame:
-    """The documents' line hashes pass each group of shards in turn; drops gather in a column as they go."""
-    sc = docs.sparkSession.sparkContext
-    work = docs.withColumn("__drops", F.array().cast("array<long>"))
-    at_text, at_id, at_drops = (work.columns.index(c) for c in ("text", "doc_id", "__drops"))
-    for group in groups:
-        held = sc.broadcast(group.collect())
+def _probe_dealt(docs: DataFrame, index: DataFrame, shards: int, min_chars: int, min_docs: int, task_probes: int) -> DataFrame:
+    """The line hashes meet the shards; the hashes that go meet their texts. No task has more than a shard and a batch."""
+    copies = F.ceil(F.col("probes") / task_probes).cast("int")
+    busy = common.small(index.where(copies > 1).select("shard", copies.alias("copies")))
+    dealt = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)))
+    probes = line_keys(docs, min_chars, True).withColumn("shard", F.pmod("place", F.lit(shards)))
+    probes = probes.join(busy, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", "text_hash"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    both = dealt.withColumn("kind", F.lit(0)).unionByName(probes.withColumn("kind", F.lit(1)), True)
+    both = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    names = ["place", "fingerprint", "doc_id", "text_hash"]
+    at = [both.columns.index(c) for c in ("shard", "kind", *names)]
 
-        def run(batches, held=held):
-            index = Index(held.value, shards)
-            for batch in batches:
-                out = []
-                for text, doc_id, drops in zip(batch.column(at_text).cast(pa.large_binary()).to_pylist(), batch.column(at_id).to_pylist(), batch.column(at_drops).to_pylist(), strict=True):
-                    _, where, a, b = _lines(text, min_chars)
-                    hit, keeper = index.keepers(a, b, min_docs)
-                    out.append([*drops, *(where[i] for i in np.flatnonzero(hit & (keeper != doc_id)))] if doc_id is not None else drops)
-                columns = list(batch.columns)
-                columns[at_drops] = pa.array(out, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        work = common.checkpointed(work.mapInArrow(run, work.schema))
-
-    def finish(batches):
+    def run(batches):
+        shard = None
         for batch in batches:
-            texts = batch.column(at_text).cast(pa.large_binary()).to_pylist()
-            drops = [((t or b"").split(b"\n"), set(d)) for t, d in zip(texts, batch.column(at_drops).to_pylist(), strict=True)]
-            yield _emit(pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at_drops], names=[n for n in batch.schema.names if n != "__drops"]), drops)
+            number, kind = (batch.column(at[c]).to_numpy(zero_copy_only=False) for c in (0, 1))
+            cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
+                if kind[a] == 0:
+                    shard = Shard(batch.slice(b - 1, 1).to_pylist()[0])  # copies of one shard are the same
+                elif b > a:
+                    columns = [batch.column(c).slice(a, b - a) for c in at[2:]]
+                    place, prints, doc_id = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:3])
+                    count, keeper = shard.probe(place, prints)
+                    out = pa.array(np.flatnonzero((count >= min_docs) & (keeper != doc_id)))
+                    yield pa.RecordBatch.from_arrays([c.take(out) for c in columns], names=names)
+
+    gone = both.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "fingerprint")).alias("__gone"))  # some of one text's lines
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
+    work = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").select(*(docs[c] for c in docs.columns), "__gone")
+    at_text, at_gone = docs.columns.index("text"), len(docs.columns)
 
-    return work.mapInArrow(finish, _rewritten(docs))
+    def finish(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                drops = []
+                for text, gone in zip(batch.column(at_text).cast(pa.large_binary()).to_pylist(), batch.column(at_gone).to_pylist(), strict=True):
+                    lines, where, a, b = _lines(text, min_chars)
+                    out = {(x["place"], x["fingerprint"]) for x in gone or ()}
+                    drops.append((lines, {i for i, *key in zip(where, a.tolist(), b.tolist(), strict=True) if tuple(key) in out} if out else set()))
+                yield _emit(pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]), drops)
+
+    return common.mapped(work, finish, _rewritten(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "qual
             columns = [*batch.columns, pa.array(new[0], pa.float64()), pa.array(new[1].astype(np.int64)), pa.array(new[2].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Chain:

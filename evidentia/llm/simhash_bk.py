@@ -62,7 +62,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
             out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 class Tree:

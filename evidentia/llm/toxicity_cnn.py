@@ -184,7 +184,7 @@ def score(docs: DataFrame, net: Net, text: str = "text", name: str = "toxicity")
             out = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Net:
