@@ -102,8 +102,8 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         a = min(b, n)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +146,7 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that are ``inside``, by default not white space; no run crosses an offset."""
     word = inside[data]
     first, last = word.copy(), word.copy()
