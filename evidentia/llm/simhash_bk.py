@@ -4,9 +4,11 @@ Fingerprints come from the hashes of 4-word shingles of whole texts. Documents o
 copies cost one row. Fingerprints at most ``RADIUS`` bits apart agree on all bits of some choice of blocks (by the
 pigeonhole principle), so every such choice is a table of shards by its bits, and each shard has a BK-tree that its
 members search, following only edges within the radius of their distance. More fingerprints get narrower shards. A
-shard of over ``TREE_KEYS`` keys is cut to that many trees, and each is searched by the members of those before it
-too, so no task holds more than one tree and its probes in batches. A tree's task gives one edge from each member to
-the smallest node it is linked with there, never all pairs; alternating star contraction joins these to components.
+shard of over ``TREE_KEYS`` keys is cut to trees of about so many, and each is searched by the members of those before
+it too, one tree's members at a time: a task holds one tree and one such block of probes. It gives one edge from each
+of them to the smallest node it is linked with there, never all pairs; alternating star contraction joins these.
+
+Memory: fingerprints are summed in blocks of ``common.CHUNK_BYTES`` of text, however long the text.
 
 Defined results: a null, empty or white text has fingerprint zero and is linked like any other; repeated rows get one
 result each; texts under one doc_id are one node; rows of null doc_id have a fingerprint and a null component and link
@@ -15,6 +17,7 @@ nothing; extra columns pass through.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -30,13 +33,36 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 TREE_KEYS = 20_000
 #: Keys of random fingerprints that a shard holds at most; beyond, the blocks are cut finer.
 SHARD_MEAN = 64
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _ones(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    return np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _long_fingerprint(raw: bytes, shingle: int) -> int:
+    ones, n, words, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(raw):
+        stop = at + common.CHUNK_BYTES
+        stop = m.start() if stop < len(raw) and (m := _WHITE.search(raw, stop)) else len(raw)
+        words = words[max(0, len(words) - shingle + 1) :] + raw[at:stop].lower().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1)]
+        ones, n, at = ones + _ones(hashes).sum(0), n + len(hashes), stop
+    if words and not n:
+        ones, n = _ones([xxhash.xxh64_intdigest(b" ".join(words), SEED)])[0], 1
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each whole text."""
-    raw, hashes, sizes = data.tobytes(), [], []
+    raw, hashes, sizes, long = data.tobytes(), [], [], {}
     digest, base = xxhash.xxh64_intdigest, offsets[0]
-    for a, b in zip(offsets[:-1] - base, offsets[1:] - base, strict=True):
+    for k, (a, b) in enumerate(zip(offsets[:-1] - base, offsets[1:] - base, strict=True)):
+        if b - a > common.CHUNK_BYTES:
+            long[k] = _long_fingerprint(raw[a:b], shingle)
+            sizes.append(0)
+            continue
         words = raw[a:b].lower().split()
         n = max(1, len(words) - shingle + 1) if words else 0
         sizes.append(n)
@@ -45,10 +71,10 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        ones = np.add.reduceat(bits, starts, 0, dtype=np.int64)
+        ones = np.add.reduceat(_ones(hashes), (np.cumsum(sizes) - sizes)[full], 0, dtype=np.int64)
         out[full] = np.packbits(2 * ones > sizes[full, None], axis=1).view(">u8").ravel()
+    for k, h in long.items():
+        out[k] = h
     return out
 
 
@@ -99,21 +125,31 @@ class Tree:
 
 
 def linked(keys: np.ndarray, in_tree: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node linked with it) of one tree's members and its other probes."""
+    """Edges (node, smallest node linked with it) of one tree's members and its probes: all others, or itself without any."""
     order = np.argsort(~in_tree, kind="stable")
     keys, nodes, members = keys[order], nodes[order], int(in_tree.sum())
     if not members or len(keys) < 2:
         return nodes[:0], nodes[:0]
-    tree, label = Tree(keys[:members]), np.arange(len(keys))
-    for k in range(0, len(keys), TREE_KEYS):
-        for node, near in tree.search(keys[k : k + TREE_KEYS], radius):
-            old = label[near + k]
-            if (old != label[node]).any():
-                joined = np.unique(np.append(old, label[node]))
-                label[np.isin(label, joined)] = joined[0]
+    tree, above, first = Tree(keys[:members]), np.arange(len(keys)), members if members < len(keys) else 0
+
+    def roots(of: np.ndarray) -> np.ndarray:
+        while True:
+            up = above[of]
+            if (up == of).all():
+                return of
+            of = up
+
+    for node, near in tree.search(keys[first:], radius):
+        near = np.append(near + first, node)
+        found = above[near]
+        if (found != found[0]).any() or above[found[0]] != found[0]:
+            found = roots(near)
+            above[found] = found.min()
+            above[near] = found.min()
+    top = roots(np.arange(len(keys)))
     low = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(low, label, nodes)
-    root = low[label]
+    np.minimum.at(low, top, nodes)
+    root = low[top]
     moved = root != nodes
     return nodes[moved], root[moved]
 
@@ -143,7 +179,9 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tree_keys: int = TREE_
     large = sharded.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree_keys).withColumn("trees", F.ceil(F.col("n") / tree_keys).cast("int")).drop("n")
     cut = sharded.join(large, ["choice", "bits"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("trees")).cast("int"))
-    cut = cut.withColumn("tree", F.explode(F.sequence(F.col("own"), F.col("trees") - 1)))
+    # a member of tree ``own`` is there with every tree: in its own, or a probe of it
+    other = F.sequence(F.lit(0), F.col("trees") - 1)
+    cut = cut.withColumn("pair", F.explode(F.transform(other, lambda x: F.struct(F.greatest(x, F.col("own")).alias("tree"), F.least(x, F.col("own")).alias("block")))))
     schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
     def run(batches):
@@ -151,11 +189,11 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tree_keys: int = TREE_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
-            change = np.flatnonzero(np.any([np.diff(columns[c]) != 0 for c in (0, 1, 2)], axis=0)) + 1
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
+            change = np.flatnonzero(np.any([np.diff(columns[c]) != 0 for c in range(4)], axis=0)) + 1
             for a, b in zip(np.r_[0, change], np.r_[change, batch.num_rows], strict=True):
                 part = [c[a:b] for c in columns]
-                if held and any(held[0][c][0] != part[c][0] for c in (0, 1, 2)):
+                if held and any(held[0][c][0] != part[c][0] for c in range(4)):
                     yield from close(held)
                     held = []
                 held.append(part)
@@ -163,22 +201,28 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tree_keys: int = TREE_
             yield from close(held)
 
     def close(parts):
-        _, _, tree, own, keys, node = (np.concatenate(c) for c in zip(*parts, strict=True))
+        _, _, tree, _, own, keys, node = (np.concatenate(c) for c in zip(*parts, strict=True))
         if len(keys) > 1:
             src, dst = linked(keys.astype(np.int64).view(np.uint64), own == tree, node.astype(np.int64), radius)
             if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    ordered = cut.select("choice", "bits", "tree", "own", "fingerprint", "node").repartition("choice", "bits", "tree").sortWithinPartitions("choice", "bits", "tree", "own", "fingerprint")
+    group = ["choice", "bits", "tree", "block"]
+    ordered = cut.select("choice", "bits", "pair.tree", "pair.block", "own", "fingerprint", "node").repartition(*group).sortWithinPartitions(*group, "own", "fingerprint")
     return ordered.mapInArrow(run, schema).distinct()
 
 
+#: Rows of a few numbers that one file of a checkpoint has at least, where there are more partitions.
+FILE_ROWS = 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (src, dst) reaches, by alternating stars.
 
     Every round ends in a checkpoint in the shared folder; a node's neighbours only ever meet in a grouped minimum.
     """
     edges, before = common.checkpointed(edges.where("src <> dst")), None
+    files = edges.count() // FILE_ROWS + 1
     while True:
         both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
@@ -186,11 +230,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("src <> dst").distinct()
         lower = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(lower, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(lower.select("src", F.col("m").alias("dst")))
-        edges = common.checkpointed(small.where("src <> dst").distinct())
+        edges = common.checkpointed(small.where("src <> dst").distinct().coalesce(files))  # rounds never add edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-        before = now
+        before, files = now, now[0] // FILE_ROWS + 1
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree_keys: int = TREE_KEYS) -> DataFrame:
