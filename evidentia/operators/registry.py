@@ -45,6 +45,20 @@ def checkpoint_alerts(cluster: DataFrame, events: DataFrame, least_checkpoints:
     return out.select("identity_id", "total_checkpoints", "total_appearances", ((F.col("total_checkpoints") >= least_checkpoints) & F.col("risky")).alias("alert"))
 
 
+def cluster_alerts(identities: DataFrame, documents: DataFrame, events: DataFrame, least_checkpoints: int = 2) -> DataFrame:
+    """identity_id, total_checkpoints, alert, as ``checkpoint_alerts`` has them for each identity's cluster.
+
+    Checkpoints are gathered once for each family, so a family's members never meet each other.
+    """
+    per = events.groupBy("identity_id", "checkpoint").agg(F.max(F.col("risk_level").isin("MEDIUM", "HIGH")).alias("risky"))
+    held = documents.where("family_id IS NOT NULL AND identity_id IS NOT NULL").select("identity_id", "family_id").distinct()
+    seen = held.join(per, "identity_id").groupBy("family_id", "checkpoint").agg(F.max("risky").alias("risky"))
+    every = held.join(seen, "family_id").select("identity_id", "checkpoint", "risky").unionByName(per)
+    found = every.groupBy("identity_id", "checkpoint").agg(F.max("risky").alias("risky")).groupBy("identity_id").agg(F.count(F.lit(1)).alias("n"), F.max("risky").alias("risky"))
+    out = identities.select("identity_id").join(found, "identity_id", "left").withColumn("total_checkpoints", F.coalesce("n", F.lit(0)))
+    return out.select("identity_id", "total_checkpoints", ((F.col("total_checkpoints") >= least_checkpoints) & F.coalesce("risky", F.lit(False))).alias("alert"))
+
+
 def checkpoint_history(cluster: DataFrame, events: DataFrame) -> DataFrame:
     """Every event of each identity's cluster in order of time, numbered."""
     hits = cluster.join(events.withColumnRenamed("identity_id", "member_id"), "member_id")
@@ -77,12 +91,13 @@ def graph_nodes(identities: DataFrame, documents: DataFrame, families: DataFrame
 
 def connected_cases(documents: DataFrame, families: DataFrame) -> DataFrame:
     """identity_id, connected_cases (documents of its own and of its families), common_pattern (of its largest family id)."""
-    own = documents.select("identity_id", "document_number", "family_id")
-    real = own.join(families, "family_id").select("identity_id", "family_id", "common_pattern").distinct()
-    siblings = real.select("identity_id", "family_id").join(documents.select("family_id", "document_number"), "family_id").select("identity_id", "document_number")
-    cases = own.select("identity_id", "document_number").unionByName(siblings).distinct().groupBy("identity_id").agg(F.count(F.lit(1)).alias("connected_cases"))
-    patterns = real.groupBy("identity_id").agg(F.max_by("common_pattern", "family_id").alias("common_pattern"))
-    return cases.join(patterns, "identity_id", "left")
+    own = documents.select("identity_id", "document_number", "family_id").distinct().join(families, "family_id", "left")
+    known = F.col("common_pattern").isNotNull()
+    sizes = own.where(known).groupBy("family_id").agg(F.count_distinct("document_number").alias("n"))
+    # a document is in one family, so the counts of an identity's families add up
+    per = own.groupBy("identity_id", F.when(known, F.col("family_id")).alias("family_id")).agg(F.count_distinct("document_number").alias("own"), F.max("common_pattern").alias("common_pattern"))
+    per = per.join(sizes, "family_id", "left")
+    return per.groupBy("identity_id").agg(F.sum(F.coalesce("n", "own")).alias("connected_cases"), F.max_by("common_pattern", "family_id").alias("common_pattern"))
 
 
 def audit_rows(results: DataFrame, id_col: str, outcome_col: str) -> DataFrame:

@@ -79,25 +79,37 @@ def band(score: Column) -> Column:
 
 
 def reasons() -> Column:
-    """The reasons of a row of risk inputs in fixed order, or one sentence for none."""
+    """The reasons of a row of risk inputs in fixed order, or one sentence for none.
+
+    Besides the inputs of ``risk_factors``: tamper_status, tamper_findings, matches (identity_id, similarity; best
+    first), common_pattern and validation_errors (codes).
+    """
+    one = lambda hit, text: F.when(F.coalesce(hit, F.lit(False)), F.array(text if isinstance(text, Column) else F.lit(text)))
+    number = lambda c: F.col(c).cast("string")
+    percent = lambda m: F.bround(m["similarity"] * 100).cast("int").cast("string")
+    pattern = F.when(F.col("common_pattern").isNotNull(), F.concat(F.lit(" (pattern "), F.col("common_pattern"), F.lit(")"))).otherwise("")
     said = [
-        F.when(F.col("tamper_confidence") >= 0.35, "Forensic signals are not clean."),
-        F.when(~F.col("face_match"), "Face similarity is below the threshold."),
-        F.when(F.col("identity_matches") > 0, F.concat(F.lit("Similar identities for review: "), F.col("identity_matches").cast("string"), F.lit("."))),
-        F.when(F.col("status") == "BLACKLISTED", "Document is blacklisted.").when(F.col("status") == "EXPIRED", "Document has expired.").when(F.col("status") == "REVOKED", "Document has been revoked."),
-        F.when(F.col("dna_related") > 0, F.concat(F.lit("Structural pattern shared with documents: "), F.col("dna_related").cast("string"), F.lit("."))),
-        F.when(F.col("connected_cases") > 1, F.concat(F.lit("Connected documents: "), F.col("connected_cases").cast("string"), F.lit("."))),
-        F.when(F.col("checkpoint_alert"), "Pattern seen at several checkpoints."),
-        F.when(~F.col("is_valid"), "Field validation failed."),
+        F.when(F.col("tamper_status") != "CLEAN", F.col("tamper_findings")),
+        one(~F.col("face_match"), "Face similarity is below the threshold."),
+        F.transform("matches", lambda m: F.concat(F.lit("Similar identity "), m["identity_id"].cast("string"), F.lit(" ("), percent(m), F.lit(" %): for review."))),
+        one(F.col("status") == "BLACKLISTED", "Document is blacklisted."),
+        one(F.col("status") == "EXPIRED", "Document has expired."),
+        one(F.col("status") == "REVOKED", "Document has been revoked."),
+        one(F.col("dna_related") > 0, F.concat(F.lit("Structural pattern shared with documents: "), number("dna_related"), F.lit("."))),
+        one(F.col("connected_cases") > 1, F.concat(F.lit("Connected documents: "), number("connected_cases"), pattern, F.lit("."))),
+        one(F.col("checkpoint_alert"), "Pattern seen at several checkpoints."),
+        F.transform("validation_errors", lambda e: F.concat(F.lit("Validation error: "), e, F.lit("."))),
     ]
-    found = F.filter(F.array(*said), lambda x: x.isNotNull())
+    found = F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in said))
     return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise("No significant risk indicators detected.")
 
 
 def forensic_status(rows: DataFrame, with_bias: bool = False) -> DataFrame:
-    """rows (signals ela, edge_density, blur, and bias if asked for) with confidence and status."""
+    """rows (signals ela, edge_density, blur, and bias if asked for) with confidence, status and findings."""
     score = F.when(F.col("ela") > 6, 0.35).otherwise(0.0) + F.when(F.col("edge_density") < 0.02, 0.2).otherwise(0.0) + F.when(F.col("blur") < 50, 0.15).otherwise(0.0)
     if with_bias:
         score = score + F.col("bias") * 0.3
+    said = [F.when(F.col("ela") > 6, "Compression differs across the image."), F.when(F.col("edge_density") < 0.02, "Few edges: smoothed or spliced."), F.when(F.col("blur") < 50, "Little local sharpness: a region may be pasted in.")]
+    rows = rows.withColumn("findings", F.filter(F.array(*said), lambda x: x.isNotNull()))
     rows = rows.withColumn("confidence", F.least(F.bround(score, 2), F.lit(0.99)))
     return rows.withColumn("status", F.when(F.col("confidence") >= 0.7, "TAMPERED").when(F.col("confidence") >= 0.35, "SUSPICIOUS").otherwise("CLEAN"))

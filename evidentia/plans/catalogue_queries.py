@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
 from evidentia.functions.barrier import once
 from evidentia.operators import assemble, extract, registry, rules, scoring, similarity
-from evidentia.plans import screening
+from evidentia.plans import inputs, screening
 from evidentia.sources import domain, sinks
 from evidentia.streaming import checkpoints
 
@@ -113,23 +113,13 @@ def doc_number_format(spark, sf_dir):
     return rules.number_format(_cards(spark, sf_dir).select(F.col("key").alias("doc_id"), _kind().alias("document_type"), number.alias("number")))
 
 
-def _date_texts(spark, sf_dir):
-    """birth, issue, expiry as texts in many layouts, some of them wrong or blank."""
-    c = domain.card_base(spark, sf_dir)
-    k = F.col("key")
-    b = F.when(k % 8 == 0, F.date_format("birth", "yyyy-MM-dd")).when(k % 8 == 1, F.date_format("birth", "d/M/yyyy")).when(k % 8 == 2, F.date_format("birth", "dd-MM-yyyy")).when(k % 8 == 3, F.date_format("birth", "yyyy/MM/dd")).when(k % 8 == 4, F.date_format("birth", "dd.MM.yyyy")).when(k % 8 == 5, "31/02/1995").when(k % 8 == 6, "").otherwise("2035-06-01")
-    i = F.when(k % 5 == 0, "").when(k % 5 == 1, F.date_format(F.date_sub("expiry", 3650), "yyyy-MM-dd")).when(k % 5 == 2, "1940-01-01").when(k % 5 == 3, "2040-02-02").otherwise(F.date_format(F.date_add("expiry", 5), " dd/MM/yyyy "))
-    e = F.when(k % 6 == 0, "not-a-date").when(k % 6 == 1, REF).otherwise(F.date_format("expiry", "yyyy-MM-dd"))
-    return c.select(k.alias("doc_id"), b.alias("birth"), i.alias("issue"), e.alias("expiry"))
-
-
 def date_parse_multi(spark, sf_dir):
     out = lambda c, layouts: F.date_format(dates.parse(F.col(c), layouts), "yyyy-MM-dd")
-    return _date_texts(spark, sf_dir).select("doc_id", out("birth", dates.VISUAL).alias("visual"), out("birth", dates.LOGICAL).alias("logical"), out("issue", dates.FIELDS).alias("field"))
+    return inputs.date_texts(spark, sf_dir).select("doc_id", out("birth", dates.VISUAL).alias("visual"), out("birth", dates.LOGICAL).alias("logical"), out("issue", dates.FIELDS).alias("field"))
 
 
 def date_logic_flags(spark, sf_dir):
-    return rules.date_logic(_date_texts(spark, sf_dir), REF)
+    return rules.date_logic(inputs.date_texts(spark, sf_dir), REF)
 
 
 def _fields(spark, sf_dir):
@@ -181,7 +171,7 @@ def gender_normalise(spark, sf_dir):
 def type_hints_classify(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     kinds = mrz_parse_td3(spark, sf_dir).select(F.col("key").alias("doc_id"), F.when(F.col("key") % 3 == 0, F.col("document_type")).alias("mrz_type"))
-    return extract.classify(lines.where("line_no < 2"), kinds)
+    return extract.classify(lines, kinds)
 
 
 def cross_source_mismatch(spark, sf_dir):
@@ -256,12 +246,7 @@ def coherence_score(spark, sf_dir):
 
 
 def field_validation(spark, sf_dir):
-    c = _cards(spark, sf_dir).join(_date_texts(spark, sf_dir).withColumnRenamed("doc_id", "key").withColumnsRenamed({"birth": "b", "expiry": "e"}), "key")
-    k = F.col("key")
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("Passport", "Aadhaar", "PAN", "National ID", "Visa"))), (k % 5 + 1).cast("int"))
-    number = F.when(k % 5 == 1, F.concat_ws(" ", F.substring("uid", 1, 4), F.substring("uid", 5, 4), F.substring("uid", 9, 4))).when(k % 5 == 2, F.col("pan")).when(k % 5 == 3, F.concat(F.lit("ID-"), F.col("key").cast("string"))).otherwise(F.col("number"))
-    rows = c.select(k.alias("doc_id"), kind.alias("document_type"), F.col("given_names").alias("name"), number.alias("document_number"), F.when(k % 6 != 0, "UTO").alias("nationality"), F.col("b").alias("date_of_birth"), F.col("issue").alias("issue_date"), F.col("e").alias("expiry_date"))
-    return rules.field_validation(rows, REF)
+    return rules.field_validation(inputs.validation_rows(spark, sf_dir), REF)
 
 
 def document_status(spark, sf_dir):
@@ -277,6 +262,10 @@ def fingerprint_similarity(spark, sf_dir):
     return similarity.fingerprint_matches(domain.documents(spark, sf_dir), domain.fingerprints(spark, sf_dir))
 
 
+def fingerprint_profile(spark, sf_dir):
+    return similarity.fingerprint_profile(domain.documents(spark, sf_dir), domain.fingerprints(spark, sf_dir))
+
+
 def _cluster(spark, sf_dir):
     return registry.clusters(domain.identities(spark, sf_dir).select("identity_id"), domain.documents(spark, sf_dir))
 
@@ -311,8 +300,7 @@ def graph_connected_cases(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     v = domain.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("identity_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    queries = v.where("identity_id % 10 = 0").select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec"))
-    return queries, v
+    return v.select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec")), v
 
 
 def identity_topk(spark, sf_dir):
@@ -322,12 +310,12 @@ def identity_topk(spark, sf_dir):
 
 def face_threshold_match(spark, sf_dir):
     queries, candidates = _vectors(spark, sf_dir)
-    return similarity.threshold_matches(queries, candidates.where("identity_id % 10 <> 0"), TOLERANCE)
+    return similarity.threshold_matches(queries.where("query_id % 10 = 0"), candidates.where("identity_id % 10 <> 0"), TOLERANCE)
 
 
 def face_best_match(spark, sf_dir):
     queries, candidates = _vectors(spark, sf_dir)
-    return similarity.best_match(queries, candidates.where("identity_id % 10 <> 0"), TOLERANCE)
+    return similarity.best_match(queries.where("query_id % 10 = 0"), candidates.where("identity_id % 10 <> 0"), TOLERANCE)
 
 
 def hash_pseudo_embedding(spark, sf_dir):
@@ -382,9 +370,7 @@ def self_test_accuracy(spark, sf_dir):
 
 
 def tamper_status(spark, sf_dir):
-    p = domain.table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    rows = p.select(k.alias("image_id"), (k % 13 * 1.0).alias("ela"), (k % 7 * 0.01).alias("edge_density"), (k % 11 * 10.0).alias("blur"), (k % 50 / 50.0).alias("bias"))
+    rows = inputs.signals(spark, sf_dir)
     plain = scoring.forensic_status(rows).select("image_id", "confidence", "status")
     return plain.join(scoring.forensic_status(rows, True).select("image_id", F.col("confidence").alias("biased_confidence"), F.col("status").alias("biased_status")), "image_id")
 

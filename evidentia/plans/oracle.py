@@ -176,35 +176,11 @@ cases AS (SELECT identity_id, count(*) AS connected_cases FROM (SELECT identity_
 vec AS (SELECT vec_id AS identity_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 found AS (SELECT query_id, rank, identity_id, round(greatest(s, 0.0), 4) AS similarity, s >= 0.40 AS requires_review FROM (
     SELECT q.identity_id AS query_id, c.identity_id, list_cosine_similarity(q.v, c.v) AS s, row_number() OVER (PARTITION BY q.identity_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.identity_id) AS rank
-    FROM vec q JOIN vec c ON q.identity_id % 10 = 0 AND q.identity_id <> c.identity_id) WHERE rank <= 3 AND s >= 0.30)"""
+    FROM vec q JOIN vec c ON q.identity_id <> c.identity_id) WHERE rank <= 3 AND s >= 0.30)"""
 
 BYTES = "list_transform(range(32), lambda i: CAST(('0x' || substr(sha256({x}), CAST(i * 2 + 1 AS BIGINT), 2)) AS INTEGER) / 127.5 - 1)"
 FACES = ",\nfaces AS (SELECT c_custkey AS identity_id, " + BYTES.format(x="c_name") + " AS v, " + BYTES.format(x="n_name") + " AS w FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey),\nface AS (SELECT identity_id, v, greatest(0.0, least(0.999, 0.5 + 0.5 * list_cosine_similarity(v, w))) AS s FROM faces)"
 
-RISK = REGISTRY + FACES + f""",
-st AS (SELECT identity_id, arg_max(status, (CASE status WHEN 'BLACKLISTED' THEN 3 WHEN 'EXPIRED' THEN 2 ELSE 1 END) * 1000000000000 + document_number) AS status, count(*) FILTER (expiry_date < {REF}) AS n_warnings FROM docs GROUP BY 1),
-dna AS (SELECT identity_id, count(*) AS dna_related, max(match) AS dna_score FROM matches JOIN docs USING (document_number) GROUP BY 1),
-own AS (SELECT * FROM vec WHERE identity_id IN (SELECT c_custkey FROM customer)),
-best AS (SELECT q.identity_id AS query_id, list_cosine_similarity(q.v, c.v) AS s, row_number() OVER (PARTITION BY q.identity_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.identity_id) AS rank
-    FROM own q JOIN own c ON q.identity_id % 10 = 0 AND q.identity_id <> c.identity_id),
-idm AS (SELECT v.identity_id, count(f.query_id) AS identity_matches FROM own v LEFT JOIN (SELECT query_id FROM best WHERE rank <= 3 AND s >= 0.30) f ON f.query_id = v.identity_id WHERE v.identity_id % 10 = 0 GROUP BY 1),
-r0 AS (SELECT c_custkey AS identity_id, round(s, 6) AS face_similarity, round(s, 6) >= 0.72 AS face_match, status, coalesce(n_warnings, 0) AS n_warnings, c_custkey % 9 <> 0 AS is_valid, c_custkey % 10 / 20.0 AS tamper_confidence,
-    identity_matches, coalesce(dna_related, 0) AS dna_related, coalesce(dna_score, 0.0) AS dna_score, coalesce(alert, false) AS checkpoint_alert, coalesce(connected_cases, 0) AS connected_cases
-  FROM customer JOIN face ON face.identity_id = c_custkey LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN dna ON dna.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey
-    LEFT JOIN alerts ON alerts.identity_id = c_custkey LEFT JOIN cases ON cases.identity_id = c_custkey),
-risk AS (SELECT *, round(least(10.0, (CASE WHEN is_valid THEN 0.0 ELSE 10.0 END) + least(2.0 * n_warnings, 5.0)), 6) AS f_validation, round(tamper_confidence * 20, 6) AS f_tampering,
-    CASE WHEN face_similarity IS NOT NULL THEN round(CASE WHEN face_match THEN 0.0 ELSE 10 * (1 - face_similarity) END, 6) END AS f_face,
-    CASE WHEN identity_matches IS NOT NULL THEN CASE WHEN identity_matches > 0 THEN 20.0 ELSE 0.0 END END AS f_identity,
-    CASE WHEN status IS NOT NULL THEN round(15 * CASE status WHEN 'BLACKLISTED' THEN 1 WHEN 'EXPIRED' THEN 0.4 WHEN 'VALID' THEN 0 ELSE 0.3 END, 6) END AS f_status,
-    round(CASE WHEN dna_related > 0 THEN dna_score / 10 ELSE 0.0 END, 6) AS f_dna, CASE WHEN checkpoint_alert THEN 5.0 ELSE 0.0 END AS f_checkpoint,
-    CASE WHEN connected_cases > 1 THEN least(1.5 * connected_cases, 10.0) ELSE 0.0 END AS f_network FROM r0),
-scored AS (SELECT *, CAST(round_even(least(100.0, round(coalesce(f_validation, 0) + coalesce(f_tampering, 0) + coalesce(f_face, 0) + coalesce(f_identity, 0) + coalesce(f_status, 0) + coalesce(f_dna, 0) + coalesce(f_checkpoint, 0) + coalesce(f_network, 0), 6)), 0) AS INTEGER) AS risk_score,
-    concat_ws(' ', CASE WHEN tamper_confidence >= 0.35 THEN 'Forensic signals are not clean.' END, CASE WHEN NOT face_match THEN 'Face similarity is below the threshold.' END,
-      CASE WHEN identity_matches > 0 THEN 'Similar identities for review: ' || identity_matches || '.' END, CASE status WHEN 'BLACKLISTED' THEN 'Document is blacklisted.' WHEN 'EXPIRED' THEN 'Document has expired.' END,
-      CASE WHEN dna_related > 0 THEN 'Structural pattern shared with documents: ' || dna_related || '.' END, CASE WHEN connected_cases > 1 THEN 'Connected documents: ' || connected_cases || '.' END,
-      CASE WHEN checkpoint_alert THEN 'Pattern seen at several checkpoints.' END, CASE WHEN NOT is_valid THEN 'Field validation failed.' END) AS said FROM risk),
-final AS (SELECT *, CASE WHEN risk_score <= 39 THEN 'LOW' WHEN risk_score <= 74 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, CASE WHEN said = '' THEN 'No significant risk indicators detected.' ELSE said END AS reasons FROM scored)"""
-
 _TD2 = CARDS + f""",
 t0 AS (SELECT key, rpad('I<UTO' || surname || '<<' || given_names, 36, '<') AS l1, substr(mrz2, 1, 28) || '<<<<<<<' AS body FROM cards),
 lines AS (SELECT key, l1, body || {digit("(substr(body,1,10) || substr(body,14,7) || substr(body,22,14))")} AS l2, NULL AS l3 FROM t0)"""
@@ -253,6 +229,45 @@ def _joined(listed) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{x}' END" for c, x in listed) + ")"
 
 
+_VALIDATION = f"WITH {TEXTS}, v AS (SELECT c.key AS doc_id, ['Passport','Aadhaar','PAN','National ID','Visa'][CAST(key % 5 AS INTEGER) + 1] AS document_type, given_names AS name, CASE key % 5 WHEN 1 THEN substr(uid,1,4) || ' ' || substr(uid,5,4) || ' ' || substr(uid,9,4) WHEN 2 THEN pan WHEN 3 THEN 'ID-' || key ELSE number END AS document_number, CASE WHEN key % 6 <> 0 THEN 'UTO' END AS nationality, t.birth AS date_of_birth, t.issue AS issue_date, t.expiry AS expiry_date FROM cards c JOIN texts t ON t.doc_id = c.key), x AS (SELECT *, {day('date_of_birth', FIELDS)} AS b, {day('issue_date', FIELDS)} AS i, {day('expiry_date', FIELDS)} AS e, document_type IN ('Aadhaar', 'PAN') AS few, regexp_replace(document_number, '[ -]', '', 'g') AS num FROM v), y AS (SELECT *, document_type = 'Aadhaar' OR regexp_full_match(num, '[0-9]{{12}}') AS is_uid, document_type = 'PAN' OR regexp_full_match(upper(num), '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS is_pan FROM x), z AS (SELECT doc_id, {_joined(_ERRORS)} AS errors, {_joined(_WARNINGS)} AS warnings FROM y) SELECT doc_id, errors = '' AS is_valid, errors, warnings FROM z"
+_TAMPER = "WITH s AS (SELECT p_partkey AS image_id, (CASE WHEN p_partkey % 13 > 6 THEN 0.35 ELSE 0.0 END) + (CASE WHEN p_partkey % 7 < 2 THEN 0.2 ELSE 0.0 END) + (CASE WHEN p_partkey % 11 < 5 THEN 0.15 ELSE 0.0 END) AS s, (p_partkey % 50) / 50.0 AS bias FROM part), c AS (SELECT image_id, CAST(round_even(CAST(s AS DOUBLE), 2) AS DOUBLE) AS confidence, round_even(CAST(s AS DOUBLE) + bias * 0.3, 2) AS biased_confidence FROM s) SELECT image_id, confidence, CASE WHEN confidence >= 0.7 THEN 'TAMPERED' WHEN confidence >= 0.35 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS status, biased_confidence, CASE WHEN biased_confidence >= 0.7 THEN 'TAMPERED' WHEN biased_confidence >= 0.35 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS biased_status FROM c"
+_FACTORS = "[{'k': 'compression', 'v': p.compression}, {'k': 'dimensions', 'v': p.dimensions}, {'k': 'font', 'v': p.font}, {'k': 'layout', 'v': p.layout}]"
+PROFILE = f"""profile AS (SELECT d.document_number, CASE WHEN p.document_number IS NULL THEN 0.0 ELSE round_even(round(list_avg([x.v for x in {_FACTORS} if x.v IS NOT NULL]) * 100, 6), 1) END AS similarity_score,
+    CASE WHEN p.document_number IS NULL THEN '' ELSE array_to_string([x.k || ' ' || CAST(CAST(round_even(round(x.v * 100, 6), 1) AS DECIMAL(6,1)) AS VARCHAR) for x in {_FACTORS} if x.v IS NOT NULL], ', ') END AS factors, coalesce(n, 0) AS n_related,
+    CASE WHEN p.document_number IS NULL THEN 'No structural fingerprint.' WHEN n > 0 THEN 'Structural pattern shared with documents: ' || n || '.' ELSE 'No document shares the structural pattern.' END AS summary
+  FROM docs d LEFT JOIN prints p ON p.document_number = d.document_number LEFT JOIN (SELECT document_number, count(*) AS n FROM matches GROUP BY 1) m ON m.document_number = d.document_number)"""
+
+RISK = REGISTRY + FACES + f""",
+st0 AS (SELECT identity_id, document_number, status, row_number() OVER (PARTITION BY identity_id ORDER BY CASE status WHEN 'BLACKLISTED' THEN 3 WHEN 'EXPIRED' THEN 2 ELSE 1 END DESC, document_number DESC) AS r FROM docs),
+{PROFILE},
+st AS (SELECT identity_id, status, n_related AS dna_related, similarity_score AS dna_score FROM st0 JOIN profile USING (document_number) WHERE r = 1),
+val AS ({_VALIDATION}),
+tam AS ({_TAMPER}),
+own AS (SELECT * FROM vec WHERE identity_id IN (SELECT c_custkey FROM customer)),
+best AS (SELECT q.identity_id AS query_id, c.identity_id AS other, list_cosine_similarity(q.v, c.v) AS s, row_number() OVER (PARTITION BY q.identity_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.identity_id) AS rank
+    FROM own q JOIN own c ON q.identity_id <> c.identity_id),
+idm AS (SELECT query_id AS identity_id, count(*) AS identity_matches, string_agg('Similar identity ' || other || ' (' || CAST(round_even(round(greatest(s, 0.0), 4) * 100, 0) AS INTEGER) || ' %): for review.', ' ' ORDER BY rank) AS notes
+    FROM best WHERE rank <= 3 AND s >= 0.30 GROUP BY 1),
+r0 AS (SELECT c_custkey AS identity_id, round(s, 6) AS face_similarity, round(s, 6) >= 0.72 AS face_match, coalesce(st.status, 'UNKNOWN') AS status, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ',')) END AS n_warnings, is_valid, errors,
+    confidence AS tamper_confidence, tam.status AS tamper_status, coalesce(identity_matches, 0) AS identity_matches, notes, coalesce(dna_related, 0) AS dna_related, coalesce(dna_score, 0.0) AS dna_score, coalesce(alert, false) AS checkpoint_alert,
+    coalesce(connected_cases, 0) AS connected_cases, common_pattern
+  FROM customer JOIN face ON face.identity_id = c_custkey LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey LEFT JOIN val ON val.doc_id = c_custkey LEFT JOIN tam ON tam.image_id = c_custkey
+    LEFT JOIN alerts ON alerts.identity_id = c_custkey LEFT JOIN cases ON cases.identity_id = c_custkey LEFT JOIN (SELECT identity_id, arg_max(common_pattern, family_id) AS common_pattern FROM real GROUP BY 1) pat ON pat.identity_id = c_custkey),
+risk AS (SELECT *, round(least(10.0, (CASE WHEN is_valid THEN 0.0 ELSE 10.0 END) + least(2.0 * n_warnings, 5.0)), 6) AS f_validation, round(tamper_confidence * 20, 6) AS f_tampering,
+    CASE WHEN face_similarity IS NOT NULL THEN round(CASE WHEN face_match THEN 0.0 ELSE 10 * (1 - face_similarity) END, 6) END AS f_face,
+    CASE WHEN identity_matches > 0 THEN 20.0 ELSE 0.0 END AS f_identity,
+    CASE WHEN status IS NOT NULL THEN round(15 * CASE status WHEN 'BLACKLISTED' THEN 1 WHEN 'EXPIRED' THEN 0.4 WHEN 'VALID' THEN 0 ELSE 0.3 END, 6) END AS f_status,
+    round(CASE WHEN dna_related > 0 THEN dna_score / 10 ELSE 0.0 END, 6) AS f_dna, CASE WHEN checkpoint_alert THEN 5.0 ELSE 0.0 END AS f_checkpoint,
+    CASE WHEN connected_cases > 1 THEN least(1.5 * connected_cases, 10.0) ELSE 0.0 END AS f_network FROM r0),
+scored AS (SELECT *, CAST(round_even(least(100.0, round(coalesce(f_validation, 0) + coalesce(f_tampering, 0) + coalesce(f_face, 0) + coalesce(f_identity, 0) + coalesce(f_status, 0) + coalesce(f_dna, 0) + coalesce(f_checkpoint, 0) + coalesce(f_network, 0), 6)), 0) AS INTEGER) AS risk_score,
+    concat_ws(' ', CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 13 > 6 THEN 'Compression differs across the image.' END, CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 7 < 2 THEN 'Few edges: smoothed or spliced.' END,
+      CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 11 < 5 THEN 'Little local sharpness: a region may be pasted in.' END, CASE WHEN NOT face_match THEN 'Face similarity is below the threshold.' END, notes,
+      CASE status WHEN 'BLACKLISTED' THEN 'Document is blacklisted.' WHEN 'EXPIRED' THEN 'Document has expired.' END, CASE WHEN dna_related > 0 THEN 'Structural pattern shared with documents: ' || dna_related || '.' END,
+      CASE WHEN connected_cases > 1 THEN 'Connected documents: ' || connected_cases || coalesce(' (pattern ' || common_pattern || ')', '') || '.' END, CASE WHEN checkpoint_alert THEN 'Pattern seen at several checkpoints.' END,
+      CASE WHEN errors <> '' THEN array_to_string(list_transform(string_split(errors, ','), lambda e: 'Validation error: ' || e || '.'), ' ') END) AS said FROM risk),
+final AS (SELECT *, CASE WHEN risk_score <= 39 THEN 'LOW' WHEN risk_score <= 74 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, CASE WHEN said = '' THEN 'No significant risk indicators detected.' ELSE said END AS reasons FROM scored)"""
+
+
 ORACLES = {
     "mrz_check_digits": f"WITH {CARDS} SELECT key, CAST({digit('number')} AS INTEGER) AS number_digit, CAST({digit('b')} AS INTEGER) AS birth_digit, CAST({digit('e')} AS INTEGER) AS expiry_digit FROM c1",
     "mrz_parse_td3": f"WITH {CARDS}{TD3_LINES} SELECT * FROM zone",
@@ -273,7 +288,7 @@ ORACLES = {
     "number_fragments": f"WITH {CARDS} SELECT key AS doc_id, uid AS value FROM cards WHERE key % 3 <> 0",
     "name_words_match": f"WITH {CARDS}, n AS (SELECT key, surname || ' ' || given_names AS a, CASE WHEN key % 2 = 0 THEN given_names || ', ' || lower(surname) ELSE surname || '-X' END AS o FROM cards) SELECT key, array_to_string({_words('a')}, ' ') AS words, {_words('a')} = {_words('o')} AS same FROM n",
     "gender_normalise": f"WITH g AS (SELECT c_custkey AS key, [' male','F','fmale','Trans','o','x',''][CAST(c_custkey % 7 AS INTEGER) + 1] AS g FROM customer) SELECT key, {_gender('g')} AS gender FROM g",
-    "type_hints_classify": f"WITH {LINES}, txt AS (SELECT doc_id, lower(string_agg(text, ' ' ORDER BY line_no)) AS txt FROM lines WHERE line_no < 2 GROUP BY 1), h AS ({_HINT_SQL}), b AS (SELECT doc_id, arg_max(t, least(0.7, 0.3 + 0.15 * hits) * 1000 - o) AS t, max(least(0.7, 0.3 + 0.15 * hits)) AS s FROM h WHERE hits > 0 GROUP BY 1) SELECT x.doc_id, CASE WHEN x.doc_id % 3 = 0 THEN 'passport' ELSE coalesce(t, 'unknown') END AS document_type, CASE WHEN x.doc_id % 3 = 0 THEN 0.98 ELSE coalesce(round(least(0.8, s + 0.3), 6), 0.0) END AS confidence FROM txt x LEFT JOIN b ON b.doc_id = x.doc_id",
+    "type_hints_classify": f"WITH {LINES}, txt AS (SELECT doc_id, lower(string_agg(text, ' ' ORDER BY line_no)) AS txt FROM lines GROUP BY 1), h AS ({_HINT_SQL}), b AS (SELECT doc_id, arg_max(t, least(0.7, 0.3 + 0.15 * hits) * 1000 - o) AS t, max(least(0.7, 0.3 + 0.15 * hits)) AS s FROM h WHERE hits > 0 GROUP BY 1) SELECT x.doc_id, CASE WHEN x.doc_id % 3 = 0 THEN 'passport' ELSE coalesce(t, 'unknown') END AS document_type, CASE WHEN x.doc_id % 3 = 0 THEN 0.98 ELSE coalesce(round(least(0.8, s + 0.3), 6), 0.0) END AS confidence FROM txt x LEFT JOIN b ON b.doc_id = x.doc_id",
     "cross_source_mismatch": f"WITH {CARDS}, x AS (SELECT key AS doc_id, {iso('substr(mrz2, 14, 6)', True)} AS mb, {iso('substr(mrz2, 22, 6)', False)} AS me, substr(mrz2, 1, 9) AS mn, strftime(CASE WHEN key % 9 = 0 THEN birth + 1 ELSE birth END, '%Y-%m-%d') AS vb, CASE WHEN key % 8 <> 0 THEN strftime(expiry, '%Y-%m-%d') END AS ve, number AS vn, key % 10 = 0 AS tpl FROM cards) " + rules("x", [("mb <> vb", "cross_source_date_mismatch", "warning", "date_of_birth"), ("me <> ve", "cross_source_date_mismatch", "warning", "date_of_expiry"), ("NOT tpl AND mn <> vn", "cross_source_number_mismatch", "warning", "document_number")]),
     "barcode_reconcile": f"WITH {_QR} " + rules("q", [("signed", "aadhaar_qr_signed_payload", "info", "machine_readable_zone"), (valid("qr_uid"), "aadhaar_qr_checksum_ok", "info", "document_number"), (f"NOT {valid('qr_uid')}", "aadhaar_qr_checksum_failed", "high", "document_number"), ("qr_uid <> replace(number, ' ', '')", "aadhaar_qr_number_mismatch", "high", "document_number"), ("birth <> bd", "aadhaar_qr_dob_mismatch", "warning", "date_of_birth"), (f"{_words('surname')} = {_words('qr_name')}", "aadhaar_qr_name_match", "info", "surname"), (f"{_words('surname')} <> {_words('qr_name')}", "aadhaar_qr_name_mismatch", "warning", "surname"), (f"{_gender('sex')} = {_gender('qr_gender')}", "aadhaar_qr_gender_match", "info", "sex"), (f"{_gender('sex')} <> {_gender('qr_gender')}", "aadhaar_qr_gender_mismatch", "warning", "sex")]),
     "licence_reconcile": "SELECT c_custkey AS doc_id, 'dl_barcode_number_mismatch' AS code, 'high' AS severity, 'document_number' AS field FROM customer WHERE c_custkey % 7 = 0 AND c_custkey <> 0 UNION ALL SELECT c_custkey, 'dl_barcode_number_mismatch', 'high', 'document_number' FROM customer WHERE c_custkey = 0 UNION ALL SELECT c_custkey, 'dl_barcode_dob_mismatch', 'warning', 'date_of_birth' FROM customer WHERE c_custkey % 4 = 0",
@@ -283,7 +298,7 @@ ORACLES = {
     "blacklist_tristate": "SELECT c_custkey AS doc_id, c AS code, CASE WHEN c IN ('blacklist_hit','blacklist_lookup_failed') THEN 'warning' ELSE 'info' END AS severity FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'blacklist_no_identifiers' WHEN c_custkey % 12 = 0 THEN 'blacklist_hit' WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'blacklist_lookup_failed' ELSE 'blacklist_clear' END AS c FROM customer)",
     "flag_ledger_running": f"{ALL_FLAGS} SELECT doc_id, CAST(seq AS INTEGER) AS seq, code, severity, least(60.0, cum) - least(60.0, cum - points) AS deduction, 100 - least(60.0, cum) AS balance FROM (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM flags)",
     "coherence_score": f"{ALL_FLAGS}, f AS (SELECT doc_id, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i, sum(points) AS p FROM flags GROUP BY 1), u AS (SELECT doc_id, count(*) AS u FROM fields WHERE confidence < 0.6 GROUP BY 1), s AS (SELECT d.doc_id, coalesce(h, 0) AS n_high, coalesce(w, 0) AS n_warning, coalesce(i, 0) AS n_info, CAST(least(60.0, coalesce(p, 0)) AS DOUBLE) AS flag_deductions, CAST(least(10.0, 2.0 * coalesce(u, 0)) AS DOUBLE) AS confidence_deductions, CAST(CASE WHEN document_type = 'unknown' THEN 25.0 ELSE 0.0 END AS DOUBLE) AS unknown_penalty FROM docs d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id) SELECT *, CAST(greatest(0.0, 100 - flag_deductions - confidence_deductions - unknown_penalty) AS INTEGER) AS score FROM s",
-    "field_validation": f"WITH {TEXTS}, v AS (SELECT c.key AS doc_id, ['Passport','Aadhaar','PAN','National ID','Visa'][CAST(key % 5 AS INTEGER) + 1] AS document_type, given_names AS name, CASE key % 5 WHEN 1 THEN substr(uid,1,4) || ' ' || substr(uid,5,4) || ' ' || substr(uid,9,4) WHEN 2 THEN pan WHEN 3 THEN 'ID-' || key ELSE number END AS document_number, CASE WHEN key % 6 <> 0 THEN 'UTO' END AS nationality, t.birth AS date_of_birth, t.issue AS issue_date, t.expiry AS expiry_date FROM cards c JOIN texts t ON t.doc_id = c.key), x AS (SELECT *, {day('date_of_birth', FIELDS)} AS b, {day('issue_date', FIELDS)} AS i, {day('expiry_date', FIELDS)} AS e, document_type IN ('Aadhaar', 'PAN') AS few, regexp_replace(document_number, '[ -]', '', 'g') AS num FROM v), y AS (SELECT *, document_type = 'Aadhaar' OR regexp_full_match(num, '[0-9]{{12}}') AS is_uid, document_type = 'PAN' OR regexp_full_match(upper(num), '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS is_pan FROM x), z AS (SELECT doc_id, {_joined(_ERRORS)} AS errors, {_joined(_WARNINGS)} AS warnings FROM y) SELECT doc_id, errors = '' AS is_valid, errors, warnings FROM z",
+    "field_validation": _VALIDATION,
     "document_status": f"WITH {REGISTRY}, k AS (SELECT DISTINCT o_orderkey * 2 AS document_number FROM orders) SELECT k.document_number, coalesce(status, 'UNKNOWN') AS status, CASE WHEN status = 'BLACKLISTED' THEN 'listed: ' || k.document_number END AS detail FROM k LEFT JOIN docs d ON d.document_number = k.document_number",
     "family_members": f"WITH {REGISTRY}, m AS (SELECT family_id, count(*) AS n_members, string_agg(CAST(document_number AS VARCHAR), ',' ORDER BY document_number) AS members FROM docs WHERE family_id IS NOT NULL GROUP BY 1) SELECT document_number, family_id, common_pattern, n_members, members FROM docs JOIN fam USING (family_id) JOIN m USING (family_id)",
     "fingerprint_similarity": f"WITH {REGISTRY} SELECT * FROM matches WHERE match IS NOT NULL",
@@ -297,6 +312,7 @@ ORACLES = {
     "face_threshold_match": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT p.vec_id AS probe_id, coalesce(CAST(k.vec_id AS VARCHAR), 'unknown') AS known_id, round(list_distance(p.v, k.v), 6) AS distance FROM (SELECT * FROM v WHERE vec_id % 10 = 0) p LEFT JOIN v k ON k.vec_id % 10 <> 0 AND list_distance(p.v, k.v) <= 1.25",
     "face_best_match": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT p.vec_id AS probe_id, k.vec_id, list_distance(p.v, k.v) AS d FROM v p JOIN v k ON p.vec_id % 10 = 0 AND k.vec_id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS r FROM d) SELECT probe_id, CASE WHEN d <= 1.25 THEN CAST(vec_id AS VARCHAR) ELSE 'unknown' END AS known_id, round(d, 6) AS distance FROM r WHERE r = 1",
     "hash_pseudo_embedding": f"WITH {FACES[2:]} SELECT identity_id, round(v[1], 6) AS first, round(list_sum(v), 6) AS total, round(s, 6) AS score, s >= 0.72 AS match FROM face",
+    "fingerprint_profile": f"WITH {REGISTRY}, {PROFILE} SELECT * FROM profile",
     "risk_factors": f"WITH {RISK} SELECT identity_id, f_validation, f_tampering, f_face, f_identity, f_status, f_dna, f_checkpoint, f_network FROM risk",
     "risk_score_band": f"WITH {RISK} SELECT identity_id, risk_score, risk_level FROM final",
     "reasons_list": f"WITH {RISK} SELECT identity_id, reasons FROM final",
@@ -305,7 +321,7 @@ ORACLES = {
     "audit_recent": "SELECT event_id, user_id AS identity_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
     "officer_decision_latest": "WITH d AS (SELECT user_id, ['CLEARED','SECONDARY_INSPECTION','DENIED'][CAST(event_id % 3 AS INTEGER) + 1] AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type <> 'view') SELECT c_custkey AS verification_id, decision, coalesce(n, 0) AS n_decisions FROM customer LEFT JOIN d ON user_id = c_custkey AND r = 1",
     "self_test_accuracy": "WITH t AS (SELECT string_split(p_type, ' ')[1] AS manipulation_type, (p_partkey * 37 % 600) / 10 + 40 AS confidence, p_size % 5 <> 0 AS expected FROM part) SELECT manipulation_type, count(*) AS n, count(*) FILTER (expected = (confidence >= 70)) AS n_correct, round(avg(confidence), 6) AS mean_confidence FROM t GROUP BY 1",
-    "tamper_status": "WITH s AS (SELECT p_partkey AS image_id, (CASE WHEN p_partkey % 13 > 6 THEN 0.35 ELSE 0.0 END) + (CASE WHEN p_partkey % 7 < 2 THEN 0.2 ELSE 0.0 END) + (CASE WHEN p_partkey % 11 < 5 THEN 0.15 ELSE 0.0 END) AS s, (p_partkey % 50) / 50.0 AS bias FROM part), c AS (SELECT image_id, CAST(round_even(CAST(s AS DOUBLE), 2) AS DOUBLE) AS confidence, round_even(CAST(s AS DOUBLE) + bias * 0.3, 2) AS biased_confidence FROM s) SELECT image_id, confidence, CASE WHEN confidence >= 0.7 THEN 'TAMPERED' WHEN confidence >= 0.35 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS status, biased_confidence, CASE WHEN biased_confidence >= 0.7 THEN 'TAMPERED' WHEN biased_confidence >= 0.35 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS biased_status FROM c",
+    "tamper_status": _TAMPER,
     "kpi_rollup": f"WITH {REGISTRY} SELECT CAST(year(issue_date) AS INTEGER) AS year, status, count(*) AS n, count(family_id) AS n_in_family FROM docs GROUP BY ROLLUP (year(issue_date), status)",
     "kpi_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS checkpoint, count(*) AS n, count(*) FILTER (value >= 60) AS n_risky FROM events GROUP BY 1, 2",
     "session_activity": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS n_events FROM h GROUP BY user_id, k",

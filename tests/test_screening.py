@@ -17,6 +17,6 @@ def test_every_identity_with_a_vector_is_searched(spark):
     np.fill_diagonal(near, -1)
     want = {i: min(3, int(n)) for i, n in zip(ids, (near >= screening.SHOW).sum(1))}
     rows = screening.risk_rows(spark, SF).select("identity_id", "identity_matches", "f_identity").collect()
-    assert {r.identity_id: r.identity_matches for r in rows if r.identity_matches is not None} == want
-    assert all((r.f_identity is not None) == (r.identity_id in want) for r in rows)
+    assert {r.identity_id: r.identity_matches for r in rows} == {r.identity_id: want.get(r.identity_id, 0) for r in rows}
+    assert all(r.f_identity == (20 if want.get(r.identity_id) else 0) for r in rows)
     assert {i % 10 for i in want} == set(range(10))
