@@ -47,6 +47,6 @@ def upload_gate(files: DataFrame) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, modificationTime and the gate's columns of a folder's files, newest first by sorting on the time. Spark's reader lists no file of length 0."""
+    """path, length, modificationTime and the gate's columns of a folder's files, newest first. Spark's reader lists no file of length 0."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime", F.substring("content", 1, 8).alias("head"))
-    return upload_gate(files).drop("head")
+    return upload_gate(files).drop("head").orderBy(F.desc("modificationTime"), "path")

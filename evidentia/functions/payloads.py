@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The attributes of an identity payload.
-ATTRIBUTES = ["uid", "name", "gender", "yob", "dob", "co", "house", "street", "lm", "loc", "vtc", "subdist", "dist", "state", "pc"]
+ATTRIBUTES = ["uid", "name", "gender", "yob", "dob", "phone", "email", "co", "house", "street", "lm", "loc", "vtc", "subdist", "dist", "state", "pc"]
 #: Inflated payloads above this size are taken as garbage.
 MAX_BYTES = 1 << 16
 
@@ -24,9 +24,11 @@ def _text(raw: bytes | None) -> str | None:
         if form.lstrip()[:1] == b"<":
             return form.decode("utf-8", "replace")
         try:
-            out = zlib.decompressobj().decompress(form, MAX_BYTES)
+            out = zlib.decompressobj().decompress(form, MAX_BYTES + 1)
         except zlib.error:
             continue
+        if len(out) > MAX_BYTES:
+            return None
         if out.lstrip()[:1] == b"<":
             return out.decode("utf-8", "replace")
     return None
@@ -45,6 +47,16 @@ def payload_text(raw: pd.Series) -> pd.Series:
     return raw.map(_text)
 
 
+def json_vector(text: Column) -> Column:
+    """A JSON array of numbers; null for anything else."""
+    return F.from_json(F.when(F.trim(text).startswith("["), text), "array<double>")
+
+
+def json_factors(text: Column) -> Column:
+    """A JSON object of numbers as a map; null for anything else."""
+    return F.from_json(F.when(F.trim(text).startswith("{"), text), "map<string,double>")
+
+
 def attribute(markup: Column, name: str) -> Column:
     found = F.regexp_extract(markup, rf"""\b{name}\s*=\s*["']([^"']*)["']""", 1)
     child = F.regexp_extract(markup, rf"<{name}>([^<]*)</{name}>", 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Same-line patterns and the field each gives, in order; the first that matches on the first line wins.
@@ -10,20 +10,37 @@ SAME_LINE = [
     (r"(?i)\b([0-9]{12})\b", "document_number"),
     (r"(?i)document\s*no\.?\s*[:#-]*\s*([A-Z0-9]{5,20})", "document_number"),
     (r"(?i)\b([0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4})\b", "document_number"),
-    (r"(?i)\b([A-Z]{5}[0-9]{4}[A-Z])\b", "document_number"),
-    (r"(?i)(?:date\s*[o0]\s*f\s*birth|dob|d0b)\s*[:#-]*\s*([0-9./-]{8,10})", "date_of_birth"),
-    (r"(?i)(?:date\s*of\s*(?:expiry|expiration)|valid\s*(?:till|until|through))\s*[:#-]*\s*([0-9./-]{8,10})", "date_of_expiry"),
-    (r"(?i)(?:issue(?:d|date)?|date\s*of\s*issue)\s*[:#-]*\s*([0-9./-]{8,10})", "issue_date"),
-    (r"(?i)^\s*(?:name|full\s*name)\s*[:#-]*\s*([A-Z][A-Z\s.]{2,40})", "surname"),
+    (r"(?i)aadhaar(?:\s*(?:number|no\.?|uid))?\s*[:#-]*\s*([0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4})", "document_number"),
+    (r"(?i)permanent\s+account\s+(?:number|no\.?)\s*[:#-]*\s*([A-Z]{5}\d{4}[A-Z])", "document_number"),
+    (r"(?i)\b([A-Z]{5}\d{4}[A-Z])\b", "document_number"),
+    (r"(?i)(?:licence|license)\s*(?:no\.?|number)?\s*[:#-]*\s*([A-Z]{2}\d{2}\d{7,11})", "document_number"),
+    (r"(?i)\b([A-Z]{2}\d{2}\d{7,11})\b", "document_number"),
+    (r"(?i)(?:date\s*[o0]\s*f\s*birth|dob|d0b)\s*[:#-]*\s*([0-9-./]{8,10})", "date_of_birth"),
+    (r"(?i)(?:date\s*of\s*(?:expiry|expiration)|valid\s*(?:till|until|through))\s*[:#-]*\s*([0-9-./]{8,10})", "date_of_expiry"),
+    (r"(?i)(?:issue(?:d|date)?|date\s*of\s*issue)\s*[:#-]*\s*([0-9-./]{8,10})", "issue_date"),
+    (r"(?im)^\s*(?:name|full\s*name)\s*[:#-]*\s*([A-Z][A-Z\s.]{2,40})", "surname"),
     (r"(?i)(?:sex|gender)\s*[:#-]*\s*(male|female|M|F)\b", "sex"),
+    (r"(?i)^\s*((?:male|female))\b", "sex"),
 ]
-# Labels that stand on a line of their own, the field, and the shape of its value on a following line.
-NEXT_LINE = [
-    (r"(?i)^\s*(?:name|full\s*name)\s*[:#-]*\s*$", "surname", r"^[A-Za-z][A-Za-z .]{1,40}$"),
-    (r"(?i)^\s*(?:dob|date\s*[o0]\s*f\s*birth)\s*[:#-]*\s*$", "date_of_birth", r"^[0-9./-]{8,10}$"),
-    (r"(?i)^\s*(?:sex|gender)\s*[:#-]*\s*$", "sex", r"(?i)^(male|female|m|f)$"),
-    (r"(?i)^\s*document\s*no\.?\s*[:#-]*\s*$", "document_number", r"^[A-Z0-9 ]{5,20}$"),
+# Labels whose value follows on a later line, the field, and whether it comes in fragments.
+LABELS = [
+    (r"(?im)^\s*(?:name|full\s*name)\b", "surname", False),
+    (r"(?im)^\s*(?:dob|date\s*[o0]\s*f\s*birth)\b", "date_of_birth", False),
+    (r"(?im)^\s*(?:sex|gender)\b", "sex", False),
+    (r"(?im)^\s*(?:your\s+aadhaar\s*number|aadhaar(?:\s*(?:number|no\.?|uid))?)\b", "document_number", True),
+    (r"(?im)^\s*document\s*no\.?\b", "document_number", False),
+    (r"(?im)^\s*(?:date\s*of\s*(?:expiry|expiration)|valid\s*(?:till|until|through))\b", "date_of_expiry", False),
 ]
+# What a following line must look like for a field; any line will do for the others.
+VALUE_SHAPES = {
+    "date_of_birth": r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|^\s*\d{4}\s*$",
+    "date_of_expiry": r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}",
+    "sex": r"(?i)^(?:male|female|transgender)$",
+    "document_number": r"(?:[A-Z0-9][^A-Z0-9]*){4}",
+}
+# Words of the one kind of document that prints a name without a label, and how lines begin that are none.
+UNLABELLED = ("aadhaar", "uidai", "unique identification")
+NOT_A_NAME = r"(?i)^(?:aadhaar|it|or|authentication|and|government|unique|date|this|proof)"
 # Keywords that hint at a document type, in the order that settles ties.
 HINTS = {
     "aadhaar": ["aadhaar", "unique identification", "uidai", "unique identification authority", "government of india"],
@@ -65,37 +82,103 @@ def mrz_block(lines: DataFrame) -> DataFrame:
     return best.select("doc_id", "b.fmt", "b.line_no", "b.relaxed", "b.l1", "b.l2", "b.l3")
 
 
+def _sure(lines: DataFrame) -> DataFrame:
+    """``lines`` with text, confidence (1 unless given) and x (0 unless given)."""
+    given = lambda c, x: F.coalesce(F.col(c).cast("double"), F.lit(x)) if c in lines.columns else F.lit(x)
+    return lines.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("text"), given("confidence", 1.0).alias("confidence"), given("x", 0.0).alias("x"))
+
+
+def _bare(value: Column) -> Column:
+    return F.regexp_replace(value, "[^A-Z0-9]", "")
+
+
 def same_line_fields(lines: DataFrame) -> DataFrame:
-    """doc_id, name, value: for each field the first match by line, then pattern. A line tries all patterns at once."""
-    tries = F.array(*(F.struct(F.lit(k).alias("pattern_no"), F.lit(name).alias("name"), F.trim(F.regexp_extract("text", p, 1)).alias("value")) for k, (p, name) in enumerate(SAME_LINE)))
-    found = lines.select("doc_id", "line_no", F.explode(F.filter(tries, lambda x: x["value"] != "")).alias("m"))
-    first = found.groupBy("doc_id", "m.name").agg(F.min(F.struct("line_no", "m.pattern_no", "m.value")).alias("b"))
-    return first.select("doc_id", "name", "b.value")
+    """doc_id, name, value, confidence: for each field the first match by line, then pattern; numbers without separators."""
+    tries = []
+    for k, (p, name) in enumerate(SAME_LINE):
+        found = F.regexp_extract("text", p, 1)
+        value = _bare(found) if name == "document_number" else found
+        tries.append(F.when(found != "", F.struct(F.lit(k).alias("pattern_no"), F.lit(name).alias("name"), value.alias("value"))))
+    found = _sure(lines).select("doc_id", "line_no", "confidence", F.explode(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("m"))
+    first = found.groupBy("doc_id", "m.name").agg(F.min(F.struct("line_no", "m.pattern_no", "m.value", "confidence")).alias("b"))
+    return first.select("doc_id", "name", "b.value", "b.confidence")
+
+
+def _is_label(text: Column) -> Column:
+    out = F.lit(False)
+    for label, _, _ in LABELS:
+        out = out | text.rlike(label)
+    return out
+
+
+def _followed(lines: DataFrame) -> DataFrame:
+    """Lines with stop_at, the next line that is blank or a label, and next_<field>, the next one with that field's shape."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    rows = _sure(lines).withColumn("text", F.trim("text"))
+    fits = {name: F.col("text").rlike(VALUE_SHAPES[name]) if name in VALUE_SHAPES else F.lit(True) for _, name, multi in LABELS if not multi}
+    here = F.struct("line_no", F.col("text").alias("value"), "confidence")
+    ends = (F.col("text") == "") | _is_label(F.col("text"))
+    rows = rows.withColumn("stop_at", F.min(F.when(ends, F.col("line_no"))).over(after))
+    return rows.withColumns({f"next_{name}": F.min(F.when(ok, here)).over(after) for name, ok in fits.items()} | {"ends": ends})
+
+
+def _label_candidates(lines: DataFrame) -> DataFrame:
+    """doc_id, name, line_no and pattern_no of the label, value, confidence."""
+    near = lambda name: F.col(f"next_{name}.line_no") < F.coalesce("stop_at", F.lit(2**31 - 1))
+    tries = [F.when(F.col("text").rlike(label) & near(name), F.struct(F.lit(k).alias("pattern_no"), F.lit(name).alias("name"), F.col(f"next_{name}.value").alias("value"), F.col(f"next_{name}.confidence").alias("confidence"))) for k, (label, name, multi) in enumerate(LABELS) if not multi]
+    found = _followed(lines).select("doc_id", "line_no", F.explode(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("m"))
+    return found.select("doc_id", "m.name", "line_no", "m.pattern_no", "m.value", "m.confidence")
 
 
 def next_line_fields(lines: DataFrame) -> DataFrame:
-    """doc_id, name, value: the value of a label that stands alone, on the line after it, where it has the right shape."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.withColumn("after", F.trim(F.lead("text").over(order)))
-    tries = F.array(*(F.when(F.col("text").rlike(label) & F.col("after").rlike(shape), F.struct(F.lit(name).alias("name"), F.col("after").alias("value"))) for label, name, shape in NEXT_LINE))
-    found = rows.select("doc_id", "line_no", F.explode(F.filter(tries, lambda x: x.isNotNull())).alias("m"))
-    first = found.groupBy("doc_id", "m.name").agg(F.min(F.struct("line_no", "m.value")).alias("b"))
-    return first.select("doc_id", "name", "b.value")
+    """doc_id, name, value, confidence: of each field's first label that has one, the first later line of the right shape.
+
+    Other tokens beside the value are passed over; a blank line or another label ends the search.
+    """
+    first = _label_candidates(lines).groupBy("doc_id", "name").agg(F.min(F.struct("line_no", "pattern_no", "value", "confidence")).alias("b"))
+    return first.select("doc_id", "name", "b.value", "b.confidence")
 
 
-def number_fragments(lines: DataFrame, label: str = r"(?i)^\s*(?:your\s+)?aadhaar(?:\s*(?:number|no\.?|uid))?\b") -> DataFrame:
-    """doc_id, value: a 12-digit number in fragments on the lines after its label, joined by their left edge ``x``.
+def number_fragments(lines: DataFrame, pattern_no: int = 3) -> DataFrame:
+    """doc_id, line_no (of the label), value, confidence: a number in fragments on the lines after its label, by their left edge ``x``.
 
-    Fragments are taken until they have 12 digits together; a line without digits ends them.
+    The line after the label must have digits; lines are taken until they have 12 together, a blank line or another
+    label comes.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    digits = F.regexp_replace("text", "[^0-9]", "")
-    starts = F.min(F.when(F.col("text").rlike(label), F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    rows = lines.withColumns({"digits": digits, "start": starts}).where(F.col("line_no") > F.col("start"))
-    rows = rows.withColumn("ended", F.max((F.col("digits") == "").cast("int")).over(order))
-    rows = rows.where("ended = 0").withColumn("before", F.sum(F.length("digits")).over(order) - F.length("digits")).where("before < 12")
-    out = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("x", "line_no", "digits"))).alias("parts"))
-    return out.select("doc_id", F.array_join(F.transform("parts", lambda p: p["digits"]), "").alias("value")).where(F.length("value") == 12)
+    doc = Window.partitionBy("doc_id")
+    rows = _sure(lines).withColumn("text", F.trim("text"))
+    rows = rows.withColumns({"digits": F.length(F.regexp_replace("text", "[^0-9]", "")), "ends": (F.col("text") == "") | _is_label(F.col("text"))})
+    begins = F.col("text").rlike(LABELS[pattern_no][0]) & (F.lead("digits").over(order) > 0) & ~F.lead("ends").over(order)
+    rows = rows.withColumn("begins", F.coalesce(begins, F.lit(False)))
+    rows = rows.withColumn("start", F.min(F.when(F.col("begins"), F.struct("line_no", "confidence"))).over(doc)).where(F.col("line_no") > F.col("start.line_no"))
+    rows = rows.withColumns({"ended": F.max(F.col("ends").cast("int")).over(order), "before": F.sum("digits").over(order) - F.col("digits")}).where("ended = 0 AND before < 12")
+    out = rows.groupBy("doc_id", F.col("start.line_no").alias("line_no")).agg(F.sort_array(F.collect_list(F.struct("x", "line_no", "text"))).alias("parts"), F.least(F.min("confidence"), F.min("start.confidence")).alias("confidence"))
+    return out.select("doc_id", "line_no", F.array_join(F.transform("parts", lambda p: _bare(p["text"])), "").alias("value"), "confidence")
+
+
+def unlabelled_names(lines: DataFrame) -> DataFrame:
+    """doc_id, name (surname), value, confidence: the first line of two to six words that can be a name, where no label is printed."""
+    text = F.trim("text")
+    word = lambda t: F.exists(F.array(*(F.lit(w) for w in UNLABELLED)), lambda w: F.contains(F.lower(t), w))
+    rows = _sure(lines).select("doc_id", "line_no", text.alias("value"), "confidence", word(F.col("text")).alias("context"))
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), " ").alias("t"))
+    of = whole.where(word(F.col("t"))).select("doc_id")
+    v = F.col("value")
+    fits = v.rlike(r"^\p{Lu}\p{L}*(?:\s+\p{L}+){1,5}$") & ~v.rlike(NOT_A_NAME) & ~_is_label(v) & ~F.col("context")
+    first = rows.where(fits).join(of, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("line_no", "value", "confidence")).alias("b"))
+    return first.select("doc_id", F.lit("surname").alias("name"), "b.value", "b.confidence")
+
+
+def recognise(lines: DataFrame) -> DataFrame:
+    """doc_id, name, value, confidence: values beside their label first, then on later lines, then names without a label."""
+    same = same_line_fields(lines)
+    fragments = number_fragments(lines).select("doc_id", F.lit("document_number").alias("name"), "line_no", F.lit(3).alias("pattern_no"), "value", "confidence")
+    later = _label_candidates(lines).unionByName(fragments).groupBy("doc_id", "name").agg(F.min(F.struct("line_no", "pattern_no", "value", "confidence")).alias("b"))
+    later = later.select("doc_id", "name", "b.value", "b.confidence")
+    ranked = same.withColumn("way", F.lit(0)).unionByName(later.withColumn("way", F.lit(1))).unionByName(unlabelled_names(lines).withColumn("way", F.lit(2)))
+    return ranked.groupBy("doc_id", "name").agg(F.min(F.struct("way", "value", "confidence")).alias("b")).select("doc_id", "name", "b.value", "b.confidence")
 
 
 def classify(lines: DataFrame, mrz_types: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Rules turn field maps into evidence flags, one row each: doc_id, code, severity, field. Flags are never verdicts.
+"""Rules turn field maps into evidence flags, one row each: doc_id, code, severity, field, and seq, the rule's place in its family.
+
+Flags are never verdicts. ``in_order`` numbers the flags of several families as the ledger takes them.
 
 Fields come in long form: (doc_id, document_type, name, value, source, confidence); a blank value counts as missing.
 """
@@ -7,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import checkdigits, dates, text
@@ -27,25 +29,26 @@ REQUIRED = {
     "residence_permit": ["document_number", "surname", "date_of_birth", "date_of_expiry"],
 }
 ANCHORS = {"passport": "mrz", "id_card": "mrz", "residence_permit": "mrz", "aadhaar": "aadhaar_qr", "driving_license": "dl_barcode"}
+# The letters that stand for a holder's status.
 PAN_STATUS = "CPHFATBLJG"
 
 
 def flags(rows: DataFrame, rules: list[tuple[Column, str | Column, str | Column, str | Column]], key: str = "doc_id") -> DataFrame:
-    """(key, code, severity, field) of each rule (condition, code, severity, field) that holds, from one pass over the rows."""
+    """(key, code, severity, field, seq) of each rule (condition, code, severity, field) that holds, from one pass over the rows."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     every = F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(k).alias("seq"), as_column(c).alias("code"), as_column(s).alias("severity"), as_column(f).alias("field"))) for k, (hit, c, s, f) in enumerate(rules)))
     found = F.filter(every, lambda x: x.isNotNull())
-    return rows.select(key, F.explode(found).alias("f")).select(key, "f.code", "f.severity", "f.field")
+    return rows.select(key, F.explode(found).alias("f")).select(key, "f.code", "f.severity", "f.field", "f.seq")
 
 
 def required_fields(docs: DataFrame, fields: DataFrame) -> DataFrame:
     """docs: doc_id, document_type, side. A back side of an aadhaar card requires nothing."""
     spark = docs.sparkSession
-    needed = spark.createDataFrame([(t, n) for t, names in REQUIRED.items() for n in names], "document_type string, name string")
+    needed = spark.createDataFrame([(t, n, k) for t, names in REQUIRED.items() for k, n in enumerate(names)], "document_type string, name string, seq int")
     asked = docs.where(~((F.col("document_type") == "aadhaar") & (F.col("side") == "back"))).join(F.broadcast(needed), "document_type")
     present = fields.where(F.trim("value") != "").select("doc_id", "name")
     missing = asked.join(present, ["doc_id", "name"], "left_anti")
-    return missing.select("doc_id", F.lit("missing_required_field").alias("code"), F.lit(WARNING).alias("severity"), F.col("name").alias("field"))
+    return missing.select("doc_id", F.lit("missing_required_field").alias("code"), F.lit(WARNING).alias("severity"), F.col("name").alias("field"), "seq")
 
 
 def number_format(rows: DataFrame) -> DataFrame:
@@ -161,21 +164,52 @@ def secure_anchor(docs: DataFrame, channels: DataFrame) -> DataFrame:
     lacking = docs.join(F.broadcast(wanted), "document_type").join(channels, ["doc_id", "channel"], "left_anti")
     front = (F.col("document_type") == "aadhaar") & (F.col("side") == "front")
     code, severity = F.when(front, "anchor_not_verifiable").otherwise("secure_anchor_missing"), F.when(front, INFO).otherwise(WARNING)
-    return lacking.select("doc_id", code.alias("code"), severity.alias("severity"), F.lit("machine_readable_zone").alias("field"))
+    return lacking.select("doc_id", code.alias("code"), severity.alias("severity"), F.lit("machine_readable_zone").alias("field"), F.lit(0).alias("seq"))
+
+
+IDENTIFIERS = ["number", "surname", "given_names"]
+
+
+def _identifier_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each choice of the identifiers they have: mask (those they have), chosen, and the values as a key."""
+    held = [c for c in IDENTIFIERS if c in rows.columns]
+    value = {c: F.nullif(F.upper(F.trim(F.col(c))), F.lit("")) for c in held}
+    mask = sum((F.when(value[c].isNotNull(), 1 << IDENTIFIERS.index(c)).otherwise(0) for c in held), F.lit(0))
+    choices = []
+    for chosen in range(1, 1 << len(IDENTIFIERS)):
+        mine = [c for k, c in enumerate(IDENTIFIERS) if chosen >> k & 1]
+        if set(mine) <= set(held):
+            choices.append(F.when(mask.bitwiseAND(F.lit(chosen)) == chosen, F.struct(F.lit(chosen).alias("chosen"), F.array(*(value[c] for c in mine)).alias("key"))))
+    return rows.withColumn("mask", mask).withColumn("k", F.explode_outer(F.filter(F.array(*choices), lambda x: x.isNotNull()))).select("*", "k.chosen", "k.key")
 
 
 def blacklist(rows: DataFrame, listing: DataFrame | None) -> DataFrame:
-    """rows: doc_id, number, surname; listing: number, surname, listed (true, false, or null where the source failed); None: no source."""
-    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    nothing = blank("number") & blank("surname")
+    """rows: doc_id and of number, surname, given_names what there is; listing: the same and listed (true, false, or null where the source failed); None: no source.
+
+    A row and a listed record meet in the identifiers that both have, one at least, and agree in all of these.
+    """
     if listing is None:
-        code = F.lit("blacklist_not_configured")
-    else:
-        seen = listing.groupBy("number", "surname").agg(F.max("listed").alias("listed"), F.max(F.col("listed").isNull()).alias("failed"))
-        rows = rows.join(seen, ["number", "surname"], "left")
-        code = F.when(nothing, "blacklist_no_identifiers").when(F.col("listed"), "blacklist_hit").when(F.col("failed"), "blacklist_lookup_failed").otherwise("blacklist_clear")
+        return rows.select("doc_id", F.lit("blacklist_not_configured").alias("code"), F.lit(INFO).alias("severity"))
+    known = _identifier_keys(listing).where(F.col("chosen").isNotNull()).groupBy("mask", "chosen", "key").agg(F.max("listed").alias("listed"), F.max(F.col("listed").isNull()).alias("failed"))
+    known = known.select(F.col("mask").alias("theirs"), "chosen", "key", "listed", "failed")
+    asked = _identifier_keys(rows).select("doc_id", "mask", "chosen", "key")
+    met = F.col("mask").bitwiseAND(F.col("theirs")) == F.col("chosen")
+    hits = asked.join(known, ["chosen", "key"], "left").groupBy("doc_id").agg(F.max("mask").alias("mask"), F.max(F.when(met, F.col("listed"))).alias("listed"), F.max(F.when(met, F.col("failed"))).alias("failed"))
+    code = F.when(F.col("mask") == 0, "blacklist_no_identifiers").when(F.col("listed"), "blacklist_hit").when(F.col("failed"), "blacklist_lookup_failed").otherwise("blacklist_clear")
     severity = F.when(code.isin("blacklist_hit", "blacklist_lookup_failed"), WARNING).otherwise(INFO)
-    return rows.select("doc_id", code.alias("code"), severity.alias("severity"))
+    return hits.select("doc_id", code.alias("code"), severity.alias("severity"))
+
+
+def in_order(families: list[DataFrame]) -> DataFrame:
+    """doc_id, seq from 1, code, severity, field of all flags: family by family, and a family's by its rules' order."""
+    every = None
+    for k, rows in enumerate(families):
+        rule = F.col("seq") if "seq" in rows.columns else F.lit(0)
+        field = F.col("field") if "field" in rows.columns else F.lit(None).cast("string")
+        part = rows.select("doc_id", "code", "severity", field.alias("field"), F.lit(k).alias("family"), rule.alias("rule"))
+        every = part if every is None else every.unionByName(part)
+    order = Window.partitionBy("doc_id").orderBy("family", "rule", "code", "field")
+    return every.select("doc_id", F.row_number().over(order).alias("seq"), "code", "severity", "field")
 
 
 # Number patterns of the field validator by type name.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
@@ -98,7 +98,7 @@ def verhoeff_generate(spark, sf_dir):
 
 def pan_structure(spark, sf_dir):
     c = _cards(spark, sf_dir).select(F.col("key").alias("doc_id"), F.when(F.col("key") % 17 == 0, F.substring("pan", 1, 8)).otherwise(F.col("pan")).alias("number"), F.when(F.col("key") % 4 == 0, "quartz").otherwise("Customer Person").alias("surname"))
-    return rules.pan_structure(c)
+    return rules.pan_structure(c).drop("seq")
 
 
 _KINDS = ("passport", "aadhaar", "pan_card", "driving_license", "voter_id", "id_card", "national_id", "residence_permit", "unknown")
@@ -110,7 +110,7 @@ def _kind(key="key"):
 
 def doc_number_format(spark, sf_dir):
     number = F.when(F.col("key") % 4 == 0, F.col("uid")).when(F.col("key") % 4 == 1, F.col("pan")).when(F.col("key") % 4 == 2, F.concat(F.col("number"), F.lit("<<"))).otherwise("?")
-    return rules.number_format(_cards(spark, sf_dir).select(F.col("key").alias("doc_id"), _kind().alias("document_type"), number.alias("number")))
+    return rules.number_format(_cards(spark, sf_dir).select(F.col("key").alias("doc_id"), _kind().alias("document_type"), number.alias("number"))).drop("seq")
 
 
 def date_parse_multi(spark, sf_dir):
@@ -119,7 +119,7 @@ def date_parse_multi(spark, sf_dir):
 
 
 def date_logic_flags(spark, sf_dir):
-    return rules.date_logic(inputs.date_texts(spark, sf_dir), REF)
+    return rules.date_logic(inputs.date_texts(spark, sf_dir), REF).drop("seq")
 
 
 def _fields(spark, sf_dir):
@@ -137,15 +137,19 @@ def _docs(spark, sf_dir):
 
 
 def required_field_flags(spark, sf_dir):
-    return rules.required_fields(_docs(spark, sf_dir), _fields(spark, sf_dir))
+    return rules.required_fields(_docs(spark, sf_dir), _fields(spark, sf_dir)).drop("seq")
 
 
 def visual_extract_labels(spark, sf_dir):
-    return extract.same_line_fields(_lines(spark, sf_dir))
+    return extract.same_line_fields(_lines(spark, sf_dir)).drop("confidence")
 
 
 def visual_next_line_value(spark, sf_dir):
-    return extract.next_line_fields(_lines(spark, sf_dir))
+    return extract.next_line_fields(_lines(spark, sf_dir)).drop("confidence")
+
+
+def visual_recogniser(spark, sf_dir):
+    return extract.recognise(_lines(spark, sf_dir)).drop("confidence")
 
 
 def number_fragments(spark, sf_dir):
@@ -153,7 +157,7 @@ def number_fragments(spark, sf_dir):
     uid = F.col("uid")
     parts = F.array(F.struct(F.lit("Aadhaar number").alias("text"), F.lit(0.0).alias("x")), *(F.struct(t.alias("text"), F.lit(x).alias("x")) for t, x in ((F.substring(uid, 5, 4), 0.5), (F.substring(uid, 1, 4), 0.1), (F.when(F.col("key") % 3 == 0, "photo").otherwise(F.substring(uid, 9, 4)), 0.9))))
     rows = c.select(F.col("key").alias("doc_id"), F.posexplode(parts).alias("line_no", "p")).select("doc_id", "line_no", "p.text", "p.x")
-    return extract.number_fragments(rows)
+    return extract.number_fragments(rows).select("doc_id", "value")
 
 
 def name_words_match(spark, sf_dir):
@@ -178,7 +182,7 @@ def cross_source_mismatch(spark, sf_dir):
     c = _cards(spark, sf_dir)
     k = F.col("key")
     rows = c.select(k.alias("doc_id"), mrz.iso_date(F.substring("mrz2", 14, 6), YEAR, True).alias("mrz_birth"), mrz.iso_date(F.substring("mrz2", 22, 6), YEAR, False).alias("mrz_expiry"), F.substring("mrz2", 1, 9).alias("mrz_number"), F.date_format(F.when(k % 9 == 0, F.date_add("birth", 1)).otherwise(F.col("birth")), "dd.MM.yyyy").alias("birth"), F.when(k % 8 == 0, "soon").otherwise(F.date_format("expiry", "d/M/yyyy")).alias("expiry"), F.lower("number").alias("number"), F.when(k % 10 == 0, "template").otherwise("visual").alias("number_source"))
-    return rules.cross_source(rows)
+    return rules.cross_source(rows).drop("seq")
 
 
 def _qr_rows(spark, sf_dir):
@@ -188,7 +192,7 @@ def _qr_rows(spark, sf_dir):
 
 
 def barcode_reconcile(spark, sf_dir):
-    return rules.qr_consistency(_qr_rows(spark, sf_dir))
+    return rules.qr_consistency(_qr_rows(spark, sf_dir)).drop("seq")
 
 
 def licence_reconcile(spark, sf_dir):
@@ -199,16 +203,16 @@ def licence_reconcile(spark, sf_dir):
     payload = F.when(k % 2 == 0, F.concat(F.lit('{"DL_No":"'), number, F.lit('","DOB":"'), birth, F.lit('"}'))).otherwise(F.concat(F.lit("LIC "), number, F.lit("; NAME: SOME ONE; DOB: "), birth))
     rows = c.select(k.alias("doc_id"), payload.alias("payload"), F.when(k % 7 == 0, "UT99000000001").otherwise(F.concat(F.lit("UT01 "), F.lpad(k.cast("string"), 9, "0"))).alias("number"), F.date_format(F.date_add("birth", F.when(k % 4 == 0, 1).otherwise(0)), "yyyy-MM-dd").alias("birth"))
     parts = payloads.decode_licence(F.col("payload"))
-    return rules.licence_barcode(rows.select("doc_id", parts["number"].alias("code_number"), parts["birth"].alias("code_birth"), "number", "birth"))
+    return rules.licence_barcode(rows.select("doc_id", parts["number"].alias("code_number"), parts["birth"].alias("code_birth"), "number", "birth")).drop("seq")
 
 
 def checksum_flags(spark, sf_dir):
-    return rules.number_checksum(_cards(spark, sf_dir).select(F.col("key").alias("doc_id"), F.when(F.col("key") % 9 == 0, "1234").otherwise(F.col("uid")).alias("number")))
+    return rules.number_checksum(_cards(spark, sf_dir).select(F.col("key").alias("doc_id"), F.when(F.col("key") % 9 == 0, "1234").otherwise(F.col("uid")).alias("number"))).drop("seq")
 
 
 def mrz_compliance_flags(spark, sf_dir):
     rows = mrz_parse_td3(spark, sf_dir).withColumnRenamed("key", "doc_id")
-    return rules.mrz_compliance(rows, ["document_number", "birth", "expiry", "optional"])
+    return rules.mrz_compliance(rows, ["document_number", "birth", "expiry", "optional"]).drop("seq")
 
 
 def template_best_read(spark, sf_dir):
@@ -220,7 +224,7 @@ def template_best_read(spark, sf_dir):
 
 def secure_anchor_flags(spark, sf_dir):
     channels = domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.element_at(F.array(F.lit("mrz"), F.lit("aadhaar_qr"), F.lit("dl_barcode"), F.lit("other")), (F.col("c_custkey") % 4 + 1).cast("int")).alias("channel"))
-    return rules.secure_anchor(_docs(spark, sf_dir), channels)
+    return rules.secure_anchor(_docs(spark, sf_dir), channels).drop("seq")
 
 
 def blacklist_tristate(spark, sf_dir):
@@ -232,9 +236,9 @@ def blacklist_tristate(spark, sf_dir):
 
 
 def _flags(spark, sf_dir):
-    """All flags of the date, required-field and zone rules, numbered in a fixed order."""
-    every = date_logic_flags(spark, sf_dir).unionByName(required_field_flags(spark, sf_dir)).unionByName(mrz_compliance_flags(spark, sf_dir))
-    return every.select("doc_id", "code", "severity", "field").withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("code", "field")))
+    """All flags of the date, required-field and zone rules, in the order of the rules."""
+    zone = mrz_parse_td3(spark, sf_dir).withColumnRenamed("key", "doc_id")
+    return rules.in_order([rules.date_logic(inputs.date_texts(spark, sf_dir), REF), rules.required_fields(_docs(spark, sf_dir), _fields(spark, sf_dir)), rules.mrz_compliance(zone, ["document_number", "birth", "expiry", "optional"])])
 
 
 def flag_ledger_running(spark, sf_dir):
@@ -441,7 +445,7 @@ def channel_modes(spark, sf_dir):
 
 
 def score_report(spark, sf_dir):
-    flags = date_logic_flags(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("code", "field")))
+    flags = rules.in_order([rules.date_logic(inputs.date_texts(spark, sf_dir), REF)])
     scored = scoring.coherence(_docs(spark, sf_dir).select("doc_id", F.lit("passport").alias("document_type")), flags, spark.createDataFrame([], "doc_id long, confidence double"))
     return sinks.report_lines(scored, scoring.ledger(flags))
 

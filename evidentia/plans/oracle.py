@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidentia.functions.checkdigits import INVERSES, POWERS, PRODUCTS
+from evidentia.operators.extract import LABELS, NOT_A_NAME, SAME_LINE, UNLABELLED, VALUE_SHAPES
 
 REF = "DATE '2026-01-01'"
 
@@ -109,8 +110,8 @@ KIND = "['passport','aadhaar','pan_card','driving_license','voter_id','id_card',
 
 
 def rules(source: str, listed: list[tuple[str, str, str, str]]) -> str:
-    """UNION ALL of (condition, code, severity, field)."""
-    return " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code, '{severity}' AS severity, '{field}' AS field FROM {source} WHERE {condition}" for condition, code, severity, field in listed)
+    """UNION ALL of (condition, code, severity, field), with the rule's number as k."""
+    return " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code, '{severity}' AS severity, '{field}' AS field, {k} AS k FROM {source} WHERE {condition}" for k, (condition, code, severity, field) in enumerate(listed))
 
 
 DATE_FLAGS = rules("dd", [
@@ -135,13 +136,13 @@ fields AS (
   UNION ALL SELECT key, 'date_of_expiry', strftime(expiry, '%Y-%m-%d'), CASE WHEN (key + 4) % 4 = 0 THEN 0.4 ELSE 0.9 END FROM cards WHERE key % 5 <> 0
   UNION ALL SELECT key, 'nationality', 'UTO', CASE WHEN (key + 5) % 4 = 0 THEN 0.4 ELSE 0.9 END FROM cards),
 docs AS (SELECT c_custkey AS doc_id, """ + KIND.format(k="c_custkey") + """ AS document_type, CASE WHEN c_custkey % 2 = 0 THEN 'back' ELSE 'front' END AS side FROM customer),
-need AS (SELECT t AS document_type, unnest(n) AS name FROM (VALUES
+need AS (SELECT t AS document_type, unnest(n) AS name, unnest(range(len(n))) AS k FROM (VALUES
   ('passport', ['document_number','surname','given_names','date_of_birth','date_of_expiry','nationality']),
   ('id_card', ['document_number','surname','given_names','date_of_birth','date_of_expiry']), ('national_id', ['document_number','surname','date_of_birth']),
   ('driving_license', ['document_number','surname','date_of_birth','date_of_expiry']), ('voter_id', ['document_number','surname','date_of_birth']),
   ('pan_card', ['document_number','surname','date_of_birth']), ('aadhaar', ['document_number','surname','date_of_birth']),
   ('residence_permit', ['document_number','surname','date_of_birth','date_of_expiry'])) AS v(t, n))"""
-REQUIRED_FLAGS = """SELECT d.doc_id, 'missing_required_field' AS code, 'warning' AS severity, n.name AS field FROM docs d JOIN need n USING (document_type)
+REQUIRED_FLAGS = """SELECT d.doc_id, 'missing_required_field' AS code, 'warning' AS severity, n.name AS field, n.k FROM docs d JOIN need n USING (document_type)
   WHERE NOT (document_type = 'aadhaar' AND side = 'back') AND NOT EXISTS (SELECT 1 FROM fields f WHERE f.doc_id = d.doc_id AND f.name = n.name AND trim(f.value) <> '')"""
 
 TD3_LINES = ", lines AS (SELECT key, mrz1 AS l1, mrz2 AS l2, NULL AS l3 FROM cards), zone AS (" + _zone("TD3") + ")"
@@ -150,7 +151,7 @@ MRZ_FLAGS = rules("(SELECT key AS doc_id, * EXCLUDE (key) FROM zone)", [
     *((f"recognised AND NOT {c}_ok", "mrz_field_check_failed", "warning", c) for c in ("birth", "document_number", "expiry", "optional")),
     ("recognised AND composite_ok AND birth_ok AND document_number_ok AND expiry_ok AND optional_ok", "mrz_checks_verified", "info", "mrz"),
 ])
-ALL_FLAGS = f"WITH {TEXTS}{DD}{FIELD_ROWS}{TD3_LINES}, flags AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY code, field) AS seq, CASE severity WHEN 'high' THEN 22.0 WHEN 'warning' THEN 8.0 ELSE 0.0 END AS points FROM ({DATE_FLAGS} UNION ALL {REQUIRED_FLAGS} UNION ALL {MRZ_FLAGS}))"
+ALL_FLAGS = f"WITH {TEXTS}{DD}{FIELD_ROWS}{TD3_LINES}, flags AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fam, k) AS seq, CASE severity WHEN 'high' THEN 22.0 WHEN 'warning' THEN 8.0 ELSE 0.0 END AS points FROM (SELECT 0 AS fam, * FROM ({DATE_FLAGS}) UNION ALL SELECT 1, * FROM ({REQUIRED_FLAGS}) UNION ALL SELECT 2, * FROM ({MRZ_FLAGS})))"
 
 LINES = CARDS + """,
 lines AS (SELECT key AS doc_id, unnest(range(10)) AS line_no, unnest([
@@ -192,13 +193,27 @@ _BLOCK = " UNION ALL ".join(
     f"SELECT doc_id, '{f}' AS fmt, line_no, {r} AS relaxed, rpad(l1, {w}, '<') AS l1, rpad(l2, {w}, '<') AS l2 FROM w WHERE regexp_matches(l1, '^[PIACV]') AND " + " AND ".join((f"length(l{i}) BETWEEN {w - 12} AND {w}" if r == "true" else f"length(l{i}) = {w}") for i in range(1, n + 1))
     for r in ("false", "true") for f, n, w in (("TD3", 2, 44), ("TD2", 2, 36), ("TD1", 3, 30)))
 
-_SAME = [(r"\b([0-9]{12})\b", "document_number"), (r"document\s*no\.?\s*[:#-]*\s*([A-Z0-9]{5,20})", "document_number"), (r"\b([0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4})\b", "document_number"), (r"\b([A-Z]{5}[0-9]{4}[A-Z])\b", "document_number"),
-         (r"(?:date\s*[o0]\s*f\s*birth|dob|d0b)\s*[:#-]*\s*([0-9./-]{8,10})", "date_of_birth"), (r"(?:date\s*of\s*(?:expiry|expiration)|valid\s*(?:till|until|through))\s*[:#-]*\s*([0-9./-]{8,10})", "date_of_expiry"),
-         (r"(?:issue(?:d|date)?|date\s*of\s*issue)\s*[:#-]*\s*([0-9./-]{8,10})", "issue_date"), (r"^\s*(?:name|full\s*name)\s*[:#-]*\s*([A-Z][A-Z\s.]{2,40})", "surname"), (r"(?:sex|gender)\s*[:#-]*\s*(male|female|M|F)\b", "sex")]
-_SAME_SQL = " UNION ALL ".join(f"SELECT doc_id, line_no, {k} AS p, '{n}' AS name, trim(regexp_extract(text, '(?i){p}', 1)) AS value FROM lines" for k, (p, n) in enumerate(_SAME))
-_NEXT_SQL = " UNION ALL ".join(f"SELECT doc_id, line_no, '{n}' AS name, after AS value FROM w WHERE regexp_matches(text, '(?i){a}') AND regexp_matches(after, '{b}')" for a, n, b in (
-    (r"^\s*(?:name|full\s*name)\s*[:#-]*\s*$", "surname", r"^[A-Za-z][A-Za-z .]{1,40}$"), (r"^\s*(?:dob|date\s*[o0]\s*f\s*birth)\s*[:#-]*\s*$", "date_of_birth", r"^[0-9./-]{8,10}$"),
-    (r"^\s*(?:sex|gender)\s*[:#-]*\s*$", "sex", r"(?i)^(male|female|m|f)$"), (r"^\s*document\s*no\.?\s*[:#-]*\s*$", "document_number", r"^[A-Z0-9 ]{5,20}$")))
+
+
+def _same(k: int, pattern: str, name: str) -> str:
+    hit = f"regexp_extract(text, '{pattern}', 1)"
+    value = f"regexp_replace({hit}, '[^A-Z0-9]', '', 'g')" if name == "document_number" else hit
+    return f"SELECT doc_id, line_no, {k} AS p, '{name}' AS name, {value} AS value FROM lines WHERE {hit} <> ''"
+
+
+SAME = "same AS (SELECT doc_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no, p) AS r FROM (" + " UNION ALL ".join(_same(k, p, n) for k, (p, n) in enumerate(SAME_LINE)) + ")) WHERE r = 1)"
+_ENDS = "(trim(text) = '' OR " + " OR ".join(f"regexp_matches(trim(text), '{p}')" for p, _, _ in LABELS) + ")"
+# the lines after a label, one row for each pair, up to the first that ends the search
+LATER = f"""ends AS (SELECT *, trim(text) AS t, {_ENDS} AS stop FROM lines),
+pairs AS (SELECT a.doc_id, a.line_no, a.t AS label, b.line_no AS spot, b.t AS value FROM ends a JOIN ends b ON a.doc_id = b.doc_id AND b.line_no > a.line_no
+  AND NOT EXISTS (SELECT 1 FROM ends s WHERE s.doc_id = a.doc_id AND s.stop AND s.line_no > a.line_no AND s.line_no <= b.line_no)),
+cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name, line_no, p ORDER BY spot) AS first FROM (""" + " UNION ALL ".join(
+    f"SELECT doc_id, line_no, spot, {k} AS p, '{n}' AS name, value FROM pairs WHERE regexp_matches(label, '{p}')" + (f" AND regexp_matches(value, '{VALUE_SHAPES[n]}')" if n in VALUE_SHAPES else "") for k, (p, n, multi) in enumerate(LABELS) if not multi) + """)),
+later AS (SELECT doc_id, name, line_no, p, value FROM cand WHERE first = 1)"""
+_CONTEXT = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in UNLABELLED) + ")"
+NAMES = f"""uid_docs AS (SELECT doc_id FROM lines GROUP BY 1 HAVING {_CONTEXT("string_agg(trim(text), ' ' ORDER BY line_no)")}),
+loose AS (SELECT doc_id, arg_min(trim(text), line_no) AS value FROM lines WHERE doc_id IN (SELECT doc_id FROM uid_docs) AND NOT {_ENDS} AND NOT {_CONTEXT("text")} AND NOT regexp_matches(trim(text), '{NOT_A_NAME}')
+  AND regexp_matches(trim(text), '^\\p{{Lu}}\\p{{L}}*(?:\\s+\\p{{L}}+){{1,5}}$') GROUP BY 1)"""
 
 _HINTS = [("aadhaar", ["aadhaar", "unique identification", "uidai", "unique identification authority", "government of india"]), ("pan_card", ["permanent account number", "income tax", "pan card"]), ("driving_license", ["driving licence", "driving license", "motor vehicle"]), ("voter_id", ["elector", "voter id", "election commission"]), ("residence_permit", ["residence permit"]), ("national_id", ["national id", "civil registration"]), ("passport", ["passport", "ministry of external affairs"])]
 _HINT_SQL = " UNION ALL ".join(f"SELECT doc_id, {k} AS o, '{t}' AS t, {' + '.join(f'CAST(contains(txt, {w!r}) AS INTEGER)' for w in ws)} AS hits FROM txt" for k, (t, ws) in enumerate(_HINTS))
@@ -283,9 +298,10 @@ ORACLES = {
     "date_logic_flags": f"WITH {TEXTS}{DD} {DATE_FLAGS}",
     "required_field_flags": f"WITH {CARDS}{FIELD_ROWS} {REQUIRED_FLAGS}",
     "mrz_compliance_flags": f"WITH {CARDS}{TD3_LINES} {MRZ_FLAGS}",
-    "visual_extract_labels": f"WITH {LINES}, m AS ({_SAME_SQL}) SELECT doc_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no, p) AS r FROM m WHERE value <> '') WHERE r = 1",
-    "visual_next_line_value": f"WITH {LINES}, w AS (SELECT *, trim(lead(text) OVER (PARTITION BY doc_id ORDER BY line_no)) AS after FROM lines), m AS ({_NEXT_SQL}) SELECT doc_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no) AS r FROM m) WHERE r = 1",
-    "number_fragments": f"WITH {CARDS} SELECT key AS doc_id, uid AS value FROM cards WHERE key % 3 <> 0",
+    "visual_extract_labels": f"WITH {LINES}, {SAME} SELECT * FROM same",
+    "visual_next_line_value": f"WITH {LINES}, {LATER} SELECT doc_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY line_no, p) AS r FROM later) WHERE r = 1",
+    "visual_recogniser": f"WITH {LINES}, {SAME}, {LATER}, {NAMES}, u AS (SELECT doc_id, name, value, 0 AS way, 0 AS line_no, 0 AS p FROM same UNION ALL SELECT doc_id, name, value, 1, line_no, p FROM later UNION ALL SELECT doc_id, 'surname', value, 2, 0, 0 FROM loose) SELECT doc_id, name, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY way, line_no, p) AS r FROM u) WHERE r = 1",
+    "number_fragments": f"WITH {CARDS} SELECT key AS doc_id, substr(uid, 1, 4) || substr(uid, 5, 4) || CASE WHEN key % 3 <> 0 THEN substr(uid, 9, 4) ELSE '' END AS value FROM cards",
     "name_words_match": f"WITH {CARDS}, n AS (SELECT key, surname || ' ' || given_names AS a, CASE WHEN key % 2 = 0 THEN given_names || ', ' || lower(surname) ELSE surname || '-X' END AS o FROM cards) SELECT key, array_to_string({_words('a')}, ' ') AS words, {_words('a')} = {_words('o')} AS same FROM n",
     "gender_normalise": f"WITH g AS (SELECT c_custkey AS key, [' male','F','fmale','Trans','o','x',''][CAST(c_custkey % 7 AS INTEGER) + 1] AS g FROM customer) SELECT key, {_gender('g')} AS gender FROM g",
     "type_hints_classify": f"WITH {LINES}, txt AS (SELECT doc_id, lower(string_agg(text, ' ' ORDER BY line_no)) AS txt FROM lines GROUP BY 1), h AS ({_HINT_SQL}), b AS (SELECT doc_id, arg_max(t, least(0.7, 0.3 + 0.15 * hits) * 1000 - o) AS t, max(least(0.7, 0.3 + 0.15 * hits)) AS s FROM h WHERE hits > 0 GROUP BY 1) SELECT x.doc_id, CASE WHEN x.doc_id % 3 = 0 THEN 'passport' ELSE coalesce(t, 'unknown') END AS document_type, CASE WHEN x.doc_id % 3 = 0 THEN 0.98 ELSE coalesce(round(least(0.8, s + 0.3), 6), 0.0) END AS confidence FROM txt x LEFT JOIN b ON b.doc_id = x.doc_id",
@@ -335,8 +351,8 @@ ORACLES |= {
     "candidate_types": f"WITH {CARDS}{FIELD_ROWS}, h AS (SELECT doc_id, t, j, (doc_id + j) % 3 / 10.0 AS s FROM docs, (VALUES (0, 'aadhaar'), (1, 'pan_card'), (2, 'passport'), (3, 'voter_id')) AS v(j, t)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, j) AS r FROM h WHERE s > 0), l AS (SELECT doc_id, list(t ORDER BY r) AS l FROM r WHERE r <= 2 GROUP BY 1), a AS (SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 AND document_type <> 'unknown' THEN document_type END AS f, CASE WHEN d.doc_id % 3 = 0 THEN ['passport'] ELSE l END AS l FROM docs d JOIN l ON l.doc_id = d.doc_id) SELECT doc_id, array_to_string(CASE WHEN f IS NULL THEN l ELSE list_concat([f], list_filter(l, lambda x: x <> f)) END, ',') AS candidates FROM a",
     "degraded_results": f"WITH {CARDS}{FIELD_ROWS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE document_type END AS document_type, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 101 END AS INTEGER) AS score, CAST(CASE WHEN doc_id % 5 = 0 THEN 25 ELSE 0 END AS DOUBLE) AS unknown_penalty, doc_id % 5 = 0 AS degraded FROM docs",
     "channel_modes": f"WITH {CARDS}{FIELD_ROWS}, m AS (SELECT doc_id, side, ['auto','passport','aadhaar','pan_card','driving_license','other'][CAST(doc_id % 6 AS INTEGER) + 1] AS mode FROM docs) SELECT doc_id, mode, CASE WHEN mode NOT IN ('auto', 'other') THEN mode END AS forced_type, mode IN ('aadhaar','pan_card','driving_license') AS skip_mrz, mode IN ('passport','pan_card') AS skip_barcodes, NOT (mode = 'aadhaar' AND side = 'back') AS accepted FROM m",
-    "score_report": f"WITH {TEXTS}{DD}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY code, field) AS seq, CASE severity WHEN 'high' THEN 22 WHEN 'warning' THEN 8 ELSE 0 END AS points FROM ({DATE_FLAGS})), g AS (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM f) SELECT c_custkey AS doc_id, 0 AS line_no, 'document ' || c_custkey || ': ' || CAST(100 - least(60, coalesce((SELECT sum(points) FROM f WHERE f.doc_id = c_custkey), 0)) AS INTEGER) || ' points' AS line FROM customer UNION ALL SELECT doc_id, CAST(seq AS INTEGER), '  -' || CAST(least(60, cum) - least(60, cum - points) AS INTEGER) || ' ' || code || ' (' || severity || '), ' || CAST(100 - least(60, cum) AS INTEGER) || ' left' FROM g WHERE least(60, cum) > least(60, cum - points)",
-    "verification_records": f"""WITH {RISK}, j AS (SELECT identity_id, '{{"identity_id":' || identity_id || ',"risk_level":"' || risk_level || '","risk_score":' || risk_score || '}}' AS j FROM final) SELECT CAST(identity_id AS VARCHAR) AS subject, 'VER-' || upper(substr(sha256(j), 1, 12)) AS verification_id, j AS result_json FROM j""",
+    "score_report": f"WITH {TEXTS}{DD}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS seq, CASE severity WHEN 'high' THEN 22 WHEN 'warning' THEN 8 ELSE 0 END AS points FROM ({DATE_FLAGS})), g AS (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM f) SELECT c_custkey AS doc_id, 0 AS line_no, 'document ' || c_custkey || ': ' || CAST(100 - least(60, coalesce((SELECT sum(points) FROM f WHERE f.doc_id = c_custkey), 0)) AS INTEGER) || ' points' AS line FROM customer UNION ALL SELECT doc_id, CAST(seq AS INTEGER), '  -' || CAST(least(60, cum) - least(60, cum - points) AS INTEGER) || ' ' || code || ' (' || severity || '), ' || CAST(100 - least(60, cum) AS INTEGER) || ' left' FROM g WHERE least(60, cum) > least(60, cum - points)",
+    "verification_records": f"""WITH {RISK}, j AS (SELECT identity_id, '{{"identity_id":' || identity_id || ',"risk_level":"' || risk_level || '","risk_score":' || risk_score || '}}' AS j FROM final) SELECT CAST(identity_id AS VARCHAR) AS subject, 'VER-' || upper(sha256(j || '@2026-01-01')) AS verification_id, j AS result_json FROM j""",
 }
 
 
@@ -348,3 +364,7 @@ def _as_doubles(name: str, columns: list[str]) -> None:
 _as_doubles("type_hints_classify", ["confidence"])
 _as_doubles("flag_ledger_running", ["deduction", "balance"])
 _as_doubles("risk_factors", ["f_validation", "f_tampering", "f_face", "f_identity", "f_status", "f_dna", "f_checkpoint", "f_network"])
+
+
+for _name in ("barcode_reconcile", "checksum_flags", "cross_source_mismatch", "date_logic_flags", "mrz_compliance_flags", "pan_structure", "required_field_flags"):
+    ORACLES[_name] = f"SELECT * EXCLUDE (k) FROM ({ORACLES[_name]})"

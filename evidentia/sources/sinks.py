@@ -12,9 +12,9 @@ PICTURES = r"(?i).*\.(jpg|jpeg|png)$"
 
 
 def verification_records(results: DataFrame, id_col: str, at: str) -> DataFrame:
-    """verification_id (from a hash of the record, so that a rerun gives the same), result_json, created_at."""
+    """verification_id (the whole hash of record and time, so that a rerun of one time gives the same), result_json, created_at."""
     payload = F.to_json(F.struct(*sorted(results.columns)))
-    return results.select(F.concat(F.lit("VER-"), F.upper(F.substring(F.sha2(payload.cast("binary"), 256), 1, 12))).alias("verification_id"), F.col(id_col).cast("string").alias("subject"), payload.alias("result_json"), F.lit(at).cast("timestamp").alias("created_at"))
+    return results.select(F.concat(F.lit("VER-"), F.upper(F.sha2(F.concat(payload, F.lit("@" + at)).cast("binary"), 256))).alias("verification_id"), F.col(id_col).cast("string").alias("subject"), payload.alias("result_json"), F.lit(at).cast("timestamp").alias("created_at"))
 
 
 def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

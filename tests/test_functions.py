@@ -100,6 +100,11 @@ def test_blacklist_states(spark):
     got = {r.doc_id: (r.code, r.severity) for r in rules.blacklist(rows, listing).collect()}
     assert got == {1: ("blacklist_hit", "warning"), 2: ("blacklist_lookup_failed", "warning"), 3: ("blacklist_clear", "info"), 4: ("blacklist_no_identifiers", "info"), 5: ("blacklist_clear", "info")}
     assert {r.code for r in rules.blacklist(rows, None).collect()} == {"blacklist_not_configured"}
+    # what both have must agree, and a null says nothing
+    rows = spark.createDataFrame([(1, "A", None, None), (2, None, "Y", "G"), (3, "A", "Z", None), (4, None, "Y", "H"), (5, None, "W", None)], "doc_id int, number string, surname string, given_names string")
+    listing = spark.createDataFrame([("A", "X", None, True), (None, "Y", "G", True), ("Q", "W", None, True)], "number string, surname string, given_names string, listed boolean")
+    got = {r.doc_id: r.code.removeprefix("blacklist_") for r in rules.blacklist(rows, listing).collect()}
+    assert got == {1: "hit", 2: "hit", 3: "clear", 4: "clear", 5: "hit"}
 
 
 def test_payloads(spark):
@@ -111,6 +116,8 @@ def test_payloads(spark):
     got = {r.k: r for r in payloads.decode_identity(spark.createDataFrame(rows, "k int, raw binary")).collect()}
     assert all(got[k].uid == "012" and got[k].signature_present and got[k].decoded for k in (1, 2, 3))
     assert not got[4].decoded and not got[5].decoded and got[6].uid == "77" and not got[6].signature_present
+    long = spark.createDataFrame([(zlib.compress(b"<Q uid='1'>" + b"x" * payloads.MAX_BYTES),)], "raw binary")
+    assert payloads.decode_identity(long).first().uid is None
     parts = payloads.decode_licence(F.col("p"))
     got = spark.createDataFrame([('{"DL_No":"UT0112345678","DOB":"1-1-1990"}',), ("LIC UT0112345678; NAME: X Y; DOB: 01-01-1990",), ("nothing",)], "p string").select(parts["number"].alias("n"), parts["birth"].alias("b")).collect()
     assert [tuple(r) for r in got] == [("UT0112345678", "1-1-1990"), ("UT0112345678", "01-01-1990"), (None, None)]
@@ -142,8 +149,26 @@ def test_registry(spark):
 
 
 def test_similarity_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BROADCAST_VECTORS", 2)
+    monkeypatch.setattr(similarity, "SLICE_BYTES", 32)
+    monkeypatch.setattr(similarity, "TILE", (2, 3))
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "identity_id int, vec array<double>")
     q = v.selectExpr("identity_id AS query_id", "vec AS query_vec")
     assert similarity.best_match(q, v, 0.1).where("distance = 0").count() == 6
     assert similarity.threshold_matches(q, v.where("identity_id > 3"), 0.5).where("known_id = 'unknown'").count() == 4
+
+
+def test_recogniser(spark):
+    lines = {
+        1: ["UIDAI", "Asha Devi Rao", "DOB", "PHOTO", "01/02/1990", "MALE", "Your Aadhaar Number", "9012", "0000", "3456"],
+        2: ["Permanent Account Number: ABCDE1234F", "Name", "", "JOHN ROE"],
+        3: ["DL No UT01 20110012345", "licence no: UT0120110012345", "Document No", "x", "1234 5678 9012"],
+        4: ["Government of Somewhere", "Valid till", "DOB", "1985"],
+    }
+    rows = [(d, k, t, 0.5 + 0.1 * (k == 1), {7: 0.5, 8: 0.9, 9: 0.1}.get(k, 0.0)) for d, ls in lines.items() for k, t in enumerate(ls)]
+    got = {}
+    for r in extract.recognise(spark.createDataFrame(rows, "doc_id int, line_no int, text string, confidence double, x double")).collect():
+        got.setdefault(r.doc_id, {})[r.name] = r.value
+    assert got[1] == {"surname": "Asha Devi Rao", "date_of_birth": "01/02/1990", "sex": "MALE", "document_number": "345690120000"}
+    assert got[2] == {"document_number": "ABCDE1234F"}
+    assert got[3] == {"document_number": "UT0120110012345"}
+    assert got[4] == {"date_of_birth": "1985"}

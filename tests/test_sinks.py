@@ -10,7 +10,7 @@ def test_append_and_decide(spark, tmp_path):
     records = sinks.verification_records(results, "identity_id", "2026-01-01")
     again = sinks.verification_records(results, "identity_id", "2026-01-01")
     ids = [r.verification_id for r in records.orderBy("subject").collect()]
-    assert ids == [r.verification_id for r in again.orderBy("subject").collect()] and all(len(i) == 16 for i in ids)
+    assert ids == [r.verification_id for r in again.orderBy("subject").collect()] and all(len(i) == 68 for i in ids)
     assert sinks.append_decision(spark, path, records, ids[0], "DENIED", "2026-01-02", 1)
     assert sinks.append_decision(spark, path, records, ids[0], "CLEARED", "2026-01-03", 2)
     assert not sinks.append_decision(spark, path, records, "VER-0", "CLEARED", "2026-01-03", 3)
