@@ -1,14 +1,16 @@
 """Operator 2, nearest neighbours by cosine: a block matrix join with int8 product tiles and exact recomputation.
 
-Candidates and queries are dealt to blocks by a hash of their ids and packed to matrices; a tile is one query block
-with one candidate block, matched by an equi-join on the query block's number. In a tile, unit vectors rounded to int8
-give products whose error is bounded by the vectors' own rounding errors (Cauchy-Schwarz), so every pair whose upper
-bound is below the lower bounds of k others is out. The pairs that survive are computed again in double precision on
-the original vectors and kept in one heap of k for each query, which runs on through the tiles of a task; the heaps
-of different tasks merge in a ranked window, whose groups are cut to k before the shuffle. The search is exact.
+The queries are cut to slices of at most ``SLICE_BYTES``, each broadcast once; the candidates stay where they are and
+stream past them, so that no vector is shuffled but those of repeated ids. A block of candidates is quantised once and meets
+each block of queries in a tile: unit vectors rounded to int8 give products whose error is bounded by the vectors' own
+rounding errors (Cauchy-Schwarz), so every pair whose upper bound is below the lower bounds of k others is out. The
+pairs that survive are computed again in double precision on the original vectors and kept in one heap of k for each
+query, which runs on through the blocks of a task; the heaps of different tasks merge in a ranked window, whose groups
+are cut to k before the shuffle. The search is exact.
 
 At most k + 1 copies of one vector in a block can be among a query's nearest, those of smallest id, so further copies
-leave the tile. Tiles have bounded sizes at any scale; the number of tiles is that of the stated queries against all.
+leave the block. More queries take more passes over the candidates, not larger broadcasts or tiles; the number of
+tiles is that of the stated queries against all.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows of null id, take no part
 on either side; vectors of different lengths are never compared; rows that repeat an id count once, with the least
@@ -20,7 +22,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,29 +29,32 @@ from pyspark.sql import types as T
 
 from . import common
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
+QUERY_BLOCK, CANDIDATE_BLOCK, SLICE_BYTES = 1024, 2048, 16 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vec as doubles, dim), one row for each id with a usable vector."""
-    v = F.col(vector_col).cast("array<double>")
-    kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vec"))
+    """(vec_id, vec, dim), one row for each id with a usable vector; only ids that repeat are grouped."""
+    kept = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("vec", lambda x: x != 0)
     kept = kept.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & some)
-    return kept.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    again = common.small(kept.groupBy("vec_id").count().where("count > 1").select("vec_id"))
+    least = kept.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return kept.join(again, "vec_id", "left_anti").unionByName(least).withColumn("dim", F.size("vec"))
 
 
-def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """(dim, <name>, <name>_ids, <name>_vecs): one row of packed doubles for each block."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id")
-        matrix = np.stack(frame["vec"].to_numpy())
-        return pd.DataFrame({"dim": [matrix.shape[1]], name: [frame[name].iloc[0]], f"{name}_ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_vecs": [np.ascontiguousarray(matrix, np.float64).tobytes()]})
 
-    keyed = rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    return keyed.groupBy("dim", name).applyInPandas(pack, f"dim int, {name} long, {name}_ids binary, {name}_vecs binary")
+def _slices(asked: DataFrame, slice_bytes: int):
+    """(dim, ids, vectors) of the queries, at most about ``slice_bytes`` of doubles at a time."""
+    for dim, n in sorted(tuple(r) for r in asked.groupBy("dim").count().collect()):
+        parts = max(1, -(-n * dim * 8 // slice_bytes))
+        for k in range(parts):
+            mine = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k)).select("vec_id", "vec").toArrow()
+            yield dim, mine.column("vec_id").to_numpy(), _matrix(mine.column("vec"), dim)
 
 
 def quantised(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,70 +82,74 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def tile(query_ids, queries, ids, candidates, k: int, heaps: dict) -> None:
-    """One tile's pairs into the queries' heaps of (score, -vec_id)."""
-    # of equal vectors only the k + 1 with the least ids can count; ids are in ascending order here
-    _, group = np.unique(candidates, axis=0, return_inverse=True)
-    order = np.argsort(group.reshape(-1), kind="stable")
-    run = group.reshape(-1)[order]
-    place = np.arange(len(run)) - np.r_[0, np.flatnonzero(np.diff(run)) + 1][np.cumsum(np.r_[0, np.diff(run) != 0])]
-    keep = np.sort(order[place <= k])
-    ids, candidates = ids[keep], candidates[keep]
-    qa, sa, ea = quantised(queries)
-    qb, sb, eb = quantised(candidates)
-    for a in range(0, len(queries), 256):
-        part = slice(a, a + 256)
-        near = _products(qa[part], qb) * sa[part, None] * sb[None]
-        slack = ea[part, None] + (1 + ea[part, None]) * eb[None] + 1e-12
-        own = query_ids[part, None] == ids[None]
+class Block:
+    """Candidates in ascending order of ids, without copies that can't count, and quantised."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        _, group = np.unique(vectors, axis=0, return_inverse=True)
+        order = np.argsort(group.reshape(-1), kind="stable")
+        run = group.reshape(-1)[order]
+        keep = np.sort(order[np.arange(len(run)) - np.searchsorted(run, run) <= k])
+        self.ids, self.vectors = ids[keep], vectors[keep]
+        self.q, self.scale, self.error = quantised(self.vectors)
+
+
+class Queries:
+    """A slice of queries, quantised, with their heaps of (score, -vec_id)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.q, self.scale, self.error = quantised(vectors)
+        self.heaps, self.floor = [[] for _ in ids], np.full(len(ids), -np.inf)
+
+    def tile(self, a: int, b: int, block: Block) -> None:
+        """The pairs of queries a to b with a block's candidates into the heaps."""
+        part = slice(a, b)
+        near = _products(self.q[part], block.q) * self.scale[part, None] * block.scale[None]
+        slack = self.error[part, None] + (1 + self.error[part, None]) * block.error[None] + 1e-12
+        own = self.ids[part, None] == block.ids[None]
         low = np.where(own, -2, near - slack)
-        n = min(k, len(ids))
-        floor = np.partition(low, len(ids) - n, 1)[:, len(ids) - n]
-        for i, q in enumerate(query_ids[part].tolist()):
-            heap = heaps.get(q, ())
-            if len(heap) == k:
-                floor[i] = max(floor[i], heap[0][0] - 1e-9)
+        n = min(self.k, len(block.ids))
+        floor = np.maximum(np.partition(low, len(block.ids) - n, 1)[:, len(block.ids) - n], self.floor[part])
         rows, columns = np.nonzero((near + slack >= floor[:, None]) & ~own)
-        for b in range(0, len(rows), 1 << 16):
-            r, c = rows[b : b + (1 << 16)], columns[b : b + (1 << 16)]
-            scores = cosine(queries[part][r], candidates[c])
-            for q, v, s in zip(query_ids[part][r].tolist(), ids[c].tolist(), scores.tolist(), strict=True):
-                heap = heaps.setdefault(q, [])
-                if len(heap) < k:
-                    heapq.heappush(heap, (s, -v))
-                elif (s, -v) > heap[0]:
-                    heapq.heapreplace(heap, (s, -v))
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+        for c in range(0, len(rows), 1 << 16):
+            r, v = rows[c : c + (1 << 16)] + a, columns[c : c + (1 << 16)]
+            scores = cosine(self.vectors[r], block.vectors[v])
+            for q, x, s in zip(r.tolist(), block.ids[v].tolist(), scores.tolist(), strict=True):
+                heap = self.heaps[q]
+                if len(heap) < self.k:
+                    heapq.heappush(heap, (s, -x))
+                elif (s, -x) > heap[0]:
+                    heapq.heapreplace(heap, (s, -x))
+                if len(heap) == self.k:
+                    self.floor[q] = heap[0][0] - 1e-9
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of the rows whose vec_id meets ``is_query``."""
+    spark = vectors.sparkSession
     rows = common.checkpointed(usable(vectors, id_col, vector_col))
-    asked = rows.where(is_query)
-    n, m = rows.count(), asked.count()
-    query_blocks = max(1, -(-m // query_block))
-    candidates = _packed(rows, max(1, -(-n // candidate_block)), "cb")
-    queries = _packed(asked, query_blocks, "qb")
-    spread = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    tiles = spread.join(queries, ["dim", "qb"]).select("qb", "qb_ids", "qb_vecs", "cb_ids", "cb_vecs", "dim")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        heaps, now = {}, None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                block, ids_a, vecs_a, ids_b, vecs_b, dim = (batch.column(c)[r].as_py() for c in range(6))
-                if (dim, block) != now:
-                    yield from out(heaps)
-                    heaps, now = {}, (dim, block)
-                tile(np.frombuffer(ids_a, np.int64), np.frombuffer(vecs_a).reshape(-1, dim), np.frombuffer(ids_b, np.int64), np.frombuffer(vecs_b).reshape(-1, dim), k, heaps)
-        yield from out(heaps)
-
-    def out(heaps):
-        if found := [(q, -v, s) for q, heap in heaps.items() for s, v in heap]:
-            q, v, s = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=schema.names)
-
-    found = tiles.mapInArrow(run, schema)
+    found = spark.createDataFrame([], schema)
+    for dim, ids, matrix in _slices(rows.where(is_query), slice_bytes):
+        held = spark.sparkContext.broadcast((ids, matrix))
+
+        def run(batches, held=held, dim=dim):
+            queries = Queries(*held.value, k)
+            for whole in batches:
+                for a in range(0, whole.num_rows, candidate_block):
+                    batch = whole.slice(a, candidate_block)
+                    block = Block(batch.column(0).to_numpy(), _matrix(batch.column(1), dim), k)
+                    for b in range(0, len(queries.ids), query_block):
+                        queries.tile(b, b + query_block, block)
+            out = [(q, -v, s) for q, heap in zip(queries.ids.tolist(), queries.heaps, strict=True) for s, v in heap]
+            for a in range(0, len(out), 10_000):
+                q, v, s = zip(*out[a : a + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=schema.names)
+
+        found = found.unionByName(rows.where(F.col("dim") == dim).select("vec_id", "vec").mapInArrow(run, schema))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -156,6 +156,8 @@ def test_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann_tiles.nearest(v, F.col("vec_id") % 50 == 0).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 10, 0.707107), (0, 4, 50, 0.0), (0, 5, 11, -1.0), (50, 1, 10, 0.707107), (50, 2, 0, 0.0), (50, 3, 1, 0.0), (50, 4, 2, 0.0), (50, 5, 11, 0.0)]
     assert ann_tiles.nearest(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    small = ann_tiles.nearest(v, F.col("vec_id") % 50 == 0, query_block=1, candidate_block=2, slice_bytes=1)
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in small.collect()) == got
 
 
 def test_stages(spark):
