@@ -2,9 +2,12 @@
 
 The hash of every rolling 3-word gram of every text joins the positions of those grams in the license templates (a
 fixed table of a few thousand rows, so it is broadcast). A hit votes for its diagonal, the word offset of the text
-against the template; votes are summed for each diagonal, neighbouring diagonals of one template are merged, so that
-inserted or missing words cost little, and a merged span is accepted when it holds enough of the template's grams
-densely enough. Hits are verified word by word where they are found, so a hash collision never votes.
+against the template; votes are gathered for each diagonal, and neighbouring diagonals of one template are merged, so
+that inserted or missing words cost little. Hits are verified word by word where they are found, so a hash collision
+never votes. A merged span is then verified: the template's words that its hits hold, each counted once however often
+they were hit, must be enough of the template, and the text's words that they hold enough of the span. Of accepted
+spans that overlap, as those of licenses with much the same wording do, the one with most verified words stays, of
+equals the one that covers more of its template.
 
 The base phrases are templates too: a place is a diagonal on which every gram of the phrase voted.
 
@@ -23,7 +26,7 @@ from . import common, native
 GRAM = 3
 #: Diagonals at most this far apart are one span.
 NEAR = 3
-#: Least share of a template's grams in a span, and least share of the span's grams that voted.
+#: Least share of a template's words that a span must hold, and least share of the span's words that hold them.
 COVERAGE, DENSITY = 0.7, 0.5
 
 # The contract's phrases and their labels.
@@ -66,37 +69,46 @@ def _gram_hash(place):
 
 
 def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
-    """Summed votes, (row, doc_id, n_words, template, label, base, grams, diagonal, votes, low, high); template -1 marks the row itself."""
+    """Votes, (row, doc_id, n_words, template, label, base, grams, diagonal, voted: the template's places); template -1 marks the row itself."""
     words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", native.words(F.col("text")).alias("words"))
     placed = words.select("row", "doc_id", "words", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("words") - GRAM, F.lit(-1)))).alias("place"))
     hashed = placed.withColumn("hash", F.when(F.col("place") >= 0, _gram_hash(F.col("place"))).otherwise(F.lit(0).cast("long")))
     hits = hashed.join(F.broadcast(template_grams(docs.sparkSession, templates, base)), "hash")
     same = F.when(F.col("place") < 0, F.col("template") < 0).otherwise(F.slice("words", F.greatest(F.col("place"), F.lit(0)) + 1, GRAM) == F.col("gram"))
-    hits = hits.where(same).select("row", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "grams", "place", (F.col("place") - F.col("at")).alias("diagonal"))
-    return hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    hits = hits.where(same).select("row", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "grams", "at", (F.col("place") - F.col("at")).alias("diagonal"))
+    return hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", "diagonal").agg(F.collect_set("at").alias("voted"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the spans accepted."""
     votes = spans(docs, templates, base)
-    place = F.col("base") & (F.col("votes") == F.col("grams"))
+    place = F.col("base") & (F.size("voted") == F.col("grams"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(False))
     cut = votes.withColumn("span", F.sum(apart.cast("int")).over(order))
+    held = lambda at: F.array_distinct(F.flatten(F.collect_list(F.transform("voted", at))))
     merged = cut.groupBy("row", "doc_id", "n_words", "template", "label", "base", "grams", "span").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"),
+        held(lambda at: at).alias("theirs"), held(lambda at: at + F.col("diagonal")).alias("ours"),
         F.sum(place.cast("long")).alias("places"), F.min(F.when(place, F.col("diagonal"))).alias("first"), F.max(F.when(place, F.col("diagonal"))).alias("last"))
-    share = F.least(F.col("votes"), F.col("grams")) / F.col("grams")
+    n_held = lambda grams: F.size(F.array_distinct(F.flatten(F.transform(grams, lambda at: F.sequence(at, at + (GRAM - 1))))))
+    merged = merged.withColumns({"verified": n_held("theirs"), "text_words": n_held("ours"), "low": F.array_min("ours"), "end": F.array_max("ours") + GRAM})
+    share = F.col("verified") / (F.col("grams") + GRAM - 1)
     coverage = F.when(F.col("template") < 0, 0.0).when(F.col("base"), (F.col("places") > 0).cast("double")).otherwise(share)
-    dense = F.col("votes") >= DENSITY * (F.col("high") - F.col("low") + 1)
-    accepted = F.when(F.col("base"), F.col("places") > 0).otherwise((F.col("template") >= 0) & (share >= COVERAGE) & dense)
-    merged = merged.withColumn("coverage", coverage).withColumn("accepted", accepted)
+    dense = F.col("text_words") >= DENSITY * (F.col("end") - F.col("low"))
+    merged = merged.withColumn("coverage", coverage).withColumn("fits", ~F.col("base") & (F.col("template") >= 0) & (share >= COVERAGE) & dense)
+    # spans that overlap are an island, in which the best one stays
+    by_start = Window.partitionBy("row").orderBy("low", "template", "span").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max(F.when(F.col("fits"), F.col("end"))).over(by_start)
+    merged = merged.withColumn("opens", F.col("fits") & F.coalesce(F.col("low") >= reached, F.lit(True)))
+    merged = merged.withColumn("island", F.sum(F.col("opens").cast("int")).over(Window.partitionBy("row").orderBy("low", "template", "span")))
+    best = Window.partitionBy("row", "island").orderBy(F.desc("fits"), F.desc("verified"), F.desc("coverage"), "template", "span")
+    merged = merged.withColumn("accepted", F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("fits") & (F.row_number().over(best) == 1)))
     return merged.groupBy("row", "doc_id", "n_words").agg(
         F.sum("places").alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("places") > 0, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("accepted"), F.col("label")))), ",").alias("labels"),
         F.max(F.when(F.col("accepted") | F.col("base"), F.col("coverage")).otherwise(F.col("coverage") / 2)).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("accepted") & ~F.col("base"), F.struct(F.col("low").alias("start"), (F.col("high") + GRAM).alias("end"), "label", "coverage")))).alias("spans"))
+        F.sort_array(F.collect_list(F.when(F.col("accepted") & ~F.col("base"), F.struct(F.col("low").alias("start"), "end", "label", "coverage")))).alias("spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
