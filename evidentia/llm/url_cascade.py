@@ -6,7 +6,8 @@ mistake; level 3 the listed keys that level 2 lets pass, and so on until a level
 exactly if the first level that doesn't hold it is an even one (or none is, and the last is odd), so membership is
 exact for every page and needs no join. Level 1 is sized by the universe, so that its mistakes, and with them all
 later levels, are about as many as the listed keys, whose number is bounded by ``MAX_LISTED``: the filters that go
-into the plan as constants don't grow with the corpus.
+into the plan as constants don't grow with the corpus. A longer list is cut by a hash to cascades of that size, which
+the pages' hosts and paths pass one after the other, each pass ending in a checkpoint.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; repeated
 rows get one result each; an empty list or table allows all; null ids are results like any other; the html and other
@@ -16,6 +17,7 @@ columns aren't read.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +27,11 @@ from . import common, native
 # The contract's rules and what they say.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-# Domains listed for blocking, with all their subdomains.
-LISTED = [
-    "ads-track.example.com",
-    "adult-x.example.com",
-    "casino-win.example.net",
-    "cheap-pills.example.net",
-    "free-bets.example.net",
-    "spam-farm.example.org",
-]
+# Domains listed for blocking, with all their subdomains: each name under each suffix.
+LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_SUFFIXES = ["example.com", "example.net", "example.org"]
+LISTED = [f"{name}.{suffix}" for name in LISTED_NAMES for suffix in LISTED_SUFFIXES]
+#: Keys of one cascade at most; a longer list has several, one after the other.
 MAX_LISTED = 1_000_000
 MAX_LEVELS = 60
 
@@ -84,13 +82,13 @@ class Level:
         return out
 
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
+def cascade(universe: DataFrame, listed: DataFrame, max_listed: int = MAX_LISTED) -> list[Level]:
     """The levels for the distinct (key) rows of both; a join happens here only, never for a page."""
     inside = common.checkpointed(universe.join(listed, "key", "left_semi"))
     outside = common.checkpointed(universe.join(listed, "key", "left_anti"))
     n, others = inside.count(), outside.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; at most {MAX_LISTED} fit into a cascade")
+    if n > max_listed:
+        raise ValueError(f"{n} listed keys; at most {max_listed} fit into a cascade")
     levels, encode, check = [], inside, outside
     while n:
         if len(levels) == MAX_LEVELS:
@@ -122,18 +120,24 @@ def rule_for(host: Column, path: Column, rules: dict[str, str] = RULES) -> Colum
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str] = RULES, max_listed: int = MAX_LISTED) -> DataFrame:
     """page_id, host, path, rule, verdict and listed (what the cascade says of the host)."""
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     hosts = split.select("host").distinct()
     universe = hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
-    levels = cascade(universe, listed.select("key").where("key IS NOT NULL").distinct())
-    blocked = F.exists(keys_of(F.col("host")), lambda key: member(levels, key)) if levels else F.lit(False)
+    wanted = listed.select("key").where("key IS NOT NULL").distinct()
+    n_parts = max(1, -(-wanted.count() * 11 // (10 * max_listed)))  # a tenth of room, as a hash deals unevenly
+    split = split.withColumn("listed", F.lit(False))
+    for k in range(n_parts):
+        levels = cascade(universe, wanted.where(F.pmod(F.xxhash64("key"), F.lit(n_parts)) == k), max_listed)
+        if levels:
+            split = split.withColumn("listed", F.col("listed") | F.exists(keys_of(F.col("host")), partial(member, levels)))
+        split = split if n_parts == 1 else common.checkpointed(split)
     said = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
-    out = split.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("listed", blocked)
+    out = split.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     return out.withColumn("verdict", F.coalesce(said, F.when(F.col("listed"), "block").otherwise("allow")))
 
 

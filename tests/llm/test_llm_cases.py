@@ -141,6 +141,14 @@ def test_urls(spark):
     assert url_cascade.judge(pages.limit(0), listed).count() == 0
 
 
+def test_long_lists(spark):
+    """A list of several cascades blocks the same pages."""
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.h"), F.col("id") % 100, F.lit(".example.com/x")).alias("url"))
+    listed = spark.range(0, 100, 3).select(F.concat(F.lit("h"), "id", F.lit(".example.com")).alias("key"))
+    got = {r.page_id for r in url_cascade.judge(pages, listed, max_listed=15).where("verdict = 'block'").collect()}
+    assert got == {i for i in range(400) if i % 100 % 3 == 0}
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 20000, 97).select(F.concat(F.lit("k"), "id").alias("key"))
