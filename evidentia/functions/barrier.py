@@ -1,7 +1,9 @@
-"""A barrier for the optimiser: expensive columns that many expressions read are computed once."""
+"""Barriers for the optimiser: expensive columns and tables that much is built on are computed once."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,3 +11,11 @@ from pyspark.sql import functions as F
 def once(rows: DataFrame) -> DataFrame:
     """The same rows through a one-element array: projections aren't merged across it, so no expression is copied."""
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, computed once into the folder of spark.checkpoint.dir, one of our own only where that is unset."""
+    sc = rows.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return rows.checkpoint()

@@ -29,6 +29,26 @@ def ledger(flags: DataFrame) -> DataFrame:
     return flags.select("doc_id", "seq", "code", "severity", taken.alias("deduction"), (100 - F.least(F.lit(FLAG_CAP), upto)).alias("balance"))
 
 
+def full_ledger(docs: DataFrame, flags: DataFrame, fields: DataFrame) -> DataFrame:
+    """doc_id, seq, code, severity, field, deduction, balance: flags in order, then unsure fields by name, the unknown type, and what remains.
+
+    docs: doc_id, document_type; flags: doc_id, seq, code, severity, field; fields: doc_id, name, confidence.
+    """
+    row = lambda part, seq, code, severity, field, nominal, cap: (F.lit(part).alias("part"), seq.cast("int").alias("n"), code.alias("code"), severity.alias("severity"), field.cast("string").alias("field"), nominal.alias("nominal"), F.lit(cap).alias("cap"))
+    said = lambda x: F.lit(x)
+    unsure = fields.where(F.col("confidence") < LOW_CONFIDENCE).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("name")))
+    every = flags.select("doc_id", *row(0, F.col("seq"), F.col("code"), F.col("severity"), F.col("field"), _points(F.col("severity")), FLAG_CAP))
+    every = every.unionByName(unsure.select("doc_id", *row(1, F.col("n"), said("low_ocr_confidence"), said("info"), F.col("name"), said(PER_FIELD), CONFIDENCE_CAP)))
+    every = every.unionByName(docs.where("document_type = 'unknown'").select("doc_id", *row(2, said(0), said("unknown_type_penalty"), said("info"), said(None), said(UNKNOWN_TYPE), UNKNOWN_TYPE)))
+    every = every.unionByName(docs.select("doc_id", *row(3, said(0), said("remaining_points"), said("info"), said(None), said(0.0), 0.0)))
+    upto = F.sum("nominal").over(Window.partitionBy("doc_id", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    order = Window.partitionBy("doc_id").orderBy("part", "n")
+    rows = every.withColumn("deduction", F.least("cap", upto) - F.least("cap", upto - F.col("nominal")))
+    left = 100 - F.sum("deduction").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"balance": F.when(F.col("part") == 3, F.greatest(left, F.lit(0.0))).otherwise(left), "seq": F.row_number().over(order)})
+    return rows.select("doc_id", "seq", "code", "severity", "field", "deduction", "balance")
+
+
 def coherence(docs: DataFrame, flags: DataFrame, fields: DataFrame) -> DataFrame:
     """doc_id, counts by severity, the three deductions and the score; docs: doc_id, document_type; fields: doc_id, confidence."""
     count = lambda s: F.count_if(F.col("severity") == s).alias(f"n_{s}")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
 from evidentia.functions.barrier import once
-from evidentia.operators import assemble, extract, registry, rules, scoring, similarity
+from evidentia.operators import assemble, extract, registry, rules, scoring, similarity, validate
 from evidentia.plans import inputs, screening
 from evidentia.sources import domain, sinks
 from evidentia.streaming import checkpoints
@@ -253,6 +253,24 @@ def field_validation(spark, sf_dir):
     return rules.field_validation(inputs.validation_rows(spark, sf_dir), REF)
 
 
+def _validated(spark, sf_dir):
+    """The cards' lines with the QR payloads of some: every second card's number and name as they are printed."""
+    k = F.col("doc_id")
+    parts = {"uid": F.col("qr_uid"), "dob": F.col("qr_birth"), "name": F.col("qr_name"), "gender": F.col("qr_gender")}
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    codes = _qr_rows(spark, sf_dir).where(k % 2 == 0).select(k, F.lit(0).alias("seq"), F.lit("aadhaar_qr").alias("channel"), F.explode(F.array(*(pair(n, v) for n, v in parts.items()))).alias("p")).select("doc_id", "seq", "channel", "p.*")
+    states = _docs(spark, sf_dir).select("doc_id", "side", F.when(k % 10 == 3, "pan_card").alias("forced_type"), (k % 50 == 7).alias("unreadable"))
+    return validate.validate_lines(_lines(spark, sf_dir), REF, states, codes)
+
+
+def document_validation(spark, sf_dir):
+    return _validated(spark, sf_dir).results
+
+
+def document_ledger(spark, sf_dir):
+    return _validated(spark, sf_dir).ledger
+
+
 def document_status(spark, sf_dir):
     keys = domain.table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("document_number")).distinct()
     return registry.document_status(keys, domain.documents(spark, sf_dir))
