@@ -33,6 +33,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 TREE_KEYS = 20_000
 #: Keys of random fingerprints that a shard holds at most; beyond, the blocks are cut finer.
 SHARD_MEAN = 64
+#: Bytes of short texts whose shingles' bits are in memory at once.
+PRINT_BYTES = 1 << 18
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -84,7 +86,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     def run(batches):
         for batch in batches:
             data, offsets = common.text_bytes(batch.column(at))
-            parts = [fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1], shingle) for a, b in common.chunks(offsets)]
+            parts = [fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1], shingle) for a, b in common.chunks(offsets, PRINT_BYTES)]
             out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, name])
 
