@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from evidentia.plans.catalogue_queries import QUERIES
-from evidentia.plans.oracle import ORACLES
+from evidentia.plans import catalogue_queries, intake_oracle, intake_queries, oracle
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return catalogue_queries.QUERIES | intake_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return oracle.ORACLES | intake_oracle.ORACLES

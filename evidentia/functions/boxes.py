@@ -50,3 +50,8 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, modificationTime and the gate's columns of a folder's files, newest first. Spark's reader lists no file of length 0."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime", F.substring("content", 1, 8).alias("head"))
     return upload_gate(files).drop("head").orderBy(F.desc("modificationTime"), "path")
+
+
+def upload_named(files: DataFrame, name: str) -> DataFrame:
+    """The files whose last path element is ``name``; a name with a slash in it finds none."""
+    return files.where(F.element_at(F.split("path", "/"), -1) == name)

@@ -66,6 +66,25 @@ def parse(fmt: str, lines: list[Column]) -> dict[str, Column]:
     return {"recognised": ok} | {name: F.when(ok, c) for name, c in out.items()}
 
 
+def parse_any(lines: Column) -> dict[str, Column]:
+    """The format, whether it is recognised, a message (null where it is) and the fields of an array of lines.
+
+    Blank and null lines don't count and trailing blanks are cut; the lengths of what is left decide the format. No
+    input raises: unknown lengths have no format, and a character outside the set is told by the number of its line.
+    """
+    kept = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x.isNotNull() & (x != ""))
+    lengths = F.array_join(F.transform(kept, lambda x: F.length(x).cast("string")), ",")
+    fmt = F.lit(None).cast("string")
+    for name, (n, width) in SHAPES.items():
+        fmt = F.when(lengths == ",".join([str(width)] * n), name).otherwise(fmt)
+    wrong = F.array_position(F.transform(kept, lambda x: x.rlike("^[A-Z0-9<]*$")), False)
+    message = F.when(fmt.isNull(), "unknown line lengths").when(wrong > 0, F.concat(F.lit("characters of line "), wrong.cast("string")))
+    parsed = {name: parse(name, [F.get(kept, F.lit(i)) for i in range(SHAPES[name][0])]) for name in SHAPES}
+    names = [n for n in parsed["TD3"] if n != "recognised" and all(n in p for p in parsed.values())]
+    merged = {n: F.coalesce(*(F.when(fmt == name, p[n]) for name, p in parsed.items())) for n in names}
+    return {"format": fmt, "recognised": fmt.isNotNull() & F.coalesce(wrong == 0, F.lit(False)), "message": message} | merged
+
+
 def century(yy: Column, reference_year: int, past: bool) -> Column:
     """The four-digit year of two digits: for dates in the past never after the reference, else the nearer one, 19YY on a tie."""
     old, new = yy + 1900, yy + 2000

@@ -45,3 +45,30 @@ def number_fits(document_type: Column, value: Column) -> Column:
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
+
+
+# What a date and a sex look like inside a longer reading.
+DATE_TOKEN = r"\d{1,4}[/.-]\d{1,2}[/.-]\d{2,4}"
+SEX_TOKEN = r"(?i)(male|female|M|F)"
+
+
+def alphanumeric(value: Column) -> Column:
+    """In upper case, without anything but A-Z and 0-9."""
+    return F.regexp_replace(F.upper(value), "[^A-Z0-9]", "")
+
+
+def date_token(value: Column) -> Column:
+    """The first date in a text, or the text without white space."""
+    found = F.regexp_extract(value, DATE_TOKEN, 0)
+    return F.when(found != "", found).otherwise(F.regexp_replace(value, r"\s+", ""))
+
+
+def sex_token(value: Column) -> Column:
+    """The first sex in a text, in upper case, or the trimmed text."""
+    found = F.upper(F.regexp_extract(value, SEX_TOKEN, 1))
+    return F.when(found != "", found).otherwise(F.trim(value))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percent, half to even."""
+    return F.concat(F.bround(share * 100).cast("int").cast("string"), F.lit("%"))

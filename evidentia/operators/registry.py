@@ -110,3 +110,41 @@ def latest_decisions(records: DataFrame, decisions: DataFrame) -> DataFrame:
     """Each record with the last decision appended for it (null if none); decisions are only ever appended."""
     last = decisions.groupBy("verification_id").agg(F.max_by("decision", F.struct("at", "decision_id")).alias("decision"), F.count(F.lit(1)).alias("n_decisions"))
     return records.select("verification_id").join(last, "verification_id", "left").withColumn("n_decisions", F.coalesce("n_decisions", F.lit(0)))
+
+
+def graph_neighbourhood(given: DataFrame, identities: DataFrame, documents: DataFrame, families: DataFrame, events: DataFrame) -> DataFrame:
+    """identity_id, src, dst: the links of each given identity's own graph, each once, by the names of ``graph_edges``.
+
+    That graph has its documents, their families, the families' documents with their owners, and its checkpoints. A
+    given identity that doesn't exist has no rows. Rows are the result itself, one a link: give the identities in
+    question, not a whole registry, where families are large.
+    """
+    name = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    people = identities.select("identity_id")
+    asked = given.select("identity_id").distinct().join(people, "identity_id", "left_semi")
+    own = asked.join(documents.select("identity_id", "document_number", "family_id"), "identity_id")
+    known = documents.join(families.select("family_id"), "family_id", "left_semi")
+    owner = people.withColumnRenamed("identity_id", "owner_id")
+    members = known.select("family_id", "document_number", F.col("identity_id").alias("owner_id")).join(owner.withColumn("real", F.lit(True)), "owner_id", "left")
+    around = own.select("identity_id", "family_id").distinct().join(members, "family_id")
+    parts = [
+        own.select("identity_id", name("person", "identity_id").alias("a"), name("document", "document_number").alias("b")),
+        around.select("identity_id", name("document", "document_number").alias("a"), name("pattern", "family_id").alias("b")),
+        around.where("real").select("identity_id", name("person", "owner_id").alias("a"), name("document", "document_number").alias("b")),
+        asked.join(events.select("identity_id", "checkpoint").distinct(), "identity_id").select("identity_id", name("person", "identity_id").alias("a"), name("checkpoint", "checkpoint").alias("b")),
+    ]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.select("identity_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def network_report(identities: DataFrame, documents: DataFrame, families: DataFrame, events: DataFrame) -> DataFrame:
+    """identity_id, connected_cases, common_pattern, checkpoints_involved (names in order, by commas) of every identity."""
+    points = events.select("identity_id", "checkpoint").distinct().groupBy("identity_id").agg(F.array_join(F.array_sort(F.collect_list("checkpoint")), ",").alias("checkpoints_involved"))
+    rows = identities.select("identity_id").join(connected_cases(documents, families), "identity_id", "left").join(points, "identity_id", "left")
+    return rows.select("identity_id", F.coalesce("connected_cases", F.lit(0)).alias("connected_cases"), "common_pattern", F.coalesce("checkpoints_involved", F.lit("")).alias("checkpoints_involved"))
+
+
+def log_lines(results: DataFrame, officer_id: str) -> DataFrame:
+    """verification_id, line: one structured line for each result (verification_id, document_number, risk_score, risk_level)."""
+    text = F.format_string("event=screening_complete verification_id=%s document=%s risk_score=%d risk_level=%s officer=%s", F.col("verification_id").cast("string"), F.col("document_number").cast("string"), F.col("risk_score").cast("int"), "risk_level", F.lit(officer_id))
+    return results.select("verification_id", text.alias("line"))

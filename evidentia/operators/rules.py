@@ -239,3 +239,9 @@ def field_validation(rows: DataFrame, reference: str) -> DataFrame:
     listed = lambda rules: F.array_join(F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), code) for c, code in rules)), lambda x: x.isNotNull()), ",")
     out = rows.select("doc_id", listed(errors).alias("errors"), listed(warnings).alias("warnings"))
     return out.select("doc_id", (F.col("errors") == "").alias("is_valid"), "errors", "warnings")
+
+
+def expiry_days(rows: DataFrame, reference: str) -> DataFrame:
+    """doc_id, expired, days_to_expiry (negative once expired) from expiry texts; both null without a date."""
+    expiry, now = dates.parse(F.col("expiry"), dates.LOGICAL), F.lit(reference).cast("date")
+    return rows.select("doc_id", (expiry < now).alias("expired"), F.date_diff(expiry, now).alias("days_to_expiry"))

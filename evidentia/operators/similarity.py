@@ -25,6 +25,12 @@ def fingerprint_matches(documents: DataFrame, fingerprints: DataFrame) -> DataFr
     return pairs.select("document_number", "sibling", similarity.alias("similarity")).where("similarity IS NOT NULL").select("document_number", "sibling", F.round(F.col("similarity") * 100, 6).alias("match"))
 
 
+def ranked_matches(matches: DataFrame) -> DataFrame:
+    """``fingerprint_matches`` with rank: a document's siblings by falling match, the smaller number first on a tie."""
+    order = Window.partitionBy("document_number").orderBy(F.desc("match"), "sibling")
+    return matches.withColumn("rank", F.row_number().over(order))
+
+
 def fingerprint_profile(documents: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """document_number, similarity_score (own mean in percent), factors, n_related, summary, for every document.
 

@@ -377,7 +377,7 @@ def audit_recent(spark, sf_dir):
 
 def officer_decision_latest(spark, sf_dir):
     records = domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("verification_id"))
-    e = domain.table(spark, sf_dir, "events").where("event_type <> 'view'")
+    e = domain.table(spark, sf_dir, "events")
     said = F.element_at(F.array(F.lit("CLEARED"), F.lit("SECONDARY_INSPECTION"), F.lit("DENIED")), (F.col("event_id") % 3 + 1).cast("int"))
     decisions = e.select(F.col("user_id").alias("verification_id"), said.alias("decision"), F.col("ts").alias("at"), F.col("event_id").alias("decision_id"))
     return registry.latest_decisions(records, decisions)
@@ -413,7 +413,7 @@ def session_activity(spark, sf_dir):
 
 
 def frontal_confidence(spark, sf_dir):
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 5)
+    v = F.col("embedding").cast("array<double>")
     return domain.table(spark, sf_dir, "embeddings").select("vec_id", boxes.frontal_confidence(v).alias("confidence"))
 
 

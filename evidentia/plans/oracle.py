@@ -335,13 +335,13 @@ ORACLES = {
     "screen_pipeline": f"WITH {RISK} SELECT identity_id, risk_score, risk_level, reasons, upper(sha256(identity_id || ':' || risk_level)) AS document_hash FROM final",
     "audit_hash_log": f"WITH {RISK} SELECT identity_id AS verification_id, upper(sha256(identity_id || ':' || risk_level)) AS document_hash, 'CONFIRMED' AS status FROM final",
     "audit_recent": "SELECT event_id, user_id AS identity_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
-    "officer_decision_latest": "WITH d AS (SELECT user_id, ['CLEARED','SECONDARY_INSPECTION','DENIED'][CAST(event_id % 3 AS INTEGER) + 1] AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type <> 'view') SELECT c_custkey AS verification_id, decision, coalesce(n, 0) AS n_decisions FROM customer LEFT JOIN d ON user_id = c_custkey AND r = 1",
+    "officer_decision_latest": "WITH d AS (SELECT user_id, ['CLEARED','SECONDARY_INSPECTION','DENIED'][CAST(event_id % 3 AS INTEGER) + 1] AS decision, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT c_custkey AS verification_id, decision, coalesce(n, 0) AS n_decisions FROM customer LEFT JOIN d ON user_id = c_custkey AND r = 1",
     "self_test_accuracy": "WITH t AS (SELECT string_split(p_type, ' ')[1] AS manipulation_type, (p_partkey * 37 % 600) / 10 + 40 AS confidence, p_size % 5 <> 0 AS expected FROM part) SELECT manipulation_type, count(*) AS n, count(*) FILTER (expected = (confidence >= 70)) AS n_correct, round(avg(confidence), 6) AS mean_confidence FROM t GROUP BY 1",
     "tamper_status": _TAMPER,
     "kpi_rollup": f"WITH {REGISTRY} SELECT CAST(year(issue_date) AS INTEGER) AS year, status, count(*) AS n, count(family_id) AS n_in_family FROM docs GROUP BY ROLLUP (year(issue_date), status)",
     "kpi_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS checkpoint, count(*) AS n, count(*) FILTER (value >= 60) AS n_risky FROM events GROUP BY 1, 2",
     "session_activity": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS n_events FROM h GROUP BY user_id, k",
-    "frontal_confidence": "SELECT vec_id, round(greatest(0.40, least(0.99, 1 - list_stddev_pop(CAST(embedding AS DOUBLE[])[1:5]) / 0.14)), 3) AS confidence FROM embeddings",
+    "frontal_confidence": "SELECT vec_id, round(greatest(0.40, least(0.99, 1 - list_stddev_pop(CAST(embedding AS DOUBLE[])) / 0.14)), 3) AS confidence FROM embeddings",
     "upload_verdicts": "WITH f AS (SELECT p_partkey AS file_id, p_partkey % 4 AS h, 'in/' || replace(p_name, ' ', '.') || ['.JPG','.png','.gif'][CAST(p_partkey % 3 AS INTEGER) + 1] AS path, p_partkey * 104729 % 12000000 * (p_partkey % 5) AS length FROM part) SELECT file_id, CASE h WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/pdf' END AS media_type, CASE WHEN length = 0 THEN 'empty' WHEN length > 10485760 THEN 'too_large' WHEN h = 3 OR file_id % 3 = 2 THEN 'unsupported' ELSE 'ok' END AS verdict, substr(regexp_replace(path, '[^A-Za-z0-9_-]', '_', 'g'), 1, 24) AS crop FROM f",
     "box_convert": "SELECT p_partkey AS box_id, CAST(greatest(p_partkey % 50 - 10, 0) AS BIGINT) AS top, CAST(least(p_partkey % 700, 640) AS BIGINT) AS right, CAST(least(p_partkey % 500, 480) AS BIGINT) AS bottom, CAST(greatest(p_partkey % 90 - 20, 0) AS BIGINT) AS left, least(1.0, least(p_partkey % 640, p_partkey % 320 * 2) / 640.0) AS x0, least(1.0, least(p_partkey % 480, p_partkey % 960) / 480.0) AS y0, least(1.0, greatest(p_partkey % 640, p_partkey % 320 * 2) / 640.0) AS x1, least(1.0, greatest(p_partkey % 480, p_partkey % 960) / 480.0) AS y1 FROM part",
 }

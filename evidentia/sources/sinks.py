@@ -44,6 +44,18 @@ def append_decision(spark: SparkSession, path: str, records: DataFrame, verifica
     return True
 
 
+def append_self_test(spark: SparkSession, path: str, manipulation_type: str, expected: bool, confidence: float, at: str) -> None:
+    """Appends a self-test: detected from 70 percent on, correct if that was expected; the confidence is the detector's own."""
+    detected = confidence >= 70
+    row = spark.createDataFrame([(manipulation_type, expected, detected, float(confidence), detected == expected, at)], "manipulation_type string, expected_detection boolean, predicted_detection boolean, confidence double, correct boolean, created_at string")
+    append(row.withColumn("created_at", F.to_timestamp("created_at")), path)
+
+
+def self_test_history(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+    """The latest self-tests, newest first."""
+    return spark.read.parquet(path).orderBy(F.desc("created_at"), "manipulation_type").limit(limit)
+
+
 def seed_if_empty(spark: SparkSession, path: str, rows: list, schema: str) -> DataFrame:
     """The table at ``path``, written from ``rows`` only if it isn't there or is empty."""
     from pyspark.errors import AnalysisException
