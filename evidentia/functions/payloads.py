@@ -70,17 +70,21 @@ def decode_identity(payloads: DataFrame, raw: str = "raw") -> DataFrame:
     return out.withColumn("decoded", F.coalesce("uid", "name", "dob").isNotNull())
 
 
-# Accepted names of a licence payload's parts.
-LICENCE_KEYS = {"number": ["dl_no", "dlno", "licence_no", "license_no", "number"], "name": ["name", "holder"], "birth": ["dob", "date_of_birth"]}
+# Accepted names of a licence payload's parts, in lower case without blanks, hyphens and underscores.
+LICENCE_KEYS = {"number": ["dlno", "licenceno", "licenseno", "number"], "name": ["name", "holdername", "holder"], "birth": ["dob", "dateofbirth", "birthdate"], "expiry": ["validtill", "expirydate", "validuntil"]}
 
 
 def decode_licence(payload: Column) -> dict[str, Column]:
-    """number, name and birth of a JSON payload, or of labelled text."""
-    parsed = F.from_json(F.when(F.trim(payload).startswith("{"), payload), "map<string,string>")
-    lowered = F.transform_keys(parsed, lambda k, v: F.lower(k))
+    """number, name, birth and expiry of a JSON payload, or of labelled text (without expiry).
+
+    Of several keys of one part the first with a value that isn't blank counts.
+    """
+    entries = F.map_entries(F.from_json(F.when(F.trim(payload).startswith("{"), payload), "map<string,string>"))
+    plain = lambda k: F.lower(F.regexp_replace(k, "[ _-]", ""))
+    fits = lambda names: lambda e: plain(e["key"]).isin(*names) & (F.trim(e["value"]) != "")
     number = F.regexp_extract(payload, r"\b([A-Z]{2}[0-9]{2}[0-9]{7,11})\b", 1)
     birth = F.regexp_extract(payload, r"(?i)dob\s*[:=]?\s*([0-9./-]{8,10})", 1)
     name = F.regexp_extract(payload, r"(?i)name\s*[:=]?\s*([A-Za-z ]+)", 1)
-    keyed = {part: F.coalesce(*(F.try_element_at(lowered, F.lit(k)) for k in names)) for part, names in LICENCE_KEYS.items()}
+    keyed = {part: F.get(F.filter(entries, fits(names)), F.lit(0))["value"] for part, names in LICENCE_KEYS.items()}
     fallback = {"number": number, "name": name, "birth": birth}
-    return {part: F.coalesce(keyed[part], F.nullif(F.trim(fallback[part]), F.lit(""))) for part in keyed}
+    return {part: F.coalesce(keyed[part], F.nullif(F.trim(fallback[part]), F.lit(""))) if part in fallback else keyed[part] for part in keyed}

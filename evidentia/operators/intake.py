@@ -15,7 +15,7 @@ SIDES = ("front", "back")
 CODE_FORMATS = ("QRCODE", "DATAMATRIX", "PDF417")
 CHANNEL_FIELDS = {
     "aadhaar_qr": {"uid": "document_number", "name": "surname", "gender": "sex", "dob": "date_of_birth"},
-    "dl_barcode": {"document_number": "document_number", "surname": "surname", "date_of_birth": "date_of_birth"},
+    "dl_barcode": {"document_number": "document_number", "surname": "surname", "date_of_birth": "date_of_birth", "date_of_expiry": "date_of_expiry"},
 }
 CODE_CONFIDENCE = 0.99
 # A document's confidence in percent by its best evidence, and the mean's stand-in.
@@ -52,7 +52,7 @@ def barcode_channels(decodes: DataFrame) -> DataFrame:
     licence = payloads.decode_licence(F.col("text"))
     held = {
         "aadhaar_qr": {name: F.col(name) for name in CHANNEL_FIELDS["aadhaar_qr"]},
-        "dl_barcode": {"document_number": licence["number"], "surname": licence["name"], "date_of_birth": licence["birth"]},
+        "dl_barcode": {"document_number": licence["number"], "surname": licence["name"], "date_of_birth": licence["birth"], "date_of_expiry": licence["expiry"]},
     }
     channel = F.when((F.col("format") == "QRCODE") & F.col("decoded"), "aadhaar_qr").when(F.col("format").isin(*CODE_FORMATS) & licence["number"].isNotNull(), "dl_barcode").otherwise("unclassified")
     maps = {c: F.map_filter(F.create_map(*(x for n, v in parts.items() for x in (F.lit(n), v))), lambda k, v: F.coalesce(v, F.lit("")) != "") for c, parts in held.items()}

@@ -26,6 +26,13 @@ def test_decodes_once_and_first_value_wins(spark):
     assert {(r.name, r.value) for r in intake.barcode_fields(codes).collect()} == {("document_number", "1"), ("surname", "B C"), ("sex", "M")}
 
 
+def test_licence_by_any_key(spark):
+    text = '{"Licence-No": "UT010000001", "DOB": "", "dob": "1/2/1990", "Valid Till": "3/4/2031", "holder_name": "A B"}'
+    codes = intake.barcode_channels(spark.createDataFrame([(1, 0, "PDF417", text, None), (2, 0, "PDF417", "{broken", None)], "doc_id long, seq int, format string, text string, raw binary"))
+    found = {(r.doc_id, r.name, r.value) for r in intake.barcode_fields(codes).collect()}
+    assert found == {(1, "document_number", "UT010000001"), (1, "surname", "A B"), (1, "date_of_birth", "1/2/1990"), (1, "date_of_expiry", "3/4/2031")}
+
+
 def test_zone_of_any_lines(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [None, "", "ABC"]), (4, ["<" * 44, "é" * 44])], "k int, lines array<string>")
     found = {r.k: (r.format, r.recognised, r.message) for r in rows.select("k", *(c.alias(n) for n, c in mrz.parse_any(F.col("lines")).items())).collect()}
