@@ -6,7 +6,7 @@ those, so tests hold them against brute force, exact round trips or held-out lab
 
 from __future__ import annotations
 
-from . import ann_tiles, gumbel_pieces, langid_fusion, license_diagonals, line_mphf, quality_crf, simhash_bk, spaced_decontam, toxicity_cnn, url_cascade
+from . import ann_tiles, gumbel_pieces, langid_fusion, license_diagonals, line_mphf, quality_crf, range_max_search, rtree_negatives, simhash_bk, spaced_decontam, split_mixing, toxicity_cnn, url_cascade
 
 
 def queries() -> dict:
@@ -21,6 +21,9 @@ def queries() -> dict:
         "op8_line_mphf": line_mphf.query,
         "op9_gumbel_pieces": gumbel_pieces.query,
         "op10_simhash_bk": simhash_bk.query,
+        "op11_split_mixing": split_mixing.query,
+        "op12_rtree_negatives": rtree_negatives.query,
+        "op13_range_max_search": range_max_search.query,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict:
         "op6_url_cascade": url_cascade.ORACLE,
         "op7_spaced_decontam": spaced_decontam.ORACLE,
         "op8_line_mphf": line_mphf.ORACLE,
+        "op11_split_mixing": split_mixing.ORACLE,
+        "op12_rtree_negatives": rtree_negatives.ORACLE,
+        "op13_range_max_search": range_max_search.ORACLE,
     }
