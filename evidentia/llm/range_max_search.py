@@ -34,6 +34,7 @@ from . import common, native
 K = 10
 #: Words of items that one pass looks for; postings of a shard; postings of an interval that is scored whole; intervals taken at once.
 SLICE_WORDS, SHARD_POSTINGS, LEAF_POSTINGS, TAKEN = 500_000, 1_000_000, 400, 32
+FOUND = "item long, item_id long, doc_id long, score long"
 
 
 class Terms:
@@ -41,11 +42,12 @@ class Terms:
 
     def __init__(self, terms: list[bytes]):
         data = np.frombuffer(b"".join(terms), np.uint8)
-        ends = np.cumsum([len(t) for t in terms], dtype=np.int64)
-        starts = ends - [len(t) for t in terms]
+        lengths = np.array([len(t) for t in terms], np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         hashes = common.span_hash(common.prefix_hash(data), starts, ends)
         order = np.argsort(hashes, kind="stable")
-        self.data, self.hashes, self.starts, self.lengths = data, hashes[order], starts[order], (ends - starts)[order]
+        self.data, self.hashes, self.starts, self.lengths = data, hashes[order], starts[order], lengths[order]
         self.number = {terms[k]: i for i, k in enumerate(order)}
 
     def find(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +261,7 @@ def _found(rows: DataFrame, asked: list, terms: Terms, weight: np.ndarray, n_doc
         for a in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a : a + 10_000], strict=True)], ["item", "item_id", "doc_id", "score"])
 
-    return rows.where(F.size("terms") > 0).mapInArrow(run, "item long, item_id long, doc_id long, score long")
+    return rows.where(F.size("terms") > 0).mapInArrow(run, FOUND)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = K, slice_words: int = SLICE_WORDS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
@@ -270,9 +272,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, slice_words: int = SLI
     listed = common.checkpointed(listed)
     n_words = listed.agg(F.sum(F.size("words"))).first()[0] or 0
     path, parts = f"{common.shared_dir(spark)}/best-{uuid.uuid4().hex}", max(1, -(-n_words // slice_words))
+    spark.createDataFrame([], FOUND).write.parquet(path)
     for part in range(parts):
         mine = F.pmod("item", F.lit(parts)) == part
         asked = [(r.item, r.item_id, r.words) for r in listed.where(mine).collect()]
+        if not asked:
+            continue
         terms = Terms(sorted({w.encode() for _, _, words in asked for w in words}))
         rows = common.written(count_terms(docs, terms), "terms")
         total, length = rows.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
