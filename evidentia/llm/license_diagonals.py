@@ -96,19 +96,29 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
     coverage = F.when(F.col("template") < 0, 0.0).when(F.col("base"), (F.col("places") > 0).cast("double")).otherwise(share)
     dense = F.col("text_words") >= DENSITY * (F.col("end") - F.col("low"))
     merged = merged.withColumn("coverage", coverage).withColumn("fits", ~F.col("base") & (F.col("template") >= 0) & (share >= COVERAGE) & dense)
-    # spans that overlap are an island, in which the best one stays
+    # an island is a run of spans that overlap one after the other; inside, spans are taken best first, if they overlap none taken
     by_start = Window.partitionBy("row").orderBy("low", "template", "span").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max(F.when(F.col("fits"), F.col("end"))).over(by_start)
     merged = merged.withColumn("opens", F.col("fits") & F.coalesce(F.col("low") >= reached, F.lit(True)))
     merged = merged.withColumn("island", F.sum(F.col("opens").cast("int")).over(Window.partitionBy("row").orderBy("low", "template", "span")))
-    best = Window.partitionBy("row", "island").orderBy(F.desc("fits"), F.desc("verified"), F.desc("coverage"), "template", "span")
-    merged = merged.withColumn("accepted", F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("fits") & (F.row_number().over(best) == 1)))
-    return merged.groupBy("row", "doc_id", "n_words").agg(
+    ranked = F.struct((-F.col("verified")).alias("worse"), (-F.col("coverage")).alias("less"), "template", "span", F.col("low").alias("start"), "end", "label", "coverage")
+    islands = merged.groupBy("row", "doc_id", "n_words", "island").agg(
+        F.sum("places").alias("places"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.collect_set(F.when(F.col("places") > 0, F.col("label"))).alias("base"),
+        F.max(F.when(F.col("base"), F.col("coverage")).otherwise(F.col("coverage") / 2)).alias("score"),
+        F.sort_array(F.collect_list(F.when(F.col("fits"), ranked))).alias("fits"))
+    apart = lambda s, t: (s["end"] <= t["start"]) | (t["end"] <= s["start"])
+    take = lambda taken, s: F.when(F.forall(taken, lambda t: apart(s, t)), F.concat(taken, F.array(s))).otherwise(taken)
+    islands = islands.withColumn("taken", F.aggregate("fits", F.filter("fits", lambda s: F.lit(False)), take))
+    plain = F.flatten(F.collect_list(F.transform("taken", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["coverage"].alias("coverage")))))
+    found = islands.groupBy("row", "doc_id", "n_words").agg(
         F.sum("places").alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("places") > 0, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("accepted"), F.col("label")))), ",").alias("labels"),
-        F.max(F.when(F.col("accepted") | F.col("base"), F.col("coverage")).otherwise(F.col("coverage") / 2)).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("accepted") & ~F.col("base"), F.struct(F.col("low").alias("start"), "end", "label", "coverage")))).alias("spans"))
+        F.array_distinct(F.flatten(F.collect_list("base"))).alias("base"), F.max("score").alias("score"), F.sort_array(plain).alias("spans"))
+    joined = lambda labels: F.array_join(F.sort_array(labels), ",")
+    labels = F.transform("spans", lambda s: s["label"])
+    return found.select(
+        "row", "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"), joined(F.array_union("base", labels)).alias("labels"),
+        F.greatest("score", F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0))).alias("score"), "spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text))
 
 
-def brute(text):
-    """(labels without base ones, spans): hits are compared words, no hashes or joins."""
+def brute(text, templates=ld.TEMPLATES):
+    """(labels without base ones, spans): hits are compared words; of all fitting spans the best is taken out with what overlaps it, and so on."""
     w, fits = words(text), []
-    for k, (label, template) in enumerate(ld.TEMPLATES):
+    for k, (label, template) in enumerate(templates):
         t = words(template)
         hits = sorted((i - j, i, j) for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3])
         groups, before = [], None
@@ -26,17 +26,43 @@ def brute(text):
             theirs, ours = {j + x for _, j in g for x in range(3)}, {i + x for i, _ in g for x in range(3)}
             low, end = min(ours), max(ours) + 1
             if len(theirs) >= ld.COVERAGE * len(t) and len(ours) >= ld.DENSITY * (end - low):
-                fits.append((low, end, len(theirs), len(theirs) / len(t), k, label))
-    fits.sort(key=lambda f: (f[0], f[4]))
-    kept, island, reached = [], [], -1
-    for f in fits:
-        if f[0] >= reached and island:
-            kept.append(min(island, key=lambda x: (-x[2], -x[3], x[4])))
-            island = []
-        island.append(f)
-        reached = max(reached, f[1])
-    kept += [min(island, key=lambda x: (-x[2], -x[3], x[4]))] if island else []
-    return {f[5] for f in kept}, sorted((f[0], f[1], f[5], round(f[3], 9)) for f in kept)
+                fits.append((-len(theirs), -len(theirs) / len(t), k, low, end, label))
+    kept, left = [], sorted(fits)
+    while left:
+        best = left[0]
+        kept.append((best[3], best[4], best[5], round(-best[1], 9)))
+        left = [f for f in left[1:] if f[4] <= best[3] or f[3] >= best[4]]
+    return {f[2] for f in kept}, sorted(kept)
+
+
+def scanned(spark, texts, templates):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r for r in ld.scan(docs, templates).collect()}
+
+
+def test_a_bridge_between_two_licenses(spark):
+    """B overlaps A and C, which don't overlap each other: A and C stay, or B alone where it has most words."""
+    w = [f"word{k}" for k in range(30)]
+    cut = lambda a, b: " ".join(w[a:b])
+    got = scanned(spark, [cut(0, 20), cut(8, 14)], [("A", cut(0, 10)), ("B", cut(8, 14)), ("C", cut(12, 20))])
+    assert got[0].labels == "A,C" and got[1].labels == "B" and [(s.start, s.end) for s in got[0].spans] == [(0, 10), (12, 20)]
+    assert scanned(spark, [cut(0, 30)], [("A", cut(0, 8)), ("B", cut(5, 25)), ("C", cut(22, 30))])[0].labels == "B"
+
+
+def test_chains_of_overlapping_templates(spark):
+    rng = random.Random(11)
+    w = [f"word{k}" for k in range(80)]
+    for _ in range(3):
+        templates = []
+        for k in range(12):
+            a = rng.randrange(70)
+            templates.append((f"L{k:02}", " ".join(w[a : a + rng.randrange(4, 16)])))
+        texts = [" ".join(w[rng.randrange(20) :]) for _ in range(4)] + [" ".join(x for x in w if rng.random() < 0.9) for _ in range(8)] + [" ".join(w * 2)]
+        got = scanned(spark, texts, templates)
+        for i, text in enumerate(texts):
+            labels, spans = brute(text, templates)
+            assert [(s.start, s.end, s.label, round(s.coverage, 9)) for s in got[i].spans] == spans
+            assert set(filter(None, got[i].labels.split(","))) == labels
 
 
 def test_against_alignment(spark):
