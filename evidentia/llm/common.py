@@ -102,6 +102,23 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         a = min(b, n)
 
 
+def blocks(data: np.ndarray, offsets: np.ndarray, limit: int):
+    """(first text, its pieces' offsets) of at most about ``limit`` bytes; a longer text is cut between words of ``ALNUM``."""
+    for a, b in chunks(offsets, limit):
+        at = offsets[a]
+        while b == a + 1 and offsets[b] - at > limit:
+            cut = at + limit
+            while cut < offsets[b]:
+                gap = np.flatnonzero(~ALNUM[data[cut : min(cut + limit, offsets[b])]])
+                if len(gap):
+                    cut += gap[0]
+                    break
+                cut = min(cut + limit, offsets[b])
+            yield a, np.array([at, cut])
+            at = cut
+        yield a, np.r_[at, offsets[a + 1 : b + 1]]
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -135,10 +152,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def span_sum(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span, not mixed yet, so that ``joined`` has that of two spans together."""
+    return (sums[end] - sums[start]) * _power_tables(len(sums))[1][start]
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A mixed 64-bit hash of each span; equal bytes have equal hashes wherever they stand."""
-    down = _power_tables(len(sums))[1]
-    return mix((sums[end] - sums[start]) * down[start])
+    return mix(span_sum(sums, start, end))
+
+
+def joined(first: np.uint64, size: int, second: np.uint64) -> np.uint64:
+    """The ``span_sum`` of a span of ``size`` bytes with another behind it."""
+    return np.uint64((int(first) + pow(int(_ODD), int(size), 1 << 64) * int(second)) % (1 << 64))
 
 
 #: Bytes of words of letters and digits: ASCII ones, and all that UTF-8 has beyond ASCII.

@@ -6,9 +6,8 @@ get the chain's own marginals, pulled to bad where no line of the document looks
 the mean of its lines' good marginals, weighted by length, on a logistic scale fitted to the training documents.
 
 Memory: texts are worked on together up to a bound of bytes and lines. A longer text goes through in blocks of lines, which
-hand on the words seen and the sums of a line that isn't over; its chain then needs 24 bytes a line. There, a line of
-over ``common.CHUNK_BYTES`` isn't compared with the line before it, and a run of as many bytes without white space
-counts as several words.
+hand on the words seen, the sums and hash of a line that isn't over, and size and hash of a word that isn't; its chain then
+needs 24 bytes a line. A text has the same score in blocks as in one piece.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; repeated rows get one
 result each; extra columns pass through; with no labels, or of one class only, every score is that class's share
@@ -52,10 +51,12 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[*b"*&%$#@"]] = True
 
 
-def tally(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, last: int | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+def tally(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, last: int | None = None, known: np.ndarray | None = None, held: tuple | None = None, more: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(counts of each span, each span's hash, what a next block of the same text needs): counts of spans' parts add up.
 
-    ``last``: the hash of the word before the first; ``known``: sorted hashes of the words that the text had before.
+    ``last``: the hash of the word before the first; ``known``: sorted hashes of the words that the text had before; ``held``:
+    (hash, bytes, last byte) of a word that the block before ended in; ``more``: whether another block follows. A word that
+    reaches the end of such a block counts in the next one.
     """
     counts = [ends - starts]
     for t in _TABLES:
@@ -65,14 +66,24 @@ def tally(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.nd
     low = common.lower_ascii(data)
     sums = common.prefix_hash(low)
     ws, we = common.word_spans(data, starts)
-    h = common.span_hash(sums, ws, we)
+    raw, size, tail = common.span_sum(sums, ws, we), we - ws, data[we - 1] if len(ws) else np.zeros(0, np.uint8)
+    if held is not None and len(ws) and ws[0] == 0:
+        raw[0], size[0] = common.joined(held[0], held[1], raw[0]), size[0] + held[1]
+    elif held is not None:  # it ended where the block did
+        ws, we, raw, size, tail = np.r_[-1, ws], np.r_[0, we], np.r_[np.uint64(held[0]), raw], np.r_[held[1], size], np.r_[np.uint8(held[2]), tail]
+    held = None
+    if more and len(ws) and we[-1] == len(data):
+        held = (raw[-1], int(size[-1]), tail[-1])
+        ws, raw, size, tail = ws[:-1], raw[:-1], size[:-1], tail[:-1]
+    h = common.mix(raw)
     a, b = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
+    a[0] = 0
     same = np.zeros(len(ws), bool)
     same[1:] = h[1:] == h[:-1]
     seen = np.zeros(len(ws), bool)  # a word that the same document had before
     if len(ws):
         same[0] = last is not None and int(h[0]) == last
-        key = common.mix(h + (np.searchsorted(offsets, ws, "right") - 1).astype(np.uint64))
+        key = common.mix(h + np.maximum(np.searchsorted(offsets, ws, "right") - 1, 0).astype(np.uint64))
         _, first = np.unique(key, return_index=True)
         seen[:] = True
         seen[first] = False
@@ -80,12 +91,11 @@ def tally(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.nd
             at = np.searchsorted(known, h)
             seen |= (known[np.minimum(at, len(known) - 1)] == h) if len(known) else False
             known = np.union1d(known, h)
-    size, tail = we - ws, data[we - 1] if len(ws) else np.zeros(0, np.uint8)
     for flags in (np.ones(len(ws), bool), size, size <= 2, size >= 12, same, seen, tail == 33, _MARKS[tail], (size == 1) & (tail == 124)):
         c = np.zeros(len(ws) + 1, np.int64)
         np.cumsum(flags, out=c[1:])
         counts.append(c[b] - c[a])
-    return np.stack(counts, 1).astype(np.int64), common.span_hash(sums, starts, ends), (int(h[-1]) if len(ws) else last, known)
+    return np.stack(counts, 1).astype(np.int64), common.span_sum(sums, starts, ends), (int(h[-1]) if len(ws) else last, known, held)
 
 
 def own_features(counts: np.ndarray, again: np.ndarray) -> np.ndarray:
@@ -250,7 +260,7 @@ class Chain:
             return self.constant, 0, 1 + int((data == 10).sum())
         n = 1 + np.count_nonzero(data == 10)
         e, lengths, done = np.zeros(n), np.zeros(n, np.int32 if len(data) < 1 << 31 else np.int64), 0
-        at, last, known, rest, before, ahead = 0, None, np.zeros(0, np.uint64), None, None, 0.0
+        at, carried, rest, before, ahead = 0, (None, np.zeros(0, np.uint64), None), None, None, 0.0
         k = (len(self.w) - 3) // 3
         w = np.stack([self.w[:k], self.w[k : 2 * k], self.w[2 * k : 3 * k]], 1)
         while done < n:
@@ -258,14 +268,14 @@ class Chain:
             part = data[at:stop]
             starts = np.r_[0, np.flatnonzero(part == 10) + 1]
             ends = np.r_[starts[1:] - 1, len(part)]
-            counts, hashes, (last, known) = tally(part, starts, ends, np.array([0, len(part)]), last, known)
-            if rest is not None:  # the line that wasn't over
-                counts[0] += rest
-                hashes[0] = 0 if rest[0] else hashes[0]
             over = stop == len(data)
-            rest = None if over else counts[-1]  # empty after a line break
+            counts, hashes, carried = tally(part, starts, ends, np.array([0, len(part)]), *carried, not over)
+            if rest is not None:  # the line that wasn't over
+                counts[0] += rest[0]
+                hashes[0] = common.joined(rest[1], rest[0][0], hashes[0])
+            rest = None if over else (counts[-1], hashes[-1])  # empty after a line break
             cut = len(counts) - (not over)
-            again = np.r_[before is not None and hashes[0] == before != 0, (hashes[1:] == hashes[:-1]) & (hashes[1:] != 0)] & (counts[:, 0] > 0)
+            again = np.r_[before is not None and hashes[0] == before, hashes[1:] == hashes[:-1]] & (counts[:, 0] > 0)
             if cut:
                 own = own_features(counts[:cut], again[:cut]) @ w
                 mine = slice(done, done + cut)

@@ -68,28 +68,11 @@ class Terms:
         return word, term
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, limit: int):
-    """(first text, its pieces' offsets) of at most about ``limit`` bytes; a longer text is cut between words."""
-    for a, b in common.chunks(offsets, limit):
-        at = offsets[a]
-        while b == a + 1 and offsets[b] - at > limit:
-            cut = at + limit
-            while cut < offsets[b]:
-                gap = np.flatnonzero(~common.ALNUM[data[cut : min(cut + limit, offsets[b])]])
-                if len(gap):
-                    cut += gap[0]
-                    break
-                cut = min(cut + limit, offsets[b])
-            yield a, np.array([at, cut])
-            at = cut
-        yield a, np.r_[at, offsets[a + 1 : b + 1]]
-
-
 def counted(data: np.ndarray, offsets: np.ndarray, terms: Terms, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each text's number of words, and (text, term, tf) of the terms found, by text and term."""
     n, keys, tfs = np.zeros(len(offsets) - 1, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     width = max(1, len(terms.hashes))
-    for first, part in blocks(data, offsets, limit or common.CHUNK_BYTES):
+    for first, part in common.blocks(data, offsets, limit or common.CHUNK_BYTES):
         low, local = common.lower_ascii(data[part[0] : part[-1]]), part - part[0]
         start, end = common.word_spans(low, local, common.ALNUM)
         text = np.searchsorted(local, start, "right") - 1
