@@ -5,6 +5,10 @@ known stem is known. Filters one, two and three words wide run over the whole te
 layer reads the maxima. A cut is calibrated for each language on documents that the weights weren't fitted on, the
 language being read off the text's own function words, and the score is shifted so that this cut is 0.7.
 
+Memory: texts are worked on together up to ``BLOCK`` bytes. A longer text goes through in blocks cut between words, which hand on
+its last two words and the filters' running maxima, so its score is that of the whole text; a word longer than a block
+is held whole, at some 40 bytes a byte.
+
 Defined results: a null or empty text is scored as a text without words; repeated rows get one result each; extra
 columns pass through; without labels, or with one class only, each score is that class's share (0.5 without labels).
 Only the text is read by a score.
@@ -26,6 +30,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 12
 #: Bytes of a word's start that have embeddings of their own.
 STEMS = (3, 4, 5)
 _WIDE = max(WIDTHS)
+#: Bytes of text that are worked on at once.
+BLOCK = 1 << 20
 
 # Common function words of each language.
 FUNCTION_WORDS = {
@@ -45,8 +51,13 @@ _KNOWN = [_hash_words(w) for w in FUNCTION_WORDS.values()]
 LANGUAGES = len(_KNOWN)
 
 
+def language_of(seen: np.ndarray) -> np.ndarray:
+    """The language of most function words, by counts of each; LANGUAGES: none."""
+    return np.where(seen.max(1, initial=0) > 0, seen.argmax(1), LANGUAGES)
+
+
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket ids of each word, words of each document, its language by function words; LANGUAGES: none)."""
+    """(bucket ids of each word, words of each document, its function words of each language)."""
     low = common.lower_ascii(data)
     ws, we = common.word_spans(low, offsets, common.ALNUM)
     sums = common.prefix_hash(low)
@@ -57,8 +68,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n_words = np.diff(np.searchsorted(ws, offsets))
     doc = np.repeat(np.arange(len(n_words)), n_words)
     seen = np.stack([np.bincount(doc[np.isin(whole, k)], minlength=len(n_words)) for k in _KNOWN], 1)
-    language = np.where(seen.max(1, initial=0) > 0, seen.argmax(1), LANGUAGES)
-    return np.stack(ids, 1).astype(np.int32), n_words, language
+    return np.stack(ids, 1).astype(np.int32), n_words, seen
 
 
 class Net:
@@ -73,6 +83,13 @@ class Net:
         self.b, self.v, self.c = np.zeros(f, np.float32), rng.normal(0, 0.3, f).astype(np.float32), np.float32(0)
         self.cuts = np.zeros(LANGUAGES + 1)
 
+    def words(self, ids: np.ndarray) -> np.ndarray:
+        """Each word's vector: the sum of the embeddings of it and its starts."""
+        x = self.e[ids[:, 0]]
+        for k in range(1, ids.shape[1]):
+            x += self.e[ids[:, k]]
+        return x
+
     def pooled(self, ids: np.ndarray, n_words: np.ndarray, back: bool = False):
         """The filters' maxima over each document, and for training where they stand."""
         n = np.maximum(n_words, 1)
@@ -80,9 +97,7 @@ class Net:
         padded = np.full((int((n + _WIDE).sum()) + _WIDE, ids.shape[1]), BUCKETS, np.int32)
         at = np.repeat(start - np.r_[0, np.cumsum(n_words)[:-1]], n_words) + np.arange(len(ids))
         padded[at] = ids
-        x = self.e[padded[:, 0]]
-        for k in range(1, ids.shape[1]):
-            x += self.e[padded[:, k]]
+        x = self.words(padded)
         wide = np.lib.stride_tricks.sliding_window_view(x, _WIDE, 0).transpose(0, 2, 1).reshape(-1, _WIDE * DIM)
         z = wide @ self.w
         pairs = np.stack([start, start + n], 1).ravel()
@@ -95,14 +110,44 @@ class Net:
         return top, (spots, wide, padded)
 
     def logits(self, ids: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        return np.maximum(self.pooled(ids, n_words)[0] + self.b, 0) @ self.v + self.c
+        return self.read(self.pooled(ids, n_words)[0])
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def read(self, top: np.ndarray) -> np.ndarray:
+        """The logits of the filters' maxima."""
+        return np.maximum(top + self.b, 0) @ self.v + self.c
+
+    def shifted(self, logits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        z = logits.astype(np.float64) - self.cuts[language_of(seen)] + np.log(0.7 / 0.3)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """The score of each whole text."""
         if self.constant is not None:
             return np.full(len(offsets) - 1, self.constant)
-        ids, n_words, language = encode(data, offsets)
-        z = self.logits(ids, n_words).astype(np.float64) - self.cuts[language] + np.log(0.7 / 0.3)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        out = [np.zeros(0)]
+        for a, b in common.chunks(offsets, block):
+            if offsets[b] - offsets[a] > block:
+                out.append(self.long_score(data[offsets[a] : offsets[b]], block))
+            else:
+                ids, n_words, seen = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                out.append(self.shifted(self.logits(ids, n_words), seen))
+        return np.concatenate(out)
+
+    def long_score(self, data: np.ndarray, block: int) -> np.ndarray:
+        """One text by blocks: windows that begin in a block's last two words wait for the next block's words."""
+        top, seen, waiting = np.full(self.b.shape, -np.inf, np.float32), np.zeros((1, LANGUAGES), np.int64), np.zeros((0, 1 + len(STEMS)), np.int32)
+        for _, part in common.blocks(data, np.array([0, len(data)]), block):
+            ids, _, found = encode(data[part[0] : part[-1]], part - part[0])
+            seen += found
+            ids = np.concatenate([waiting, ids])
+            if len(ids) >= _WIDE:
+                wide = np.lib.stride_tricks.sliding_window_view(self.words(ids), _WIDE, 0).transpose(0, 2, 1).reshape(-1, _WIDE * DIM)
+                top = np.maximum(top, (wide @ self.w).max(0))
+                ids = ids[1 - _WIDE :]
+            waiting = ids
+        if len(waiting) or np.isneginf(top).any():
+            top = np.maximum(top, self.pooled(waiting, np.array([len(waiting)]))[0][0])
+        return self.shifted(self.read(top[None]), seen)
 
 
 def _adam(state: dict, key: str, value: np.ndarray, grad: np.ndarray, step: int, rows=slice(None), rate: float = 0.01) -> None:
@@ -112,6 +157,23 @@ def _adam(state: dict, key: str, value: np.ndarray, grad: np.ndarray, step: int,
     value[rows] -= rate * (m[rows] / (1 - 0.9**step)) / (np.sqrt(s[rows] / (1 - 0.99**step)) + 1e-6)
 
 
+def gradients(net: Net, ids: np.ndarray, n_words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Gradients of the weighted mean log loss by v, b, c and w, and (rows, gradients) of the embeddings that it touches."""
+    top, (spots, wide, padded) = net.pooled(ids, n_words, True)
+    hidden = np.maximum(top + net.b, 0)
+    p = 1 / (1 + np.exp(-np.clip(hidden @ net.v + net.c, -30, 30)))
+    g = ((p - y) * weight / len(n_words)).astype(net.w.dtype)
+    gh = g[:, None] * net.v * (hidden > 0)
+    gw = np.einsum("df,dfk->kf", gh, wide[spots]) * net.mask
+    gx = (gh[:, :, None] * net.w.T[None]).reshape(*gh.shape, _WIDE, DIM)
+    words = padded[spots[:, :, None] + np.arange(_WIDE)]
+    live = words[..., 0] != BUCKETS
+    touched, where = np.unique(words[live].ravel(), return_inverse=True)
+    ge = np.zeros((len(touched), DIM), net.e.dtype)
+    np.add.at(ge, where.reshape(-1), np.repeat(gx[live], words.shape[-1], 0))
+    return {"v": g @ hidden, "b": gh.sum(0), "c": np.array([g.sum()]), "w": gw, "e": (touched, ge)}
+
+
 def fit(rows: list, epochs: int = 8, batch: int = 48, seed: int = 7) -> Net:
     """The network of (text, label) rows, 1 for toxic; the same for the same rows. Every fifth row calibrates only."""
     y = np.array([r["label"] for r in rows], np.float32)
@@ -121,7 +183,8 @@ def fit(rows: list, epochs: int = 8, batch: int = 48, seed: int = 7) -> Net:
     net, state, step = Net(seed=seed), {}, 0
     data, offsets = common.text_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
     parts = [encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.chunks(offsets)]
-    ids, n_words, language = (np.concatenate(p) for p in zip(*parts, strict=True))
+    ids, n_words, seen = (np.concatenate(p) for p in zip(*parts, strict=True))
+    language = language_of(seen)
     first = np.r_[0, np.cumsum(n_words)]
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 400 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~held)
@@ -131,26 +194,14 @@ def fit(rows: list, epochs: int = 8, batch: int = 48, seed: int = 7) -> Net:
         rng.shuffle(train)
         for k in range(0, len(train), batch):
             d, step = train[k : k + batch], step + 1
-            own = np.concatenate([ids[first[i] : first[i + 1]] for i in d])
-            top, (spots, wide, padded) = net.pooled(own, n_words[d], True)
-            hidden = np.maximum(top + net.b, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ net.v + net.c, -30, 30)))
-            g = ((p - y[d]) * weight[d] / len(d)).astype(np.float32)
-            gh = g[:, None] * net.v * (hidden > 0)
-            windows = wide[spots]
-            gw = np.einsum("df,dfk->kf", gh, windows) * net.mask
-            gx = (gh[:, :, None] * net.w.T[None]).reshape(*gh.shape, _WIDE, DIM)
-            words = padded[spots[:, :, None] + np.arange(_WIDE)]
-            live = words[..., 0] != BUCKETS
-            touched, where = np.unique(words[live].ravel(), return_inverse=True)
-            ge = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(ge, where.reshape(-1), np.repeat(gx[live], words.shape[-1], 0))
-            _adam(state, "v", net.v, g @ hidden + 1e-4 * net.v, step)
-            _adam(state, "b", net.b, gh.sum(0), step)
+            grads = gradients(net, np.concatenate([ids[first[i] : first[i + 1]] for i in d]), n_words[d], y[d], weight[d])
+            touched, ge = grads["e"]
+            _adam(state, "v", net.v, grads["v"] + 1e-4 * net.v, step)
+            _adam(state, "b", net.b, grads["b"], step)
             c = np.array([net.c])
-            _adam(state, "c", c, np.array([g.sum()]), step)
+            _adam(state, "c", c, grads["c"], step)
             net.c = c[0]
-            _adam(state, "w", net.w, gw, step)
+            _adam(state, "w", net.w, grads["w"], step)
             _adam(state, "e", net.e, ge + 1e-5 * net.e[touched], step, touched, 0.02)
     check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
     z = np.array([net.logits(ids[first[i] : first[i + 1]], n_words[i : i + 1])[0] for i in check])
@@ -179,9 +230,7 @@ def score(docs: DataFrame, net: Net, text: str = "text", name: str = "toxicity")
 
     def run(batches):
         for batch in batches:
-            data, offsets = common.text_bytes(batch.column(at))
-            parts = [held.value.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in common.chunks(offsets, 1 << 20)]
-            out = np.concatenate(parts) if parts else np.zeros(0)
+            out = held.value.scores(*common.text_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     return common.mapped(docs, run, schema)
