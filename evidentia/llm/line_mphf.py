@@ -12,7 +12,8 @@
    that many probes want is copied for several tasks, and the hashes of the lines that go are gathered for each text,
    which is read once more and rewritten. Both ways give the same rows.
 
-A false hit needs two lines of equal 96 bits of hash.
+A false hit needs two lines of equal 96 bits of hash. A text is held as its bytes and 16 bytes a line; only lines that are long
+enough for a key become objects.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id count as one document, and all keep
 a line that this doc_id holds last; rows of null doc_id are counted as no document and lose no line; a repeated line
@@ -48,6 +49,16 @@ def key_of(line: bytes, min_chars: int) -> bytes | None:
     return key
 
 
+def long_lines(text: bytes | None, min_chars: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of lines, starts and ends of those of at least ``min_chars`` bytes); 16 bytes a line, whatever the lines hold."""
+    data = np.frombuffer(text or b"", np.uint8)
+    breaks = np.flatnonzero(data == 10)
+    sizes = np.diff(breaks, prepend=-1, append=len(data)) - 1
+    which = np.flatnonzero(sizes >= min_chars)
+    ends = np.append(breaks, len(data))[which] if len(which) else which
+    return len(breaks) + 1, ends - sizes[which], ends
+
+
 def hashes(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
     return h >> 64, h & 0xFFFFFFFFFFFFFFFF
@@ -66,7 +77,7 @@ def line_keys(docs: DataFrame, min_chars: int, with_text: bool = False) -> DataF
         for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             out_a, out_b, size = [], [], []
             for text, doc_id in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {hashes(k) for k in (key_of(line, min_chars) for line in text.split(b"\n")) if k is not None} if text and doc_id is not None else ()
+                found = set(_keyed(text, min_chars)[3]) if doc_id is not None else ()
                 for a, b in found:
                     out_a.append(a)
                     out_b.append(b)
@@ -187,16 +198,25 @@ class Index:
         return count, keeper
 
 
-def _lines(text: bytes | None, min_chars: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
-    lines = (text or b"").split(b"\n")
-    where, a, b = [], [], []
-    for i, line in enumerate(lines):
-        if (k := key_of(line, min_chars)) is not None:
-            h = hashes(k)
-            where.append(i)
-            a.append(h[0])
-            b.append(h[1])
-    return lines, where, _signed(a), _signed(b)
+def _keyed(text: bytes | None, min_chars: int) -> tuple[int, list[int], list[int], list[tuple[int, int]]]:
+    """(number of lines, starts, ends and hashes of the lines whose keys are long enough)."""
+    n, starts, ends = long_lines(text, min_chars)
+    found = [(a, b, hashes(k)) for a, b, k in ((a, b, key_of(text[a:b], min_chars)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)) if k is not None]
+    return n, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
+
+
+def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
+    """The text without the lines of the given starts and ends, in order."""
+    if not gone:
+        return text
+    pieces, at = [], 0
+    for start, end in gone:
+        if start > at:
+            pieces.append(text[at : start - 1])
+        at = end + 1
+    if at <= len(text):
+        pieces.append(text[at:])
+    return b"\n".join(pieces)
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, group_bytes: int = GROUP_BYTES, task_probes: int = TASK_PROBES) -> DataFrame:
@@ -214,15 +234,9 @@ def _rewritten(docs: DataFrame) -> T.StructType:
     return T.StructType([*docs.schema.fields, T.StructField("dedup_text", T.StringType()), T.StructField("dedup_lines", T.LongType()), T.StructField("dedup_dropped", T.LongType())])
 
 
-def _emit(batch, drops):
-    """The batch with its new columns; drops: (lines, numbers of those that go) of each row."""
-    texts, n_lines, n_dropped = [], [], []
-    for lines, gone in drops:
-        texts.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else b"\n".join(lines))
-        n_lines.append(len(lines))
-        n_dropped.append(len(gone))
-    kept = pa.array(texts, pa.large_binary()).cast(pa.large_string())
-    kept = kept.cast(pa.string())
+def _emit(batch, texts: list[bytes], n_lines: list[int], n_dropped: list[int]):
+    """The batch with its new columns."""
+    kept = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
     return pa.RecordBatch.from_arrays([*batch.columns, kept, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*batch.schema.names, "dedup_text", "dedup_lines", "dedup_dropped"])
 
 
@@ -235,15 +249,17 @@ def _probe(docs: DataFrame, rows: list, shards: int, min_chars: int, min_docs: i
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                split = [_lines(t, min_chars) for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
-                count, keeper = index.probe(np.concatenate([s[2] for s in split]), np.concatenate([s[3] for s in split]))
-                drops, j = [], 0
-                for doc_id, (lines, where, _, _) in zip(batch.column(at_id).to_pylist(), split, strict=True):
-                    own = slice(j, j + len(where))
+                texts = [t or b"" for t in batch.column(at_text).cast(pa.large_binary()).to_pylist()]
+                split = [_keyed(t, min_chars) for t in texts]
+                count, keeper = index.probe(*(_signed([h[c] for s in split for h in s[3]]) for c in (0, 1)))
+                dropped, j = [], 0
+                for r, (doc_id, (_, starts, ends, _)) in enumerate(zip(batch.column(at_id).to_pylist(), split, strict=True)):
+                    own = slice(j, j + len(starts))
                     j = own.stop
                     out = np.flatnonzero((count[own] >= min_docs) & (keeper[own] != doc_id)) if doc_id is not None else ()
-                    drops.append((lines, {where[i] for i in out}))
-                yield _emit(batch, drops)
+                    texts[r] = without(texts[r], [(starts[i], ends[i]) for i in out])
+                    dropped.append(len(out))
+                yield _emit(batch, texts, [s[0] for s in split], dropped)
 
     return common.mapped(docs, run, _rewritten(docs))
 
@@ -285,12 +301,15 @@ def _probe_dealt(docs: DataFrame, index: DataFrame, shards: int, min_chars: int,
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                drops = []
+                texts, n_lines, dropped = [], [], []
                 for text, gone in zip(batch.column(at_text).cast(pa.large_binary()).to_pylist(), batch.column(at_gone).to_pylist(), strict=True):
-                    lines, where, a, b = _lines(text, min_chars)
-                    out = {(x["place"], x["fingerprint"]) for x in gone or ()}
-                    drops.append((lines, {i for i, *key in zip(where, a.tolist(), b.tolist(), strict=True) if tuple(key) in out} if out else set()))
-                yield _emit(pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]), drops)
+                    n, starts, ends, found = _keyed(text, min_chars)
+                    lost = {(x["place"], x["fingerprint"]) for x in gone or ()}
+                    out = [(a, b) for a, b, h in zip(starts, ends, zip(*(_signed([h[c] for h in found]).tolist() for c in (0, 1)), strict=True), strict=True) if h in lost] if lost else []
+                    texts.append(without(text or b"", out))
+                    n_lines.append(n)
+                    dropped.append(len(out))
+                yield _emit(pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]), texts, n_lines, dropped)
 
     return common.mapped(work, finish, _rewritten(docs))
 

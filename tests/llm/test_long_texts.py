@@ -1,5 +1,6 @@
 """Very long texts: the block ways give the results of the plain ways, within bounded memory."""
 
+import itertools
 import resource
 import subprocess
 import sys
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evidentia.llm import quality_crf, simhash_bk
+from evidentia.llm import line_mphf, quality_crf, simhash_bk, toxicity_cnn
 
 
 def chain():
@@ -32,13 +33,31 @@ def test_quality_in_blocks():
 
 
 def test_quality_with_cut_lines():
-    """Blocks that cut lines: nothing but the comparison with the line before is lost."""
+    """Blocks that cut lines and words: nothing is lost."""
     c, rng = chain(), np.random.default_rng(6)
-    c.w[11 :: (len(c.w) - 3) // 3][:3] = 0  # the weights of that comparison
-    data = np.frombuffer(text(rng, 900), np.uint8)
-    score, bad, lines = (x[0] for x in c.quality(data, np.array([0, len(data)])))
-    for block in (40, 77, 400):
-        assert c.long_quality(data, block) == (pytest.approx(score, abs=1e-9), bad, lines)
+    long = b"x" * 90 + b"!"
+    texts = [text(rng, 900), b"\n".join([b"the same line " * 20] * 3 + [long, long, long + b" |", b"| " + long]), b" ".join([long] * 4), long * 5, b"\n\n" + long + b"\n", b"ab" * 40 + b" ", b"some words and a " + long + b"\n" + long]
+    for data in (np.frombuffer(t, np.uint8) for t in texts):
+        score, bad, lines = (x[0] for x in c.quality(data, np.array([0, len(data)])))
+        for block in (1, 7, 40, 77, 91, 400):
+            assert c.long_quality(data, block) == (pytest.approx(score, abs=1e-9), bad, lines)
+
+
+def test_chain_by_enumeration():
+    """Marginals of chains of up to eight lines against the sum over all labellings."""
+    c, rng = chain(), np.random.default_rng(12)
+    for n in range(1, 9):
+        e = rng.normal(size=n) * 2
+        weights = {}
+        for labels in itertools.product((0, 1), repeat=n):
+            energy = sum(x for x, y in zip(e, labels, strict=True) if y) + sum(c.t[a, b] for a, b in itertools.pairwise(labels))
+            weights[labels] = np.exp(energy)
+        total = sum(weights.values())
+        want = [sum(w for y, w in weights.items() if y[i]) / total for i in range(n)]
+        pairs = np.array([[sum(w * sum(p == (a, b) for p in itertools.pairwise(y)) for y, w in weights.items()) / total for b in (0, 1)] for a in (0, 1)])
+        p, pair = c.marginals(e, np.array([n]))
+        assert np.allclose(p, want) and np.allclose(pair, pairs)
+        assert np.allclose(quality_crf._segmented(e, c.top(), False)[0], want)
 
 
 def test_segments_and_loop_agree():
@@ -54,7 +73,7 @@ def test_segments_and_loop_agree():
 
 MEMORY = """
 import resource, numpy as np
-from evidentia.llm import quality_crf, simhash_bk
+from evidentia.llm import line_mphf, quality_crf, simhash_bk, toxicity_cnn
 from tests.llm.test_long_texts import chain
 text = {text}
 data = np.frombuffer(text, np.uint8)
@@ -63,9 +82,12 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
 QUALITY = "chain().all_quality(data, np.array([0, len(data)]))"
 PRINTS = "simhash_bk.fingerprints(data, np.array([0, len(data)]))"
+TOXIC = "toxicity_cnn.Net().scores(data, np.array([0, len(data)]))"
+LINES = "n, a, b, _ = line_mphf._keyed(text, 40); line_mphf.without(text, list(zip(a, b)))"
+WORDS, BREAKS, SHORT = "b'some words of a text, ' * 2_200_000", "b'\\n' * 20_000_000", "b'ab\\n' * 20_000_000"
 
 
-@pytest.mark.parametrize(("text", "run"), [("b'\\n' * 20_000_000", QUALITY), ("b'some words of a text, ' * 2_200_000", QUALITY), ("b'some words of a text, ' * 2_200_000", PRINTS)])
+@pytest.mark.parametrize(("text", "run"), [(BREAKS, QUALITY), (WORDS, QUALITY), (WORDS, PRINTS), (WORDS, TOXIC), (SHORT, TOXIC), (SHORT, LINES), (WORDS, LINES)])
 def test_memory(text, run):
     out = subprocess.run([sys.executable, "-c", MEMORY.format(text=text, run=run)], capture_output=True, text=True, check=True)
     assert int(out.stdout.split()[-1]) < 1000
@@ -111,3 +133,71 @@ def test_dense_tree_is_quick():
     src, dst = simhash_bk.linked(keys, np.ones(len(keys), bool), np.arange(len(keys)), 4)
     assert len(src) == len(keys) - 1 and set(dst.tolist()) == {0}
     assert resource.getrusage(resource.RUSAGE_SELF).ru_utime - before < 30
+
+
+def test_toxicity_in_blocks():
+    """Filters' maxima by blocks are those of whole texts and of every window by itself."""
+    rng, net = np.random.default_rng(13), toxicity_cnn.Net(seed=3)
+    net.cuts = rng.normal(size=toxicity_cnn.LANGUAGES + 1)
+    words = ["the", "der", "bad", "Ü", "x", "longerword", "a-b", "\n", "--", "la"]
+    for n in (0, 1, 2, 3, 5, 60, 800):
+        t = " ".join(rng.choice(words, n)).encode()
+        data, ends = np.frombuffer(t, np.uint8), np.array([0, len(t)])
+        ids, n_words, seen = toxicity_cnn.encode(data, ends)
+        vectors = np.concatenate([net.e[ids].sum(1), np.zeros((3, toxicity_cnn.DIM))])
+        top = [max(sum(vectors[i + k] @ net.w[k * toxicity_cnn.DIM : (k + 1) * toxicity_cnn.DIM, f] for k in range(width)) for i in range(max(1, int(n_words[0])))) for f, width in enumerate(np.repeat(toxicity_cnn.WIDTHS, toxicity_cnn.FILTERS))]
+        whole = net.scores(data, ends)
+        assert np.allclose(net.pooled(ids, n_words)[0][0], top, atol=1e-5)
+        assert np.allclose(whole, net.shifted(net.read(np.array([top], np.float32)), seen), atol=1e-5)
+        for block in (1, 9, 50, 700):
+            assert np.allclose(net.scores(data, ends, block), whole, atol=1e-6)
+
+
+def test_toxicity_gradient():
+    """Each weight's gradient in one step of the training's loss, against differences."""
+    rng, net = np.random.default_rng(14), toxicity_cnn.Net(seed=4)
+    data, offsets = b"bad words here the end of it", np.array([0, 9, 28])
+    ids, n_words, _ = toxicity_cnn.encode(np.frombuffer(data, np.uint8), offsets)
+    for name in ("w", "b", "v", "e"):
+        setattr(net, name, getattr(net, name).astype(np.float64) * (5 if name == "e" else 1))
+    net.b = net.b + 0.3
+    y, weight = np.array([1.0, 0.0]), np.array([0.7, 1.3])
+    loss = lambda: (weight * (np.logaddexp(0, net.logits(ids, n_words)) - y * net.logits(ids, n_words))).sum() / 2
+    grads = toxicity_cnn.gradients(net, ids, n_words, y, weight)
+    for name in ("v", "b", "w"):
+        value, g = getattr(net, name), grads[name]
+        for _ in range(12):
+            at = tuple(int(rng.integers(0, k)) for k in value.shape)
+            if name == "w" and not net.mask[at]:
+                assert g[at] == 0
+                continue
+            old, (low, high) = value[at], (0.0, 0.0)
+            value[at] = old + 1e-6
+            high = loss()
+            value[at] = old - 1e-6
+            low = loss()
+            value[at] = old
+            assert g[at] == pytest.approx((high - low) / 2e-6, abs=1e-6)
+    rows, g = grads["e"]
+    for k in range(0, len(rows), max(1, len(rows) // 8)):
+        old = net.e[rows[k], 2]
+        net.e[rows[k], 2] = old + 1e-6
+        high = loss()
+        net.e[rows[k], 2] = old - 1e-6
+        low = loss()
+        net.e[rows[k], 2] = old
+        assert g[k, 2] == pytest.approx((high - low) / 2e-6, abs=1e-6)
+
+
+def test_lines_without_objects():
+    rng = np.random.default_rng(15)
+    for n in (0, 1, 2, 5, 60):
+        lines = [b"".join(rng.choice([b"a", b"bc", b" "], int(rng.integers(0, 9)))) for _ in range(n)]
+        t = b"\n".join(lines)
+        count, starts, ends = line_mphf.long_lines(t, 3)
+        assert count == len(t.split(b"\n")) and [t[a:b] for a, b in zip(starts, ends, strict=True)] == [x for x in t.split(b"\n") if len(x) >= 3]
+        every = np.cumsum([0] + [len(x) + 1 for x in lines])
+        for _ in range(20):
+            gone = set(rng.choice(n, int(rng.integers(0, n + 1)), replace=False).tolist()) if n else set()
+            spans = [(int(every[i]), int(every[i]) + len(lines[i])) for i in sorted(gone)]
+            assert line_mphf.without(t, spans) == b"\n".join(x for i, x in enumerate(lines) if i not in gone)
