@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,8 +16,14 @@ def once(rows: DataFrame) -> DataFrame:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The same rows, computed once into the folder of spark.checkpoint.dir, one of our own only where that is unset."""
+    """The same rows, computed once into the folder of spark.checkpoint.dir.
+
+    Where that is unset, a local session has a folder of its own; on a cluster, where such a folder isn't shared, it is an error.
+    """
     sc = rows.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
     return rows.checkpoint()

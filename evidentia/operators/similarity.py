@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.functions import vectors
-
-#: Bytes of query vectors that go out as one broadcast; more take more passes over the candidates.
-SLICE_BYTES = 32 << 20
-#: Queries and candidates of one matrix product.
-TILE = (1024, 2048)
+from evidentia.operators import pivots
 
 
 def fingerprint_matches(documents: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -52,106 +45,6 @@ def fingerprint_profile(documents: DataFrame, fingerprints: DataFrame) -> DataFr
     return out.select("document_number", F.when(none, 0.0).otherwise(percent(mean)).alias("similarity_score"), F.when(none, "").otherwise(F.array_join(said, ", ")).alias("factors"), "n_related", summary.alias("summary"))
 
 
-def _usable(rows: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """(id, vec) with one vector of finite numbers for each id, the least where an id has several."""
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("id").isNotNull() & (F.size("vec") > 0) & finite).groupBy("id").agg(F.min("vec").alias("vec"))
-
-
-def _slices(queries: DataFrame):
-    """(ids, matrix) of queries of one length, at most about SLICE_BYTES at a time."""
-    sizes = {r["dim"]: r["n"] for r in queries.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    for dim, n in sorted(sizes.items()):
-        parts = -(-n * dim * 8 // SLICE_BYTES)
-        for k in range(parts):
-            mine = queries.where((F.size("vec") == dim) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == k)).toArrow()
-            yield mine.column("id").to_numpy(), mine.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-
-
-class _Best:
-    """The nearest candidates of each query so far: all within the limit, or the k best of them."""
-
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, cosine: bool, limit: float | None, k: int | None):
-        self.ids, self.matrix, self.cosine, self.limit, self.k = ids, matrix, cosine, limit, k
-        self.floor = np.full(len(ids), -np.inf if limit is None else limit if cosine else -limit * limit)
-        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.squares = (matrix * matrix).sum(1)
-
-    def exact(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Row by row: the same pair has the same value wherever it is computed."""
-        if not self.cosine:
-            return np.sqrt(((q - c) ** 2).sum(1))
-        norm = np.sqrt((q * q).sum(1)) * np.sqrt((c * c).sum(1))
-        return np.where(norm > 0, (q * c).sum(1) / np.where(norm > 0, norm, 1), 0.0)
-
-    def add(self, ids: np.ndarray, matrix: np.ndarray, others_only: bool) -> None:
-        squares = (matrix * matrix).sum(1)
-        for a in range(0, len(self.ids), TILE[0]):
-            part = slice(a, a + TILE[0])
-            near = self.matrix[part] @ matrix.T
-            scale = np.sqrt(np.outer(self.squares[part], squares)) if self.cosine else self.squares[part, None] + squares[None]
-            near = np.where(scale > 0, near / np.where(scale > 0, scale, 1), 0.0) if self.cosine else 2 * near - scale
-            slack = 1e-9 if self.cosine else 1e-9 * (1 + scale)
-            if others_only:
-                near[self.ids[part, None] == ids[None]] = -np.inf
-            floor = self.floor[part]
-            if self.k and len(ids) > self.k:
-                floor = np.maximum(floor, np.partition(near, len(ids) - self.k, 1)[:, len(ids) - self.k])
-            rows, columns = np.nonzero((near >= floor[:, None] - slack) & np.isfinite(near))
-            for b in range(0, len(rows), 1 << 15):
-                r, c = rows[b : b + (1 << 15)] + a, columns[b : b + (1 << 15)]
-                score = self.exact(self.matrix[r], matrix[c])
-                if self.limit is not None:
-                    ok = score >= self.limit if self.cosine else score <= self.limit
-                    r, c, score = r[ok], c[ok], score[ok]
-                self.query, self.id, self.score = np.r_[self.query, r], np.r_[self.id, ids[c]], np.r_[self.score, score]
-        if self.k:
-            nearness = self.score if self.cosine else -self.score
-            order = np.lexsort((self.id, -nearness, self.query))
-            query = self.query[order]
-            rank = np.arange(len(query)) - np.searchsorted(query, query)
-            order = order[rank < self.k]
-            self.query, self.id, self.score = self.query[order], self.id[order], self.score[order]
-            full = rank[rank < self.k] == self.k - 1
-            worst = self.score[full]
-            self.floor[self.query[full]] = np.maximum(self.floor[self.query[full]], worst if self.cosine else -worst * worst)
-
-    def take(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.id), pa.array(self.score)], names=["query_id", "identity_id", "score"])
-        self.query, self.id, self.score = self.query[:0], self.id[:0], self.score[:0]
-        return out
-
-
-def _near(queries: DataFrame, candidates: DataFrame, cosine: bool, limit: float | None, k: int | None = None, others_only: bool = False) -> DataFrame:
-    """(query_id, identity_id, score): pairs of vectors of one length within the limit, with k the k best of each query by task.
-
-    A bounded slice of queries is a broadcast matrix; the candidates stream past it where they are, and only what is
-    kept leaves a task. Products find the pairs, whose scores are then taken row by row.
-    """
-    spark, out = candidates.sparkSession, None
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("identity_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    known = _usable(candidates, "identity_id", "vec")
-    for ids, matrix in _slices(_usable(queries, "query_id", "query_vec")):
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, held=held):
-            best = _Best(*held.value, cosine, limit, k)
-            dim = held.value[1].shape[1]
-            for whole in batches:
-                fits = np.flatnonzero(np.array(whole.column(1).value_lengths()) == dim)
-                for a in range(0, len(fits), TILE[1]):
-                    batch = whole.take(pa.array(fits[a : a + TILE[1]]))
-                    best.add(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim), others_only)
-                    if not k:
-                        yield best.take()
-            yield best.take()
-
-        part = known.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
 def identity_search(queries: DataFrame, candidates: DataFrame, k: int, show: float, review: float) -> DataFrame:
     """query_id, rank, identity_id, similarity (4 decimals), requires_review: the k best of each query at ``show`` or more.
 
@@ -159,19 +52,19 @@ def identity_search(queries: DataFrame, candidates: DataFrame, k: int, show: flo
     values. A vector that is null, empty or has a component that isn't a finite number takes no part.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "identity_id")
-    ranked = _near(queries, candidates, True, show, k, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = pivots.near(queries, candidates, True, show, k, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "identity_id", F.round(F.greatest("score", F.lit(0.0)), 4).alias("similarity"), (F.col("score") >= review).alias("requires_review"))
 
 
 def threshold_matches(probes: DataFrame, known: DataFrame, tolerance: float) -> DataFrame:
     """probe_id, known_id, distance: every known vector within the tolerance, or one row of unknown (null)."""
-    out = probes.select("query_id").join(_near(probes, known, False, tolerance), "query_id", "left")
+    out = probes.select("query_id").join(pivots.near(probes, known, False, tolerance), "query_id", "left")
     return out.select(F.col("query_id").alias("probe_id"), F.coalesce(F.col("identity_id").cast("string"), F.lit("unknown")).alias("known_id"), F.round("score", 6).alias("distance"))
 
 
 def best_match(probes: DataFrame, known: DataFrame, tolerance: float) -> DataFrame:
     """probe_id, known_id (unknown beyond the tolerance, no_persons_found without any known vector), distance to the nearest, the smaller id on a tie."""
-    best = _near(probes, known, False, None, 1).groupBy("query_id").agg(F.min(F.struct("score", "identity_id")).alias("b"))
+    best = pivots.near(probes, known, False, None, 1).groupBy("query_id").agg(F.min(F.struct("score", "identity_id")).alias("b"))
     rows = probes.select("query_id").join(best, "query_id", "left")
     name = F.when(F.col("b").isNull(), "no_persons_found").when(F.col("b.score") <= tolerance, F.col("b.identity_id").cast("string")).otherwise("unknown")
     return rows.select(F.col("query_id").alias("probe_id"), name.alias("known_id"), F.round("b.score", 6).alias("distance"))
