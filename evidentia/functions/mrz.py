@@ -59,9 +59,9 @@ def parse(fmt: str, lines: list[Column]) -> dict[str, Column]:
     out["surname"] = plain(F.when(at > 0, F.substr(names, F.lit(1), at - 1)).otherwise(names))
     out["given_names"] = F.when(at > 0, plain(F.substr(names, at + 2))).otherwise(F.lit(""))
     for name, (line, place) in CHECKS[fmt].items():
-        out[f"{name}_ok"] = digit_holds(_cut(lines, SLICES[fmt][name]), _cut(lines, (line, place, place + 1)))
+        out[f"{name}_ok"] = digit_holds(_cut(lines, SLICES[fmt][name]), _cut(lines, (line, place, place + 1)), SLICES[fmt][name][2] - SLICES[fmt][name][1])
     parts, (line, place) = COMPOSITES[fmt]
-    out["composite_ok"] = digit_holds(F.concat(*(_cut(lines, p) for p in parts)), _cut(lines, (line, place, place + 1)))
+    out["composite_ok"] = digit_holds(F.concat(*(_cut(lines, p) for p in parts)), _cut(lines, (line, place, place + 1)), sum(b - a for _, a, b in parts))
     out["check_skipped"] = F.exists(F.array(*(_cut(lines, (a, b, b + 1)) for a, b in [*CHECKS[fmt].values(), (line, place)])), lambda d: d == "<")
     return {"recognised": ok} | {name: F.when(ok, c) for name, c in out.items()}
 

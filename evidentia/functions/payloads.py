@@ -70,21 +70,32 @@ def decode_identity(payloads: DataFrame, raw: str = "raw") -> DataFrame:
     return out.withColumn("decoded", F.coalesce("uid", "name", "dob").isNotNull())
 
 
-# Accepted names of a licence payload's parts, in lower case without blanks, hyphens and underscores.
-LICENCE_KEYS = {"number": ["dlno", "licenceno", "licenseno", "number"], "name": ["name", "holdername", "holder"], "birth": ["dob", "dateofbirth", "birthdate"], "expiry": ["validtill", "expirydate", "validuntil"]}
+# Accepted names of a licence payload's parts, in lower case without blanks, hyphens and underscores; any name
+# that contains one of ``LICENCE_WORDS`` is the number's too. What a number and a date look like in it.
+LICENCE_KEYS = {"number": ["licenceno", "licenseno", "dlno"], "name": ["name", "holdername"], "birth": ["dob", "dateofbirth", "birthdate"], "expiry": ["validtill", "expirydate", "validuntil"]}
+LICENCE_WORDS = ["licence", "license"]
+LICENCE_NUMBER = r"[A-Z]{2}\s*\d{2}\s*\d{4}\s*\d{7,11}"
+LICENCE_DATE = r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
 
 
 def decode_licence(payload: Column) -> dict[str, Column]:
-    """number, name, birth and expiry of a JSON payload, or of labelled text (without expiry).
+    """number, name, birth and expiry of a licence barcode's text, in upper case.
 
-    Of several keys of one part the first with a value that isn't blank counts.
+    A JSON object is read by its keys, of several keys of one part the last whose value fits; then the first number and the
+    first date anywhere in the text fill number and birth. A number under its key that has no licence's shape stays as it is.
     """
-    entries = F.map_entries(F.from_json(F.when(F.trim(payload).startswith("{"), payload), "map<string,string>"))
-    plain = lambda k: F.lower(F.regexp_replace(k, "[ _-]", ""))
-    fits = lambda names: lambda e: plain(e["key"]).isin(*names) & (F.trim(e["value"]) != "")
-    number = F.regexp_extract(payload, r"\b([A-Z]{2}[0-9]{2}[0-9]{7,11})\b", 1)
-    birth = F.regexp_extract(payload, r"(?i)dob\s*[:=]?\s*([0-9./-]{8,10})", 1)
-    name = F.regexp_extract(payload, r"(?i)name\s*[:=]?\s*([A-Za-z ]+)", 1)
-    keyed = {part: F.get(F.filter(entries, fits(names)), F.lit(0))["value"] for part, names in LICENCE_KEYS.items()}
-    fallback = {"number": number, "name": name, "birth": birth}
-    return {part: F.coalesce(keyed[part], F.nullif(F.trim(fallback[part]), F.lit(""))) if part in fallback else keyed[part] for part in keyed}
+    text = F.upper(F.regexp_replace(F.regexp_replace(payload, r"[^\p{Print}\p{L}\s]", ""), r"\s+", " "))
+    entries = F.map_entries(F.from_json(F.when(F.trim(text).startswith("{"), text), "map<string,string>"))
+    entries = F.transform(entries, lambda e: F.struct(F.lower(F.regexp_replace(e["key"], "[ _-]", "")).alias("key"), F.trim(e["value"]).alias("value")))
+    found = lambda pattern, x: F.nullif(F.regexp_extract(x, pattern, 0), F.lit(""))
+    number = lambda v: F.coalesce(F.replace(found(LICENCE_NUMBER, v), F.lit(" "), F.lit("")), v)
+    named = lambda part, k: k.isin(*LICENCE_KEYS[part]) if part != "number" else k.isin(*LICENCE_KEYS[part]) | k.rlike("|".join(LICENCE_WORDS))
+    read = {"number": number, "name": lambda v: v, "birth": lambda v: found(LICENCE_DATE, v), "expiry": lambda v: found(LICENCE_DATE, v)}
+
+    def keyed(part):
+        mine = F.filter(entries, lambda e: named(part, e["key"]) & (e["value"] != ""))
+        values = F.transform(mine, lambda e: read[part](e["value"]))
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+    anywhere = {"number": F.regexp_replace(found(LICENCE_NUMBER, text), r"\s", ""), "birth": found(LICENCE_DATE, text)}
+    return {part: F.coalesce(keyed(part), anywhere[part]) if part in anywhere else keyed(part) for part in read}

@@ -56,29 +56,26 @@ MAX_PADDING = 12
 
 
 def mrz_block(lines: DataFrame) -> DataFrame:
-    """doc_id, fmt, line_no, relaxed, l1, l2, l3: the first block of lines that can be a machine-readable zone.
+    """doc_id, fmt, line_no, relaxed, l1, l2, l3: the first window of lines that can be a machine-readable zone.
 
-    Whole lines come before the relaxed pass, which adds missing fillers at the ends; formats in the order TD3, TD2, TD1.
+    Blank lines don't count: windows are runs of the others, in upper case and without white space. All windows are tried for
+    TD3, then for TD2, then for TD1; only then come, in the same order, windows whose lines lack up to ``MAX_PADDING`` fillers at
+    their ends, which are added. A window with a line of other characters is none.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    clean = F.upper(F.regexp_replace("text", r"\s", ""))
-    rows = lines.select("doc_id", "line_no", clean.alias("l1")).where(F.col("l1").rlike("^[A-Z0-9<]{10,}$"))
-    # only neighbouring lines make a block, so a gap in numbers ends one
-    after = lambda k: F.when(F.lead("line_no", k).over(order) == F.col("line_no") + k, F.lead("l1", k).over(order))
-    rows = rows.withColumns({"l2": after(1), "l3": after(2)})
-    out = None
-    for rank, (relaxed, fmt, n, width) in enumerate([(r, f, n, w) for r in (False, True) for f, n, w in (("TD3", 2, 44), ("TD2", 2, 36), ("TD1", 3, 30))]):
-        used = ["l1", "l2", "l3"][:n]
-        fits = F.lit(True)
-        for c in used:
-            size = F.length(c)
-            fits = fits & (F.coalesce(size.between(width - MAX_PADDING, width), F.lit(False)) if relaxed else F.coalesce(size == width, F.lit(False)))
-        # a first line begins with a type letter
-        fits = fits & F.col("l1").rlike("^[PIACV]")
-        columns = [(F.rpad(c, width, "<") if c in used else F.lit(None).cast("string")).alias(c) for c in ("l1", "l2", "l3")]
-        found = rows.where(fits).select("doc_id", F.lit(fmt).alias("fmt"), "line_no", F.lit(relaxed).alias("relaxed"), F.lit(rank).alias("rank"), *columns)
-        out = found if out is None else out.unionByName(found)
-    best = out.groupBy("doc_id").agg(F.min(F.struct("relaxed", "line_no", "rank", "fmt", "l1", "l2", "l3")).alias("b"))
+    rows = lines.select("doc_id", "line_no", F.upper(F.regexp_replace("text", r"\s", "")).alias("l1")).where("l1 <> ''")
+    rows = rows.withColumns({"l2": F.lead("l1", 1).over(order), "l3": F.lead("l1", 2).over(order)})
+    fits, zone = [], "^[A-Z0-9<]+$"
+    for relaxed in (False, True):
+        for fmt, n, width in (("TD3", 2, 44), ("TD2", 2, 36), ("TD1", 3, 30)):
+            used = ["l1", "l2", "l3"][:n]
+            ok = F.lit(True)
+            for c in used:
+                ok = ok & (F.length(c).between(width - MAX_PADDING, width) if relaxed else F.length(c) == width) & F.col(c).rlike(zone)
+            padded = [F.rpad(c, width, "<") if c in used else F.lit(None).cast("string") for c in ("l1", "l2", "l3")]
+            window = F.struct(F.lit(len(fits)).alias("rank"), "line_no", F.lit(fmt).alias("fmt"), F.lit(relaxed).alias("relaxed"), *(x.alias(c) for x, c in zip(padded, ("l1", "l2", "l3"), strict=True)))
+            fits.append(F.when(F.coalesce(ok, F.lit(False)), window))
+    best = rows.select("doc_id", F.coalesce(*fits).alias("b")).where("b IS NOT NULL").groupBy("doc_id").agg(F.min("b").alias("b"))
     return best.select("doc_id", "b.fmt", "b.line_no", "b.relaxed", "b.l1", "b.l2", "b.l3")
 
 

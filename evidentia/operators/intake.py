@@ -44,14 +44,15 @@ def barcode_channels(decodes: DataFrame) -> DataFrame:
 
     A repeated decode keeps its least seq. A QR code whose payload decodes is aadhaar_qr; a code of any format of
     ``CODE_FORMATS`` whose text has a licence number is dl_barcode; the rest is unclassified. parts maps the
-    channel's names to values that aren't empty, and is null where unclassified. A null text counts as empty.
+    channel's names to values that aren't empty, with signature_present of a signed QR payload, and is null where
+    unclassified. A null text counts as empty.
     """
     rows = decodes.select("doc_id", "seq", "format", F.coalesce("text", F.lit("")).alias("text"), "raw")
     rows = rows.groupBy("doc_id", "format", "text").agg(F.min_by("raw", "seq").alias("raw"), F.min("seq").alias("seq"))
     found = payloads.decode_identity(rows.withColumn("payload", F.coalesce("raw", F.col("text").cast("binary"))), "payload")
     licence = payloads.decode_licence(F.col("text"))
     held = {
-        "aadhaar_qr": {name: F.col(name) for name in CHANNEL_FIELDS["aadhaar_qr"]},
+        "aadhaar_qr": {name: F.col(name) for name in CHANNEL_FIELDS["aadhaar_qr"]} | {"signature_present": F.when(F.col("signature_present"), "true")},
         "dl_barcode": {"document_number": licence["number"], "surname": licence["name"], "date_of_birth": licence["birth"], "date_of_expiry": licence["expiry"]},
     }
     channel = F.when((F.col("format") == "QRCODE") & F.col("decoded"), "aadhaar_qr").when(F.col("format").isin(*CODE_FORMATS) & licence["number"].isNotNull(), "dl_barcode").otherwise("unclassified")
@@ -62,14 +63,16 @@ def barcode_channels(decodes: DataFrame) -> DataFrame:
     return out.select("doc_id", "seq", "format", "text", "channel", first.alias("first_of_channel"), "parts")
 
 
-def barcode_fields(channels: DataFrame) -> DataFrame:
-    """doc_id, name, value, confidence: fields under their own names; of several decodes the first with a value wins."""
-    renamed = None
-    for channel, names in CHANNEL_FIELDS.items():
-        pairs = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-        part = channels.where(F.col("channel") == channel).select("doc_id", "seq", F.explode("parts").alias("part", "value")).select("doc_id", "seq", F.element_at(pairs, F.col("part")).alias("name"), "value")
-        renamed = part if renamed is None else renamed.unionByName(part)
-    best = renamed.groupBy("doc_id", "name").agg(F.min(F.struct("seq", "value")).alias("b"))
+def barcode_parts(channels: DataFrame) -> DataFrame:
+    """doc_id, seq, channel, name, value: a row for each part of each classified code, and one without a part for any other."""
+    return channels.select("doc_id", "seq", "channel", F.explode_outer("parts").alias("name", "value"))
+
+
+def barcode_fields(parts: DataFrame) -> DataFrame:
+    """doc_id, name, value, confidence of ``barcode_parts``: fields under their own names; of several decodes the first with a value wins."""
+    named = F.create_map(*(F.lit(x) for channel, names in CHANNEL_FIELDS.items() for part, field in names.items() for x in (f"{channel}/{part}", field)))
+    rows = parts.where(F.trim("value") != "").withColumn("field", F.try_element_at(named, F.concat_ws("/", "channel", "name"))).where("field IS NOT NULL")
+    best = rows.groupBy("doc_id", F.col("field").alias("name")).agg(F.min(F.struct("seq", "value")).alias("b"))
     return best.select("doc_id", "name", F.col("b.value").alias("value"), F.lit(CODE_CONFIDENCE).alias("confidence"))
 
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions import skew
+from evidentia.functions.barrier import settled
+
 
 def document_status(keys: DataFrame, documents: DataFrame) -> DataFrame:
     """document_number, status (UNKNOWN if not registered), detail (of blacklisted documents only)."""
@@ -17,46 +20,96 @@ def document_status(keys: DataFrame, documents: DataFrame) -> DataFrame:
     return found.select("document_number", status.alias("status"), detail.alias("detail"))
 
 
-def family_members(documents: DataFrame, families: DataFrame) -> DataFrame:
-    """document_number, family_id, common_pattern, members and how many, for documents in a family that exists."""
-    members = documents.where("family_id IS NOT NULL").groupBy("family_id").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.sort_array(F.collect_list("document_number")), ",").alias("members"))
+def family_of_document(documents: DataFrame, families: DataFrame) -> DataFrame:
+    """document_number, family_id, common_pattern, n_members, of documents in a family that exists: one row a document, however large its family."""
     own = documents.where("family_id IS NOT NULL").select("document_number", "family_id")
-    return own.join(families, "family_id").join(members, "family_id").select("document_number", "family_id", "common_pattern", "n_members", "members")
+    sizes = own.groupBy("family_id").agg(F.count(F.lit(1)).alias("n_members")).join(families.select("family_id", "common_pattern"), "family_id")
+    return skew.spread_join(own, sizes, "family_id").select("document_number", "family_id", "common_pattern", "n_members")
 
 
-def clusters(identities: DataFrame, documents: DataFrame) -> DataFrame:
-    """identity_id, member_id: each identity, and those with a document in a family that it has a document in."""
-    held = documents.where("family_id IS NOT NULL AND identity_id IS NOT NULL").select("identity_id", "family_id").distinct()
-    linked = held.join(held.withColumnRenamed("identity_id", "member_id"), "family_id").select("identity_id", "member_id")
-    return linked.unionByName(identities.select("identity_id", F.col("identity_id").alias("member_id"))).distinct()
+def family_members(documents: DataFrame, families: DataFrame, page_rows: int = 1000) -> DataFrame:
+    """family_id, common_pattern, n_members, page, members (numbers in order, by commas), of families that exist and have documents.
 
+    A family's members stand once, in pages of about ``page_rows`` by ranges of their numbers, so that neither a member nor a
+    row carries a whole family; ``members_of`` has the members of given documents.
+    """
+    own = documents.where("family_id IS NOT NULL").select("document_number", "family_id")
+    sizes = own.groupBy("family_id").agg(F.count(F.lit(1)).alias("n_members"), F.min("document_number").alias("low"), F.max("document_number").alias("high"))
+    sizes = sizes.join(families.select("family_id", "common_pattern"), "family_id")
+    page = F.floor((F.col("document_number") - F.col("low")) * F.ceil(F.col("n_members") / page_rows) / (F.col("high") - F.col("low") + 1))
+    paged = skew.spread_join(own, sizes, "family_id").withColumn("page", page.cast("int"))
+    return paged.groupBy("family_id", "common_pattern", "n_members", "page").agg(F.array_join(F.sort_array(F.collect_list("document_number")), ",").alias("members"))
 
-def checkpoint_alerts(cluster: DataFrame, events: DataFrame, least_checkpoints: int = 2, since: str | None = None) -> DataFrame:
-    """identity_id, total_checkpoints, total_appearances, alert, over the events of each identity's cluster.
 
-    An alert takes at least ``least_checkpoints`` checkpoints and an event of medium or high risk. ``since`` is an
-    optional lower bound of event times; by default every event counts.
+def members_of(given: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_number, member: the members of each given document's family, itself among them; the result has one row a member and document."""
+    own = documents.where("family_id IS NOT NULL").select("document_number", "family_id")
+    asked = own.join(given.select("document_number").distinct(), "document_number", "left_semi")
+    return skew.spread_join(own.withColumnRenamed("document_number", "member"), asked, "family_id").select("document_number", "member")
+
+
+def _held(documents: DataFrame) -> DataFrame:
+    """identity_id, family_id, each once: the factors of all clusters."""
+    return documents.where("family_id IS NOT NULL AND identity_id IS NOT NULL").select("identity_id", "family_id").distinct()
+
+
+def clusters(identities: DataFrame, documents: DataFrame) -> DataFrame:
+    """identity_id, member_id: each given identity, and those with a document in a family that it has a document in.
+
+    Rows are the result itself, a member and identity each: give the identities in question where families are large.
+    Totals of clusters don't need them: ``cluster_alerts``.
     """
-    seen = events if since is None else events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    # events are summed for each identity and checkpoint first, so the cluster join meets few rows
-    per = seen.groupBy(F.col("identity_id").alias("member_id"), "checkpoint").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("risk_level").isin("MEDIUM", "HIGH")).alias("risky"))
-    out = cluster.join(per, "member_id", "left").groupBy("identity_id")
-    out = out.agg(F.count_distinct("checkpoint").alias("total_checkpoints"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_appearances"), F.coalesce(F.max("risky"), F.lit(False)).alias("risky"))
-    return out.select("identity_id", "total_checkpoints", "total_appearances", ((F.col("total_checkpoints") >= least_checkpoints) & F.col("risky")).alias("alert"))
+    held, people = _held(documents), identities.select("identity_id")
+    asked = held.join(people, "identity_id", "left_semi")
+    linked = skew.spread_join(asked, held.withColumnRenamed("identity_id", "member_id"), "family_id").select("identity_id", "member_id")
+    return linked.unionByName(people.withColumn("member_id", F.col("identity_id"))).distinct()
+
+
+#: Families of an identity up to which its cluster's total is taken by inclusion and exclusion.
+SUBSETS = 6
 
 
-def cluster_alerts(identities: DataFrame, documents: DataFrame, events: DataFrame, least_checkpoints: int = 2) -> DataFrame:
-    """identity_id, total_checkpoints, alert, as ``checkpoint_alerts`` has them for each identity's cluster.
+def _cluster_sums(held: DataFrame, own: DataFrame, subsets: int) -> DataFrame:
+    """identity_id, total: the sum of ``own`` (identity_id, n) over each cluster's distinct members, of identities in a shared family.
 
-    Checkpoints are gathered once for each family, so a family's members never meet each other.
+    The members that share a family with an identity are counted by the sets of its families: a set's sum is over the
+    identities that have all of it, and sets add up with alternating signs. An identity of more than ``subsets`` families
+    meets the members of its families one by one, in both directions.
     """
-    per = events.groupBy("identity_id", "checkpoint").agg(F.max(F.col("risk_level").isin("MEDIUM", "HIGH")).alias("risky"))
-    held = documents.where("family_id IS NOT NULL AND identity_id IS NOT NULL").select("identity_id", "family_id").distinct()
-    seen = held.join(per, "identity_id").groupBy("family_id", "checkpoint").agg(F.max("risky").alias("risky"))
-    every = held.join(seen, "family_id").select("identity_id", "checkpoint", "risky").unionByName(per)
-    found = every.groupBy("identity_id", "checkpoint").agg(F.max("risky").alias("risky")).groupBy("identity_id").agg(F.count(F.lit(1)).alias("n"), F.max("risky").alias("risky"))
-    out = identities.select("identity_id").join(found, "identity_id", "left").withColumn("total_checkpoints", F.coalesce("n", F.lit(0)))
-    return out.select("identity_id", "total_checkpoints", ((F.col("total_checkpoints") >= least_checkpoints) & F.coalesce("risky", F.lit(False))).alias("alert"))
+    shared = held.groupBy("family_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family_id")
+    sets = skew.spread_join(held, shared, "family_id").groupBy("identity_id").agg(F.sort_array(F.collect_list("family_id")).alias("families"))
+    light, heavy = sets.where(F.size("families") <= subsets), sets.where(F.size("families") > subsets)
+    chosen = lambda m: F.filter("families", lambda x, i: F.getbit(m, i) == 1)
+    masks = F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(families)) - 1"))
+    parts = light.select("identity_id", F.explode(F.transform(masks, chosen)).alias("part"))
+    sums = parts.join(own, "identity_id").groupBy("part").agg(F.sum("n").alias("n"))
+    signed = F.when(F.size("part") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
+    between = skew.spread_join(parts, sums, "part").select("identity_id", signed.alias("n"))
+    big = heavy.select(F.col("identity_id").alias("big"), F.explode("families").alias("family_id"))
+    pairs = skew.spread_join(held, big, "family_id").select("identity_id", "big").distinct()
+    to_big = pairs.join(own, "identity_id").select(F.col("big").alias("identity_id"), "n")
+    from_big = pairs.join(light.select("identity_id"), "identity_id", "left_semi").join(own.withColumnRenamed("identity_id", "big"), "big").select("identity_id", "n")
+    return between.unionByName(to_big).unionByName(from_big).groupBy("identity_id").agg(F.sum("n").alias("total"))
+
+
+def cluster_alerts(identities: DataFrame, documents: DataFrame, events: DataFrame, least_checkpoints: int = 2, since: str | None = None, subsets: int = SUBSETS) -> DataFrame:
+    """identity_id, total_checkpoints, total_appearances, alert, over the events of each identity's cluster (see ``clusters``).
+
+    An alert takes at least ``least_checkpoints`` checkpoints and an event of medium or high risk. ``since`` is an
+    optional lower bound of event times; by default every event counts. Identities meet their families and families their
+    sums, so a family's members never meet each other.
+    """
+    seen = events if since is None else events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    per = settled(seen.groupBy("identity_id", "checkpoint").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("risk_level").isin("MEDIUM", "HIGH")).alias("risky")))
+    held = settled(_held(documents))
+    own = per.groupBy("identity_id").agg(F.sum("n").alias("n"))
+    sums = _cluster_sums(held, own, subsets)
+    passed = held.join(per, "identity_id").groupBy("family_id", "checkpoint").agg(F.max("risky").alias("risky"))
+    every = skew.spread_join(held, passed, "family_id").select("identity_id", "checkpoint", "risky").unionByName(per.select("identity_id", "checkpoint", "risky"))
+    found = every.groupBy("identity_id", "checkpoint").agg(F.max("risky").alias("risky")).groupBy("identity_id").agg(F.count(F.lit(1)).alias("points"), F.max("risky").alias("risky"))
+    out = identities.select("identity_id").join(found, "identity_id", "left").join(own, "identity_id", "left").join(sums, "identity_id", "left")
+    out = out.select("identity_id", F.coalesce("points", F.lit(0)).alias("total_checkpoints"), F.coalesce("total", "n", F.lit(0)).alias("total_appearances"), F.coalesce("risky", F.lit(False)).alias("risky"))
+    return out.select("identity_id", "total_checkpoints", "total_appearances", ((F.col("total_checkpoints") >= least_checkpoints) & F.col("risky")).alias("alert"))
 
 
 def checkpoint_history(cluster: DataFrame, events: DataFrame) -> DataFrame:

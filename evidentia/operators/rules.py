@@ -186,7 +186,8 @@ def _identifier_keys(rows: DataFrame) -> DataFrame:
 def blacklist(rows: DataFrame, listing: DataFrame | None) -> DataFrame:
     """rows: doc_id and of number, surname, given_names what there is; listing: the same and listed (true, false, or null where the source failed); None: no source.
 
-    A row and a listed record meet in the identifiers that both have, one at least, and agree in all of these.
+    A row and a listed record meet in the identifiers that both have, one at least, and agree in all of these. A number that is
+    listed under other names is evidence of its own, never clear: the names may be misread, or the number borrowed.
     """
     if listing is None:
         return rows.select("doc_id", F.lit("blacklist_not_configured").alias("code"), F.lit(INFO).alias("severity"))
@@ -194,9 +195,9 @@ def blacklist(rows: DataFrame, listing: DataFrame | None) -> DataFrame:
     known = known.select(F.col("mask").alias("theirs"), "chosen", "key", "listed", "failed")
     asked = _identifier_keys(rows).select("doc_id", "mask", "chosen", "key")
     met = F.col("mask").bitwiseAND(F.col("theirs")) == F.col("chosen")
-    hits = asked.join(known, ["chosen", "key"], "left").groupBy("doc_id").agg(F.max("mask").alias("mask"), F.max(F.when(met, F.col("listed"))).alias("listed"), F.max(F.when(met, F.col("failed"))).alias("failed"))
-    code = F.when(F.col("mask") == 0, "blacklist_no_identifiers").when(F.col("listed"), "blacklist_hit").when(F.col("failed"), "blacklist_lookup_failed").otherwise("blacklist_clear")
-    severity = F.when(code.isin("blacklist_hit", "blacklist_lookup_failed"), WARNING).otherwise(INFO)
+    hits = asked.join(known, ["chosen", "key"], "left").groupBy("doc_id").agg(F.max("mask").alias("mask"), F.max(F.when(met, F.col("listed"))).alias("listed"), F.max(F.when(met, F.col("failed"))).alias("failed"), F.max(F.when(F.col("chosen") == 1 << IDENTIFIERS.index("number"), F.col("listed"))).alias("number_listed"))
+    code = F.when(F.col("mask") == 0, "blacklist_no_identifiers").when(F.col("listed"), "blacklist_hit").when(F.col("number_listed"), "blacklist_number_listed").when(F.col("failed"), "blacklist_lookup_failed").otherwise("blacklist_clear")
+    severity = F.when(code.isin("blacklist_hit", "blacklist_number_listed", "blacklist_lookup_failed"), WARNING).otherwise(INFO)
     return hits.select("doc_id", code.alias("code"), severity.alias("severity"))
 
 

@@ -1,9 +1,9 @@
 """One plan from text lines to fields, flags, ledger and score: ``validate_lines`` for any number of documents at once.
 
 Lines are (doc_id, line_no, text) with confidence and x where there are any. Documents are (doc_id) with side, forced_type,
-unreadable, ocr_failed, template_reads, template_failed and barcode_failed where there are any. Barcodes are (doc_id,
-seq, channel, name, value), a row for each part of a decoded payload by its payload's name. Flags are evidence for
-people to review, never verdicts.
+unreadable, companion_unreadable, ocr_failed, template_failed and barcode_failed where there are any. Barcodes are the parts
+that ``intake.barcode_parts`` gives: (doc_id, seq, channel, name, value). Flags are evidence for people to review, never
+verdicts.
 """
 
 from __future__ import annotations
@@ -16,13 +16,11 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import mrz
 from evidentia.functions.barrier import once, settled
-from evidentia.operators import extract, rules, scoring
+from evidentia.operators import extract, intake, rules, scoring
 
-#: A payload's names and the fields they are.
-BARCODE_FIELDS = {"uid": "document_number", "number": "document_number", "name": "surname", "dob": "date_of_birth", "birth": "date_of_birth", "gender": "sex"}
-MRZ_CONFIDENCE, BARCODE_CONFIDENCE = 1.0, 0.99
+MRZ_CONFIDENCE = 1.0
 _ZONE = ["recognised", "document_type", "document_number", "nationality", "birth", "sex", "expiry", "optional", "surname", "given_names", "composite_ok", "document_number_ok", "birth_ok", "expiry_ok", "optional_ok"]
-_STATES = {"side": "string", "forced_type": "string", "unreadable": "boolean", "ocr_failed": "boolean", "template_reads": "int", "template_failed": "boolean", "barcode_failed": "boolean"}
+_STATES = {"side": "string", "forced_type": "string", "unreadable": "boolean", "companion_unreadable": "boolean", "ocr_failed": "boolean", "template_reads": "int", "template_failed": "boolean", "barcode_failed": "boolean"}
 
 
 class Validated(NamedTuple):
@@ -58,14 +56,6 @@ def zone_fields(zone: DataFrame, reference_year: int) -> DataFrame:
     return zone.where("recognised").select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.*", F.lit(MRZ_CONFIDENCE).alias("confidence"))
 
 
-def barcode_fields(barcodes: DataFrame) -> DataFrame:
-    """doc_id, name, value, confidence: of each field the first barcode that has it."""
-    named = F.create_map(*(F.lit(x) for pair in BARCODE_FIELDS.items() for x in pair))
-    rows = barcodes.where(F.trim("value") != "").withColumn("field", F.try_element_at(named, F.col("name"))).where("field IS NOT NULL")
-    first = rows.groupBy("doc_id", F.col("field").alias("name")).agg(F.min(F.struct("seq", "value")).alias("b"))
-    return first.select("doc_id", "name", "b.value", F.lit(BARCODE_CONFIDENCE).alias("confidence"))
-
-
 def merged_fields(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """doc_id, name, value, confidence, source: of each field the first source that has it."""
     every = [rows.select("doc_id", "name", F.struct(F.lit(k).alias("rank"), "value", F.lit(source).alias("source"), F.col("confidence").cast("double").alias("confidence")).alias("b")) for k, (source, rows) in enumerate(sources)]
@@ -92,7 +82,7 @@ def validate_lines(lines: DataFrame, reference: str, docs: DataFrame | None = No
     whole = docs.where(~F.coalesce("unreadable", F.lit(False)))
     zone = settled(zones(lines))
     visual = extract.recognise(lines)
-    fields = merged_fields([("visual", visual), ("barcode", barcode_fields(barcodes)), ("mrz", zone_fields(zone, year))]).join(whole.select("doc_id"), "doc_id", "left_semi")
+    fields = merged_fields([("visual", visual), ("barcode", intake.barcode_fields(barcodes)), ("mrz", zone_fields(zone, year))]).join(whole.select("doc_id"), "doc_id", "left_semi")
     fields = settled(fields)
 
     # what each document is, and how it could be read
@@ -101,7 +91,7 @@ def validate_lines(lines: DataFrame, reference: str, docs: DataFrame | None = No
     read = lines.groupBy("doc_id").agg(F.max(F.trim("text") != "").alias("has_text"), F.max(zone_like).alias("zone_like"))
     decoded = barcodes.groupBy("doc_id").agg(F.count_distinct("seq").alias("n_barcodes"), F.max(F.col("channel") == "aadhaar_qr").alias("has_qr"))
     state = whole.join(auto.withColumnsRenamed({"document_type": "auto_type", "confidence": "auto_confidence"}), "doc_id", "left").join(read, "doc_id", "left").join(decoded, "doc_id", "left")
-    state = state.join(zone.select("doc_id", F.col("recognised").alias("has_zone")), "doc_id", "left").na.fill(False, ["ocr_failed", "template_failed", "barcode_failed", "has_text", "zone_like", "has_qr", "has_zone"]).na.fill(0, ["template_reads", "n_barcodes", "auto_confidence"]).na.fill("unknown", ["auto_type"])
+    state = state.join(zone.select("doc_id", F.col("recognised").alias("has_zone")), "doc_id", "left").na.fill(False, ["companion_unreadable", "ocr_failed", "template_failed", "barcode_failed", "has_text", "zone_like", "has_qr", "has_zone"]).na.fill(0, ["template_reads", "n_barcodes", "auto_confidence"]).na.fill("unknown", ["auto_type"])
     state = settled(state.withColumn("document_type", F.coalesce("forced_type", "auto_type")))
     typed = state.select("doc_id", "document_type", F.coalesce("side", F.lit("")).alias("side"))
     of = lambda t, rows: rows.join(typed.where(F.col("document_type") == t).select("doc_id"), "doc_id", "left_semi")
@@ -111,13 +101,14 @@ def validate_lines(lines: DataFrame, reference: str, docs: DataFrame | None = No
     values = typed.join(print_, "doc_id", "left")
     payload = lambda channel, names: _wide(barcodes.where(F.col("channel") == channel), names)
     qr = payload("aadhaar_qr", {"uid": "qr_uid", "dob": "qr_birth", "name": "qr_name", "gender": "qr_gender", "signature_present": "signed"}).withColumn("signed", F.coalesce(F.col("signed") == "true", F.lit(False)))
-    licence = payload("dl_barcode", {"number": "code_number", "birth": "code_birth"})
+    licence = payload("dl_barcode", {"document_number": "code_number", "date_of_birth": "code_birth"})
     channels = barcodes.select("doc_id", "channel").unionByName(zone.where("recognised").select("doc_id", F.lit("mrz").alias("channel"))).distinct()
     both = zone.where("recognised").select("doc_id", mrz.iso_date(F.col("birth"), year, True).alias("mrz_birth"), mrz.iso_date(F.col("expiry"), year, False).alias("mrz_expiry"), F.col("document_number").alias("mrz_number"))
     sources = _wide(fields, {"document_number": "number_source"}, "source")
 
     families = [
         rules.flags(state, [
+            (F.col("companion_unreadable"), "companion_image_preprocessing_failed", rules.WARNING, None),
             (F.col("ocr_failed"), "ocr_extraction_failed", rules.WARNING, None),
             (~F.col("ocr_failed") & ~F.col("has_text"), "ocr_no_text", rules.WARNING, None),
             (~F.col("ocr_failed") & F.col("has_text"), "ocr_read_from", rules.INFO, None),

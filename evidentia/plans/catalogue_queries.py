@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
 from evidentia.functions.barrier import once
-from evidentia.operators import assemble, extract, registry, rules, scoring, similarity, validate
+from evidentia.operators import assemble, extract, intake, registry, rules, scoring, similarity, validate
 from evidentia.plans import inputs, screening
 from evidentia.sources import domain, sinks
 from evidentia.streaming import checkpoints
@@ -84,7 +84,11 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 
 def mrz_find_block(spark, sf_dir):
-    return extract.mrz_block(_lines(spark, sf_dir)).drop("l3")
+    """The cards' lines with a blank line inside some zones, and the zone of another format before some."""
+    lines = _lines(spark, sf_dir).select("doc_id", (F.col("line_no") * 2).alias("line_no"), "text")
+    blank = lines.where("line_no = 14 AND doc_id % 6 = 1").select("doc_id", F.lit(15).alias("line_no"), F.lit(" ").alias("text"))
+    first = _td2(spark, sf_dir).where("key % 10 IN (0, 2)").select(F.col("key").alias("doc_id"), F.posexplode(F.array("a1", "a2")).alias("n", "text"))
+    return extract.mrz_block(lines.unionByName(blank).unionByName(first.select("doc_id", (F.col("n") - 2).alias("line_no"), "text"))).drop("l3")
 
 
 def verhoeff_verify(spark, sf_dir):
@@ -198,10 +202,10 @@ def barcode_reconcile(spark, sf_dir):
 def licence_reconcile(spark, sf_dir):
     k = F.col("key")
     c = _cards(spark, sf_dir)
-    number = F.concat(F.lit("UT01"), F.lpad(k.cast("string"), 9, "0"))
+    number = F.concat(F.lit("UT012019"), F.lpad(k.cast("string"), 9, "0"))
     birth = F.date_format("birth", "dd-MM-yyyy")
     payload = F.when(k % 2 == 0, F.concat(F.lit('{"DL_No":"'), number, F.lit('","DOB":"'), birth, F.lit('"}'))).otherwise(F.concat(F.lit("LIC "), number, F.lit("; NAME: SOME ONE; DOB: "), birth))
-    rows = c.select(k.alias("doc_id"), payload.alias("payload"), F.when(k % 7 == 0, "UT99000000001").otherwise(F.concat(F.lit("UT01 "), F.lpad(k.cast("string"), 9, "0"))).alias("number"), F.date_format(F.date_add("birth", F.when(k % 4 == 0, 1).otherwise(0)), "yyyy-MM-dd").alias("birth"))
+    rows = c.select(k.alias("doc_id"), payload.alias("payload"), F.when(k % 7 == 0, "UT992019000000001").otherwise(F.concat(F.lit("UT01 2019"), F.lpad(k.cast("string"), 9, "0"))).alias("number"), F.date_format(F.date_add("birth", F.when(k % 4 == 0, 1).otherwise(0)), "yyyy-MM-dd").alias("birth"))
     parts = payloads.decode_licence(F.col("payload"))
     return rules.licence_barcode(rows.select("doc_id", parts["number"].alias("code_number"), parts["birth"].alias("code_birth"), "number", "birth")).drop("seq")
 
@@ -230,7 +234,7 @@ def secure_anchor_flags(spark, sf_dir):
 def blacklist_tristate(spark, sf_dir):
     c = domain.card_base(spark, sf_dir)
     k = F.col("key")
-    rows = c.select(k.alias("doc_id"), F.when(k % 10 == 0, "").otherwise(F.col("number")).alias("number"), F.when(k % 10 == 0, F.lit(None)).otherwise(F.col("surname")).alias("surname"))
+    rows = c.select(k.alias("doc_id"), F.when(k % 10 == 0, "").otherwise(F.col("number")).alias("number"), F.when(k % 10 == 0, F.lit(None)).when(k % 24 == 12, "CUST0MER").otherwise(F.col("surname")).alias("surname"))
     listing = c.where(k % 3 == 0).select("number", "surname", F.when(k % 2 == 0, k % 4 == 0).alias("listed"))
     return rules.blacklist(rows, listing)
 
@@ -253,14 +257,24 @@ def field_validation(spark, sf_dir):
     return rules.field_validation(inputs.validation_rows(spark, sf_dir), REF)
 
 
+def _decodes(spark, sf_dir):
+    """Decodes of each card, read at two scales, so every one comes twice: an identity payload, a licence, other codes."""
+    c = _cards(spark, sf_dir)
+    k = F.col("key")
+    markup = F.concat(F.lit('<PrintLetterBarcodeData uid="'), F.col("uid"), F.lit('" name="'), F.when(k % 4 == 0, "").otherwise(F.col("given_names")), F.lit('" gender="'), F.when(k % 3 == 0, "M").otherwise("F"), F.lit('"/>'))
+    licence = F.concat(F.when(k % 3 == 0, "lic ut01 2019 ").otherwise("LIC UT012019"), F.lpad(k.cast("string"), 9, "0"), F.lit("; NAME: SOME ONE; "), F.date_format("birth", "dd-MM-yyyy"))
+    code = lambda fmt, t: F.struct(F.lit(fmt).alias("format"), t.alias("text"))
+    once_read = F.array(code("QRCODE", F.when(k % 2 == 0, markup).otherwise("no payload")), code("PDF417", licence), code("CODE128", licence), code("QRCODE", F.when(k % 5 == 0, F.replace(markup, F.lit('uid="'), F.lit('uid="9'))).otherwise(F.lit(None))))
+    return c.select(k.alias("doc_id"), F.posexplode(F.concat(once_read, once_read)).alias("seq", "c")).select("doc_id", "seq", "c.format", "c.text", F.lit(None).cast("binary").alias("raw"))
+
+
 def _validated(spark, sf_dir):
-    """The cards' lines with the QR payloads of some: every second card's number and name as they are printed."""
-    k = F.col("doc_id")
-    parts = {"uid": F.col("qr_uid"), "dob": F.col("qr_birth"), "name": F.col("qr_name"), "gender": F.col("qr_gender")}
-    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    codes = _qr_rows(spark, sf_dir).where(k % 2 == 0).select(k, F.lit(0).alias("seq"), F.lit("aadhaar_qr").alias("channel"), F.explode(F.array(*(pair(n, v) for n, v in parts.items()))).alias("p")).select("doc_id", "seq", "channel", "p.*")
-    states = _docs(spark, sf_dir).select("doc_id", "side", F.when(k % 10 == 3, "pan_card").alias("forced_type"), (k % 50 == 7).alias("unreadable"))
-    return validate.validate_lines(_lines(spark, sf_dir), REF, states, codes)
+    """Both sides of the cards with their codes: the zone on the back, the licence and every second card's payload as codes."""
+    lines, k = _lines(spark, sf_dir), F.col("doc_id")
+    pooled = intake.pool_sides(lines.where("line_no < 7"), lines.where("line_no >= 7"))
+    codes = intake.barcode_parts(intake.barcode_channels(_decodes(spark, sf_dir).where(k % 3 != 1)))
+    states = _docs(spark, sf_dir).select("doc_id", "side", F.when(k % 10 == 3, "pan_card").when(k % 10 == 4, "driving_license").alias("forced_type"), (k % 50 == 7).alias("unreadable"), (k % 50 == 8).alias("companion_unreadable"))
+    return validate.validate_lines(pooled, REF, states, codes)
 
 
 def document_validation(spark, sf_dir):
@@ -280,6 +294,16 @@ def family_members(spark, sf_dir):
     return registry.family_members(domain.documents(spark, sf_dir), domain.families(spark, sf_dir))
 
 
+def family_of_document(spark, sf_dir):
+    return registry.family_of_document(domain.documents(spark, sf_dir), domain.families(spark, sf_dir))
+
+
+def members_of_blacklisted(spark, sf_dir):
+    """The family members of the blacklisted documents."""
+    documents = domain.documents(spark, sf_dir)
+    return registry.members_of(documents.where("status = 'BLACKLISTED'"), documents)
+
+
 def fingerprint_similarity(spark, sf_dir):
     return similarity.fingerprint_matches(domain.documents(spark, sf_dir), domain.fingerprints(spark, sf_dir))
 
@@ -297,7 +321,8 @@ def cluster_expand(spark, sf_dir):
 
 
 def cross_checkpoint_alert(spark, sf_dir):
-    return registry.checkpoint_alerts(_cluster(spark, sf_dir), domain.events(spark, sf_dir), least_checkpoints=4)
+    people = domain.identities(spark, sf_dir).select("identity_id")
+    return registry.cluster_alerts(people, domain.documents(spark, sf_dir), domain.events(spark, sf_dir), least_checkpoints=4)
 
 
 def checkpoint_history(spark, sf_dir):

@@ -6,7 +6,7 @@ from evidentia.plans.oracle import _TD1, _TD2, CARDS, DD, FACES, FIELD_ROWS, LIN
 
 _MARKUP = """'<PrintLetterBarcodeData uid="' || uid || '" name="' || CASE WHEN key % 4 = 0 THEN '' ELSE given_names END || '" gender="' || CASE WHEN key % 3 = 0 THEN 'M' ELSE 'F' END || '"/>'"""
 _CODES = CARDS + f""",
-m AS (SELECT *, {_MARKUP} AS markup, 'LIC UT01' || lpad(CAST(key AS VARCHAR), 9, '0') || '; NAME: SOME ONE; DOB: ' || strftime(birth, '%d-%m-%Y') AS licence FROM cards),
+m AS (SELECT *, {_MARKUP} AS markup, CASE WHEN key % 3 = 0 THEN 'lic ut01 2019 ' ELSE 'LIC UT012019' END || lpad(CAST(key AS VARCHAR), 9, '0') || '; NAME: SOME ONE; ' || strftime(birth, '%d-%m-%Y') AS licence FROM cards),
 codes AS (SELECT key AS doc_id, 0 AS seq, 'QRCODE' AS format, CASE WHEN key % 2 = 0 THEN markup ELSE 'no payload' END AS text, CASE WHEN key % 2 = 0 THEN 'aadhaar_qr' ELSE 'unclassified' END AS channel FROM m
     UNION ALL SELECT key, 1, 'PDF417', licence, 'dl_barcode' FROM m UNION ALL SELECT key, 2, 'CODE128', licence, 'unclassified' FROM m
     UNION ALL SELECT key, 3, 'QRCODE', CASE WHEN key % 5 = 0 THEN replace(markup, 'uid="', 'uid="9') ELSE '' END, CASE WHEN key % 5 = 0 THEN 'aadhaar_qr' ELSE 'unclassified' END FROM m)"""
@@ -23,7 +23,7 @@ ORACLES = {
     "barcode_channels": f"WITH {_CODES} SELECT doc_id, seq, format, text, channel, row_number() OVER (PARTITION BY doc_id, channel ORDER BY seq) = 1 AS first_of_channel FROM codes",
     "barcode_fields": f"""WITH {_CODES}, p AS (SELECT doc_id, seq, channel, text, unnest(['document_number', 'surname', 'sex', 'date_of_birth']) AS name FROM codes),
         v AS (SELECT doc_id, seq, name, CASE WHEN channel = 'aadhaar_qr' THEN CASE name WHEN 'document_number' THEN regexp_extract(text, 'uid="([^"]*)"', 1) WHEN 'surname' THEN regexp_extract(text, 'name="([^"]*)"', 1) WHEN 'sex' THEN regexp_extract(text, 'gender="([^"]*)"', 1) END
-            WHEN channel = 'dl_barcode' THEN CASE name WHEN 'document_number' THEN substr(text, 5, 13) WHEN 'surname' THEN 'SOME ONE' WHEN 'date_of_birth' THEN right(text, 10) END END AS value FROM p)
+            WHEN channel = 'dl_barcode' THEN CASE name WHEN 'document_number' THEN 'UT012019' || lpad(CAST(doc_id AS VARCHAR), 9, '0') WHEN 'date_of_birth' THEN right(text, 10) END END AS value FROM p)
         SELECT doc_id, name, arg_min(value, seq) AS value, CAST(0.99 AS DOUBLE) AS confidence FROM v WHERE coalesce(value, '') <> '' GROUP BY ALL""",
     "two_sided_lines": f"WITH {LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN line_no < 6 THEN 'front' ELSE 'back' END AS side, text FROM lines",
     "field_cleaners": f"""WITH {CARDS} SELECT key AS doc_id, 'document_number' AS name, CASE WHEN key % 2 = 0 THEN uid ELSE number END AS value FROM cards

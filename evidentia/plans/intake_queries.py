@@ -12,23 +12,12 @@ from evidentia.plans import inputs
 from evidentia.sources import domain
 
 
-def _decodes(spark, sf_dir):
-    """Decodes of each card, read at two scales, so every one comes twice: an identity payload, a licence, other codes."""
-    c = base._cards(spark, sf_dir)
-    k = F.col("key")
-    markup = F.concat(F.lit('<PrintLetterBarcodeData uid="'), F.col("uid"), F.lit('" name="'), F.when(k % 4 == 0, "").otherwise(F.col("given_names")), F.lit('" gender="'), F.when(k % 3 == 0, "M").otherwise("F"), F.lit('"/>'))
-    licence = F.concat(F.lit("LIC UT01"), F.lpad(k.cast("string"), 9, "0"), F.lit("; NAME: SOME ONE; DOB: "), F.date_format("birth", "dd-MM-yyyy"))
-    code = lambda fmt, t: F.struct(F.lit(fmt).alias("format"), t.alias("text"))
-    once_read = F.array(code("QRCODE", F.when(k % 2 == 0, markup).otherwise("no payload")), code("PDF417", licence), code("CODE128", licence), code("QRCODE", F.when(k % 5 == 0, F.replace(markup, F.lit('uid="'), F.lit('uid="9'))).otherwise(F.lit(None))))
-    return c.select(k.alias("doc_id"), F.posexplode(F.concat(once_read, once_read)).alias("seq", "c")).select("doc_id", "seq", "c.format", "c.text", F.lit(None).cast("binary").alias("raw"))
-
-
 def barcode_channels(spark, sf_dir):
-    return intake.barcode_channels(_decodes(spark, sf_dir)).select("doc_id", "seq", "format", "text", "channel", "first_of_channel")
+    return intake.barcode_channels(base._decodes(spark, sf_dir)).select("doc_id", "seq", "format", "text", "channel", "first_of_channel")
 
 
 def barcode_fields(spark, sf_dir):
-    return intake.barcode_fields(intake.barcode_channels(_decodes(spark, sf_dir)))
+    return intake.barcode_fields(intake.barcode_parts(intake.barcode_channels(base._decodes(spark, sf_dir))))
 
 
 def two_sided_lines(spark, sf_dir):

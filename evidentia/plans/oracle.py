@@ -190,8 +190,8 @@ t0 AS (SELECT key, rpad('I<UTO' || substr(mrz2, 1, 10), 30, '<') AS l1, substr(m
 lines AS (SELECT key, l1, body || CASE WHEN key % 11 = 0 THEN '<' ELSE CAST({digit("(substr(l1,6,25) || substr(body,1,7) || substr(body,9,7) || substr(body,19,11))")} AS VARCHAR) END AS l2, l3 FROM t0)"""
 
 _BLOCK = " UNION ALL ".join(
-    f"SELECT doc_id, '{f}' AS fmt, line_no, {r} AS relaxed, rpad(l1, {w}, '<') AS l1, rpad(l2, {w}, '<') AS l2 FROM w WHERE regexp_matches(l1, '^[PIACV]') AND " + " AND ".join((f"length(l{i}) BETWEEN {w - 12} AND {w}" if r == "true" else f"length(l{i}) = {w}") for i in range(1, n + 1))
-    for r in ("false", "true") for f, n, w in (("TD3", 2, 44), ("TD2", 2, 36), ("TD1", 3, 30)))
+    f"SELECT doc_id, {k} AS k, '{f}' AS fmt, line_no, {r} AS relaxed, rpad(l1, {w}, '<') AS l1, rpad(l2, {w}, '<') AS l2 FROM w WHERE " + " AND ".join((f"length(l{i}) BETWEEN {w - 12} AND {w}" if r == "true" else f"length(l{i}) = {w}") + f" AND regexp_full_match(l{i}, '[A-Z0-9<]+')" for i in range(1, n + 1))
+    for r in ("false", "true") for k, (f, n, w) in enumerate((("TD3", 2, 44), ("TD2", 2, 36), ("TD1", 3, 30))))
 
 
 
@@ -252,7 +252,7 @@ PROFILE = f"""profile AS (SELECT d.document_number, CASE WHEN p.document_number
     CASE WHEN p.document_number IS NULL THEN 'No structural fingerprint.' WHEN n > 0 THEN 'Structural pattern shared with documents: ' || n || '.' ELSE 'No document shares the structural pattern.' END AS summary
   FROM docs d LEFT JOIN prints p ON p.document_number = d.document_number LEFT JOIN (SELECT document_number, count(*) AS n FROM matches GROUP BY 1) m ON m.document_number = d.document_number)"""
 
-RISK = REGISTRY + FACES + f""",
+RISK = REGISTRY + f""",
 st0 AS (SELECT identity_id, document_number, status, row_number() OVER (PARTITION BY identity_id ORDER BY CASE status WHEN 'BLACKLISTED' THEN 3 WHEN 'EXPIRED' THEN 2 ELSE 1 END DESC, document_number DESC) AS r FROM docs),
 {PROFILE},
 st AS (SELECT identity_id, status, n_related AS dna_related, similarity_score AS dna_score FROM st0 JOIN profile USING (document_number) WHERE r = 1),
@@ -263,10 +263,10 @@ best AS (SELECT q.identity_id AS query_id, c.identity_id AS other, list_cosine_s
     FROM own q JOIN own c ON q.identity_id <> c.identity_id),
 idm AS (SELECT query_id AS identity_id, count(*) AS identity_matches, string_agg('Similar identity ' || other || ' (' || CAST(round_even(round(greatest(s, 0.0), 4) * 100, 0) AS INTEGER) || ' %): for review.', ' ' ORDER BY rank) AS notes
     FROM best WHERE rank <= 3 AND s >= 0.30 GROUP BY 1),
-r0 AS (SELECT c_custkey AS identity_id, round(s, 6) AS face_similarity, round(s, 6) >= 0.72 AS face_match, coalesce(st.status, 'UNKNOWN') AS status, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ',')) END AS n_warnings, is_valid, errors,
+r0 AS (SELECT c_custkey AS identity_id, CAST(NULL AS DOUBLE) AS face_similarity, CAST(NULL AS BOOLEAN) AS face_match, coalesce(st.status, 'UNKNOWN') AS status, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ',')) END AS n_warnings, is_valid, errors,
     confidence AS tamper_confidence, tam.status AS tamper_status, coalesce(identity_matches, 0) AS identity_matches, notes, coalesce(dna_related, 0) AS dna_related, coalesce(dna_score, 0.0) AS dna_score, coalesce(alert, false) AS checkpoint_alert,
     coalesce(connected_cases, 0) AS connected_cases, common_pattern
-  FROM customer JOIN face ON face.identity_id = c_custkey LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey LEFT JOIN val ON val.doc_id = c_custkey LEFT JOIN tam ON tam.image_id = c_custkey
+  FROM customer LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey LEFT JOIN val ON val.doc_id = c_custkey LEFT JOIN tam ON tam.image_id = c_custkey
     LEFT JOIN alerts ON alerts.identity_id = c_custkey LEFT JOIN cases ON cases.identity_id = c_custkey LEFT JOIN (SELECT identity_id, arg_max(common_pattern, family_id) AS common_pattern FROM real GROUP BY 1) pat ON pat.identity_id = c_custkey),
 risk AS (SELECT *, round(least(10.0, (CASE WHEN is_valid THEN 0.0 ELSE 10.0 END) + least(2.0 * n_warnings, 5.0)), 6) AS f_validation, round(tamper_confidence * 20, 6) AS f_tampering,
     CASE WHEN face_similarity IS NOT NULL THEN round(CASE WHEN face_match THEN 0.0 ELSE 10 * (1 - face_similarity) END, 6) END AS f_face,
@@ -289,7 +289,11 @@ ORACLES = {
     "mrz_parse_td2": f"WITH {_TD2} {_zone('TD2')}",
     "mrz_parse_td1": f"WITH {_TD1} {_zone('TD1')}",
     "mrz_century_dates": f"WITH {CARDS}, x AS (SELECT key, CASE WHEN key % 13 = 0 THEN '990231' ELSE substr(mrz2, 14, 6) END AS bb, substr(mrz2, 22, 6) AS ee FROM cards) SELECT key, {iso('bb', True)} AS birth, {iso('ee', False)} AS expiry FROM x",
-    "mrz_find_block": f"WITH {LINES}, g AS (SELECT doc_id, line_no, upper(regexp_replace(text, '\\s', '', 'g')) AS l1 FROM lines), h AS (SELECT * FROM g WHERE regexp_matches(l1, '^[A-Z0-9<]{{10,}}$')), w AS (SELECT *, CASE WHEN lead(line_no, 1) OVER o = line_no + 1 THEN lead(l1, 1) OVER o END AS l2, CASE WHEN lead(line_no, 2) OVER o = line_no + 2 THEN lead(l1, 2) OVER o END AS l3 FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, fmt, CAST(line_no AS INTEGER) AS line_no, relaxed, l1, l2 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY relaxed, line_no) AS r FROM ({_BLOCK})) WHERE r = 1",
+    # blank lines are dropped; windows by format, exact ones first, and only then by line
+    "mrz_find_block": f"""WITH first AS (SELECT key, l1 AS a1, l2 AS a2 FROM (WITH {_TD2} SELECT * FROM lines)), three AS (SELECT doc_id, line_no * 2 AS line_no, text FROM (WITH {LINES} SELECT * FROM lines)),
+        every AS (SELECT * FROM three UNION ALL SELECT doc_id, 15, ' ' FROM three WHERE line_no = 14 AND doc_id % 6 = 1 UNION ALL SELECT key, -2, a1 FROM first WHERE key % 10 IN (0, 2) UNION ALL SELECT key, -1, a2 FROM first WHERE key % 10 IN (0, 2)),
+        g AS (SELECT doc_id, line_no, upper(regexp_replace(text, '\\s', '', 'g')) AS l1 FROM every), w AS (SELECT *, lead(l1, 1) OVER o AS l2, lead(l1, 2) OVER o AS l3 FROM g WHERE l1 <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY line_no))
+        SELECT doc_id, fmt, CAST(line_no AS INTEGER) AS line_no, relaxed, l1, l2 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY relaxed, k, line_no) AS r FROM ({_BLOCK})) WHERE r = 1""",
     "verhoeff_verify": f"WITH {CARDS} SELECT key, {valid('uid')} AS valid, false AS junk FROM cards",
     "verhoeff_generate": f"WITH s AS (SELECT c_custkey AS key, lpad(CAST(c_custkey * 6007 % 100000000 AS VARCHAR), 11, '0') AS stem FROM customer) SELECT key, stem || {INVERSES}[{verhoeff('stem', 1)} + 1] AS number FROM s",
     "pan_structure": f"WITH {CARDS}, p AS (SELECT key AS doc_id, CASE WHEN key % 17 = 0 THEN substr(pan, 1, 8) ELSE pan END AS n, CASE WHEN key % 4 = 0 THEN ['Q'] ELSE ['C', 'P'] END AS ini FROM cards), s AS (SELECT *, regexp_full_match(n, '[A-Z]{{3}}.[A-Z][0-9]{{4}}[A-Z]') AS shape FROM p) " + rules("s", [("NOT shape", "pan_structure_invalid", "warning", "document_number"), ("shape AND NOT contains('CPHFATBLJG', substr(n, 4, 1))", "pan_status_code_invalid", "warning", "document_number"), ("shape AND NOT list_contains(ini, substr(n, 5, 1))", "pan_name_char_mismatch", "warning", "document_number"), ("shape AND list_contains(ini, substr(n, 5, 1))", "pan_name_char_match", "info", "document_number"), (f"shape AND {char36('n')} = substr(n, 10, 1)", "pan_checksum_ok", "info", "document_number"), (f"shape AND {char36('n')} <> substr(n, 10, 1)", "pan_checksum_failed", "warning", "document_number")]),
@@ -311,12 +315,16 @@ ORACLES = {
     "checksum_flags": f"WITH {CARDS} " + rules("(SELECT key AS doc_id, uid FROM cards WHERE key % 9 <> 0)", [(valid("uid"), "aadhaar_checksum_ok", "info", "document_number"), (f"NOT {valid('uid')}", "aadhaar_checksum_failed", "high", "document_number")]),
     "template_best_read": f"WITH {CARDS}{FIELD_ROWS} SELECT doc_id, name, CASE WHEN t THEN value || ' b' ELSE value END AS value, CASE WHEN t THEN 'template' ELSE 'visual' END AS source FROM (SELECT *, name = 'given_names' OR (name IN ('document_number','date_of_birth','date_of_expiry','issue_date','sex') AND confidence < 0.7) AS t FROM fields)",
     "secure_anchor_flags": f"WITH {CARDS}{FIELD_ROWS}, a AS (SELECT *, CASE WHEN document_type IN ('passport','id_card','residence_permit') THEN 'mrz' WHEN document_type = 'aadhaar' THEN 'aadhaar_qr' WHEN document_type = 'driving_license' THEN 'dl_barcode' END AS anchor, ['mrz','aadhaar_qr','dl_barcode','other'][CAST(doc_id % 4 AS INTEGER) + 1] AS channel FROM docs) SELECT doc_id, CASE WHEN document_type = 'aadhaar' AND side = 'front' THEN 'anchor_not_verifiable' ELSE 'secure_anchor_missing' END AS code, CASE WHEN document_type = 'aadhaar' AND side = 'front' THEN 'info' ELSE 'warning' END AS severity, 'machine_readable_zone' AS field FROM a WHERE anchor IS NOT NULL AND anchor <> channel",
-    "blacklist_tristate": "SELECT c_custkey AS doc_id, c AS code, CASE WHEN c IN ('blacklist_hit','blacklist_lookup_failed') THEN 'warning' ELSE 'info' END AS severity FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'blacklist_no_identifiers' WHEN c_custkey % 12 = 0 THEN 'blacklist_hit' WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'blacklist_lookup_failed' ELSE 'blacklist_clear' END AS c FROM customer)",
+    "blacklist_tristate": "SELECT c_custkey AS doc_id, c AS code, CASE WHEN c IN ('blacklist_hit','blacklist_number_listed','blacklist_lookup_failed') THEN 'warning' ELSE 'info' END AS severity FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'blacklist_no_identifiers' WHEN c_custkey % 24 = 12 THEN 'blacklist_number_listed' WHEN c_custkey % 12 = 0 THEN 'blacklist_hit' WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'blacklist_lookup_failed' ELSE 'blacklist_clear' END AS c FROM customer)",
     "flag_ledger_running": f"{ALL_FLAGS} SELECT doc_id, CAST(seq AS INTEGER) AS seq, code, severity, least(60.0, cum) - least(60.0, cum - points) AS deduction, 100 - least(60.0, cum) AS balance FROM (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM flags)",
     "coherence_score": f"{ALL_FLAGS}, f AS (SELECT doc_id, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i, sum(points) AS p FROM flags GROUP BY 1), u AS (SELECT doc_id, count(*) AS u FROM fields WHERE confidence < 0.6 GROUP BY 1), s AS (SELECT d.doc_id, coalesce(h, 0) AS n_high, coalesce(w, 0) AS n_warning, coalesce(i, 0) AS n_info, CAST(least(60.0, coalesce(p, 0)) AS DOUBLE) AS flag_deductions, CAST(least(10.0, 2.0 * coalesce(u, 0)) AS DOUBLE) AS confidence_deductions, CAST(CASE WHEN document_type = 'unknown' THEN 25.0 ELSE 0.0 END AS DOUBLE) AS unknown_penalty FROM docs d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id) SELECT *, CAST(greatest(0.0, 100 - flag_deductions - confidence_deductions - unknown_penalty) AS INTEGER) AS score FROM s",
     "field_validation": _VALIDATION,
     "document_status": f"WITH {REGISTRY}, k AS (SELECT DISTINCT o_orderkey * 2 AS document_number FROM orders) SELECT k.document_number, coalesce(status, 'UNKNOWN') AS status, CASE WHEN status = 'BLACKLISTED' THEN 'listed: ' || k.document_number END AS detail FROM k LEFT JOIN docs d ON d.document_number = k.document_number",
-    "family_members": f"WITH {REGISTRY}, m AS (SELECT family_id, count(*) AS n_members, string_agg(CAST(document_number AS VARCHAR), ',' ORDER BY document_number) AS members FROM docs WHERE family_id IS NOT NULL GROUP BY 1) SELECT document_number, family_id, common_pattern, n_members, members FROM docs JOIN fam USING (family_id) JOIN m USING (family_id)",
+    "family_members": f"""WITH {REGISTRY}, m AS (SELECT family_id, count(*) AS n_members, min(document_number) AS low, max(document_number) AS high FROM docs WHERE family_id IS NOT NULL GROUP BY 1),
+        p AS (SELECT family_id, common_pattern, n_members, document_number, CAST(floor((document_number - low) * ceil(n_members / 1000) / (high - low + 1)) AS INTEGER) AS page FROM docs JOIN fam USING (family_id) JOIN m USING (family_id))
+        SELECT family_id, common_pattern, n_members, page, string_agg(CAST(document_number AS VARCHAR), ',' ORDER BY document_number) AS members FROM p GROUP BY ALL""",
+    "family_of_document": f"WITH {REGISTRY}, m AS (SELECT family_id, count(*) AS n_members FROM docs WHERE family_id IS NOT NULL GROUP BY 1) SELECT document_number, family_id, common_pattern, n_members FROM docs JOIN fam USING (family_id) JOIN m USING (family_id)",
+    "members_of_blacklisted": f"WITH {REGISTRY} SELECT a.document_number, b.document_number AS member FROM docs a JOIN docs b USING (family_id) WHERE a.status = 'BLACKLISTED'",
     "fingerprint_similarity": f"WITH {REGISTRY} SELECT * FROM matches WHERE match IS NOT NULL",
     "cluster_expand": f"WITH {REGISTRY} SELECT * FROM cluster",
     "cross_checkpoint_alert": f"WITH {REGISTRY} SELECT * FROM alerts",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import vectors
-from evidentia.functions.barrier import once
+from evidentia.functions.barrier import settled
 from evidentia.operators import registry, rules, scoring, similarity
 from evidentia.plans import inputs
 from evidentia.sources import domain
@@ -14,34 +13,37 @@ from evidentia.sources import domain
 LEAST_CHECKPOINTS, MATCHES, SHOW, REVIEW = 4, 3, 0.30, 0.40
 
 
-def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk_rows(spark: SparkSession, sf_dir: str, faces: DataFrame | None = None) -> DataFrame:
     """One row for each identity with its risk inputs and the factors f_<name>.
 
     An identity's screened document is the one of worst status, of these the largest number; its own status and
-    fingerprint count, UNKNOWN and none without a document. Its card is validated, the image of its number is searched
-    for signs of tampering, and the face input is the cosine scale of the pseudo-embeddings of name and nationality.
-    Every identity with a vector is searched among all others; one without has no matches.
+    fingerprint count, UNKNOWN and none without a document. Its card is validated and the image of its number is searched for
+    signs of tampering. Every identity with a vector is searched among all others; one without has no matches. ``faces``:
+    identity_id, face_similarity; there are no images here, so without it that factor is null.
+
+    Identities and documents with families are computed once, and what each part says of an identity is one narrow
+    table, so the last join meets settled rows.
     """
-    people, documents, ref = domain.identities(spark, sf_dir), domain.documents(spark, sf_dir), domain.REFERENCE_DATE
+    people, documents, ref = settled(domain.identities(spark, sf_dir).select("identity_id", "embedding")), settled(domain.documents(spark, sf_dir)), domain.REFERENCE_DATE
     worst = F.when(F.col("status") == "BLACKLISTED", 3).when(F.col("status") == "EXPIRED", 2).otherwise(1)
     screened = documents.groupBy("identity_id").agg(F.max_by(F.struct("document_number", "status"), F.struct(worst.alias("w"), "document_number")).alias("d")).select("identity_id", "d.*")
     profile = similarity.fingerprint_profile(documents, domain.fingerprints(spark, sf_dir)).select("document_number", F.col("n_related").alias("dna_related"), F.col("similarity_score").alias("dna_score"))
-    screened = screened.join(profile, "document_number", "left").drop("document_number")
+    screened = settled(screened.join(profile, "document_number", "left").drop("document_number"))
     checked = rules.field_validation(inputs.validation_rows(spark, sf_dir), ref)
     codes = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    checked = checked.select(F.col("doc_id").alias("identity_id"), "is_valid", codes("errors").alias("validation_errors"), F.size(codes("warnings")).alias("n_warnings"))
+    checked = settled(checked.select(F.col("doc_id").alias("identity_id"), "is_valid", codes("errors").alias("validation_errors"), F.size(codes("warnings")).alias("n_warnings")))
     tamper = scoring.forensic_status(inputs.signals(spark, sf_dir))
     tamper = tamper.select(F.col("image_id").alias("identity_id"), F.col("confidence").alias("tamper_confidence"), F.col("status").alias("tamper_status"), F.col("findings").alias("tamper_findings"))
-    alerts = registry.cluster_alerts(people, documents, domain.events(spark, sf_dir), LEAST_CHECKPOINTS).select("identity_id", F.col("alert").alias("checkpoint_alert"))
-    cases = registry.connected_cases(documents, domain.families(spark, sf_dir))
+    alerts = settled(registry.cluster_alerts(people.select("identity_id"), documents, domain.events(spark, sf_dir), LEAST_CHECKPOINTS).select("identity_id", F.col("alert").alias("checkpoint_alert")))
+    cases = settled(registry.connected_cases(documents, domain.families(spark, sf_dir)))
     held = people.where("embedding IS NOT NULL").select("identity_id", F.col("embedding").alias("vec"))
     queries = held.select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec"))
     found = similarity.identity_search(queries, held, MATCHES, SHOW, REVIEW).groupBy(F.col("query_id").alias("identity_id"))
-    found = found.agg(F.count(F.lit(1)).alias("identity_matches"), F.sort_array(F.collect_list(F.struct("rank", "identity_id", "similarity"))).alias("matches"))  # at most MATCHES
-    faces = once(people.select("identity_id", vectors.pseudo_embedding(F.col("name")).alias("v"), vectors.pseudo_embedding(F.col("nationality")).alias("w")))
-    rows = once(faces.select("identity_id", F.round(vectors.face_score(vectors.cosine(F.col("v"), F.col("w"))), 6).alias("face_similarity")))
+    found = settled(found.agg(F.count(F.lit(1)).alias("identity_matches"), F.sort_array(F.collect_list(F.struct("rank", "identity_id", "similarity"))).alias("matches")))  # at most MATCHES
+    rows = people.select("identity_id")
     for part in (screened, checked, tamper, alerts, cases, found):
         rows = rows.join(part, "identity_id", "left")
+    rows = rows.withColumn("face_similarity", F.lit(None).cast("double")) if faces is None else rows.join(faces.select("identity_id", "face_similarity"), "identity_id", "left")
     filled = {"status": "UNKNOWN", "dna_related": 0, "dna_score": 0.0, "checkpoint_alert": False, "connected_cases": 0, "identity_matches": 0}
     rows = rows.withColumn("face_match", F.col("face_similarity") >= 0.72).na.fill(filled)
     return scoring.risk_factors(rows)

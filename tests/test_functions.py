@@ -23,6 +23,10 @@ def test_check_digits(spark):
     d = checkdigits.mrz_check_digit
     row = one(spark, d(F.lit("L898902C<")), d(F.lit("690806")), d(F.lit("940623")), d(F.lit("ZE184226B<<<<<")), d(F.lit("AB2134<<<")), d(F.lit("a!")), d(F.lit("")))
     assert list(row) == [3, 1, 6, 1, 5, None, 0]
+    plain = lambda t: sum((int(c, 36) if c != "<" else 0) * (7, 3, 1)[i % 3] for i, c in enumerate(t)) % 10
+    texts = ["Z" * n for n in range(1, 55)] + ["A1<B2<C3<D4<E5<F6" * 3, "9<" * 20]
+    got = spark.createDataFrame([(t,) for t in [*texts, "A" * 55, "12 4", "-12", " 12"]], "t string").select("t", d(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in got} == {t: plain(t) for t in texts} | {"A" * 55: None, "12 4": None, "-12": None, " 12": None}
 
 
 def test_verhoeff(spark):
@@ -104,7 +108,7 @@ def test_blacklist_states(spark):
     rows = spark.createDataFrame([(1, "A", None, None), (2, None, "Y", "G"), (3, "A", "Z", None), (4, None, "Y", "H"), (5, None, "W", None)], "doc_id int, number string, surname string, given_names string")
     listing = spark.createDataFrame([("A", "X", None, True), (None, "Y", "G", True), ("Q", "W", None, True)], "number string, surname string, given_names string, listed boolean")
     got = {r.doc_id: r.code.removeprefix("blacklist_") for r in rules.blacklist(rows, listing).collect()}
-    assert got == {1: "hit", 2: "hit", 3: "clear", 4: "clear", 5: "hit"}
+    assert got == {1: "hit", 2: "hit", 3: "number_listed", 4: "clear", 5: "hit"}
 
 
 def test_payloads(spark):
@@ -119,8 +123,15 @@ def test_payloads(spark):
     long = spark.createDataFrame([(zlib.compress(b"<Q uid='1'>" + b"x" * payloads.MAX_BYTES),)], "raw binary")
     assert payloads.decode_identity(long).first().uid is None
     parts = payloads.decode_licence(F.col("p"))
-    got = spark.createDataFrame([('{"DL_No":"UT0112345678","DOB":"1-1-1990"}',), ("LIC UT0112345678; NAME: X Y; DOB: 01-01-1990",), ("nothing",)], "p string").select(parts["number"].alias("n"), parts["birth"].alias("b")).collect()
-    assert [tuple(r) for r in got] == [("UT0112345678", "1-1-1990"), ("UT0112345678", "01-01-1990"), (None, None)]
+    cases = {
+        '{"DL_No":"UT01 2019 12345678","DOB":"1-1-1990","valid till":"02/03/2030"}': ("UT01201912345678", None, "1-1-1990", "02/03/2030"),
+        "LIC UT01201912345678; NAME: X Y; DOB: 01-01-1990": ("UT01201912345678", None, "01-01-1990", None),
+        "MH12 2005 0089012 15/08/1990": ("MH1220050089012", None, "15/08/1990", None), "mh1220050089012": ("MH1220050089012", None, None, None),
+        '{"licenceNumber":"ZZ-77"}': ("ZZ-77", None, None, None), '{"drivingLicence":"mh12 20050089012","Holder Name":"a b"}': ("MH1220050089012", "A B", None, None),
+        '{"dlno":" ","name":""}': (None, None, None, None), "nothing": (None, None, None, None), "{broken 1/2/1999": (None, None, "1/2/1999", None),
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "p string").select("p", *(parts[n].alias(n) for n in ("number", "name", "birth", "expiry"))).collect()
+    assert {r.p: tuple(r)[1:] for r in got} == cases
 
 
 def test_text_and_vectors(spark):
@@ -137,6 +148,14 @@ def test_mrz_block(spark):
     got = {r.doc_id: r for r in extract.mrz_block(spark.createDataFrame(rows, "doc_id string, line_no int, text string")).collect()}
     assert got["a"].fmt == "TD3" and not got["a"].relaxed and got["a"].line_no == 1
     assert got["d"].fmt == "TD1" and "c" not in got
+    # blank lines don't count, noise does; formats come before lines, whole lines before padded ones
+    cases = {
+        "blank": [TD3[0], " ", None, TD3[1]], "noise": [TD3[0], "x-ray", TD3[1]], "spaced": ["", TD3[0].lower().replace("<ANNA", "< ANNA"), TD3[1]],
+        "order": [*TD1, *TD3], "whole": [TD3[0][:-2], TD3[1], *TD2], "other letter": ["X" + TD2[0][1:], TD2[1]], "odd": [TD2[0][:-1] + "?", TD2[1]], "short": [TD2[0][:20], TD2[1]],
+    }
+    rows = [(d, k, x) for d, texts in cases.items() for k, x in enumerate(texts)]
+    got = {r.doc_id: (r.fmt, r.line_no, r.relaxed, r.l2) for r in extract.mrz_block(spark.createDataFrame(rows, "doc_id string, line_no int, text string")).collect()}
+    assert got == {"blank": ("TD3", 0, False, TD3[1]), "spaced": ("TD3", 1, False, TD3[1]), "order": ("TD3", 3, False, TD3[1]), "whole": ("TD2", 2, False, TD2[1]), "other letter": ("TD2", 0, False, TD2[1])}
 
 
 def test_registry(spark):
@@ -144,13 +163,11 @@ def test_registry(spark):
     people = spark.createDataFrame([(10,), (11,), (12,)], "identity_id int")
     assert {tuple(r) for r in registry.clusters(people, docs).collect()} == {(10, 10), (10, 11), (11, 10), (11, 11), (12, 12)}
     events = spark.createDataFrame([(1, 11, "A", "HIGH"), (2, 11, "B", "LOW")], "event_id int, identity_id int, checkpoint string, risk_level string")
-    got = {r.identity_id: r for r in registry.checkpoint_alerts(registry.clusters(people, docs), events).collect()}
+    got = {r.identity_id: r for r in registry.cluster_alerts(people, docs, events).collect()}
     assert got[10].alert and got[10].total_checkpoints == 2 and not got[12].alert and got[12].total_appearances == 0
 
 
-def test_similarity_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "SLICE_BYTES", 32)
-    monkeypatch.setattr(similarity, "TILE", (2, 3))
+def test_best_and_threshold_matches(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "identity_id int, vec array<double>")
     q = v.selectExpr("identity_id AS query_id", "vec AS query_vec")
     assert similarity.best_match(q, v, 0.1).where("distance = 0").count() == 6

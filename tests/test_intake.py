@@ -23,14 +23,14 @@ def test_decodes_once_and_first_value_wins(spark):
     rows = [(1, 0, "QRCODE", payload.format("1", ""), None), (1, 1, "QRCODE", payload.format("1", ""), None), (1, 2, "QRCODE", payload.format("2", "B C"), None), (1, 3, "EAN13", None, None), (1, 4, "QRCODE", "", None)]
     codes = intake.barcode_channels(spark.createDataFrame(rows, "doc_id long, seq int, format string, text string, raw binary"))
     assert sorted((r.seq, r.channel, r.first_of_channel) for r in codes.collect()) == [(0, "aadhaar_qr", True), (2, "aadhaar_qr", False), (3, "unclassified", True), (4, "unclassified", False)]
-    assert {(r.name, r.value) for r in intake.barcode_fields(codes).collect()} == {("document_number", "1"), ("surname", "B C"), ("sex", "M")}
+    assert {(r.name, r.value) for r in intake.barcode_fields(intake.barcode_parts(codes)).collect()} == {("document_number", "1"), ("surname", "B C"), ("sex", "M")}
 
 
 def test_licence_by_any_key(spark):
-    text = '{"Licence-No": "UT010000001", "DOB": "", "dob": "1/2/1990", "Valid Till": "3/4/2031", "holder_name": "A B"}'
+    text = '{"Licence-No": "UT01 20190000001", "DOB": "", "dob": "1/2/1990", "Valid Till": "3/4/2031", "holder_name": "A B"}'
     codes = intake.barcode_channels(spark.createDataFrame([(1, 0, "PDF417", text, None), (2, 0, "PDF417", "{broken", None)], "doc_id long, seq int, format string, text string, raw binary"))
-    found = {(r.doc_id, r.name, r.value) for r in intake.barcode_fields(codes).collect()}
-    assert found == {(1, "document_number", "UT010000001"), (1, "surname", "A B"), (1, "date_of_birth", "1/2/1990"), (1, "date_of_expiry", "3/4/2031")}
+    found = {(r.doc_id, r.name, r.value) for r in intake.barcode_fields(intake.barcode_parts(codes)).collect()}
+    assert found == {(1, "document_number", "UT0120190000001"), (1, "surname", "A B"), (1, "date_of_birth", "1/2/1990"), (1, "date_of_expiry", "3/4/2031")}
 
 
 def test_zone_of_any_lines(spark):

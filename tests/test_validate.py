@@ -1,7 +1,7 @@
 """From lines to score in one plan: hand-made documents, and the balance of every ledger."""
 
 from evidentia import catalogue
-from evidentia.operators import validate
+from evidentia.operators import intake, validate
 
 from test_catalogue import SF
 from test_functions import TD3
@@ -37,6 +37,22 @@ def test_documents(spark):
     assert [r.code for r in ledger[-2:]] == ["low_ocr_confidence", "remaining_points"] and ledger[-1].balance == results["zone"].score
 
 
+def test_a_forged_licence(spark):
+    """Codes as a reader gives them, through the channels into the rules: another number and birth date in print than in the barcode."""
+    rows = [("forged", 0, "DRIVING LICENCE"), ("forged", 1, "Licence No: UT0220190000002"), ("forged", 2, "DOB: 05/06/1991"), ("sound", 0, "DRIVING LICENCE"), ("sound", 1, "Licence No: UT0120190000001"), ("sound", 2, "DOB: 01/02/1990"), ("code", 0, "DRIVING LICENCE")]
+    text = '{"licenceNo": "ut01 2019 0000001", "dob": "01-02-1990", "holdername": "Some One", "validTill": "01-02-2030"}'
+    decodes = spark.createDataFrame([(d, 0, "PDF417", text, None) for d in ("forged", "sound", "code")], "doc_id string, seq int, format string, text string, raw binary")
+    got = validate.validate_lines(spark.createDataFrame(rows, "doc_id string, line_no int, text string"), "2026-01-01", None, intake.barcode_parts(intake.barcode_channels(decodes)))
+    flags = {}
+    for r in got.flags.collect():
+        flags.setdefault(r.doc_id, set()).add(r.code)
+    wrong = {"dl_barcode_number_mismatch", "dl_barcode_dob_mismatch"}
+    assert wrong <= flags["forged"] and not wrong & (flags["sound"] | flags["code"]) and all("machine_channel_read" in f and "secure_anchor_missing" not in f for f in flags.values())
+    fields = {(r.doc_id, r.name): (r.value, r.source) for r in got.fields.collect()}
+    assert fields["forged", "surname"] == ("SOME ONE", "barcode") and fields["code", "document_number"] == ("UT0120190000001", "barcode") and fields["code", "date_of_expiry"][0] == "01-02-2030"
+    assert not any(r.field == "surname" for r in got.flags.where("code = 'missing_required_field'").collect())
+
+
 def test_every_ledger_ends_at_the_score(spark):
     queries = catalogue.queries()
     scores = {r.doc_id: r.score for r in queries["document_validation"](spark, SF).collect()}
