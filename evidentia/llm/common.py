@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that numpy works on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 21
@@ -18,16 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a new one of our own in a local session, and an error on a cluster."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def added(docs: DataFrame, fields: list[T.StructField], drop: tuple = ()) -> T.StructType:
+    """The columns of ``docs`` but for ``drop``, and ``fields``; a column of a new one's name (in any case) is an error, never two of one name."""
+    kept = [f for f in docs.schema.fields if f.name not in drop]
+    clash = sorted({f.name.lower() for f in kept} & {f.name.lower() for f in fields})
+    if clash:
+        raise ValueError(f"rename these columns of the input, the operator adds columns of their names: {', '.join(clash)}")
+    return T.StructType([*kept, *fields])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder: lineage ends there and lost executors lose nothing."""
     shared_dir(df.sparkSession)

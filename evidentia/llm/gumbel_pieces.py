@@ -451,14 +451,15 @@ def row_keys(ids: list, seed: int = SEED) -> np.ndarray:
 def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES, key: str = "doc_id", text: str = "text", seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """The other columns of ``docs`` and sample, n_pieces, log_prob, log_posterior, perturbed, log_inclusion, ids_sha256, decodes and the piece ids.
 
-    ids_sha256 is of the ids as little-endian 32-bit numbers; decodes says whether decoding them gives the text.
+    ids_sha256 is of the ids as little-endian 32-bit numbers; decodes says whether decoding them gives the text. A column
+    of ``docs`` that has one of these names is an error.
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     fields = [T.StructField("sample", T.IntegerType()), T.StructField("n_pieces", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("log_prob", "log_posterior", "perturbed", "log_inclusion")), T.StructField("ids_sha256", T.StringType()), T.StructField("decodes", T.BooleanType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*kept, *fields])
+    schema = common.added(docs, fields, (text,))
     at_text, at_key, at_kept = docs.columns.index(text), docs.columns.index(key), [docs.columns.index(f.name) for f in kept]
 
     def run(batches):

@@ -17,7 +17,7 @@ enough for a key become objects.
 
 Defined results: a null or empty text is one empty line; rows that share a doc_id count as one document, and all keep
 a line that this doc_id holds last; rows of null doc_id are counted as no document and lose no line; a repeated line
-stays as often as it stands in the keeping document; extra columns pass through.
+stays as often as it stands in the keeping document; extra columns pass through, and one of a new column's name is an error.
 """
 
 from __future__ import annotations
@@ -221,6 +221,7 @@ def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, group_bytes: int = GROUP_BYTES, task_probes: int = TASK_PROBES) -> DataFrame:
     """``docs`` with dedup_text, dedup_lines (before) and dedup_dropped."""
+    _rewritten(docs)
     keys = common.checkpointed(counted(docs, min_chars))
     n_keys = keys.count()
     shards = max(1, -(-n_keys // shard_keys))
@@ -231,7 +232,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 
 def _rewritten(docs: DataFrame) -> T.StructType:
-    return T.StructType([*docs.schema.fields, T.StructField("dedup_text", T.StringType()), T.StructField("dedup_lines", T.LongType()), T.StructField("dedup_dropped", T.LongType())])
+    return common.added(docs, [T.StructField("dedup_text", T.StringType()), T.StructField("dedup_lines", T.LongType()), T.StructField("dedup_dropped", T.LongType())])
 
 
 def _emit(batch, texts: list[bytes], n_lines: list[int], n_dropped: list[int]):

@@ -10,7 +10,7 @@ hand on the words seen, the sums and hash of a line that isn't over, and size an
 needs 24 bytes a line. A text has the same score in blocks as in one piece.
 
 Defined results: a null or empty text is one empty line and gets a score like any other; repeated rows get one
-result each; extra columns pass through; with no labels, or of one class only, every score is that class's share
+result each; extra columns pass through, and one of a new column's name is an error; with no labels, or of one class only, every score is that class's share
 (0.5 without labels). Only the text is read by a score.
 """
 
@@ -360,7 +360,7 @@ def fit(rows: list, rounds: int = 4, steps: int = 60) -> Chain:
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "quality_") -> DataFrame:
     """``docs`` with columns <prefix>score, <prefix>bad_lines and <prefix>lines."""
     names = [f"{prefix}{n}" for n in ("score", "bad_lines", "lines")]
-    schema = T.StructType(docs.schema.fields + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType())])
+    schema = common.added(docs, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType())])
     at = docs.columns.index(text)
 
     def run(batches):

@@ -10,7 +10,7 @@ its last two words and the filters' running maxima, so its score is that of the
 is held whole, at some 40 bytes a byte.
 
 Defined results: a null or empty text is scored as a text without words; repeated rows get one result each; extra
-columns pass through; without labels, or with one class only, each score is that class's share (0.5 without labels).
+columns pass through, and one of a new column's name is an error; without labels, or with one class only, each score is that class's share (0.5 without labels).
 Only the text is read by a score.
 """
 
@@ -225,7 +225,7 @@ def _cut(z: np.ndarray, y: np.ndarray) -> float:
 def score(docs: DataFrame, net: Net, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with the column ``name``. The weights (a fixed 4 MB) go to the executors as a broadcast variable."""
     held = docs.sparkSession.sparkContext.broadcast(net)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    schema = common.added(docs, [T.StructField(name, T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches):

@@ -176,3 +176,10 @@ def test_stages(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
     assert {0, 3, 5, None} <= kept and not kept & set(range(100, 106))
     assert corpus_pipeline.encoding_stage(spark, docs, SF).where("NOT decodes").count() == 0
+
+
+def test_clashing_names_are_refused(spark, chain, net, vocabulary):
+    docs = odd_docs(spark).limit(3)
+    for call in (lambda d: quality_crf.score(d, chain), lambda d: toxicity_cnn.score(d, net, name="Score"), line_mphf.drop_lines, lambda d: gumbel_pieces.encode(d, vocabulary)):
+        with pytest.raises(ValueError, match="rename"):
+            call(docs)
