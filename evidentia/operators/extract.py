@@ -202,7 +202,7 @@ REPLACEABLE = ["document_number", "date_of_birth", "date_of_expiry", "issue_date
 
 
 def merge_template(visual: DataFrame, template: DataFrame) -> DataFrame:
-    """doc_id, name, value, source: visual readings, with the best template reading where it may and does win.
+    """doc_id, name, value, confidence, source: visual readings, with the best template reading where it may and does win.
 
     Both: doc_id, name, value, confidence, seq; the best template reading is the surest, the first of equals.
     """
@@ -210,4 +210,5 @@ def merge_template(visual: DataFrame, template: DataFrame) -> DataFrame:
     both = visual.join(best, ["doc_id", "name"], "full_outer")
     wins = F.col("value").isNull() | (F.col("name").isin(*REPLACEABLE) & (F.col("t.confidence") > F.col("confidence")))
     wins = F.coalesce(wins & F.col("t").isNotNull(), F.lit(False))
-    return both.select("doc_id", "name", F.when(wins, F.col("t.value")).otherwise(F.col("value")).alias("value"), F.when(wins, "template").otherwise("visual").alias("source"))
+    won = lambda c: F.when(wins, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("doc_id", "name", won("value"), won("confidence"), F.when(wins, "template").otherwise("visual").alias("source"))

@@ -1,7 +1,7 @@
 """One plan from text lines to fields, flags, ledger and score: ``validate_lines`` for any number of documents at once.
 
-Lines are (doc_id, line_no, text) with confidence and x where there are any. Documents are (doc_id) with side, forced_type,
-unreadable, companion_unreadable, ocr_failed, template_failed and barcode_failed where there are any. Barcodes are the parts
+Lines are (doc_id, line_no, text) with confidence, x and the box (x0, y0, x1, y1) where there are any. Documents are (doc_id) with side, forced_type,
+unreadable, companion_unreadable, ocr_failed, template_failed (its boxes aren't read then) and barcode_failed where there are any. Barcodes are the parts
 that ``intake.barcode_parts`` gives: (doc_id, seq, channel, name, value). Flags are evidence for people to review, never
 verdicts.
 """
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import mrz
 from evidentia.functions.barrier import once, settled
-from evidentia.operators import extract, intake, rules, scoring
+from evidentia.operators import extract, intake, layout, rules, scoring
 
 MRZ_CONFIDENCE = 1.0
 _ZONE = ["recognised", "document_type", "document_number", "nationality", "birth", "sex", "expiry", "optional", "surname", "given_names", "composite_ok", "document_number_ok", "birth_ok", "expiry_ok", "optional_ok"]
-_STATES = {"side": "string", "forced_type": "string", "unreadable": "boolean", "companion_unreadable": "boolean", "ocr_failed": "boolean", "template_reads": "int", "template_failed": "boolean", "barcode_failed": "boolean"}
+_STATES = {"side": "string", "forced_type": "string", "unreadable": "boolean", "companion_unreadable": "boolean", "ocr_failed": "boolean", "template_failed": "boolean", "barcode_failed": "boolean"}
 
 
 class Validated(NamedTuple):
@@ -57,8 +57,9 @@ def zone_fields(zone: DataFrame, reference_year: int) -> DataFrame:
 
 
 def merged_fields(sources: list[tuple[str, DataFrame]]) -> DataFrame:
-    """doc_id, name, value, confidence, source: of each field the first source that has it."""
-    every = [rows.select("doc_id", "name", F.struct(F.lit(k).alias("rank"), "value", F.lit(source).alias("source"), F.col("confidence").cast("double").alias("confidence")).alias("b")) for k, (source, rows) in enumerate(sources)]
+    """doc_id, name, value, confidence, source: of each field the first source that has it; rows may name a closer source."""
+    named = lambda rows, source: F.col("source") if "source" in rows.columns else F.lit(source).alias("source")
+    every = [rows.select("doc_id", "name", F.struct(F.lit(k).alias("rank"), "value", named(rows, source), F.col("confidence").cast("double").alias("confidence")).alias("b")) for k, (source, rows) in enumerate(sources)]
     best = reduce(DataFrame.unionByName, every).groupBy("doc_id", "name").agg(F.min("b").alias("b"))
     return best.select("doc_id", "name", "b.value", "b.confidence", "b.source")
 
@@ -81,17 +82,26 @@ def validate_lines(lines: DataFrame, reference: str, docs: DataFrame | None = No
     barcodes = spark.createDataFrame([], f"doc_id {kind}, seq int, channel string, name string, value string") if barcodes is None else barcodes
     whole = docs.where(~F.coalesce("unreadable", F.lit(False)))
     zone = settled(zones(lines))
-    visual = extract.recognise(lines)
+    # what each document is, where its fields may stand, and what they are
+    auto = extract.classify(lines, zone.where("recognised").select("doc_id", F.col("document_type").alias("mrz_type")))
+    auto = settled(whole.join(auto.withColumnsRenamed({"document_type": "auto_type", "confidence": "auto_confidence"}), "doc_id", "left").na.fill(0, ["auto_confidence"]).na.fill("unknown", ["auto_type"]))
+    visual = extract.recognise(lines).withColumn("source", F.lit("visual"))
+    reads = None
+    if set(layout.BOX) <= set(lines.columns):
+        kinds = auto.where(~F.coalesce("template_failed", F.lit(False))).select("doc_id", F.coalesce("forced_type", "auto_type").alias("document_type"))
+        sure = lines if "confidence" in lines.columns else lines.withColumn("confidence", F.lit(1.0))
+        reads = settled(layout.template_reads(sure, kinds, layout.templates(spark)).drop("document_type"))
+        visual = extract.merge_template(visual.drop("source"), reads)
     fields = merged_fields([("visual", visual), ("barcode", intake.barcode_fields(barcodes)), ("mrz", zone_fields(zone, year))]).join(whole.select("doc_id"), "doc_id", "left_semi")
     fields = settled(fields)
 
-    # what each document is, and how it could be read
-    auto = extract.classify(lines, zone.where("recognised").select("doc_id", F.col("document_type").alias("mrz_type")))
+    # how it could be read
     zone_like = (F.length(F.regexp_replace("text", r"\s", "")) >= 28) & F.regexp_replace("text", r"\s", "").rlike("^[A-Z0-9<]*<[A-Z0-9<]*$")
     read = lines.groupBy("doc_id").agg(F.max(F.trim("text") != "").alias("has_text"), F.max(zone_like).alias("zone_like"))
     decoded = barcodes.groupBy("doc_id").agg(F.count_distinct("seq").alias("n_barcodes"), F.max(F.col("channel") == "aadhaar_qr").alias("has_qr"))
-    state = whole.join(auto.withColumnsRenamed({"document_type": "auto_type", "confidence": "auto_confidence"}), "doc_id", "left").join(read, "doc_id", "left").join(decoded, "doc_id", "left")
-    state = state.join(zone.select("doc_id", F.col("recognised").alias("has_zone")), "doc_id", "left").na.fill(False, ["companion_unreadable", "ocr_failed", "template_failed", "barcode_failed", "has_text", "zone_like", "has_qr", "has_zone"]).na.fill(0, ["template_reads", "n_barcodes", "auto_confidence"]).na.fill("unknown", ["auto_type"])
+    counted = reads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("template_reads")) if reads is not None else docs.limit(0).select("doc_id", F.lit(0).alias("template_reads"))
+    state = auto.join(read, "doc_id", "left").join(decoded, "doc_id", "left").join(counted, "doc_id", "left")
+    state = state.join(zone.select("doc_id", F.col("recognised").alias("has_zone")), "doc_id", "left").na.fill(False, ["companion_unreadable", "ocr_failed", "template_failed", "barcode_failed", "has_text", "zone_like", "has_qr", "has_zone"]).na.fill(0, ["template_reads", "n_barcodes"])
     state = settled(state.withColumn("document_type", F.coalesce("forced_type", "auto_type")))
     typed = state.select("doc_id", "document_type", F.coalesce("side", F.lit("")).alias("side"))
     of = lambda t, rows: rows.join(typed.where(F.col("document_type") == t).select("doc_id"), "doc_id", "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
 from evidentia.functions.barrier import once
-from evidentia.operators import assemble, extract, intake, registry, rules, scoring, similarity, validate
+from evidentia.operators import assemble, extract, intake, layout, registry, rules, scoring, similarity, validate
 from evidentia.plans import inputs, screening
 from evidentia.sources import domain, sinks
 from evidentia.streaming import checkpoints
@@ -223,7 +223,22 @@ def template_best_read(spark, sf_dir):
     f = _fields(spark, sf_dir)
     visual = f.where("name <> 'given_names'").select("doc_id", "name", "value", "confidence")
     read = lambda j, c, v: f.select("doc_id", "name", F.concat("value", F.lit(v)).alias("value"), F.lit(c).alias("confidence"), F.lit(j).alias("seq"))
-    return extract.merge_template(visual, read(0, 0.5, " a").unionByName(read(1, 0.7, " b")).unionByName(read(2, 0.7, " c")))
+    return extract.merge_template(visual, read(0, 0.5, " a").unionByName(read(1, 0.7, " b")).unionByName(read(2, 0.7, " c"))).drop("confidence")
+
+
+def _boxed(lines):
+    """``lines`` with boxes: line after line down the page, the left edge and the height by document and line."""
+    k, n = F.col("doc_id"), F.col("line_no")
+    x, y = 0.05 + 0.09 * ((k + n) % 7), 0.02 + 0.095 * n + 0.01 * (k % 5)
+    return lines.withColumns({"x0": x, "y0": y, "x1": x + 0.15 + 0.05 * (k % 4), "y1": y + 0.03, "confidence": 0.5 + 0.05 * ((k + 3 * n) % 10)})
+
+
+def template_box_fields(spark, sf_dir):
+    """The cards' lines by where they stand, for two types that each card may be."""
+    lines = _boxed(_lines(spark, sf_dir))
+    kinds = F.array(F.element_at(F.array(*(F.lit(t) for t in layout.TEMPLATES)), (F.col("c_custkey") % 3 + 1).cast("int")), F.element_at(F.array(*(F.lit(t) for t in layout.TEMPLATES)), ((F.col("c_custkey") + 1) % 3 + 1).cast("int")))
+    types = domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(kinds).alias("document_type"))
+    return layout.template_reads(lines, types, layout.templates(spark)).drop("seq")
 
 
 def secure_anchor_flags(spark, sf_dir):
@@ -274,7 +289,7 @@ def _validated(spark, sf_dir):
     pooled = intake.pool_sides(lines.where("line_no < 7"), lines.where("line_no >= 7"))
     codes = intake.barcode_parts(intake.barcode_channels(_decodes(spark, sf_dir).where(k % 3 != 1)))
     states = _docs(spark, sf_dir).select("doc_id", "side", F.when(k % 10 == 3, "pan_card").when(k % 10 == 4, "driving_license").alias("forced_type"), (k % 50 == 7).alias("unreadable"), (k % 50 == 8).alias("companion_unreadable"))
-    return validate.validate_lines(pooled, REF, states, codes)
+    return validate.validate_lines(_boxed(pooled), REF, states, codes)
 
 
 def document_validation(spark, sf_dir):

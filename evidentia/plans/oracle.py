@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidentia.functions.checkdigits import INVERSES, POWERS, PRODUCTS
+from evidentia.operators.layout import TEMPLATES
 from evidentia.operators.extract import LABELS, NOT_A_NAME, SAME_LINE, UNLABELLED, VALUE_SHAPES
 
 REF = "DATE '2026-01-01'"
@@ -314,6 +315,12 @@ ORACLES = {
     "licence_reconcile": "SELECT c_custkey AS doc_id, 'dl_barcode_number_mismatch' AS code, 'high' AS severity, 'document_number' AS field FROM customer WHERE c_custkey % 7 = 0 AND c_custkey <> 0 UNION ALL SELECT c_custkey, 'dl_barcode_number_mismatch', 'high', 'document_number' FROM customer WHERE c_custkey = 0 UNION ALL SELECT c_custkey, 'dl_barcode_dob_mismatch', 'warning', 'date_of_birth' FROM customer WHERE c_custkey % 4 = 0",
     "checksum_flags": f"WITH {CARDS} " + rules("(SELECT key AS doc_id, uid FROM cards WHERE key % 9 <> 0)", [(valid("uid"), "aadhaar_checksum_ok", "info", "document_number"), (f"NOT {valid('uid')}", "aadhaar_checksum_failed", "high", "document_number")]),
     "template_best_read": f"WITH {CARDS}{FIELD_ROWS} SELECT doc_id, name, CASE WHEN t THEN value || ' b' ELSE value END AS value, CASE WHEN t THEN 'template' ELSE 'visual' END AS source FROM (SELECT *, name = 'given_names' OR (name IN ('document_number','date_of_birth','date_of_expiry','issue_date','sex') AND confidence < 0.7) AS t FROM fields)",
+    "template_box_fields": f"""WITH {LINES}, b AS (SELECT doc_id, line_no, trim(text) AS value, 0.5::DOUBLE + 0.05::DOUBLE * ((doc_id + 3 * line_no) % 10) AS confidence, 0.05::DOUBLE + 0.09::DOUBLE * ((doc_id + line_no) % 7) AS x, 0.02::DOUBLE + 0.095::DOUBLE * line_no + 0.01::DOUBLE * (doc_id % 5) AS y, 0.15::DOUBLE + 0.05::DOUBLE * (doc_id % 4) AS wide FROM lines),
+        t AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{t}', '{n}', {x0}::DOUBLE, {y0}::DOUBLE, {x1}::DOUBLE, {y1}::DOUBLE)" for k, (t, fields) in enumerate(TEMPLATES.items()) for n, x0, y0, x1, y1 in fields)}) v(k, document_type, name, x0, y0, x1, y1)),
+        j AS (SELECT doc_id, line_no, document_type, name, value, confidence, round((least(x + wide, x1) - greatest(x, x0)) * (least(y + 0.03::DOUBLE, y1) - greatest(y, y0)) / (wide * 0.03::DOUBLE), 9) AS share FROM b JOIN t ON t.k IN (doc_id % 3, (doc_id + 1) % 3) WHERE value <> '' AND x < x1 AND x + wide > x0 AND y < y1 AND y + 0.03 > y0),
+        w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, document_type, name ORDER BY confidence DESC, share DESC, line_no) AS r FROM j WHERE share >= 0.5)
+        SELECT doc_id, document_type, name, confidence, CASE WHEN name = 'document_number' THEN regexp_replace(upper(value), '[^A-Z0-9]', '', 'g') WHEN name IN ('date_of_birth', 'date_of_expiry', 'issue_date') THEN coalesce(nullif(regexp_extract(value, '[0-9]{{1,4}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}', 0), ''), regexp_replace(value, '\\s+', '', 'g'))
+            WHEN name = 'sex' THEN coalesce(nullif(upper(regexp_extract(value, '(?i)(male|female|M|F)', 1)), ''), trim(value)) ELSE value END AS value FROM w WHERE r = 1 AND CASE WHEN name = 'document_number' THEN regexp_replace(upper(value), '[^A-Z0-9]', '', 'g') <> '' ELSE true END""",
     "secure_anchor_flags": f"WITH {CARDS}{FIELD_ROWS}, a AS (SELECT *, CASE WHEN document_type IN ('passport','id_card','residence_permit') THEN 'mrz' WHEN document_type = 'aadhaar' THEN 'aadhaar_qr' WHEN document_type = 'driving_license' THEN 'dl_barcode' END AS anchor, ['mrz','aadhaar_qr','dl_barcode','other'][CAST(doc_id % 4 AS INTEGER) + 1] AS channel FROM docs) SELECT doc_id, CASE WHEN document_type = 'aadhaar' AND side = 'front' THEN 'anchor_not_verifiable' ELSE 'secure_anchor_missing' END AS code, CASE WHEN document_type = 'aadhaar' AND side = 'front' THEN 'info' ELSE 'warning' END AS severity, 'machine_readable_zone' AS field FROM a WHERE anchor IS NOT NULL AND anchor <> channel",
     "blacklist_tristate": "SELECT c_custkey AS doc_id, c AS code, CASE WHEN c IN ('blacklist_hit','blacklist_number_listed','blacklist_lookup_failed') THEN 'warning' ELSE 'info' END AS severity FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'blacklist_no_identifiers' WHEN c_custkey % 24 = 12 THEN 'blacklist_number_listed' WHEN c_custkey % 12 = 0 THEN 'blacklist_hit' WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'blacklist_lookup_failed' ELSE 'blacklist_clear' END AS c FROM customer)",
     "flag_ledger_running": f"{ALL_FLAGS} SELECT doc_id, CAST(seq AS INTEGER) AS seq, code, severity, least(60.0, cum) - least(60.0, cum - points) AS deduction, 100 - least(60.0, cum) AS balance FROM (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM flags)",

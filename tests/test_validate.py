@@ -1,7 +1,11 @@
 """From lines to score in one plan: hand-made documents, and the balance of every ledger."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from evidentia import catalogue
-from evidentia.operators import intake, validate
+from evidentia.operators import intake, layout, validate
 
 from test_catalogue import SF
 from test_functions import TD3
@@ -53,6 +57,39 @@ def test_a_forged_licence(spark):
     assert not any(r.field == "surname" for r in got.flags.where("code = 'missing_required_field'").collect())
 
 
+def test_boxes_and_companion(spark):
+    """A surer line in a template's box replaces what may be replaced; other fields are only filled in."""
+    rows = [
+        ("pan", 0, "INCOME TAX PAN CARD", 0.9, 0.1, 0.05, 0.6, 0.10), ("pan", 1, "ABCDE1234F", 0.4, 0.35, 0.1, 0.6, 0.15), ("pan", 2, "abcde1239f x", 0.8, 0.35, 0.30, 0.6, 0.36),
+        ("pan", 3, "PERSON NAME", 0.9, 0.5, 0.54, 0.8, 0.60), ("pan", 4, "ELSEWHERE", 0.99, 0.5, 0.40, 0.8, 0.56), ("pan", 5, "on 02/03/1990", 0.7, 0.5, 0.81, 0.7, 0.87),
+    ]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    docs = spark.createDataFrame([("pan", None, True, False), ("other", None, None, False)], "doc_id string, forced_type string, companion_unreadable boolean, template_failed boolean")
+    got = validate.validate_lines(lines, "2026-01-01", docs)
+    fields = {r.name: (r.value, r.source) for r in got.fields.collect()}
+    assert fields["document_number"] == ("ABCDE1239FX", "template") and fields["surname"] == ("PERSON NAME", "template") and fields["date_of_birth"] == ("02/03/1990", "template")
+    flags = [r.code for r in got.flags.where("doc_id = 'pan'").orderBy("seq").collect()]
+    assert flags[0] == "companion_image_preprocessing_failed" and "template_roi_applied" in flags
+    failed = validate.validate_lines(lines, "2026-01-01", docs.withColumn("template_failed", F.lit(True)))
+    assert {r.source for r in failed.fields.collect()} == {"visual"} and "template_roi_failed" in {r.code for r in failed.flags.collect()}
+
+
+def test_box_join_has_each_pair_once(spark):
+    rng = random.Random(2)
+    box = lambda: (lambda x, y: (x, y, x + rng.uniform(0, 0.5), y + rng.uniform(0, 0.5)))(rng.uniform(-0.1, 0.9), rng.uniform(-0.1, 0.9))
+    left, right = [(i, i % 2, *box()) for i in range(60)], [(i, i % 2, *box()) for i in range(40)]
+    schema = "{} int, key int, x0 double, y0 double, x1 double, y1 double"
+    got = layout.box_join(spark.createDataFrame(left + [(99, 0, 0.5, 0.5, 0.5, 0.9), (98, 0, None, 0.0, 1.0, 1.0)], schema.format("a")), spark.createDataFrame(right, schema.format("b")), ["key"], 5)
+    want = {}
+    for a, k, *p in left:
+        for b, j, *q in right:
+            w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+            if k == j and w > 0 and h > 0:
+                want[a, b] = w * h / ((p[2] - p[0]) * (p[3] - p[1]))
+    rows = got.collect()
+    assert len(rows) == len(want) and all(abs(want[r.a, r.b] - r.share) < 1e-9 for r in rows)
+
+
 def test_every_ledger_ends_at_the_score(spark):
     queries = catalogue.queries()
     scores = {r.doc_id: r.score for r in queries["document_validation"](spark, SF).collect()}
