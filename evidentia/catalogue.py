@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.plans import catalogue_queries, intake_oracle, intake_queries, oracle
+from evidentia.plans import catalogue_queries, intake_oracle, intake_queries, oracle, validation_oracle
 
 
 def queries() -> dict:
@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return oracle.ORACLES | intake_oracle.ORACLES
+    return oracle.ORACLES | intake_oracle.ORACLES | validation_oracle.ORACLES
