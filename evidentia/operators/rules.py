@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions import checkdigits, dates, text
 from evidentia.functions.barrier import once
@@ -201,6 +202,30 @@ def blacklist(rows: DataFrame, listing: DataFrame | None) -> DataFrame:
     return hits.select("doc_id", code.alias("code"), severity.alias("severity"))
 
 
+def blacklist_by(rows: DataFrame, lookup) -> DataFrame:
+    """The blacklist flag of each row by ``lookup``, a function of a mapping of the row's identifiers to true, false or None.
+
+    None and an exception are a failed look-up of that row, not of its task. The function runs on the executors, a partition at
+    a time; rows without identifiers aren't looked up. rows: doc_id and of number, surname, given_names what there is.
+    """
+    held = [c for c in IDENTIFIERS if c in rows.columns]
+
+    def run(frames):
+        for frame in frames:
+            codes = []
+            for row in frame[held].itertuples(index=False):
+                query = {n: v.strip() for n, v in zip(held, row, strict=True) if isinstance(v, str) and v.strip()}
+                try:
+                    said = lookup(query) if query else None
+                except Exception:
+                    said = None
+                codes.append("blacklist_no_identifiers" if not query else "blacklist_lookup_failed" if said is None else "blacklist_hit" if said else "blacklist_clear")
+            yield frame[["doc_id"]].assign(code=codes)
+
+    found = rows.select("doc_id", *held).mapInPandas(run, T.StructType([rows.schema["doc_id"], T.StructField("code", T.StringType())]))
+    return found.withColumn("severity", F.when(F.col("code").isin("blacklist_hit", "blacklist_lookup_failed"), WARNING).otherwise(INFO))
+
+
 def in_order(families: list[DataFrame]) -> DataFrame:
     """doc_id, seq from 1, code, severity, field of all flags: family by family, and a family's by its rules' order."""
     every = None
@@ -217,8 +242,11 @@ def in_order(families: list[DataFrame]) -> DataFrame:
 FIELD_PATTERNS = {"Passport": "^[A-Z]-?[0-9]{6,9}$", "Visa": "^V-?[0-9]{4,9}$", "National ID": "^ID-?[0-9]{4,9}$", "Driving Licence": "^DL-?[0-9]{4,9}$", "Permit": "^PM-?[0-9]{4,9}$", "Aadhaar": r"^[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}$", "PAN": "^[A-Z]{5}[0-9]{4}[A-Z]$"}
 
 
-def field_validation(rows: DataFrame, reference: str) -> DataFrame:
-    """doc_id, is_valid, errors, warnings (codes, joined); rows: doc_id, document_type, name, document_number, nationality, date_of_birth, issue_date, expiry_date."""
+def field_validation(rows: DataFrame, reference: str, findings: DataFrame | None = None) -> DataFrame:
+    """doc_id, is_valid, errors, warnings (codes, joined); rows: doc_id, document_type, name, document_number, nationality, date_of_birth, issue_date, expiry_date.
+
+    ``findings``: flags of the reading (doc_id, seq, code, severity, field); high ones follow the errors, warnings the warnings.
+    """
     now = F.lit(reference).cast("date")
     kind, number = F.lower("document_type"), F.regexp_replace("document_number", "[ -]", "")
     few = kind.isin("aadhaar", "pan", "pan_card")
@@ -239,6 +267,11 @@ def field_validation(rows: DataFrame, reference: str) -> DataFrame:
     warnings = [(e < now, "expired"), (is_pan & pan_ok & ~F.substring(F.upper(number), 4, 1).isin(*PAN_STATUS), "pan:entity"), (~blank("document_number") & ~usual, "number:unusual")]
     listed = lambda rules: F.array_join(F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), code) for c, code in rules)), lambda x: x.isNotNull()), ",")
     out = rows.select("doc_id", listed(errors).alias("errors"), listed(warnings).alias("warnings"))
+    if findings is not None:
+        told = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("seq", "code", "field")))), lambda x: F.concat(F.lit("ocr:"), x["code"]))
+        more = findings.groupBy("doc_id").agg(told(HIGH).alias("__high"), told(WARNING).alias("__low"))  # a document's flags are few
+        joined = lambda own, given: F.array_join(F.filter(F.concat(F.array(own), F.coalesce(given, F.array().cast("array<string>"))), lambda x: x != ""), ",")
+        out = out.join(more, "doc_id", "left").select("doc_id", joined("errors", F.col("__high")).alias("errors"), joined("warnings", F.col("__low")).alias("warnings"))
     return out.select("doc_id", (F.col("errors") == "").alias("is_valid"), "errors", "warnings")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions import text
+
 # Points taken by severity, caps of the two pools, and the other deductions.
 POINTS = {"high": 22.0, "warning": 8.0, "info": 0.0}
 FLAG_CAP, CONFIDENCE_CAP, PER_FIELD, LOW_CONFIDENCE, UNKNOWN_TYPE = 60.0, 10.0, 2.0, 0.6, 25.0
@@ -101,18 +103,22 @@ def band(score: Column) -> Column:
 def reasons() -> Column:
     """The reasons of a row of risk inputs in fixed order, or one sentence for none.
 
-    Besides the inputs of ``risk_factors``: tamper_status, tamper_findings, matches (identity_id, similarity; best
-    first), common_pattern and validation_errors (codes).
+    Besides the inputs of ``risk_factors``: tamper_status, tamper_findings, face_status and face_count (of the detector, null where
+    there was none), matches (identity_id, similarity; best first), status_detail (of a blacklisted document),
+    common_pattern and validation_errors (codes).
     """
     one = lambda hit, text: F.when(F.coalesce(hit, F.lit(False)), F.array(text if isinstance(text, Column) else F.lit(text)))
     number = lambda c: F.col(c).cast("string")
-    percent = lambda m: F.bround(m["similarity"] * 100).cast("int").cast("string")
     pattern = F.when(F.col("common_pattern").isNotNull(), F.concat(F.lit(" (pattern "), F.col("common_pattern"), F.lit(")"))).otherwise("")
     said = [
         F.when(F.col("tamper_status") != "CLEAN", F.col("tamper_findings")),
         one(~F.col("face_match"), "Face similarity is below the threshold."),
-        F.transform("matches", lambda m: F.concat(F.lit("Similar identity "), m["identity_id"].cast("string"), F.lit(" ("), percent(m), F.lit(" %): for review."))),
-        one(F.col("status") == "BLACKLISTED", "Document is blacklisted."),
+        one(F.col("face_status") == "NO_FACE_DETECTED", "No face detected in the document image."),
+        one(F.col("face_status") == "MULTIPLE_FACES", F.concat(F.lit("Faces detected in the document image: "), number("face_count"), F.lit("."))),
+        one(F.col("face_status").isin("LOW_QUALITY", "INVALID_IMAGE"), F.concat(F.lit("Face image of insufficient quality: "), "face_status", F.lit("."))),
+        one(F.col("face_status") == "ALIGNMENT_FAILED", "The detected face could not be aligned."),
+        F.transform("matches", lambda m: F.concat(F.lit("Similar identity "), m["identity_id"].cast("string"), F.lit(" ("), text.percent(m["similarity"]), F.lit("): for review."))),
+        one(F.col("status") == "BLACKLISTED", F.concat(F.lit("Document is blacklisted"), F.coalesce(F.concat(F.lit(" ("), "status_detail", F.lit(")")), F.lit("")), F.lit("."))),
         one(F.col("status") == "EXPIRED", "Document has expired."),
         one(F.col("status") == "REVOKED", "Document has been revoked."),
         one(F.col("dna_related") > 0, F.concat(F.lit("Structural pattern shared with documents: "), number("dna_related"), F.lit("."))),

@@ -272,6 +272,11 @@ def field_validation(spark, sf_dir):
     return rules.field_validation(inputs.validation_rows(spark, sf_dir), REF)
 
 
+def field_validation_ingest(spark, sf_dir):
+    """The validator's verdicts with the findings of the date rules."""
+    return rules.field_validation(inputs.validation_rows(spark, sf_dir), REF, rules.date_logic(inputs.date_texts(spark, sf_dir), REF))
+
+
 def _decodes(spark, sf_dir):
     """Decodes of each card, read at two scales, so every one comes twice: an identity payload, a licence, other codes."""
     c = _cards(spark, sf_dir)
@@ -431,6 +436,15 @@ def self_test_accuracy(spark, sf_dir):
     return rows.groupBy("manipulation_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("expected") == F.col("predicted")).alias("n_correct"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
+def self_test_recent(spark, sf_dir):
+    """The report's 20 latest self-tests."""
+    p, k = domain.table(spark, sf_dir, "part"), F.col("p_partkey")
+    confidence, minutes = (k * 37 % 600) / 10 + 40, (k * 7919 % 500000).cast("long")
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2026-01-01 00:00:00")) + minutes * 60), "yyyy-MM-dd HH:mm:ss")
+    rows = p.select(F.element_at(F.split("p_type", " "), 1).alias("manipulation_type"), confidence.alias("confidence"), ((confidence >= 70) == (F.col("p_size") % 5 != 0)).alias("correct"), at.alias("at"), k.alias("test_id"), minutes.alias("m"))
+    return rows.orderBy(F.desc("m"), "test_id").limit(20).drop("m")
+
+
 def tamper_status(spark, sf_dir):
     rows = inputs.signals(spark, sf_dir)
     plain = scoring.forensic_status(rows).select("image_id", "confidence", "status")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from evidentia.sources import domain
 
 
+FACE_STATES = ("SUCCESS", "NO_FACE_DETECTED", "MULTIPLE_FACES", "LOW_QUALITY", "SUCCESS", "INVALID_IMAGE", "ALIGNMENT_FAILED", "SUCCESS", "SUCCESS")
+
+
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, birth, issue, expiry as texts in many layouts, some of them wrong or blank."""
     c = domain.card_base(spark, sf_dir)
@@ -28,6 +31,6 @@ def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id and the forensic signals ela, edge_density, blur and bias of each image."""
+    """image_id, the forensic signals ela, edge_density, blur and bias of each image, and what a face detector said of it: face_status, face_count."""
     k = F.col("p_partkey")
-    return domain.table(spark, sf_dir, "part").select(k.alias("image_id"), (k % 13 * 1.0).alias("ela"), (k % 7 * 0.01).alias("edge_density"), (k % 11 * 10.0).alias("blur"), (k % 50 / 50.0).alias("bias"))
+    return domain.table(spark, sf_dir, "part").select(k.alias("image_id"), (k % 13 * 1.0).alias("ela"), (k % 7 * 0.01).alias("edge_density"), (k % 11 * 10.0).alias("blur"), (k % 50 / 50.0).alias("bias"), F.element_at(F.array(*(F.lit(x) for x in FACE_STATES)), (k % len(FACE_STATES) + 1).cast("int")).alias("face_status"), F.when(k % len(FACE_STATES) == 2, k % 3 + 2).otherwise(1).cast("int").alias("face_count"))

@@ -256,17 +256,17 @@ PROFILE = f"""profile AS (SELECT d.document_number, CASE WHEN p.document_number
 RISK = REGISTRY + f""",
 st0 AS (SELECT identity_id, document_number, status, row_number() OVER (PARTITION BY identity_id ORDER BY CASE status WHEN 'BLACKLISTED' THEN 3 WHEN 'EXPIRED' THEN 2 ELSE 1 END DESC, document_number DESC) AS r FROM docs),
 {PROFILE},
-st AS (SELECT identity_id, status, n_related AS dna_related, similarity_score AS dna_score FROM st0 JOIN profile USING (document_number) WHERE r = 1),
+st AS (SELECT identity_id, document_number, status, n_related AS dna_related, similarity_score AS dna_score FROM st0 JOIN profile USING (document_number) WHERE r = 1),
 val AS ({_VALIDATION}),
 tam AS ({_TAMPER}),
 own AS (SELECT * FROM vec WHERE identity_id IN (SELECT c_custkey FROM customer)),
 best AS (SELECT q.identity_id AS query_id, c.identity_id AS other, list_cosine_similarity(q.v, c.v) AS s, row_number() OVER (PARTITION BY q.identity_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.identity_id) AS rank
     FROM own q JOIN own c ON q.identity_id <> c.identity_id),
-idm AS (SELECT query_id AS identity_id, count(*) AS identity_matches, string_agg('Similar identity ' || other || ' (' || CAST(round_even(round(greatest(s, 0.0), 4) * 100, 0) AS INTEGER) || ' %): for review.', ' ' ORDER BY rank) AS notes
+idm AS (SELECT query_id AS identity_id, count(*) AS identity_matches, string_agg('Similar identity ' || other || ' (' || CAST(round_even(round(greatest(s, 0.0), 4) * 100, 0) AS INTEGER) || '%): for review.', ' ' ORDER BY rank) AS notes
     FROM best WHERE rank <= 3 AND s >= 0.30 GROUP BY 1),
 r0 AS (SELECT c_custkey AS identity_id, CAST(NULL AS DOUBLE) AS face_similarity, CAST(NULL AS BOOLEAN) AS face_match, coalesce(st.status, 'UNKNOWN') AS status, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ',')) END AS n_warnings, is_valid, errors,
     confidence AS tamper_confidence, tam.status AS tamper_status, coalesce(identity_matches, 0) AS identity_matches, notes, coalesce(dna_related, 0) AS dna_related, coalesce(dna_score, 0.0) AS dna_score, coalesce(alert, false) AS checkpoint_alert,
-    coalesce(connected_cases, 0) AS connected_cases, common_pattern
+    coalesce(connected_cases, 0) AS connected_cases, common_pattern, st.document_number AS screened, (SELECT p_partkey FROM part WHERE p_partkey = c_custkey) AS image
   FROM customer LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey LEFT JOIN val ON val.doc_id = c_custkey LEFT JOIN tam ON tam.image_id = c_custkey
     LEFT JOIN alerts ON alerts.identity_id = c_custkey LEFT JOIN cases ON cases.identity_id = c_custkey LEFT JOIN (SELECT identity_id, arg_max(common_pattern, family_id) AS common_pattern FROM real GROUP BY 1) pat ON pat.identity_id = c_custkey),
 risk AS (SELECT *, round(least(10.0, (CASE WHEN is_valid THEN 0.0 ELSE 10.0 END) + least(2.0 * n_warnings, 5.0)), 6) AS f_validation, round(tamper_confidence * 20, 6) AS f_tampering,
@@ -277,8 +277,9 @@ risk AS (SELECT *, round(least(10.0, (CASE WHEN is_valid THEN 0.0 ELSE 10.0 END)
     CASE WHEN connected_cases > 1 THEN least(1.5 * connected_cases, 10.0) ELSE 0.0 END AS f_network FROM r0),
 scored AS (SELECT *, CAST(round_even(least(100.0, round(coalesce(f_validation, 0) + coalesce(f_tampering, 0) + coalesce(f_face, 0) + coalesce(f_identity, 0) + coalesce(f_status, 0) + coalesce(f_dna, 0) + coalesce(f_checkpoint, 0) + coalesce(f_network, 0), 6)), 0) AS INTEGER) AS risk_score,
     concat_ws(' ', CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 13 > 6 THEN 'Compression differs across the image.' END, CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 7 < 2 THEN 'Few edges: smoothed or spliced.' END,
-      CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 11 < 5 THEN 'Little local sharpness: a region may be pasted in.' END, CASE WHEN NOT face_match THEN 'Face similarity is below the threshold.' END, notes,
-      CASE status WHEN 'BLACKLISTED' THEN 'Document is blacklisted.' WHEN 'EXPIRED' THEN 'Document has expired.' END, CASE WHEN dna_related > 0 THEN 'Structural pattern shared with documents: ' || dna_related || '.' END,
+      CASE WHEN tamper_status <> 'CLEAN' AND identity_id % 11 < 5 THEN 'Little local sharpness: a region may be pasted in.' END, CASE WHEN NOT face_match THEN 'Face similarity is below the threshold.' END,
+      CASE image % 9 WHEN 1 THEN 'No face detected in the document image.' WHEN 2 THEN 'Faces detected in the document image: ' || (image % 3 + 2) || '.' WHEN 3 THEN 'Face image of insufficient quality: LOW_QUALITY.' WHEN 5 THEN 'Face image of insufficient quality: INVALID_IMAGE.' WHEN 6 THEN 'The detected face could not be aligned.' END, notes,
+      CASE status WHEN 'BLACKLISTED' THEN 'Document is blacklisted (listed: ' || screened || ').' WHEN 'EXPIRED' THEN 'Document has expired.' END, CASE WHEN dna_related > 0 THEN 'Structural pattern shared with documents: ' || dna_related || '.' END,
       CASE WHEN connected_cases > 1 THEN 'Connected documents: ' || connected_cases || coalesce(' (pattern ' || common_pattern || ')', '') || '.' END, CASE WHEN checkpoint_alert THEN 'Pattern seen at several checkpoints.' END,
       CASE WHEN errors <> '' THEN array_to_string(list_transform(string_split(errors, ','), lambda e: 'Validation error: ' || e || '.'), ' ') END) AS said FROM risk),
 final AS (SELECT *, CASE WHEN risk_score <= 39 THEN 'LOW' WHEN risk_score <= 74 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, CASE WHEN said = '' THEN 'No significant risk indicators detected.' ELSE said END AS reasons FROM scored)"""
@@ -326,6 +327,9 @@ ORACLES = {
     "flag_ledger_running": f"{ALL_FLAGS} SELECT doc_id, CAST(seq AS INTEGER) AS seq, code, severity, least(60.0, cum) - least(60.0, cum - points) AS deduction, 100 - least(60.0, cum) AS balance FROM (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM flags)",
     "coherence_score": f"{ALL_FLAGS}, f AS (SELECT doc_id, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i, sum(points) AS p FROM flags GROUP BY 1), u AS (SELECT doc_id, count(*) AS u FROM fields WHERE confidence < 0.6 GROUP BY 1), s AS (SELECT d.doc_id, coalesce(h, 0) AS n_high, coalesce(w, 0) AS n_warning, coalesce(i, 0) AS n_info, CAST(least(60.0, coalesce(p, 0)) AS DOUBLE) AS flag_deductions, CAST(least(10.0, 2.0 * coalesce(u, 0)) AS DOUBLE) AS confidence_deductions, CAST(CASE WHEN document_type = 'unknown' THEN 25.0 ELSE 0.0 END AS DOUBLE) AS unknown_penalty FROM docs d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id) SELECT *, CAST(greatest(0.0, 100 - flag_deductions - confidence_deductions - unknown_penalty) AS INTEGER) AS score FROM s",
     "field_validation": _VALIDATION,
+    "field_validation_ingest": f"""WITH v AS ({_VALIDATION}), g AS (SELECT * FROM (WITH {TEXTS}{DD} {DATE_FLAGS})), f AS (SELECT doc_id, string_agg('ocr:' || code, ',' ORDER BY k, code, field) FILTER (severity = 'high') AS high, string_agg('ocr:' || code, ',' ORDER BY k, code, field) FILTER (severity = 'warning') AS low FROM g GROUP BY 1),
+        j AS (SELECT doc_id, concat_ws(',', nullif(errors, ''), high) AS errors, concat_ws(',', nullif(warnings, ''), low) AS warnings FROM v LEFT JOIN f USING (doc_id)) SELECT doc_id, errors = '' AS is_valid, errors, warnings FROM j""",
+    "self_test_recent": "SELECT split_part(p_type, ' ', 1) AS manipulation_type, (p_partkey * 37 % 600) / 10 + 40 AS confidence, ((p_partkey * 37 % 600) / 10 + 40 >= 70) = (p_size % 5 <> 0) AS correct, strftime(TIMESTAMP '2026-01-01' + to_minutes(p_partkey * 7919 % 500000), '%Y-%m-%d %H:%M:%S') AS at, p_partkey AS test_id FROM part ORDER BY p_partkey * 7919 % 500000 DESC, p_partkey LIMIT 20",
     "document_status": f"WITH {REGISTRY}, k AS (SELECT DISTINCT o_orderkey * 2 AS document_number FROM orders) SELECT k.document_number, coalesce(status, 'UNKNOWN') AS status, CASE WHEN status = 'BLACKLISTED' THEN 'listed: ' || k.document_number END AS detail FROM k LEFT JOIN docs d ON d.document_number = k.document_number",
     "family_members": f"""WITH {REGISTRY}, m AS (SELECT family_id, count(*) AS n_members, min(document_number) AS low, max(document_number) AS high FROM docs WHERE family_id IS NOT NULL GROUP BY 1),
         p AS (SELECT family_id, common_pattern, n_members, document_number, CAST(floor((document_number - low) * ceil(n_members / 1000) / (high - low + 1)) AS INTEGER) AS page FROM docs JOIN fam USING (family_id) JOIN m USING (family_id))

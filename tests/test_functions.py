@@ -111,6 +111,19 @@ def test_blacklist_states(spark):
     assert got == {1: "hit", 2: "hit", 3: "number_listed", 4: "clear", 5: "hit"}
 
 
+def test_a_lookup_that_raises(spark):
+    """An exception is that row's failed look-up; the others of its task are answered."""
+
+    def lookup(query):
+        if query.get("number") == "boom":
+            raise RuntimeError
+        return {"A": True, "B": False}.get(query.get("number"))
+
+    rows = spark.createDataFrame([(1, "A", "X"), (2, "B", "X"), (3, "boom", None), (4, " ", None), (5, "C", None)], "doc_id int, number string, surname string").coalesce(1)
+    got = {r.doc_id: (r.code.removeprefix("blacklist_"), r.severity) for r in rules.blacklist_by(rows, lookup).collect()}
+    assert got == {1: ("hit", "warning"), 2: ("clear", "info"), 3: ("lookup_failed", "warning"), 4: ("no_identifiers", "info"), 5: ("lookup_failed", "warning")}
+
+
 def test_payloads(spark):
     import base64
     import zlib
