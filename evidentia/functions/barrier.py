@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,4 +27,8 @@ def settled(rows: DataFrame) -> DataFrame:
         if not folder and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return rows.checkpoint()
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # a checkpoint runs its plan twice, once to write it
+    try:
+        return rows.checkpoint()
+    finally:
+        rows.unpersist()

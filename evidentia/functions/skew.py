@@ -11,11 +11,16 @@ from evidentia.functions.barrier import settled
 KEY_ROWS = 1_000_000
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, key_rows: int = KEY_ROWS) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, key: str, key_rows: int = KEY_ROWS, at_most: int | None = None) -> DataFrame:
     """The inner join by ``key``; a key of over ``key_rows`` rows in ``many`` is cut to salts, for which the rows of ``few`` are repeated.
 
-    There are at most rows / key_rows such keys, so their list is small however many rows there are.
+    There are at most rows / key_rows such keys, so their list is small however many rows there are. Where ``many`` has no more
+    than key_rows rows in all, none is looked for; ``at_most`` says how many it has at most, where that is known.
     """
+    if at_most is None:
+        at_most = many.limit(key_rows + 1).count()
+    if at_most <= key_rows:
+        return many.join(few, key)
     counted = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > key_rows)
     hot = settled(counted.select(key, F.ceil(F.col("__n") / key_rows).cast("int").alias("__salts")))
     if hot.isEmpty():

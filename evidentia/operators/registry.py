@@ -69,24 +69,24 @@ def clusters(identities: DataFrame, documents: DataFrame) -> DataFrame:
 SUBSETS = 6
 
 
-def _cluster_sums(held: DataFrame, own: DataFrame, subsets: int) -> DataFrame:
+def _cluster_sums(held: DataFrame, own: DataFrame, subsets: int, n: int) -> DataFrame:
     """identity_id, total: the sum of ``own`` (identity_id, n) over each cluster's distinct members, of identities in a shared family.
 
     The members that share a family with an identity are counted by the sets of its families: a set's sum is over the
     identities that have all of it, and sets add up with alternating signs. An identity of more than ``subsets`` families
-    meets the members of its families one by one, in both directions.
+    meets the members of its families one by one, in both directions. ``n``: rows of ``held``.
     """
     shared = held.groupBy("family_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family_id")
-    sets = skew.spread_join(held, shared, "family_id").groupBy("identity_id").agg(F.sort_array(F.collect_list("family_id")).alias("families"))
+    sets = skew.spread_join(held, shared, "family_id", at_most=n).groupBy("identity_id").agg(F.sort_array(F.collect_list("family_id")).alias("families"))
     light, heavy = sets.where(F.size("families") <= subsets), sets.where(F.size("families") > subsets)
     chosen = lambda m: F.filter("families", lambda x, i: F.getbit(m, i) == 1)
     masks = F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(families)) - 1"))
     parts = light.select("identity_id", F.explode(F.transform(masks, chosen)).alias("part"))
     sums = parts.join(own, "identity_id").groupBy("part").agg(F.sum("n").alias("n"))
     signed = F.when(F.size("part") % 2 == 1, F.col("n")).otherwise(-F.col("n"))
-    between = skew.spread_join(parts, sums, "part").select("identity_id", signed.alias("n"))
+    between = skew.spread_join(parts, sums, "part", at_most=n << subsets).select("identity_id", signed.alias("n"))
     big = heavy.select(F.col("identity_id").alias("big"), F.explode("families").alias("family_id"))
-    pairs = skew.spread_join(held, big, "family_id").select("identity_id", "big").distinct()
+    pairs = skew.spread_join(held, big, "family_id", at_most=n).select("identity_id", "big").distinct()
     to_big = pairs.join(own, "identity_id").select(F.col("big").alias("identity_id"), "n")
     from_big = pairs.join(light.select("identity_id"), "identity_id", "left_semi").join(own.withColumnRenamed("identity_id", "big"), "big").select("identity_id", "n")
     return between.unionByName(to_big).unionByName(from_big).groupBy("identity_id").agg(F.sum("n").alias("total"))
@@ -103,9 +103,10 @@ def cluster_alerts(identities: DataFrame, documents: DataFrame, events: DataFram
     per = settled(seen.groupBy("identity_id", "checkpoint").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("risk_level").isin("MEDIUM", "HIGH")).alias("risky")))
     held = settled(_held(documents))
     own = per.groupBy("identity_id").agg(F.sum("n").alias("n"))
-    sums = _cluster_sums(held, own, subsets)
+    n_held = held.count()
+    sums = _cluster_sums(held, own, subsets, n_held)
     passed = held.join(per, "identity_id").groupBy("family_id", "checkpoint").agg(F.max("risky").alias("risky"))
-    every = skew.spread_join(held, passed, "family_id").select("identity_id", "checkpoint", "risky").unionByName(per.select("identity_id", "checkpoint", "risky"))
+    every = skew.spread_join(held, passed, "family_id", at_most=n_held).select("identity_id", "checkpoint", "risky").unionByName(per.select("identity_id", "checkpoint", "risky"))
     found = every.groupBy("identity_id", "checkpoint").agg(F.max("risky").alias("risky")).groupBy("identity_id").agg(F.count(F.lit(1)).alias("points"), F.max("risky").alias("risky"))
     out = identities.select("identity_id").join(found, "identity_id", "left").join(own, "identity_id", "left").join(sums, "identity_id", "left")
     out = out.select("identity_id", F.coalesce("points", F.lit(0)).alias("total_checkpoints"), F.coalesce("total", "n", F.lit(0)).alias("total_appearances"), F.coalesce("risky", F.lit(False)).alias("risky"))

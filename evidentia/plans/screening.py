@@ -21,25 +21,25 @@ def risk_rows(spark: SparkSession, sf_dir: str, faces: DataFrame | None = None)
     signs of tampering. Every identity with a vector is searched among all others; one without has no matches. ``faces``:
     identity_id, face_similarity; there are no images here, so without it that factor is null.
 
-    Identities and documents with families are computed once, and what each part says of an identity is one narrow
-    table, so the last join meets settled rows.
+    Identities, documents with families and validated cards are computed once, and each part says of an identity what
+    the last join needs.
     """
     people, documents, ref = settled(domain.identities(spark, sf_dir).select("identity_id", "embedding")), settled(domain.documents(spark, sf_dir)), domain.REFERENCE_DATE
     worst = F.when(F.col("status") == "BLACKLISTED", 3).when(F.col("status") == "EXPIRED", 2).otherwise(1)
     screened = documents.groupBy("identity_id").agg(F.max_by(F.struct("document_number", "status"), F.struct(worst.alias("w"), "document_number")).alias("d")).select("identity_id", "d.*")
     profile = similarity.fingerprint_profile(documents, domain.fingerprints(spark, sf_dir)).select("document_number", F.col("n_related").alias("dna_related"), F.col("similarity_score").alias("dna_score"))
-    screened = settled(screened.join(profile, "document_number", "left").withColumn("status_detail", F.when(F.col("status") == "BLACKLISTED", F.concat(F.lit("listed: "), F.col("document_number").cast("string")))).drop("document_number"))
+    screened = screened.join(profile, "document_number", "left").withColumn("status_detail", F.when(F.col("status") == "BLACKLISTED", F.concat(F.lit("listed: "), F.col("document_number").cast("string")))).drop("document_number")
     checked = rules.field_validation(inputs.validation_rows(spark, sf_dir), ref)
     codes = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     checked = settled(checked.select(F.col("doc_id").alias("identity_id"), "is_valid", codes("errors").alias("validation_errors"), F.size(codes("warnings")).alias("n_warnings")))
     tamper = scoring.forensic_status(inputs.signals(spark, sf_dir))
     tamper = tamper.select(F.col("image_id").alias("identity_id"), F.col("confidence").alias("tamper_confidence"), F.col("status").alias("tamper_status"), F.col("findings").alias("tamper_findings"), "face_status", "face_count")
-    alerts = settled(registry.cluster_alerts(people.select("identity_id"), documents, domain.events(spark, sf_dir), LEAST_CHECKPOINTS).select("identity_id", F.col("alert").alias("checkpoint_alert")))
-    cases = settled(registry.connected_cases(documents, domain.families(spark, sf_dir)))
+    alerts = registry.cluster_alerts(people.select("identity_id"), documents, domain.events(spark, sf_dir), LEAST_CHECKPOINTS).select("identity_id", F.col("alert").alias("checkpoint_alert"))
+    cases = registry.connected_cases(documents, domain.families(spark, sf_dir))
     held = people.where("embedding IS NOT NULL").select("identity_id", F.col("embedding").alias("vec"))
     queries = held.select(F.col("identity_id").alias("query_id"), F.col("vec").alias("query_vec"))
     found = similarity.identity_search(queries, held, MATCHES, SHOW, REVIEW).groupBy(F.col("query_id").alias("identity_id"))
-    found = settled(found.agg(F.count(F.lit(1)).alias("identity_matches"), F.sort_array(F.collect_list(F.struct("rank", "identity_id", "similarity"))).alias("matches")))  # at most MATCHES
+    found = found.agg(F.count(F.lit(1)).alias("identity_matches"), F.sort_array(F.collect_list(F.struct("rank", "identity_id", "similarity"))).alias("matches"))  # at most MATCHES
     rows = people.select("identity_id")
     for part in (screened, checked, tamper, alerts, cases, found):
         rows = rows.join(part, "identity_id", "left")
