@@ -223,7 +223,7 @@ def mine(vectors: DataFrame, is_anchor: Column, k_positive: int = K, k_negative:
     everything = F.array(F.struct(F.lit(0).cast("long").alias("window"), F.lit(int(span.min)).alias("low"), F.lit(int(span.max)).alias("high")))
     positives = searched(rows, anchors.withColumn("windows", everything), True, k_positive, tree_rows, slice_bytes)
     positives = common.checkpointed(positives.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
-    least, most = F.expr(f"CAST(ceil(positive_score * {low} / 100.0BD) AS BIGINT)"), F.expr(f"CAST(floor(positive_score * {high} / 100.0BD) AS BIGINT)")
+    least, most = (F.expr(f"CAST({way}(CAST(positive_score AS DECIMAL(20, 0)) * {share} / 100) AS BIGINT)") for way, share in (("ceil", low), ("floor", high)))
     windows = positives.select("anchor_id", F.col("positive_score").alias("window"), least.alias("low"), most.alias("high")).where("low <= high")
     windows = windows.groupBy("anchor_id").agg(F.collect_set(F.struct("window", "low", "high")).alias("windows"))
     asked = anchors.join(windows.withColumnRenamed("anchor_id", "vec_id"), "vec_id")

@@ -53,6 +53,14 @@ def test_edges(spark):
     assert mined(spark, [], 100) == [] == mined(spark, bad, 100)
 
 
+def test_large_scores(spark):
+    big = 200_000.0
+    rows = [(0, 1, [big] * 8), (1, 1, [big - 1] * 8), (2, 2, [big - 2] * 8), (3, 2, [big * 0.7] * 8), (4, 3, [big * 0.81] * 8)]
+    got = mined(spark, rows, 100)
+    want = brute([(i, label, np.floor(256 * np.asarray(v, np.float32).astype(float)).astype(object)) for i, label, v in rows], 100)
+    assert got == want and [r[3] for r in got] == [2, 4] and got[0][4] > 2**53
+
+
 def test_boxes_hold_their_rows_and_prune():
     """Bounds enclose all products; on clustered vectors few leaves are opened, and the result is that of all products."""
     rng = np.random.default_rng(5)
