@@ -41,6 +41,19 @@ def family_members(documents: DataFrame, families: DataFrame, page_rows: int = 1
     return paged.groupBy("family_id", "common_pattern", "n_members", "page").agg(F.array_join(F.sort_array(F.collect_list("document_number")), ",").alias("members"))
 
 
+def members_by_document(documents: DataFrame, families: DataFrame) -> DataFrame:
+    """document_number, family_id, common_pattern, n_members, members (numbers in order, by commas), for each document in a family that exists.
+
+    The lists are put together from the pages of ``family_members``, once for each family; the result has a family's list once
+    for each of its documents, so it is the sum of squares of the families.
+    """
+    pages = family_members(documents, families)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "members"))), lambda p: p["members"]), ",")
+    lists = pages.groupBy("family_id", "common_pattern", "n_members").agg(joined.alias("members"))
+    own = documents.where("family_id IS NOT NULL").select("document_number", "family_id")
+    return skew.spread_join(own, lists, "family_id").select("document_number", "family_id", "common_pattern", "n_members", "members")
+
+
 def members_of(given: DataFrame, documents: DataFrame) -> DataFrame:
     """document_number, member: the members of each given document's family, itself among them; the result has one row a member and document."""
     own = documents.where("family_id IS NOT NULL").select("document_number", "family_id")

@@ -311,7 +311,7 @@ def document_status(spark, sf_dir):
 
 
 def family_members(spark, sf_dir):
-    return registry.family_members(domain.documents(spark, sf_dir), domain.families(spark, sf_dir))
+    return registry.members_by_document(domain.documents(spark, sf_dir), domain.families(spark, sf_dir))
 
 
 def family_of_document(spark, sf_dir):

@@ -50,6 +50,17 @@ def test_a_family_of_50000(spark):
     assert registry.members_of(docs.where("document_number IN (3, 50050)"), docs).groupBy("document_number").count().orderBy("document_number").collect() == [(3, n), (50050, 1)]
 
 
+def test_each_document_has_its_whole_family(spark):
+    """More members than a page holds, a family that isn't listed, and documents without one."""
+    docs = spark.range(2603).select(F.col("id").alias("document_number"), F.when(F.col("id") < 2500, 7).when(F.col("id") < 2600, 8 + F.col("id") % 2).when(F.col("id") == 2600, 11).alias("family_id"))
+    families = spark.createDataFrame([(7, "hot"), (8, "even"), (9, None), (12, "empty")], "family_id long, common_pattern string")
+    got = {r.document_number: r for r in registry.members_by_document(docs, families).collect()}
+    assert sorted(got) == list(range(2600))
+    for n, r in got.items():
+        want = range(2500) if n < 2500 else range(2500 + n % 2, 2600, 2)
+        assert r.members == ",".join(map(str, want)) and r.n_members == len(want) and r.family_id == (7 if n < 2500 else 8 + n % 2) and r.common_pattern == {7: "hot", 8: "even", 9: None}[r.family_id]
+
+
 def test_spread_join(spark):
     many = spark.range(5000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     few = spark.range(0, 5000, 10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(0, -1)], "k long, v long"))
