@@ -394,7 +394,7 @@ def hash_pseudo_embedding(spark, sf_dir):
 
 
 def risk_factors(spark, sf_dir):
-    return screening.risk_rows(spark, sf_dir).select("identity_id", *(f"f_{n}" for n in scoring.WEIGHTS))
+    return screening.risk_rows(spark, sf_dir, screening.faces(spark, sf_dir)).select("identity_id", *(f"f_{n}" for n in scoring.WEIGHTS))
 
 
 def risk_score_band(spark, sf_dir):

@@ -253,7 +253,10 @@ PROFILE = f"""profile AS (SELECT d.document_number, CASE WHEN p.document_number
     CASE WHEN p.document_number IS NULL THEN 'No structural fingerprint.' WHEN n > 0 THEN 'Structural pattern shared with documents: ' || n || '.' ELSE 'No document shares the structural pattern.' END AS summary
   FROM docs d LEFT JOIN prints p ON p.document_number = d.document_number LEFT JOIN (SELECT document_number, count(*) AS n FROM matches GROUP BY 1) m ON m.document_number = d.document_number)"""
 
-RISK = REGISTRY + f""",
+def _risk(faces: bool) -> str:
+    """The risk rows; with ``faces`` their face factor is that of the pseudo-embeddings of name and nationality, else it is null."""
+    similarity, match = ("round(s, 6)", "round(s, 6) >= 0.72") if faces else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS BOOLEAN)")
+    return REGISTRY + (FACES if faces else "") + f""",
 st0 AS (SELECT identity_id, document_number, status, row_number() OVER (PARTITION BY identity_id ORDER BY CASE status WHEN 'BLACKLISTED' THEN 3 WHEN 'EXPIRED' THEN 2 ELSE 1 END DESC, document_number DESC) AS r FROM docs),
 {PROFILE},
 st AS (SELECT identity_id, document_number, status, n_related AS dna_related, similarity_score AS dna_score FROM st0 JOIN profile USING (document_number) WHERE r = 1),
@@ -264,10 +267,10 @@ best AS (SELECT q.identity_id AS query_id, c.identity_id AS other, list_cosine_s
     FROM own q JOIN own c ON q.identity_id <> c.identity_id),
 idm AS (SELECT query_id AS identity_id, count(*) AS identity_matches, string_agg('Similar identity ' || other || ' (' || CAST(round_even(round(greatest(s, 0.0), 4) * 100, 0) AS INTEGER) || '%): for review.', ' ' ORDER BY rank) AS notes
     FROM best WHERE rank <= 3 AND s >= 0.30 GROUP BY 1),
-r0 AS (SELECT c_custkey AS identity_id, CAST(NULL AS DOUBLE) AS face_similarity, CAST(NULL AS BOOLEAN) AS face_match, coalesce(st.status, 'UNKNOWN') AS status, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ',')) END AS n_warnings, is_valid, errors,
+r0 AS (SELECT c_custkey AS identity_id, {similarity} AS face_similarity, {match} AS face_match, coalesce(st.status, 'UNKNOWN') AS status, CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, ',')) END AS n_warnings, is_valid, errors,
     confidence AS tamper_confidence, tam.status AS tamper_status, coalesce(identity_matches, 0) AS identity_matches, notes, coalesce(dna_related, 0) AS dna_related, coalesce(dna_score, 0.0) AS dna_score, coalesce(alert, false) AS checkpoint_alert,
     coalesce(connected_cases, 0) AS connected_cases, common_pattern, st.document_number AS screened, (SELECT p_partkey FROM part WHERE p_partkey = c_custkey) AS image
-  FROM customer LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey LEFT JOIN val ON val.doc_id = c_custkey LEFT JOIN tam ON tam.image_id = c_custkey
+  FROM customer {"JOIN face ON face.identity_id = c_custkey " if faces else ""}LEFT JOIN st ON st.identity_id = c_custkey LEFT JOIN idm ON idm.identity_id = c_custkey LEFT JOIN val ON val.doc_id = c_custkey LEFT JOIN tam ON tam.image_id = c_custkey
     LEFT JOIN alerts ON alerts.identity_id = c_custkey LEFT JOIN cases ON cases.identity_id = c_custkey LEFT JOIN (SELECT identity_id, arg_max(common_pattern, family_id) AS common_pattern FROM real GROUP BY 1) pat ON pat.identity_id = c_custkey),
 risk AS (SELECT *, round(least(10.0, (CASE WHEN is_valid THEN 0.0 ELSE 10.0 END) + least(2.0 * n_warnings, 5.0)), 6) AS f_validation, round(tamper_confidence * 20, 6) AS f_tampering,
     CASE WHEN face_similarity IS NOT NULL THEN round(CASE WHEN face_match THEN 0.0 ELSE 10 * (1 - face_similarity) END, 6) END AS f_face,
@@ -285,6 +288,9 @@ scored AS (SELECT *, CAST(round_even(least(100.0, round(coalesce(f_validation, 0
 final AS (SELECT *, CASE WHEN risk_score <= 39 THEN 'LOW' WHEN risk_score <= 74 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, CASE WHEN said = '' THEN 'No significant risk indicators detected.' ELSE said END AS reasons FROM scored)"""
 
 
+RISK, FACED_RISK = _risk(False), _risk(True)
+
+
 ORACLES = {
     "mrz_check_digits": f"WITH {CARDS} SELECT key, CAST({digit('number')} AS INTEGER) AS number_digit, CAST({digit('b')} AS INTEGER) AS birth_digit, CAST({digit('e')} AS INTEGER) AS expiry_digit FROM c1",
     "mrz_parse_td3": f"WITH {CARDS}{TD3_LINES} SELECT * FROM zone",
@@ -346,7 +352,7 @@ ORACLES = {
     "face_best_match": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT p.vec_id AS probe_id, k.vec_id, list_distance(p.v, k.v) AS d FROM v p JOIN v k ON p.vec_id % 10 = 0 AND k.vec_id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY d, vec_id) AS r FROM d) SELECT probe_id, CASE WHEN d <= 1.25 THEN CAST(vec_id AS VARCHAR) ELSE 'unknown' END AS known_id, round(d, 6) AS distance FROM r WHERE r = 1",
     "hash_pseudo_embedding": f"WITH {FACES[2:]} SELECT identity_id, round(v[1], 6) AS first, round(list_sum(v), 6) AS total, round(s, 6) AS score, s >= 0.72 AS match FROM face",
     "fingerprint_profile": f"WITH {REGISTRY}, {PROFILE} SELECT * FROM profile",
-    "risk_factors": f"WITH {RISK} SELECT identity_id, f_validation, f_tampering, f_face, f_identity, f_status, f_dna, f_checkpoint, f_network FROM risk",
+    "risk_factors": f"WITH {FACED_RISK} SELECT identity_id, f_validation, f_tampering, f_face, f_identity, f_status, f_dna, f_checkpoint, f_network FROM risk",
     "risk_score_band": f"WITH {RISK} SELECT identity_id, risk_score, risk_level FROM final",
     "reasons_list": f"WITH {RISK} SELECT identity_id, reasons FROM final",
     "screen_pipeline": f"WITH {RISK} SELECT identity_id, risk_score, risk_level, reasons, upper(sha256(identity_id || ':' || risk_level)) AS document_hash FROM final",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.barrier import settled
+from evidentia.functions import vectors
+from evidentia.functions.barrier import once, settled
 from evidentia.operators import registry, rules, scoring, similarity
 from evidentia.plans import inputs
 from evidentia.sources import domain
@@ -13,6 +14,12 @@ from evidentia.sources import domain
 LEAST_CHECKPOINTS, MATCHES, SHOW, REVIEW = 4, 3, 0.30, 0.40
 
 
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identity_id, face_similarity: the cosine scale of the pseudo-embeddings of name and nationality, in place of two images."""
+    v = domain.people(spark, sf_dir).select("identity_id", vectors.pseudo_embedding(F.col("name")).alias("v"), vectors.pseudo_embedding(F.col("nationality")).alias("w"))
+    return once(once(v).select("identity_id", F.round(vectors.face_score(vectors.cosine(F.col("v"), F.col("w"))), 6).alias("face_similarity")))
+
+
 def risk_rows(spark: SparkSession, sf_dir: str, faces: DataFrame | None = None) -> DataFrame:
     """One row for each identity with its risk inputs and the factors f_<name>.
 

@@ -18,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """identity_id, name, nationality, embedding (null for most)."""
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identity_id, name, nationality."""
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity_id"), F.col("c_name").alias("name"), "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nationality"))
+    return people.join(nations, people.c_nationkey == nations.n_nationkey, "left").select("identity_id", "name", "nationality")
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identity_id, name, nationality, embedding (null for most)."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("identity_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = people.join(nations, people.c_nationkey == nations.n_nationkey, "left").join(vectors, "identity_id", "left")
-    return out.select("identity_id", "name", "nationality", "embedding")
+    return people(spark, sf_dir).join(vectors, "identity_id", "left").select("identity_id", "name", "nationality", "embedding")
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """The screening plan searches every identity that has a vector."""
 
+import duckdb
 import numpy as np
 
-from evidentia.plans import screening
+from evidentia import catalogue
+from evidentia.plans import oracle, screening
 from evidentia.sources import domain
 
 from test_catalogue import SF
@@ -20,3 +22,17 @@ def test_every_identity_with_a_vector_is_searched(spark):
     assert {r.identity_id: r.identity_matches for r in rows} == {r.identity_id: want.get(r.identity_id, 0) for r in rows}
     assert all(r.f_identity == (20 if want.get(r.identity_id) else 0) for r in rows)
     assert {i % 10 for i in want} == set(range(10))
+
+
+def faces():
+    """identity_id: face factor of every customer, by the pseudo-embeddings of name and nationality."""
+    c = duckdb.connect()
+    for t in ("customer", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return {i: round(0.0 if s >= 0.72 else 10 * (1 - s), 6) for i, s in c.execute(f"WITH {oracle.FACES[2:]} SELECT identity_id, round(s, 6) FROM face").fetchall()}
+
+
+def test_every_identity_has_a_face_factor(spark):
+    got = {r.identity_id: r.f_face for r in catalogue.queries()["risk_factors"](spark, SF).select("identity_id", "f_face").collect()}
+    want = faces()
+    assert got.keys() == want.keys() and len(set(got.values())) > 2 and all(abs(got[i] - want[i]) < 2e-5 for i in want)
