@@ -397,11 +397,15 @@ def risk_factors(spark, sf_dir):
     return screening.risk_rows(spark, sf_dir, screening.faces(spark, sf_dir)).select("identity_id", *(f"f_{n}" for n in scoring.WEIGHTS))
 
 
-def risk_score_band(spark, sf_dir):
-    rows = screening.risk_rows(spark, sf_dir).withColumn("risk_score", scoring.risk_total())
+def _scored(spark, sf_dir, faces=None):
+    rows = screening.risk_rows(spark, sf_dir, faces).withColumn("risk_score", scoring.risk_total())
     return rows.select("identity_id", "risk_score", scoring.band(F.col("risk_score")).alias("risk_level"))
 
 
+def risk_score_band(spark, sf_dir):
+    return _scored(spark, sf_dir, screening.faces(spark, sf_dir))
+
+
 def reasons_list(spark, sf_dir):
     return screening.risk_rows(spark, sf_dir).select("identity_id", scoring.reasons().alias("reasons"))
 
@@ -411,7 +415,7 @@ def screen_pipeline(spark, sf_dir):
 
 
 def audit_hash_log(spark, sf_dir):
-    return registry.audit_rows(risk_score_band(spark, sf_dir), "identity_id", "risk_level")
+    return registry.audit_rows(_scored(spark, sf_dir), "identity_id", "risk_level")
 
 
 def audit_recent(spark, sf_dir):
@@ -523,7 +527,7 @@ def score_report(spark, sf_dir):
 
 
 def verification_records(spark, sf_dir):
-    rows = risk_score_band(spark, sf_dir)
+    rows = _scored(spark, sf_dir)
     return sinks.verification_records(rows, "identity_id", REF).select("subject", "verification_id", "result_json")
 
 

@@ -101,7 +101,7 @@ def network_report(spark, sf_dir):
 
 
 def screening_log(spark, sf_dir):
-    rows = base.risk_score_band(spark, sf_dir)
+    rows = base._scored(spark, sf_dir)
     return registry.log_lines(rows.select(F.col("identity_id").alias("verification_id"), F.col("identity_id").alias("document_number"), "risk_score", "risk_level"), "officer-1")
 
 

@@ -353,7 +353,7 @@ ORACLES = {
     "hash_pseudo_embedding": f"WITH {FACES[2:]} SELECT identity_id, round(v[1], 6) AS first, round(list_sum(v), 6) AS total, round(s, 6) AS score, s >= 0.72 AS match FROM face",
     "fingerprint_profile": f"WITH {REGISTRY}, {PROFILE} SELECT * FROM profile",
     "risk_factors": f"WITH {FACED_RISK} SELECT identity_id, f_validation, f_tampering, f_face, f_identity, f_status, f_dna, f_checkpoint, f_network FROM risk",
-    "risk_score_band": f"WITH {RISK} SELECT identity_id, risk_score, risk_level FROM final",
+    "risk_score_band": f"WITH {FACED_RISK} SELECT identity_id, risk_score, risk_level FROM final",
     "reasons_list": f"WITH {RISK} SELECT identity_id, reasons FROM final",
     "screen_pipeline": f"WITH {RISK} SELECT identity_id, risk_score, risk_level, reasons, upper(sha256(identity_id || ':' || risk_level)) AS document_hash FROM final",
     "audit_hash_log": f"WITH {RISK} SELECT identity_id AS verification_id, upper(sha256(identity_id || ':' || risk_level)) AS document_hash, 'CONFIRMED' AS status FROM final",

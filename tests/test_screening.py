@@ -36,3 +36,13 @@ def test_every_identity_has_a_face_factor(spark):
     got = {r.identity_id: r.f_face for r in catalogue.queries()["risk_factors"](spark, SF).select("identity_id", "f_face").collect()}
     want = faces()
     assert got.keys() == want.keys() and len(set(got.values())) > 2 and all(abs(got[i] - want[i]) < 2e-5 for i in want)
+
+
+def totals(spark):
+    """identity_id: risk score as the sum of the factors, the face's among them."""
+    rows = catalogue.queries()["risk_factors"](spark, SF).collect()
+    return {r.identity_id: round(min(100.0, round(sum(x or 0 for x in r[1:]), 6))) for r in rows}
+
+
+def test_the_score_has_the_face_factor(spark):
+    assert {r.identity_id: r.risk_score for r in catalogue.queries()["risk_score_band"](spark, SF).collect()} == totals(spark)
