@@ -375,7 +375,7 @@ ORACLES |= {
     "degraded_results": f"WITH {CARDS}{FIELD_ROWS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE document_type END AS document_type, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 101 END AS INTEGER) AS score, CAST(CASE WHEN doc_id % 5 = 0 THEN 25 ELSE 0 END AS DOUBLE) AS unknown_penalty, doc_id % 5 = 0 AS degraded FROM docs",
     "channel_modes": f"WITH {CARDS}{FIELD_ROWS}, m AS (SELECT doc_id, side, ['auto','passport','aadhaar','pan_card','driving_license','other'][CAST(doc_id % 6 AS INTEGER) + 1] AS mode FROM docs) SELECT doc_id, mode, CASE WHEN mode NOT IN ('auto', 'other') THEN mode END AS forced_type, mode IN ('aadhaar','pan_card','driving_license') AS skip_mrz, mode IN ('passport','pan_card') AS skip_barcodes, NOT (mode = 'aadhaar' AND side = 'back') AS accepted FROM m",
     "score_report": f"WITH {TEXTS}{DD}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS seq, CASE severity WHEN 'high' THEN 22 WHEN 'warning' THEN 8 ELSE 0 END AS points FROM ({DATE_FLAGS})), g AS (SELECT *, sum(points) OVER (PARTITION BY doc_id ORDER BY seq) AS cum FROM f) SELECT c_custkey AS doc_id, 0 AS line_no, 'document ' || c_custkey || ': ' || CAST(100 - least(60, coalesce((SELECT sum(points) FROM f WHERE f.doc_id = c_custkey), 0)) AS INTEGER) || ' points' AS line FROM customer UNION ALL SELECT doc_id, CAST(seq AS INTEGER), '  -' || CAST(least(60, cum) - least(60, cum - points) AS INTEGER) || ' ' || code || ' (' || severity || '), ' || CAST(100 - least(60, cum) AS INTEGER) || ' left' FROM g WHERE least(60, cum) > least(60, cum - points)",
-    "verification_records": f"""WITH {RISK}, j AS (SELECT identity_id, '{{"identity_id":' || identity_id || ',"risk_level":"' || risk_level || '","risk_score":' || risk_score || '}}' AS j FROM final) SELECT CAST(identity_id AS VARCHAR) AS subject, 'VER-' || upper(sha256(j || '@2026-01-01')) AS verification_id, j AS result_json FROM j""",
+    "verification_records": f"""WITH {FACED_RISK}, j AS (SELECT identity_id, '{{"identity_id":' || identity_id || ',"risk_level":"' || risk_level || '","risk_score":' || risk_score || '}}' AS j FROM final) SELECT CAST(identity_id AS VARCHAR) AS subject, 'VER-' || upper(sha256(j || '@2026-01-01')) AS verification_id, j AS result_json FROM j""",
 }
 
 

@@ -1,5 +1,7 @@
 """The screening plan searches every identity that has a vector."""
 
+import json
+
 import duckdb
 import numpy as np
 
@@ -46,3 +48,8 @@ def totals(spark):
 
 def test_the_score_has_the_face_factor(spark):
     assert {r.identity_id: r.risk_score for r in catalogue.queries()["risk_score_band"](spark, SF).collect()} == totals(spark)
+
+
+def test_records_have_the_score_with_the_face_factor(spark):
+    records = [json.loads(r.result_json) for r in catalogue.queries()["verification_records"](spark, SF).collect()]
+    assert {r["identity_id"]: r["risk_score"] for r in records} == totals(spark)
