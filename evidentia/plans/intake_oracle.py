@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.plans.oracle import _TD1, _TD2, CARDS, DD, FACES, FIELD_ROWS, LINES, REF, REGISTRY, RISK, TEXTS, _zone
+from evidentia.plans.oracle import _TD1, _TD2, CARDS, DD, FACES, FIELD_ROWS, LINES, REF, REGISTRY, FACED_RISK, TEXTS, _zone
 
 _MARKUP = """'<PrintLetterBarcodeData uid="' || uid || '" name="' || CASE WHEN key % 4 = 0 THEN '' ELSE given_names END || '" gender="' || CASE WHEN key % 3 = 0 THEN 'M' ELSE 'F' END || '"/>'"""
 _CODES = CARDS + f""",
@@ -48,5 +48,5 @@ ORACLES = {
             UNION ALL SELECT identity_id, 'person:' || identity_id, 'checkpoint:' || checkpoint FROM asked JOIN ev USING (identity_id))
         SELECT DISTINCT identity_id, least(a, b) AS src, greatest(a, b) AS dst FROM e""",
     "network_report": f"WITH {REGISTRY}, c AS (SELECT identity_id, string_agg(checkpoint, ',' ORDER BY checkpoint) AS checkpoints FROM (SELECT DISTINCT identity_id, checkpoint FROM ev) GROUP BY 1), p AS (SELECT identity_id, arg_max(common_pattern, family_id) AS common_pattern FROM real GROUP BY 1) SELECT c_custkey AS identity_id, coalesce(connected_cases, 0) AS connected_cases, common_pattern, coalesce(checkpoints, '') AS checkpoints_involved FROM customer LEFT JOIN cases ON cases.identity_id = c_custkey LEFT JOIN c ON c.identity_id = c_custkey LEFT JOIN p ON p.identity_id = c_custkey",
-    "screening_log": f"WITH {RISK} SELECT identity_id AS verification_id, 'event=screening_complete verification_id=' || identity_id || ' document=' || identity_id || ' risk_score=' || CAST(risk_score AS INTEGER) || ' risk_level=' || risk_level || ' officer=officer-1' AS line FROM final",
+    "screening_log": f"WITH {FACED_RISK} SELECT identity_id AS verification_id, 'event=screening_complete verification_id=' || identity_id || ' document=' || identity_id || ' risk_score=' || CAST(risk_score AS INTEGER) || ' risk_level=' || risk_level || ' officer=officer-1' AS line FROM final",
 }

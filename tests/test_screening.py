@@ -53,3 +53,8 @@ def test_the_score_has_the_face_factor(spark):
 def test_records_have_the_score_with_the_face_factor(spark):
     records = [json.loads(r.result_json) for r in catalogue.queries()["verification_records"](spark, SF).collect()]
     assert {r["identity_id"]: r["risk_score"] for r in records} == totals(spark)
+
+
+def test_the_log_has_the_score_with_the_face_factor(spark):
+    lines = catalogue.queries()["screening_log"](spark, SF).collect()
+    assert {r.verification_id: int(r.line.split("risk_score=")[1].split()[0]) for r in lines} == totals(spark)
