@@ -11,6 +11,15 @@ from evidentia.functions.barrier import settled
 KEY_ROWS = 1_000_000
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows dealt by ``key`` to the session's shuffle partitions, for narrow rows of which much is computed.
+
+    A table of few bytes is one row group, so one task would compute all of it; a count given here isn't lowered by the
+    optimiser, which goes by bytes.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def spread_join(many: DataFrame, few: DataFrame, key: str, key_rows: int = KEY_ROWS, at_most: int | None = None) -> DataFrame:
     """The inner join by ``key``; a key of over ``key_rows`` rows in ``many`` is cut to salts, for which the rows of ``few`` are repeated.
 

@@ -137,7 +137,7 @@ def _fields(spark, sf_dir):
 
 def _docs(spark, sf_dir):
     side = F.when(F.col("c_custkey") % 2 == 0, "back").otherwise("front")
-    return domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), _kind("c_custkey").alias("document_type"), side.alias("side"))
+    return domain.customers(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), _kind("c_custkey").alias("document_type"), side.alias("side"))
 
 
 def required_field_flags(spark, sf_dir):

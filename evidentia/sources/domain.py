@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import checkdigits
+from evidentia.functions import checkdigits, skew
 from evidentia.functions.barrier import once
 
 REFERENCE_DATE = "2026-01-01"
@@ -63,6 +63,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_number", F.map_filter(factors, lambda k, v: v.isNotNull()).alias("fingerprint"))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey, dealt to tasks: all that is made of a card is made of its key."""
+    return skew.spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
 def card_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain columns of ``cards``: key, number, birth, expiry, sex, surname, given_names."""
     k = F.col("c_custkey")
@@ -71,7 +76,7 @@ def card_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat(F.lit("L"), F.lpad(k.cast("string"), 8, "0"))
     given = F.translate(k.cast("string"), "0123456789", "ABCDEFGHIJ")
     sex = F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("<")
-    return table(spark, sf_dir, "customer").select(k.alias("key"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"), sex.alias("sex"), F.lit("CUSTOMER").alias("surname"), given.alias("given_names"))
+    return customers(spark, sf_dir).select(k.alias("key"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"), sex.alias("sex"), F.lit("CUSTOMER").alias("surname"), given.alias("given_names"))
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
