@@ -72,10 +72,11 @@ def validate_lines(lines: DataFrame, reference: str, docs: DataFrame | None = No
     """Fields from the print, the barcodes and the zone, in this order of preference; flags in the order of the rules; ledger and score.
 
     ``listing``: the blacklist's records, as ``rules.blacklist`` takes them. A document without lines is one without text.
-    An unreadable one is of unknown type with no points. What many rules read (zones, fields, states, flags) is computed
-    once, into the checkpoint folder.
+    An unreadable one is of unknown type with no points. What many rules read (lines, barcodes, zones, fields, states, flags)
+    is computed once, into the checkpoint folder.
     """
     spark, year = lines.sparkSession, int(reference[:4])
+    lines, barcodes = settled(lines), None if barcodes is None else settled(barcodes)
     docs = lines.select("doc_id").distinct() if docs is None else docs
     docs = docs.select("doc_id", *(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in _STATES.items()))
     kind = lines.schema["doc_id"].dataType.simpleString()
