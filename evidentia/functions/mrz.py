@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.barrier import once
 from evidentia.functions.checkdigits import digit_holds
 
 # Fixed values (ICAO 9303): each field's line (from 1), start and end (from 0, end exclusive), and each check digit's place.
@@ -66,25 +67,48 @@ def parse(fmt: str, lines: list[Column]) -> dict[str, Column]:
     return {"recognised": ok} | {name: F.when(ok, c) for name, c in out.items()}
 
 
-def parse_any(lines: Column) -> dict[str, Column]:
-    """The format, whether it is recognised, a message (null where it is) and the fields of an array of lines.
+def kept_lines(lines: Column) -> Column:
+    """The lines that aren't null or blank, without trailing blanks."""
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x.isNotNull() & (x != ""))
 
-    Blank and null lines don't count and trailing blanks are cut; the lengths of what is left decide the format. No
-    input raises: unknown lengths have no format, and a character outside the set is told by the number of its line.
-    """
-    kept = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x.isNotNull() & (x != ""))
+
+def layout_of(kept: Column) -> tuple[Column, Column]:
+    """(format by the lines' lengths, or null; number of the first line with a character outside the set, or 0) of ``kept_lines``."""
     lengths = F.array_join(F.transform(kept, lambda x: F.length(x).cast("string")), ",")
     fmt = F.lit(None).cast("string")
     for name, (n, width) in SHAPES.items():
         fmt = F.when(lengths == ",".join([str(width)] * n), name).otherwise(fmt)
-    wrong = F.array_position(F.transform(kept, lambda x: x.rlike("^[A-Z0-9<]*$")), False)
+    return fmt, F.array_position(F.transform(kept, lambda x: x.rlike("^[A-Z0-9<]*$")), False)
+
+
+def parse_as(fmt: Column, wrong: Column, lines: list[Column]) -> dict[str, Column]:
+    """The columns of ``parse_any`` from what ``layout_of`` gives and three kept lines."""
     message = F.when(fmt.isNull(), "unknown line lengths").when(wrong > 0, F.concat(F.lit("characters of line "), wrong.cast("string")))
-    parsed = {name: parse(name, [F.get(kept, F.lit(i)) for i in range(SHAPES[name][0])]) for name in SHAPES}
+    parsed = {name: parse(name, lines[: SHAPES[name][0]]) for name in SHAPES}
     names = [n for n in parsed["TD3"] if n != "recognised" and all(n in p for p in parsed.values())]
     merged = {n: F.coalesce(*(F.when(fmt == name, p[n]) for name, p in parsed.items())) for n in names}
     return {"format": fmt, "recognised": fmt.isNotNull() & F.coalesce(wrong == 0, F.lit(False)), "message": message} | merged
 
 
+def parse_any(lines: Column) -> dict[str, Column]:
+    """The format, whether it is recognised, a message (null where it is) and the fields of an array of lines.
+
+    Blank and null lines don't count and trailing blanks are cut; the lengths of what is left decide the format. No
+    input raises: unknown lengths have no format, and a character outside the set is told by the number of its line.
+    """
+    kept = kept_lines(lines)
+    return parse_as(*layout_of(kept), [F.get(kept, F.lit(i)) for i in range(3)])
+
+
+def parse_any_rows(rows: DataFrame, lines: str = "lines") -> DataFrame:
+    """``rows`` with the columns of ``parse_any`` in place of their lines; what every field needs is computed once a row."""
+    others = [c for c in rows.columns if c != lines]
+    rows = once(rows.select(*others, kept_lines(F.col(lines)).alias("__kept")))
+    fmt, wrong = layout_of(F.col("__kept"))
+    rows = once(rows.select(*others, fmt.alias("__fmt"), wrong.alias("__wrong"), *(F.get("__kept", F.lit(i)).alias(f"__l{i}") for i in range(3))))
+    return once(rows.select(*others, *(c.alias(n) for n, c in parse_as(F.col("__fmt"), F.col("__wrong"), [F.col(f"__l{i}") for i in range(3)]).items())))
+
+
 def century(yy: Column, reference_year: int, past: bool) -> Column:
     """The four-digit year of two digits: for dates in the past never after the reference, else the nearer one, 19YY on a tie."""
     old, new = yy + 1900, yy + 2000

@@ -63,7 +63,7 @@ def mrz_parse_any(spark, sf_dir):
     td2 = base._td2(spark, sf_dir).select("key", F.array(F.lit(""), F.col("a1"), F.when(F.col("key") % 6 == 0, F.lower("a2")).otherwise(F.concat("a2", F.lit("  ")))).alias("lines"))
     td1 = base._td1(spark, sf_dir).select("key", F.array("a1", "a2", "a3").alias("lines"))
     rows = once(td3.withColumn("form", F.lit(3)).unionByName(td2.withColumn("form", F.lit(2))).unionByName(td1.withColumn("form", F.lit(1))))
-    return once(rows.select("key", "form", *(c.alias(n) for n, c in mrz.parse_any(F.col("lines")).items())))
+    return mrz.parse_any_rows(rows)
 
 
 def expiry_days(spark, sf_dir):
