@@ -16,7 +16,9 @@ LEAST_CHECKPOINTS, MATCHES, SHOW, REVIEW = 4, 3, 0.30, 0.40
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """identity_id, face_similarity: the cosine scale of the pseudo-embeddings of name and nationality, in place of two images."""
-    v = domain.people(spark, sf_dir).select("identity_id", vectors.pseudo_embedding(F.col("name")).alias("v"), vectors.pseudo_embedding(F.col("nationality")).alias("w"))
+    nations = domain.table(spark, sf_dir, "nation").select(F.col("n_name").alias("nationality")).distinct()
+    nations = once(nations.select("nationality", vectors.pseudo_embedding(F.col("nationality")).alias("w")))  # once a nation, not once an identity
+    v = domain.people(spark, sf_dir).join(nations, "nationality", "left").select("identity_id", vectors.pseudo_embedding(F.col("name")).alias("v"), "w")
     return once(once(v).select("identity_id", F.round(vectors.face_score(vectors.cosine(F.col("v"), F.col("w"))), 6).alias("face_similarity")))
 
 

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """identity_id, name, nationality."""
-    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity_id"), F.col("c_name").alias("name"), "c_nationkey")
+    """identity_id, name, nationality, dealt to tasks."""
+    people = skew.spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity_id"), F.col("c_name").alias("name"), "c_nationkey"), "identity_id")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nationality"))
     return people.join(nations, people.c_nationkey == nations.n_nationkey, "left").select("identity_id", "name", "nationality")
 
@@ -79,10 +79,11 @@ def card_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).select(k.alias("key"), number.alias("number"), birth.alias("birth"), expiry.alias("expiry"), sex.alias("sex"), F.lit("CUSTOMER").alias("surname"), given.alias("given_names"))
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cards(spark: SparkSession, sf_dir: str, zone: bool = True, numbers: bool = True) -> DataFrame:
     """One synthetic card for each customer: key, mrz1, mrz2 (TD3), number, birth, expiry, sex, surname, given_names, uid, pan.
 
-    Where key % 7 = 0 a digit of the machine-readable number and of the uid is altered after its check was made.
+    Where key % 7 = 0 a digit of the machine-readable number and of the uid is altered after its check was made. Columns that
+    aren't used are computed all the same, so mrz1 and mrz2 are left out without ``zone``, uid and pan without ``numbers``.
     """
     base = card_base(spark, sf_dir)
     digit = checkdigits.mrz_check_digit
@@ -90,7 +91,9 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     personal = F.rpad(F.concat(F.lit("ZE"), F.lpad((F.col("key") % 1000).cast("string"), 4, "0")), 14, "<")
     stem = F.lpad((F.col("key") * 7919 % 100000000).cast("string"), 11, "0")
     pan9 = F.concat(F.lit("ALK"), F.substring(F.lit("CPHFATBLJGXZ"), (F.col("key") % 12).cast("int") + 1, F.lit(1)), F.substring(F.lit("CQ"), (F.col("key") % 2).cast("int") + 1, F.lit(1)), F.lpad((F.col("key") * 31 % 10000).cast("string"), 4, "0"))
-    parts = once(base.withColumns({"p1": F.concat(n, digit(n)), "p2": F.concat(b, digit(b)), "p3": F.concat(e, digit(e), personal, digit(personal)), "uid0": F.concat(stem, checkdigits.verhoeff_check_digit(stem)), "pan9": pan9}))
+    of_zone = {"p1": F.concat(n, digit(n)), "p2": F.concat(b, digit(b)), "p3": F.concat(e, digit(e), personal, digit(personal))}
+    of_numbers = {"uid0": F.concat(stem, checkdigits.verhoeff_check_digit(stem)), "pan9": pan9}
+    parts = once(base.withColumns((of_zone if zone else {}) | (of_numbers if numbers else {})))
     composite = digit(F.concat("p1", "p2", "p3"))
     altered = F.col("key") % 7 == 0
     other = ((F.substring("p1", 9, 1).cast("int") + 1) % 10).cast("string")
@@ -100,4 +103,5 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     uid = F.col("uid0")
     flipped = F.concat(F.substring(uid, 1, 4), ((F.substring(uid, 5, 1).cast("int") + 1) % 10).cast("string"), F.substring(uid, 6, 7))
     pan = F.concat("pan9", F.when(F.col("key") % 5 == 0, "Q").otherwise(checkdigits.mod36_check_char(F.col("pan9"))))
-    return once(parts.withColumns({"mrz1": line1, "mrz2": line2, "uid": F.when(altered, flipped).otherwise(uid), "pan": pan}).drop("p1", "p2", "p3", "uid0", "pan9"))
+    made = ({"mrz1": line1, "mrz2": line2} if zone else {}) | ({"uid": F.when(altered, flipped).otherwise(uid), "pan": pan} if numbers else {})
+    return once(parts.withColumns(made).drop("p1", "p2", "p3", "uid0", "pan9"))

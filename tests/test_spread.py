@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.plans import catalogue_queries as queries
+from evidentia.plans import inputs, screening
 from evidentia.sources import domain
 
 from test_catalogue import SF
@@ -13,3 +14,16 @@ from test_catalogue import SF
 def test_no_task_has_all_cards(spark, rows):
     counts = [r["count"] for r in rows(spark, SF).groupBy(F.spark_partition_id()).count().collect()]
     assert len(counts) == 4 and max(counts) < sum(counts) / 2
+
+
+def test_no_task_has_all_identities(spark):
+    """Faces are computed of every identity, so identities are dealt as cards are."""
+    counts = [r["count"] for r in screening.faces(spark, SF).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 4 and max(counts) < sum(counts) / 2
+
+
+def test_validated_cards_are_read_once(spark, capsys):
+    """The texts of dates are made beside the card, not joined to it, and zones that aren't looked at aren't made."""
+    inputs.validation_rows(spark, SF).explain("extended")
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "mrz1" not in plan
