@@ -102,16 +102,17 @@ def same_line_fields(lines: DataFrame) -> DataFrame:
 
 
 def _is_label(text: Column) -> Column:
-    out = F.lit(False)
-    for label, _, _ in LABELS:
-        out = out | text.rlike(label)
-    return out
+    """Whether a line begins with any label, in one search."""
+    begins = r"(?im)^\s*"
+    return text.rlike(f"{begins}(?:{'|'.join(label.removeprefix(begins) for label, _, _ in LABELS)})")
 
 
 def _followed(lines: DataFrame) -> DataFrame:
-    """Lines with stop_at, the next line that is blank or a label, and next_<field>, the next one with that field's shape."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    """Lines with stop_at, the next line that is blank or a label, and next_<field>, the next one with that field's shape.
+
+    Lines are gone through from the last to the first, so that each adds to what follows the one before it.
+    """
+    after = Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     rows = _sure(lines).withColumn("text", F.trim("text"))
     fits = {name: F.col("text").rlike(VALUE_SHAPES[name]) if name in VALUE_SHAPES else F.lit(True) for _, name, multi in LABELS if not multi}
     here = F.struct("line_no", F.col("text").alias("value"), "confidence")

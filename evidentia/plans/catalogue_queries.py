@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import boxes, checkdigits, dates, mrz, payloads, text, vectors
-from evidentia.functions.barrier import once
+from evidentia.functions.barrier import once, settled
 from evidentia.operators import assemble, extract, intake, layout, registry, rules, scoring, similarity, validate
 from evidentia.plans import inputs, screening
 from evidentia.sources import domain, sinks
@@ -73,9 +73,9 @@ def mrz_century_dates(spark, sf_dir):
     return c.select("key", mrz.iso_date(b, YEAR, True).alias("birth"), mrz.iso_date(F.substring("mrz2", 22, 6), YEAR, False).alias("expiry"))
 
 
-def _lines(spark, sf_dir) -> DataFrame:
+def _lines(spark, sf_dir, cards: DataFrame | None = None) -> DataFrame:
     """Lines of each card as a reader gives them: noise, labels and values, and the machine-readable lines."""
-    c = _cards(spark, sf_dir)
+    c = domain.cards(spark, sf_dir, numbers=False) if cards is None else cards
     birth = F.date_format("birth", "dd/MM/yyyy")
     second = F.when(F.col("key") % 5 == 0, F.substring("mrz2", 1, 42)).otherwise(F.col("mrz2"))
     kinds = F.element_at(F.array(*(F.lit(x) for x in ("PASSPORT", "UIDAI AADHAAR", "INCOME TAX PAN CARD", "SPECIMEN", "ELECTOR VOTER ID"))), (F.col("key") % 5 + 1).cast("int"))
@@ -153,7 +153,8 @@ def visual_next_line_value(spark, sf_dir):
 
 
 def visual_recogniser(spark, sf_dir):
-    return extract.recognise(_lines(spark, sf_dir)).drop("confidence")
+    made = settled(domain.cards(spark, sf_dir, numbers=False))  # lines are gone through five times
+    return extract.recognise(_lines(spark, sf_dir, made)).drop("confidence")
 
 
 def number_fragments(spark, sf_dir):
